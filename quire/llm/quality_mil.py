@@ -184,15 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     return AttentionMIL().fit(np.concatenate(xs).astype(np.float64), np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.array([float(r[1]) for r in rows]))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3, max_labelled: int = 3000) -> DataFrame:
-    """id, held_out, score, predicted."""
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3, max_labelled: int = 3000, carry: list[str] | None = None) -> DataFrame:
+    """id, held_out, score, predicted; and the columns to carry, which may include id and text."""
     model = fit(docs, labels, id_col, text_col, label_col, folds, held, max_labelled)
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "score": model.score(pdf[text_col].tolist())})
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(texts.tolist()))
 
     held_out = F.coalesce(crc_fold(F.col(id_col), folds) == held, F.lit(False))
-    out = with_clear_names(docs, id_col, text_col).mapInPandas(score, f"`{id_col}` {kind}, score double")
-    return out.select(id_col, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    names = list(dict.fromkeys([id_col, *(carry or [])]))
+    out = docs.select(*[F.col(f"`{n}`") for n in names], held_out.alias("held_out"), score(F.col(text_col)).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

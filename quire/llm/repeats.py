@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Stored, with_clear_names
+from quire.llm.common import Stored
 from quire.llm.near_dup import mixed
 
 U = np.uint64
@@ -169,9 +169,9 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - 1
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
     """id, text and row, a hash of both: what is found of a row holds for its equals."""
-    return with_clear_names(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))
+    return docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in carry], F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row"))
 
 
 def occurrences(rows: DataFrame, length: int) -> DataFrame:
@@ -283,16 +283,17 @@ def covered(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int,
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_spans: int = 256, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_spans: int = 256, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and on request the remaining text, where
-    characters cut in two are dropped) of every row."""
-    rows = keyed(docs, id_col, text_col)
+    characters cut in two are dropped, and other columns to carry) of every row."""
+    carry = carry or []
+    rows = keyed(docs, id_col, text_col, *carry)
     kind = rows.schema["id"].dataType.simpleString()
     ranges, stored = repeated_ranges(docs, id_col, text_col, length, batch_spans)
     ranges = Stored(ranges.groupBy("id", "row").agg(F.collect_set(F.struct("first", "last")).alias("cuts")), "cuts")  # of one text
     for old in stored:
         old.drop()
-    joined = rows.join(ranges.df.withColumnsRenamed({"id": "_id", "row": "_row"}), (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "cuts")
+    joined = rows.join(ranges.df.withColumnsRenamed({"id": "_id", "row": "_row"}), (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "cuts", *[f"c_{c}" for c in carry])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -303,8 +304,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 edges = [0, *[x for r in runs for x in r], len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else raw
                 out.append((key, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if with_text else [])))
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names).assign(**{c: pdf[f"c_{c}"] for c in carry})
 
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *([text_col] if with_text else [])]
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", `{text_col}` string" * with_text
+    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", `{text_col}` string" * with_text + "".join(f", `{c}` {rows.schema[f'c_{c}'].dataType.simpleString()}" for c in carry)
     return joined.mapInPandas(apply, schema)
