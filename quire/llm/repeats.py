@@ -48,6 +48,12 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """min(x[i : i + w]) for each i."""
     n = len(x) - w + 1
@@ -87,65 +93,90 @@ def anchors(raw: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.n
     return np.concatenate(first), np.concatenate(last), np.concatenate(place), np.concatenate(names)
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of ``text`` by their first ``depth`` bytes at least, by doubling."""
+SEED = 32
+
+
+def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``text`` by their first ``depth`` bytes at least, by doubling, which
+    sorts only what isn't parted yet; and their ranks by SEED / 2 bytes."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(U)
     key = np.zeros(n, U)
     for j in range(8):
         key = (key << U(8)) | padded[j : j + n]
-    span = 8
+    order = np.argsort(key)
+    ranked = key[order]
+    begins = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    rank = np.zeros(n, np.int64)
+    span, half = 8, rank
     while True:
-        order = np.argsort(key)
-        ranked = key[order]
+        starts = np.flatnonzero(begins)
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        if span >= depth or rank[order[-1]] == n:
-            return order
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - span)] = rank[span:]
-        key = (rank.astype(U) << U(32)) | after.astype(U)
+        rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
+        if span == SEED // 2:
+            half = rank
+        if span >= max(depth, SEED // 2):
+            return order, half
+        alone = begins & np.append(begins[1:], True)
+        slots = np.flatnonzero(~alone)
+        some = order[slots]
+        after = np.minimum(some + span, n - 1)
+        key = (rank[some] << 32) | np.where(some + span < n, rank[after] + 1, 0)
+        by = np.argsort(key)
+        order[slots], key = some[by], key[by]
+        begins[slots] = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else False
         span *= 2
 
 
-def parted(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def parted(text: np.ndarray, order: np.ndarray, half: np.ndarray, depth: int) -> np.ndarray:
     """Where suffixes neighbouring in ``order`` differ within ``depth`` bytes, by increasing
-    common prefix: a queue holds the boundaries with prefix l; each is extended backward
-    by the bytes of the transform in all parts of its interval but the largest."""
+    common prefix. It begins with the intervals of SEED bytes; a queue holds the boundaries
+    with prefix l, and each is extended backward by the bytes of the transform in all
+    parts of its interval but the largest."""
     n = len(text)
     transform = text[order - 1].astype(np.int64)  # order - 1 is -1, the last byte, for the whole text
     key = transform * n + np.arange(n)
     key.sort()
     starts = np.searchsorted(key, np.arange(257) * n)
-    cut = np.zeros(n + 1, bool)
-    cut[[0, n]] = True
-    queue = np.unique(starts[(starts > 0) & (starts < n)])
-    cut[queue] = True
-    fresh = np.zeros(n + 1, bool)
-    for _ in range(depth - 1):
+    ranks = np.concatenate((half, -1 - np.arange(SEED)))  # past the end nothing is equal
+    same = [ranks[order[1:] + k] == ranks[order[:-1] + k] for k in (0, SEED // 2 - 1, SEED // 2)]
+    cut = np.ones(n + 1, bool)
+    cut[1:n] = ~(same[0] & same[2])
+    queue = np.flatnonzero(same[0] & same[1] & ~same[2]) + 1
+    # only what shares SEED bytes, and the boundaries beside it, is looked at from here on
+    live = np.flatnonzero(~(cut[:-1] & cut[1:]) | np.isin(np.arange(n), np.concatenate((queue, queue - 1))))
+    flags = np.append(cut[live], True)
+    place_of = np.zeros(n, np.int64)
+    place_of[live] = np.arange(len(live))
+    queue = place_of[queue]
+    fresh = np.zeros(len(live) + 1, bool)
+    for _ in range(depth - SEED):
         if not len(queue):
             break
         fresh[queue] = True
-        ends = np.flatnonzero(cut)
+        ends = np.flatnonzero(flags)
         at = np.searchsorted(ends, queue)
-        piece = np.unique(np.concatenate((at - 1, at)))  # the intervals that the queue's boundaries part
+        piece = _distinct(np.concatenate((at - 1, at)))  # the intervals that the queue's boundaries part
         begin, size = ends[piece], ends[piece + 1] - ends[piece]
         whole = np.cumsum(~fresh[begin])  # what they were before
         fresh[queue] = False
         largest = np.lexsort((-size, whole))
         largest = largest[np.concatenate(([True], np.diff(whole[largest]) > 0))]
         rest = np.delete(np.arange(len(piece)), largest)  # a byte on two sides of a boundary is in one of these
-        begin, size = begin[rest], size[rest]
+        begin, size = live[begin[rest]], size[rest]
         owner = np.repeat(np.arange(len(rest)), size)
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + begin[owner]
-        pairs = np.unique(owner * 256 + transform[place])
+        pairs = _distinct(owner * 256 + transform[place])
         owner, byte = pairs >> 8, pairs & 255
         edge = np.concatenate((begin[owner], begin[owner] + size[owner]))
-        byte = np.concatenate((byte, byte))
-        new = np.searchsorted(key, byte * n + edge)  # suffixes that begin with the byte, then come before the edge
-        new = np.unique(new[(new > starts[byte]) & (new < starts[byte + 1])])
-        queue = new[~cut[new]]
-        cut[queue] = True
+        ask = _distinct(np.concatenate((byte, byte)) * n + edge)
+        byte = ask // n
+        new = np.searchsorted(key, ask)  # suffixes that begin with the byte, then come before the edge
+        new = new[(new > starts[byte]) & (new < starts[byte + 1])]
+        new = _distinct(new[~cut[new]])
+        cut[new] = True
+        queue = place_of[new]
+        flags[queue] = True
     return cut[:n]
 
 
@@ -155,9 +186,9 @@ def shared_windows(spans: list[bytes], many: np.ndarray, length: int) -> list[np
     text = np.frombuffer(b"\xff".join([*spans, b""]), np.uint8)  # 0xff is in no UTF-8 text
     sizes = np.array([len(s) for s in spans])
     offsets = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    order = suffix_order(text, length)
+    order, half = suffix_order(text, length)
     group = np.empty(len(text), np.int64)
-    group[order] = np.cumsum(parted(text, order, length)) - 1
+    group[order] = np.cumsum(parted(text, order, half, length)) - 1
     starts = np.concatenate([np.arange(o, o + s - length + 1) for o, s in zip(offsets, sizes)])
     owner = np.repeat(np.arange(len(spans)), sizes - length + 1)
     weight = np.bincount(group[starts], weights=1 + many[owner], minlength=len(text))
@@ -283,7 +314,7 @@ def covered(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int,
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_spans: int = 256, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_spans: int = 4096, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and on request the remaining text, where
     characters cut in two are dropped, and other columns to carry) of every row."""
     carry = carry or []
