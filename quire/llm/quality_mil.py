@@ -41,9 +41,11 @@ def _features(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     x[:, :256] = np.sqrt(counts / total)
     if len(data):
         space = data <= 32
-        first = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        begins = np.concatenate(([True], at[1:] != at[:-1]))  # a passage sees nothing of its neighbours
+        first = np.flatnonzero(~space & (begins | np.concatenate(([True], space[:-1]))))
         wide = np.concatenate((data, np.zeros(6, np.uint8))).astype(np.uint64)
-        key = sum((wide[first + i] << np.uint64(8 * i) for i in range(1, 5)), wide[first])
+        owner = np.concatenate((at, np.full(6, -1, at.dtype)))
+        key = sum((np.where(owner[first + i] == at[first], wide[first + i], np.uint64(0)) << np.uint64(8 * i) for i in range(1, 5)), wide[first])
         order = np.sort((at[first].astype(np.uint64) << np.uint64(40)) | key)
         words = np.bincount(at[first], minlength=n)
         new = np.concatenate(([True], order[1:] != order[:-1])) if len(order) else np.empty(0, bool)
