@@ -1,11 +1,301 @@
-"""The registered queries of the analytics engine."""
+"""The engine's operators as queries over the driver's tables, with SQL that gives the same rows.
+
+Documents stand for chunks, benchmark items for questions, events for latency samples, line items for
+evidence, orders for records. All queries read whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text as T
+from quire.operators import chunking, evaluation, extraction, layout, retrieval
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        Q[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+IRREGULAR_SQL = " ".join(f"WHEN t = '{a}' THEN '{b}'" for a, b in T.IRREGULAR.items())
+TOKENS_SQL = """
+WITH raw AS (SELECT {key} AS id, unnest(regexp_extract_all(lower({text}), '{pattern}')) AS t FROM {table}),
+kept AS (SELECT id, t FROM raw WHERE length(t) > 1 AND t NOT IN ({stop})),
+stems AS (SELECT id, CASE {irregular}
+  WHEN t LIKE '%ies' AND length(t) > 4 THEN left(t, length(t) - 3) || 'y'
+  WHEN t LIKE '%ing' AND length(t) > 5 THEN left(t, length(t) - 3)
+  WHEN t LIKE '%ed' AND length(t) > 4 THEN left(t, length(t) - 2)
+  WHEN regexp_matches(t, '(sses|xes|zes|ches|shes)$') AND length(t) > 4 THEN left(t, length(t) - 2)
+  WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 3 THEN left(t, length(t) - 1)
+  ELSE t END AS term FROM kept)"""
+
+
+def tokens_sql(key: str, table: str) -> str:
+    return TOKENS_SQL.format(key=key, table=table, text="text", pattern=T.TOKEN.replace("'", "''"), stop=STOP_SQL, irregular=IRREGULAR_SQL)
+
+
+@query("A4_document_frequency", tokens_sql("doc_id", "documents") + " SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM stems GROUP BY term")
+def document_frequency(spark, d):
+    rows = read(spark, d, "documents").select("doc_id", F.explode(T.tokenize(F.col("text"), False)).alias("term"))
+    return rows.groupBy("doc_id", "term").count().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("count").alias("tf"))
+
+
+@query("A2_chunk_length", tokens_sql("doc_id", "documents") + " SELECT d.doc_id, count(s.term) AS n_tokens FROM documents d LEFT JOIN stems s ON s.id = d.doc_id GROUP BY d.doc_id")
+def chunk_length(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(T.tokenize(F.col("text"), False)).cast("long").alias("n_tokens"))
+
+
+def _chunks(spark, d):
+    docs = read(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.array(F.lit(1)).alias("pages"), F.array(F.col("doc_id").cast("string")).alias("block_ids"), "text", F.col("doc_id").alias("ord"))
+
+
+BM25_SQL = tokens_sql("doc_id", "documents").rstrip() + """,
+asked AS (SELECT DISTINCT item_id, term FROM (""" + tokens_sql("item_id", "benchmark").strip() + """ SELECT id AS item_id, term FROM stems)),
+lens AS (SELECT d.doc_id AS id, count(s.term) AS len FROM documents d LEFT JOIN stems s ON s.id = d.doc_id GROUP BY d.doc_id),
+facts AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
+tf AS (SELECT id, term, count(*) AS tf FROM stems GROUP BY id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+scored AS (SELECT a.item_id AS query_id, tf.id AS chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS score
+  FROM asked a JOIN tf USING (term) JOIN df USING (term) JOIN lens ON lens.id = tf.id CROSS JOIN facts GROUP BY a.item_id, tf.id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5"""
+
+
+@query("R4_bm25_search", BM25_SQL)
+def bm25_search(spark, d):
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    hits = retrieval.BM25Index(_chunks(spark, d), exact=False).search(asked, 5)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("R6_cited_answers")
+def cited_answers(spark, d):
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return retrieval.answer(asked, retrieval.BM25Index(_chunks(spark, d), exact=False))
+
+
+@query("SC12_passages")
+def passage_rows(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.posexplode(T.passages(F.col("text"))).alias("pos", "passage"))
+
+
+@query("SC1_normalize_text", "SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[\\p{P}\\p{Z}]', ' ', 'g'), '\\s+', ' ', 'g')) AS normal FROM benchmark")
+def normalize(spark, d):
+    return read(spark, d, "benchmark").select("item_id", T.normalize_text(F.col("text"), False).alias("normal"))
+
+
+@query("SC2_canonical_number", "SELECT p_partkey, CASE WHEN contains(s, '.') THEN regexp_replace(s, '\\.?0+$', '') ELSE s END AS number FROM (SELECT p_partkey, CAST(CAST(p_size AS DECIMAL(38, 12)) AS VARCHAR) AS s FROM part)")
+def canonical(spark, d):
+    return read(spark, d, "part").select("p_partkey", T.canonical_number(F.col("p_size")).alias("number"))
+
+
+ASCII_SQL = "WITH ascii AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM benchmark) "
+
+
+def _next_item(spark, d):
+    b = read(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^\\x00-\\x7F]", "?"))  # the SQL's distance counts bytes
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("predicted_text"))
+    return b.join(nxt, "item_id").select(F.col("item_id").alias("case_id"), F.col("text").alias("reference_text"), "predicted_text")
+
+
+@query("SC9_character_errors", ASCII_SQL + "SELECT a.item_id AS case_id, CAST(levenshtein(a.text, b.text) AS INTEGER) AS character_errors, levenshtein(a.text, b.text) / length(a.text) AS cer FROM ascii a JOIN ascii b ON b.item_id = a.item_id + 1")
+def character_errors(spark, d):
+    return evaluation.ocr_by_case(_next_item(spark, d)).select("case_id", "character_errors", "cer")
+
+
+@query("SC10_ocr_metrics")
+def ocr_metrics(spark, d):
+    return evaluation.ocr_by_case(_next_item(spark, d))
+
+
+@query("A12_ocr_summary", ASCII_SQL + "SELECT CAST(sum(levenshtein(a.text, b.text)) AS BIGINT) AS character_errors, CAST(sum(length(a.text)) AS BIGINT) AS reference_characters, sum(levenshtein(a.text, b.text)) / sum(length(a.text)) AS cer FROM ascii a JOIN ascii b ON b.item_id = a.item_id + 1")
+def ocr_summary(spark, d):
+    return evaluation.ocr_summary(evaluation.ocr_by_case(_next_item(spark, d))).select("character_errors", "reference_characters", "cer")
+
+
+LATENCY = """count(value) AS "count", coalesce(sum(value), 0.0) AS total, min(value) AS min, avg(value) AS mean, quantile_cont(value, 0.5) AS median,
+  quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max"""
+
+
+@query("A16_latency", f"""WITH t AS (SELECT event_type AS stage, abs(value) AS value FROM events),
+r AS (SELECT stage, {LATENCY} FROM t GROUP BY stage UNION ALL SELECT '<all>', {LATENCY} FROM t)
+SELECT stage, "count", round(total, 4) AS total, min, round(mean, 8) AS mean, round(median, 8) AS median, p50, p95, p99, max FROM r""")
+def latency(spark, d):
+    rows = read(spark, d, "events").select(F.col("event_type").alias("stage"), evaluation.checked_ms(F.abs("value")).alias("ms"))
+    out = evaluation.latency_summary(rows)
+    return out.withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 8)).withColumn("median", F.round("median", 8))
+
+
+def _gold_flags(spark, d):
+    return read(spark, d, "labels").select(F.col("doc_id").alias("case_id"), F.explode(F.array(F.struct(F.lit("quality").alias("field"), F.col("quality").cast("string").alias("value")), F.struct(F.lit("toxic").alias("field"), F.col("toxic").cast("string").alias("value")))).alias("x")).select("case_id", "x.*")
+
+
+def _predicted_flags(spark, d):
+    return read(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.lit("quality").alias("field"), F.when(F.col("n_chars") >= 400, "1").otherwise("0").alias("value"))
+
+
+FLAGS_SQL = """WITH g AS (SELECT doc_id AS case_id, 'quality' AS field, CAST(quality AS VARCHAR) AS value FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS VARCHAR) FROM labels),
+p AS (SELECT doc_id AS case_id, 'quality' AS field, CASE WHEN n_chars >= 400 THEN '1' ELSE '0' END AS value FROM documents),
+s AS (SELECT case_id, field, CAST(coalesce(g.value, '') = coalesce(p.value, '') AS DOUBLE) AS score FROM g FULL JOIN p USING (case_id, field))"""
+
+
+@query("J4_field_scores", FLAGS_SQL + " SELECT case_id, field, score AS exact_match, score AS token_f1 FROM s")
+def field_scores(spark, d):
+    return evaluation.field_scores(_gold_flags(spark, d), _predicted_flags(spark, d), False)
+
+
+@query("A9_extraction_summary", FLAGS_SQL + " SELECT field, avg(score) AS exact_match, avg(score) AS token_f1, count(*) AS n FROM s GROUP BY field UNION ALL SELECT '<all>', avg(score), avg(score), count(*) FROM s")
+def extraction_summary(spark, d):
+    return evaluation.extraction_summary(evaluation.field_scores(_gold_flags(spark, d), _predicted_flags(spark, d), False))
+
+
+@query("A8_extraction_by_case", FLAGS_SQL + " SELECT case_id, avg(score) AS exact_match, avg(score) AS token_f1, count(*) AS fields FROM s GROUP BY case_id")
+def extraction_by_case(spark, d):
+    cases = read(spark, d, "documents").select(F.col("doc_id").alias("case_id"))
+    return evaluation.extraction_by_case(evaluation.field_scores(_gold_flags(spark, d), _predicted_flags(spark, d), False), cases)
+
+
+@query("J2_unexpected_ids", "SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unexpected_ids(spark, d):
+    return evaluation.unexpected(read(spark, d, "labels").select(F.col("doc_id").alias("id")), read(spark, d, "documents").select(F.col("doc_id").alias("id")))
+
+
+def _evidence(spark, d, gold: bool):
+    li = read(spark, d, "lineitem").where(F.col("l_returnflag") == "R" if gold else F.col("l_linestatus") == "F")
+    return li.select(F.col("l_orderkey").alias("case_id"), F.lit("part").alias("field"), F.col("l_orderkey").cast("string").alias("document_id"), F.col("l_linenumber").alias("page"), F.col("l_partkey").cast("string").alias("block_id"))
+
+
+@query("A11_evidence_summary", """WITH g AS (SELECT DISTINCT l_orderkey AS c, l_linenumber AS page, l_partkey AS b FROM lineitem WHERE l_returnflag = 'R'),
+p AS (SELECT l_orderkey AS c, l_linenumber AS page, l_partkey AS b FROM lineitem WHERE l_linestatus = 'F'),
+m AS (SELECT p.c, count(*) AS predicted, count(gp.c) AS page_correct, count(g.c) AS block_correct FROM p LEFT JOIN g ON g.c = p.c AND g.page = p.page AND g.b = p.b LEFT JOIN (SELECT DISTINCT c, page FROM g) gp ON gp.c = p.c AND gp.page = p.page GROUP BY p.c),
+v AS (SELECT o_orderkey AS c FROM orders),
+f AS (SELECT coalesce(m.c, e.c, v.c) AS c, coalesce(predicted, 0) AS predicted, coalesce(page_correct, 0) AS page_correct, coalesce(block_correct, 0) AS block_correct, coalesce(expected, 0) AS expected, v.c IS NOT NULL AS has_value
+  FROM m FULL JOIN (SELECT c, count(*) AS expected FROM g GROUP BY c) e ON e.c = m.c FULL JOIN v ON v.c = coalesce(m.c, e.c))
+SELECT CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(page_correct) AS BIGINT) AS page_correct, CAST(sum(block_correct) AS BIGINT) AS block_correct, count(*) FILTER (has_value) AS "values", count(*) FILTER (has_value AND block_correct = 0) AS unsupported,
+  sum(page_correct) / sum(predicted) AS page_correctness, sum(block_correct) / sum(predicted) AS block_correctness, count(*) FILTER (has_value AND block_correct = 0) / count(*) FILTER (has_value) AS unsupported_value_rate FROM f""")
+def evidence_summary(spark, d):
+    values = read(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.lit("part").alias("field"), F.col("o_orderpriority").alias("value"))
+    return evaluation.evidence_summary(evaluation.evidence_by_field(_evidence(spark, d, True), _evidence(spark, d, False), values))
+
+
+@query("R9_retrieval_metrics", """WITH r AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R'),
+t AS (SELECT l_orderkey AS case_id, l_partkey AS item, min(l_linenumber) AS rank FROM lineitem GROUP BY ALL),
+h AS (SELECT r.case_id, count(*) AS n, count(*) FILTER (rank <= 1) / count(*) AS r1, count(*) FILTER (rank <= 3) / count(*) AS r3, count(*) FILTER (rank <= 5) / count(*) AS r5, coalesce(1 / min(rank), 0) AS mrr FROM r LEFT JOIN t USING (case_id, item) GROUP BY r.case_id)
+SELECT c.case_id, coalesce(n, 0) AS n_relevant, r1 AS recall_at_1, r3 AS recall_at_3, r5 AS recall_at_5, mrr, n IS NOT NULL AS evaluable FROM (SELECT DISTINCT l_orderkey AS case_id FROM lineitem) c LEFT JOIN h USING (case_id)""")
+def retrieval_metrics(spark, d):
+    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").cast("string").alias("item_id"), F.col("l_linenumber").alias("rank"), "l_returnflag")
+    return evaluation.retrieval_by_case(li.where("l_returnflag = 'R'"), li)
+
+
+@query("A13_retrieval_summary")
+def retrieval_summary(spark, d):
+    return evaluation.retrieval_summary(retrieval_metrics(spark, d))
+
+
+def _contracts(spark, d):
+    """A contract of seven blocks from each order and its customer, nation and lines."""
+    o = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    days = F.col("o_orderkey") % 60 + 10
+    lines = [
+        ("title", F.lit("SERVICES AGREEMENT")),
+        ("paragraph", F.concat(F.lit("This Agreement is entered into as of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" between Acme Works Ltd and "), F.regexp_replace("c_name", "[#0-9]+", ""), F.lit(" Holdings Inc."))),
+        ("paragraph", F.concat(F.lit("The initial term is for a period of "), days.cast("string"), F.lit(" months. It renews for successive terms of one year unless ended."))),
+        ("paragraph", F.concat(F.lit("Either party may request termination on "), days.cast("string"), F.lit(" days written notice."))),
+        ("heading", F.lit("FEES")),
+        ("paragraph", F.concat(F.lit("The customer shall pay USD "), F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.lit(". Invoices are due within 30 days."))),
+        ("paragraph", F.concat(F.lit("This Agreement is governed by the laws of "), F.concat(F.lit("Land "), F.char(F.col("n_nationkey") + 65)), F.lit(", without exception."))),
+        ("signature", F.lit("Signed by the parties")),
+    ]
+    blocks = F.array(*[F.struct(F.lit(i).alias("reading_order"), F.lit(k).alias("kind"), t.alias("text")) for i, (k, t) in enumerate(lines)])
+    rows = o.select(F.col("o_orderkey").cast("string").alias("document_id"), F.explode(blocks).alias("b")).select("document_id", "b.*")
+    return rows.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("file_name"), F.lit(1).alias("page"), F.format_string("b%d", "reading_order").alias("block_id"), "kind", "text", "reading_order", F.struct(F.lit(50.0).alias("x0"), (F.col("reading_order") * 60.0).alias("y0"), F.lit(500.0).alias("x1"), (F.col("reading_order") * 60.0 + 40.0).alias("y1")).alias("bbox"))
+
+
+@query("E_clause_fields", """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, field, text_value FROM (
+SELECT o_orderkey, unnest(['effective_date', 'initial_term', 'termination_notice', 'governing_law']) AS field, unnest([strftime(o_orderdate, '%Y-%m-%d'), CAST(o_orderkey % 60 + 10 AS VARCHAR) || ' months', CAST(o_orderkey % 60 + 10 AS VARCHAR) || ' days written notice', 'Land ' || chr(n_nationkey + 65)]) AS text_value
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""")
+def clause_fields(spark, d):
+    out = extraction.clause_fields(_contracts(spark, d))
+    return out.where(F.col("field").isin("effective_date", "initial_term", "termination_notice", "governing_law")).select("document_id", "field", "text_value")
+
+
+@query("E_extract_validated")
+def extract_validated(spark, d):
+    blocks = _contracts(spark, d)
+    return extraction.validate(extraction.extract(blocks), blocks)
+
+
+@query("E7_fees", "SELECT CAST(o_orderkey AS VARCHAR) AS document_id, 'USD ' || CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR) AS fee FROM orders JOIN customer ON o_custkey = c_custkey")
+def fee_rows(spark, d):
+    return extraction.fees(_contracts(spark, d)).select("document_id", F.explode("list_value").alias("fee"))
+
+
+@query("W3_text_windows", "SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CAST(20 AS BIGINT) AS windows FROM orders JOIN customer ON o_custkey = c_custkey")
+def windows(spark, d):
+    return extraction.text_windows(_contracts(spark, d), 5).groupBy("document_id").agg(F.count(F.lit(1)).alias("windows"))
+
+
+@query("R2_chunks")
+def chunks(spark, d):
+    return chunking.chunk(_contracts(spark, d), 200)
+
+
+@query("R2_document_chunks")
+def document_chunks(spark, d):
+    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.lit(1).alias("page"), F.lit("b0").alias("block_id"), F.lit("paragraph").alias("kind"), "text", F.lit(0).alias("reading_order"))
+    return chunking.chunk(docs)
+
+
+def _page_blocks(spark, d):
+    li = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    x = F.when(F.col("l_linenumber") % 2 == 0, 40.0).otherwise(320.0)
+    y = (F.col("l_linenumber") * 97 % 13) * 55.0 + 30
+    return li.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.col("l_linenumber").alias("pos"), F.col("p_name").alias("text"), F.struct(x.alias("x0"), y.alias("y0"), (x + 220).alias("x1"), (y + 40).alias("y1")).alias("bbox"), F.lit(10.0).alias("font_size"), F.lit("unknown").alias("kind"), F.lit("native").alias("source"), F.lit(1.0).alias("confidence"))
+
+
+@query("L3_classify")
+def classify(spark, d):
+    return layout.classify(_page_blocks(spark, d)).select("document_id", "pos", "kind", "char_count")
+
+
+@query("L4_reading_order", """WITH b AS (SELECT l_orderkey AS doc, l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 40 ELSE 320 END AS x, (l_linenumber * 97 % 13) * 55 + 30 AS y FROM lineitem JOIN part ON l_partkey = p_partkey),
+s AS (SELECT *, count(*) FILTER (x = 40) OVER (PARTITION BY doc) AS l, count(*) FILTER (x = 320) OVER (PARTITION BY doc) AS r FROM b)
+SELECT CAST(doc AS VARCHAR) AS document_id, pos, CAST(row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN l > 0 AND r > 0 THEN x ELSE 0 END, y, x, pos) - 1 AS INTEGER) AS reading_order FROM s""")
+def order(spark, d):
+    return layout.reading_order(_page_blocks(spark, d).withColumn("kind", F.lit("paragraph"))).select("document_id", "pos", "reading_order")
+
+
+@query("L5_block_ids")
+def block_ids(spark, d):
+    rows = layout.reading_order(layout.classify(_page_blocks(spark, d)))
+    return layout.block_ids(rows, F.sha2("document_id", 256)).select("document_id", "pos", "reading_order", "block_id")
+
+
+@query("P4_native_pages", "SELECT CAST(l_orderkey AS VARCHAR) AS document_id, 1 AS page, sum(length(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '', 'g'))) >= 40 AS native FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
+def native_pages(spark, d):
+    return layout.native_pages(_page_blocks(spark, d))
+
 
 def queries():
-    return {}
+    return dict(Q)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
