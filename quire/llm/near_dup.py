@@ -13,10 +13,16 @@ time up to a horizon at which all registers are filled (else it is doubled), so
 about m log m points however long or heavy it is, and the result doesn't depend on the horizon.
 
 Candidates share one of ``bands`` bands of ``rows`` registers; 32 x 5 miss a pair at 0.8 three
-times in a million. Equal texts are one node. Links are verified with exact
-bags. First each member of a bucket meets only the bucket's least member; the links are
-contracted to components; only where a bucket still holds several components do pairs
-between different components meet. So no group forms all its pairs, and no candidate is capped.
+times in a million. Equal texts are one node. Links are verified with exact bags, in four steps.
+
+1. Each member of a bucket meets the bucket's least member; links are contracted to components.
+2. Where a bucket still holds several components, one member of its largest meets all of the others.
+3. Of what is still apart, each text gets the weight of its shingles that others there have too.
+   Below the threshold's share of its own weight it can have no link (exact, not a guess).
+4. Pairs of different components of a bucket meet where both weights allow the threshold, each in the
+   first band that they share; members of the bucket's largest component never meet each other.
+
+No candidate is capped. Step 4 can grow faster than a bucket where many texts lie just under the threshold.
 
 Cases: texts without words (null, empty, blank) form no links, but equal ones share a class.
 Repeated rows share a class. Null ids are allowed; a class is named by its least id. An
@@ -26,6 +32,7 @@ empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -174,26 +181,46 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return with_clear_names(docs, id_col, text_col).withColumn("node", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs (u, v) whose exact similarity reaches the threshold."""
-    both = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(texts.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, per_block: int = 512) -> Stored:
+    """Those of the pairs (u, v) whose exact similarity reaches the threshold. Nodes are dealt
+    into blocks of about ``per_block``, pairs into pairs of blocks: a task holds the texts of two
+    blocks at most, and a text moves once for each pair of blocks that needs it."""
+    blocks = max(1, texts.count() // per_block)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    dealt = Stored(pairs.select("u", "v", block("u").alias("bu"), block("v").alias("bv")), "pairs")
+    needed = dealt.df.select(F.col("bu").alias("nu"), F.col("bv").alias("nv"), F.explode(F.array("u", "v")).alias("node")).distinct().join(texts, "node")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+    def run(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        text = dict(zip(map(bytes, theirs["node"]), theirs["text"]))
+        bags: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+        def bag(node: bytes) -> tuple[np.ndarray, np.ndarray]:
+            if node not in bags:
+                bags[node] = np.unique(shingles(text[node]), return_counts=True)
+            return bags[node]
 
-        def bag(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
-            node = bytes(node)
-            if node not in last:
-                if len(last) > 100:
-                    last.clear()
-                last[node] = np.unique(shingles(text), return_counts=True)
-            return last[node]
+        keep = [similarity(bag(bytes(u)), bag(bytes(v))) >= threshold for u, v in zip(ours["u"], ours["v"])]
+        return ours.loc[keep, ["u", "v"]]
 
+    found = Stored(dealt.df.groupBy("bu", "bv").cogroup(needed.groupBy("nu", "nv")).applyInPandas(run, "u binary, v binary"), "links")
+    dealt.drop()
+    return found
+
+
+def weights(texts: DataFrame) -> DataFrame:
+    """node, size (of its bag) and shared: how much of it lies in shingles that another of
+    these texts has too, a bound on what it can have in common with any of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = [similarity(bag(u, tu), bag(v, tv)) >= threshold for u, v, tu, tv in zip(pdf["u"], pdf["v"], pdf["tu"], pdf["tv"])]
-            yield pdf.loc[keep, ["u", "v"]]
+            for node, text in zip(pdf["node"], pdf["text"]):
+                bag = shingles(text)
+                h, n = np.unique(bag, return_counts=True)
+                yield pd.DataFrame({"node": [node] * len(h), "h": h.view(np.int64), "n": n, "size": len(bag)})
 
-    return both.select("u", "v", "tu", "tv").mapInPandas(run, "u binary, v binary")
+    each = texts.select("node", "text").mapInPandas(run, "node binary, h long, n long, size long")
+    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
+    return each.join(common, "h").groupBy("node").agg(F.first("size").alias("size"), F.sum("n").alias("shared"))
 
 
 def components(links: DataFrame) -> Stored:
@@ -217,29 +244,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id, class_id (the least id of the class) and class_size, a row for every input row."""
     sig = Stored(sign(docs, id_col, text_col, bands, rows), "bags")
     nodes = sig.df.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
-    keys = nodes.select("node", F.explode("bands").alias("key"))
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     centers = keys.groupBy("key").agg(F.min("node").alias("c"), F.max("node").alias("z")).where("c <> z").select("key", "c")
-    members = Stored(keys.join(centers, "key").select("key", "node", "c"), "buckets")  # only buckets of two or more
-    stars = Stored(members.df.where("node <> c").select(F.col("c").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    members = Stored(keys.join(centers, "key").select("key", "band", "node", "c"), "buckets")  # only buckets of two or more
+    stars = members.df.where("node <> c").select(F.col("c").alias("u"), F.col("node").alias("v")).distinct()
 
     reps = sig.df.join(members.df.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(id_col).alias("_rep"))
     rows_ = keyed(docs, id_col, text_col).select("node", F.col(id_col).alias("_rep"), F.col(text_col).alias("text"))
-    texts = Stored(rows_.join(reps, (rows_["node"] == reps["node"]) & rows_["_rep"].eqNullSafe(reps["_rep"]), "left_semi").select("node", "text"), "texts")
-    # a row repeated with id and text gives the same link twice, which distinct() removes
-    links = Stored(verified(stars.df, texts.df, threshold), "links")
-    comp = components(links.df)
-
-    placed = members.df.select("key", "node").join(comp.df, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("key")
-    open_ = Stored(placed.join(mixed_keys, "key", "left_semi"), "open")
-    other = open_.df.select("key", F.col("node").alias("v"), F.col("comp").alias("cv"))
-    pairs = open_.df.select("key", F.col("node").alias("u"), F.col("comp").alias("cu")).join(other, "key").where("cu < cv")
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(stars.df, ["u", "v"], "left_anti")
-    more = Stored(verified(pairs, texts.df, threshold), "links")
-    if not more.df.isEmpty():
-        comp.drop()
-        comp = components(links.df.unionAll(more.df))
-    for old in (members, stars, texts, links, open_, more):
+    texts = rows_.join(reps, (rows_["node"] == reps["node"]) & rows_["_rep"].eqNullSafe(reps["_rep"]), "left_semi")
+    texts = Stored(texts.groupBy(rows_["node"]).agg(F.first("text").alias("text")), "texts")  # repeated rows have equal texts
+    links = [verified(stars, texts.df, threshold)]
+    comp = components(links[0].df)
+
+    def opened() -> Stored:
+        """Members of buckets with several components, and whether theirs is the bucket's largest."""
+        placed = members.df.select("key", "band", "node").join(comp.df, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
+        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("c"))
+        tops = parts.groupBy("key").agg(F.max(F.struct("n", "comp", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        return Stored(placed.join(tops.select("key", "top"), "key").select("key", "band", "node", "comp", F.col("top.c").alias("c"), (F.col("comp") == F.col("top.comp")).alias("main")), "open")
+
+    def more(pairs: DataFrame) -> None:
+        nonlocal comp
+        links.append(verified(pairs, texts.df, threshold))
+        if not links[-1].df.isEmpty():
+            comp.drop()
+            comp = components(reduce(DataFrame.unionAll, [x.df for x in links]))
+
+    # a second star, from the largest component of each bucket to all others
+    open_ = opened()
+    more(open_.df.where("not main").select(F.least("c", "node").alias("u"), F.greatest("c", "node").alias("v")).distinct())
+    open_.drop()
+    # what is still apart: all pairs of a bucket that the bounds allow, each in the first band that it shares
+    open_ = opened()
+    known = Stored(weights(open_.df.select("node").distinct().join(texts.df, "node")).where(F.col("shared") >= threshold * F.col("size") - 1e-6).join(nodes, "node"), "weights")
+    able = open_.df.drop("c").join(known.df, "node")  # few rows are left, with 8 bytes a band
+    u, v = (able.select("key", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "main", "size", "shared", "bands")]) for side in "uv")
+    apart = "comp_u <> comp_v and (main_v or comp_u < comp_v)"
+    near = F.least("shared_u", "shared_v") >= threshold / (1 + threshold) * (F.col("size_u") + F.col("size_v")) - 1e-6
+    first = F.expr("not exists(slice(zip_with(bands_u, bands_v, (x, y) -> x = y), 1, band), e -> e)")
+    pairs = u.where("not main_u").join(v.drop("band"), "key").where(apart).where(near).where(first)
+    more(pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct())
+    for old in (members, texts, open_, known, *links):
         old.drop()
 
     placed = sig.df.select(id_col, "node").join(comp.df, "node", "left").select(id_col, F.coalesce("comp", "node").alias("comp"))

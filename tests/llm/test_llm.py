@@ -100,6 +100,21 @@ def test_near_duplicates_match_brute_force(docs):
     assert [got[i] for i in range(len(texts))] == group
 
 
+def test_a_group_of_near_copies_loses_no_link(docs):
+    # edits from none to a third of the words: some copies link to few others, some to none
+    r, base = random.Random(5), words(150, 77).split()
+    texts = [" ".join(f"e{i}x{j}" if r.random() < i / 1800 else w for j, w in enumerate(base)) for i in range(120)]
+    got = {x["doc_id"]: x["class_id"] for x in near_dup.near_duplicates(docs(*texts)).collect()}
+    bags = [np.unique(near_dup.shingles(t), return_counts=True) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if near_dup.similarity(bags[a], bags[b]) >= 0.8:
+                old, new = group[a], group[b]
+                group = [min(old, new) if g in (old, new) else g for g in group]
+    assert len(set(group)) > 10 and [got[i] for i in range(len(texts))] == group
+
+
 def test_signatures_are_unbiased_and_whole():
     r = np.random.default_rng(3)
     a, b = ["w%d" % x for x in r.integers(0, 60, 400)], None
