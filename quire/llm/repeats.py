@@ -9,7 +9,7 @@ the corpus; matches never cross documents.
    occurrence: (minimizer hash, hash of all bytes that its windows span). Occurrences equal in
    both (128 bits) repeat as a whole; this settles nearly everything by counting.
 2. Edges. Minimizers seen with several spans leave a small pool, one text per distinct
-   span. Pools are concatenated, in batches that keep a minimizer's spans together, and
+   span. Those that share too few bytes around the minimizer are left out. Pools are concatenated, in batches that keep a minimizer's spans together, and
    their common prefixes derived by a threshold-bounded breadth-first expansion: the
    boundaries between suffixes that differ within l + 1 bytes follow from those that differ
    within l by one backward extension on the transform. Expansion stops at ``length``: suffixes
@@ -40,7 +40,7 @@ from quire.llm.near_dup import mixed
 
 U = np.uint64
 GRAM = 40
-BATCH = 1 << 21  # bytes of one transform
+BATCH = 1 << 20  # bytes of one transform
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
 
 
@@ -65,20 +65,24 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of each string of ``gram`` bytes."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    lanes = mixed(eight * _LANES[0] + _LANES[1])
+    g = len(data) - gram + 1
+    h = lanes[:g] * _LANES[0]
+    for j in range(1, gram // 8):
+        h += lanes[8 * j : 8 * j + g] * _LANES[j]
+    return mixed(h)
+
+
 def anchors(raw: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """first and last window start, minimizer position and minimizer hash of each occurrence.
     Of equal hashes in a window the leftmost is the minimizer."""
     n = len(raw)
     if n < length:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, U),)
-    data = np.frombuffer(raw, np.uint8)
-    eight = np.ndarray((n - 7,), "<u8", data, strides=(1,))
-    lanes = mixed(eight * _LANES[0] + _LANES[1])
-    g = n - gram + 1
-    h = lanes[:g] * _LANES[0]
-    for j in range(1, gram // 8):
-        h += lanes[8 * j : 8 * j + g] * _LANES[j]
-    h = mixed(h)
+    h = gram_hashes(np.frombuffer(raw, np.uint8), gram)
     first, last, place, names = [], [], [], []
     w, piece = length - gram + 1, 1 << 23
     for a in range(0, n - length + 1, piece):  # the position fits in 24 bits
@@ -93,12 +97,14 @@ def anchors(raw: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.n
     return np.concatenate(first), np.concatenate(last), np.concatenate(place), np.concatenate(names)
 
 
-SEED = 32
+def seed_of(depth: int) -> int:
+    """The prefix at which the expansion begins: the largest power of two up to ``depth``."""
+    return 1 << (depth.bit_length() - 1)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of ``text`` by their first ``depth`` bytes at least, by doubling, which
-    sorts only what isn't parted yet; and their ranks by SEED / 2 bytes."""
+    sorts only what isn't parted yet; and their ranks by half a seed."""
     n = len(text)
     padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(U)
     key = np.zeros(n, U)
@@ -108,14 +114,14 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     ranked = key[order]
     begins = np.concatenate(([True], ranked[1:] != ranked[:-1]))
     rank = np.zeros(n, np.int64)
-    span, half = 8, rank
+    span, half, seed = 8, rank, seed_of(depth)
     while True:
         starts = np.flatnonzero(begins)
         rank = np.empty(n, np.int64)
         rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-        if span == SEED // 2:
+        if span == seed // 2:
             half = rank
-        if span >= max(depth, SEED // 2):
+        if span >= depth:
             return order, half
         alone = begins & np.append(begins[1:], True)
         slots = np.flatnonzero(~alone)
@@ -130,27 +136,27 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def parted(text: np.ndarray, order: np.ndarray, half: np.ndarray, depth: int) -> np.ndarray:
     """Where suffixes neighbouring in ``order`` differ within ``depth`` bytes, by increasing
-    common prefix. It begins with the intervals of SEED bytes; a queue holds the boundaries
+    common prefix. It begins with the intervals of a seed; a queue holds the boundaries
     with prefix l, and each is extended backward by the bytes of the transform in all
     parts of its interval but the largest."""
-    n = len(text)
+    n, seed = len(text), seed_of(depth)
     transform = text[order - 1].astype(np.int64)  # order - 1 is -1, the last byte, for the whole text
     key = transform * n + np.arange(n)
     key.sort()
     starts = np.searchsorted(key, np.arange(257) * n)
-    ranks = np.concatenate((half, -1 - np.arange(SEED)))  # past the end nothing is equal
-    same = [ranks[order[1:] + k] == ranks[order[:-1] + k] for k in (0, SEED // 2 - 1, SEED // 2)]
+    ranks = np.concatenate((half, -1 - np.arange(seed)))  # past the end nothing is equal
+    same = [ranks[order[1:] + k] == ranks[order[:-1] + k] for k in (0, seed // 2 - 1, seed // 2)]
     cut = np.ones(n + 1, bool)
     cut[1:n] = ~(same[0] & same[2])
     queue = np.flatnonzero(same[0] & same[1] & ~same[2]) + 1
-    # only what shares SEED bytes, and the boundaries beside it, is looked at from here on
+    # only what shares a seed, and the boundaries beside it, is looked at from here on
     live = np.flatnonzero(~(cut[:-1] & cut[1:]) | np.isin(np.arange(n), np.concatenate((queue, queue - 1))))
     flags = np.append(cut[live], True)
     place_of = np.zeros(n, np.int64)
     place_of[live] = np.arange(len(live))
     queue = place_of[queue]
     fresh = np.zeros(len(live) + 1, bool)
-    for _ in range(depth - SEED):
+    for _ in range(depth - seed):
         if not len(queue):
             break
         fresh[queue] = True
@@ -180,6 +186,28 @@ def parted(text: np.ndarray, order: np.ndarray, half: np.ndarray, depth: int) ->
     return cut[:n]
 
 
+def able(spans: list[bytes], names: np.ndarray, length: int, gram: int = GRAM, step: int = 20) -> np.ndarray:
+    """Which spans can share a window with another of the same minimizer. The minimizer is the
+    leftmost string of its hash in a span, and equal windows have it at the same place: with
+    a bytes before it, rounded down to ``step``, they share the length - step bytes from there."""
+    sizes = np.array([len(s) for s in spans])
+    offsets = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    h = gram_hashes(np.frombuffer(b"".join([*spans, bytes(gram)]), np.uint8), gram)
+    owner = np.repeat(np.arange(len(spans)), sizes)
+    hit = np.flatnonzero(h[: len(owner)] == names[owner])
+    place = hit[np.unique(owner[hit], return_index=True)[1]]
+    size, found = length - step, np.zeros(len(spans), bool)
+    for before in range(0, length - gram, step):
+        begin = place - before
+        some = np.flatnonzero((begin >= offsets) & (begin + size <= offsets + sizes))
+        key = np.zeros(len(some), U)
+        for at in (*range(0, size - gram, gram), size - gram):
+            key = mixed(key * _LANES[3] + h[begin[some] + at])
+        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+        found[some[times[which] > 1]] = True
+    return found
+
+
 def shared_windows(spans: list[bytes], many: np.ndarray, length: int) -> list[np.ndarray]:
     """For each span, which of its windows also starts elsewhere among the spans; ``many``
     marks spans that themselves occur more than once."""
@@ -270,6 +298,10 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, ba
         size = 0
 
         def done(held: list[tuple]) -> pd.DataFrame:
+            keep = able([bytes(h[4]) for h in held], np.array([h[5] for h in held]).view(U), length)
+            held = [h for h, k in zip(held, keep) if k]
+            if not held:
+                return pd.DataFrame({"id": [], "row": [], "first": [], "last": []})
             flags = shared_windows([bytes(h[4]) for h in held], np.array([h[3] > 1 for h in held]), length)
             rows = [(h[0], h[1], h[2] + a, h[2] + b) for h, f in zip(held, flags) if h[3] == 1 for a, b in zip(*(x.tolist() for x in _ranges(f)))]
             return pd.DataFrame(rows, columns=["id", "row", "first", "last"])
@@ -281,7 +313,7 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, ba
                     yield done(held)
                     held, size = [], 0
                 name = own
-                held.append((key, row, first, n, span))
+                held.append((key, row, first, n, span, own))
                 size += len(span) + 1
         if held:
             yield done(held)

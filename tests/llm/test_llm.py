@@ -158,6 +158,22 @@ def test_expansion_finds_all_shared_windows(spans):
     assert [f.tolist() for f in repeats.shared_windows(spans, np.zeros(len(spans), bool), length)] == want
 
 
+def test_only_spans_without_shared_windows_are_left_out():
+    r = np.random.default_rng(8)
+    base = r.integers(97, 123, 900).astype(np.uint8).tobytes()
+    texts = [r.integers(97, 123, int(r.integers(0, 90))).astype(np.uint8).tobytes() + base[a : a + n] + b"-" * int(r.integers(0, 60)) for a, n in zip(r.integers(0, 500, 60), r.integers(120, 400, 60))]
+    spans, names = [], []
+    for t in texts:
+        for first, last, _, name in zip(*repeats.anchors(t, 200)):
+            if t[first : last + 200] not in spans:
+                spans.append(t[first : last + 200])
+                names.append(name)
+    seen = Counter((n, s[i : i + 200]) for s, n in zip(spans, names) for i in range(len(s) - 199))
+    want = np.array([any(seen[n, s[i : i + 200]] > 1 for i in range(len(s) - 199)) for s, n in zip(spans, names)])
+    kept = repeats.able(spans, np.array(names), 200)
+    assert 0 < want.sum() < len(want) and kept[want].all() and not kept.all()
+
+
 def test_packing_round_trip(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
