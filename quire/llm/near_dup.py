@@ -19,8 +19,8 @@ times in a million. Equal texts are one node. Links are verified with exact bags
 2. Where a bucket still holds several components, one member of its largest meets all of the others.
 3. Of what is still apart, each text gets the weight of its shingles that others there have too.
    Below the threshold's share of its own weight it can have no link (exact, not a guess).
-4. Pairs of different components of a bucket meet where both weights allow the threshold, each in the
-   first band that they share; members of the bucket's largest component never meet each other.
+4. Pairs of different components of a bucket meet where both weights and the parities of their shingles'
+   counts in 1024 buckets allow the threshold (exact bounds both), each in the first band that they share; members of the bucket's largest component never meet each other.
 
 No candidate is capped. Step 4 can grow faster than a bucket where many texts lie just under the threshold.
 
@@ -223,6 +223,18 @@ def weights(texts: DataFrame) -> DataFrame:
     return each.join(common, "h").groupBy("node").agg(F.first("size").alias("size"), F.sum("n").alias("shared"))
 
 
+def parities(texts: DataFrame, longs: int = 16) -> DataFrame:
+    """node and, for each of 64 * ``longs`` buckets of shingles, the parity of the bag's count.
+    Each bucket with unequal parities holds a difference of two bags."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            odd = [np.bincount((shingles(t) % U(64 * longs)).astype(np.int64), minlength=64 * longs).astype(np.uint8) & 1 for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "odd": [np.packbits(b).view(np.int64) for b in odd]})
+
+    return texts.select("node", "text").mapInPandas(run, "node binary, odd array<long>")
+
+
 def components(links: DataFrame) -> Stored:
     """(node, comp) of every node with a link. Each turn moves every node to the least of
     itself and its neighbours and contracts the links, until none is left."""
@@ -276,13 +288,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_.drop()
     # what is still apart: all pairs of a bucket that the bounds allow, each in the first band that it shares
     open_ = opened()
-    known = Stored(weights(open_.df.select("node").distinct().join(texts.df, "node")).where(F.col("shared") >= threshold * F.col("size") - 1e-6).join(nodes, "node"), "weights")
+    alone = open_.df.select("node").distinct().join(texts.df, "node")
+    known = Stored(weights(alone).where(F.col("shared") >= threshold * F.col("size") - 1e-6).join(nodes, "node").join(parities(alone), "node"), "weights")
     able = open_.df.drop("c").join(known.df, "node")  # few rows are left, with 8 bytes a band
-    u, v = (able.select("key", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "main", "size", "shared", "bands")]) for side in "uv")
+    u, v = (able.select("key", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "main", "size", "shared", "bands", "odd")]) for side in "uv")
     apart = "comp_u <> comp_v and (main_v or comp_u < comp_v)"
     near = F.least("shared_u", "shared_v") >= threshold / (1 + threshold) * (F.col("size_u") + F.col("size_v")) - 1e-6
+    # a bound on the difference of two bags: that of a pair at the threshold is (1 - t) / (1 + t) of their sizes at most
+    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.get("odd_u", F.lit(i)).bitwiseXOR(F.get("odd_v", F.lit(i)))) for i in range(16)])
+    like = unlike <= (1 - threshold) / (1 + threshold) * (F.col("size_u") + F.col("size_v")) + 1e-6
     first = F.expr("not exists(slice(zip_with(bands_u, bands_v, (x, y) -> x = y), 1, band), e -> e)")
-    pairs = u.where("not main_u").join(v.drop("band"), "key").where(apart).where(near).where(first)
+    pairs = u.where("not main_u").join(v.drop("band"), "key").where(apart).where(near).where(like).where(first)
     more(pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct())
     for old in (members, texts, open_, known, *links):
         old.drop()
