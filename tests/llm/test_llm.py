@@ -270,6 +270,22 @@ def test_mixing_reaches_targets(docs, spark):
     assert mixing.mix(df.limit(0), labels).count() == 0
 
 
+def test_mixing_meets_each_target_of_overlapping_domains(spark):
+    r = np.random.default_rng(4)
+    p = np.concatenate([r.dirichlet((6, 1, 1), 600), r.dirichlet((1, 3, 1), 150), r.dirichlet((4, 0.5, 2), 60)])
+    soft = spark.createDataFrame([(int(n), [float(y) for y in x]) for n, x in zip(r.integers(20, 2000, len(p)), p)], "n_tokens long, p array<double>")
+    g, targets, reached = mixing.solve(soft, [0.9, 0.07, 0.03])
+    assert np.allclose(np.array(targets) / sum(targets), [0.9, 0.07, 0.03]) and np.allclose(reached, targets, rtol=1e-4)
+    sums = soft.agg(*[F.sum(mixing.rate_of(F.col("p"), g) * F.col("n_tokens") * F.col("p")[i]) for i in range(3)]).first()
+    assert np.allclose(list(sums), targets, rtol=1e-4)
+
+
+def test_mixing_tells_of_targets_out_of_reach(docs, spark):
+    labels = spark.createDataFrame([(0, "clean"), (1, "toxic")], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="doesn't meet its targets"):
+        mixing.mix(docs("a b", "a b"), labels, {"clean": 0.9, "toxic": 0.1})
+
+
 def test_licenses_inherit_from_nearest(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", "code"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "a/y.txt", "code\n# Licensed under CC BY-NC 4.0.\n" + words(80, 1)), (5, "z/x.txt", None), (6, None, "code"), (7, "top.txt", ""), (8, "a/w.txt", "a licensed plumber"), (8, "a/w.txt", "a licensed plumber")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
