@@ -84,10 +84,11 @@ def rate_of(p: Column, g: list[float]) -> Column:
     return F.least(F.lit(MOST), F.greatest(F.lit(0.0), 1.0 - reduce(lambda x, y: x + y, [p[i] * x for i, x in enumerate(g)])))
 
 
-def solve(soft: DataFrame, shares: list[float], iterations: int = 40, within: float = 1e-4) -> tuple[list[float], list[float], list[float]]:
+def solve(soft: DataFrame, shares: list[float], iterations: int = 40, within: float = 1e-4, repeat: float | None = None) -> tuple[list[float], list[float], list[float]]:
     """Multipliers, targets and reached totals, each within a share of its own target unless
     that can't be had. ``soft`` has n_tokens and p. The sum of targets is the largest for which
-    no domain must be repeated."""
+    no domain must be repeated. With ``repeat``, the domain of the largest share keeps all that it has and
+    the others follow it by their shares, up to ``repeat`` times what they have."""
     k = len(shares)
     n, p, pairs = F.col("n_tokens"), F.col("p"), [(i, j) for i in range(k) for j in range(i, k)]
     mass = np.array([x or 0.0 for x in soft.agg(*[F.sum(n * p[i]) for i in range(k)]).first()])
@@ -95,6 +96,9 @@ def solve(soft: DataFrame, shares: list[float], iterations: int = 40, within: fl
     scale = sum(shares[i] for i in live)
     budget = min((mass[i] * scale / shares[i] for i in live), default=0.0)
     targets = np.array([budget * shares[i] / scale if i in live else 0.0 for i in range(k)])
+    if repeat is not None and live:
+        main = max(live, key=lambda i: shares[i])
+        targets = np.array([min(mass[main] * shares[i] / shares[main], repeat * mass[i]) if i in live else 0.0 for i in range(k)])
 
     def at(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Reached totals, the sums of n * p_i * p_j over rates between the limits, and the dual value."""
@@ -129,18 +133,20 @@ def missed(targets, reached) -> float:
     return max((abs(r - t) / (t or max(sum(targets), 1.0)) for t, r in zip(targets, reached)), default=0.0)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 4000, iterations: int = 40) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 4000, iterations: int = 40, repeat: float | None = None) -> DataFrame:
     """id, n_tokens, p_<domain>, rate, and copies: the rate rounded down or up by a hash of
-    the id, so that the expected number of copies is the rate. labels: doc_id, domain."""
+    the id, so that the expected number of copies is the rate. labels: doc_id, domain. With
+    ``repeat`` (see solve) a document wholly of the domain with the largest share has rate 1."""
     targets = targets or TARGETS
     domains = list(targets)
     docs = with_clear_names(docs, id_col, text_col)
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     priors, weights = fit(known, labels.select("doc_id", "domain"), domains, max_labelled)
     soft = materialise(posteriors(docs, id_col, text_col, priors, weights), "mix")
-    g, wanted, reached = solve(soft, [targets[d] for d in domains], iterations)
+    g, wanted, reached = solve(soft, [targets[d] for d in domains], iterations, repeat=repeat)
     if missed(wanted, reached) > 1e-4:
         warnings.warn("mixing doesn't meet its targets: " + ", ".join(f"{d} {r:.0f} of {t:.0f} tokens" for d, t, r in zip(domains, wanted, reached)), stacklevel=2)
-    out = soft.withColumn("rate", rate_of(F.col("p"), g))
+    main = g[max(range(len(domains)), key=lambda i: targets[domains[i]] if wanted[i] else 0.0)]
+    out = soft.withColumn("rate", rate_of(F.col("p"), g) / (1 - main if repeat is not None and main < 1 else 1.0))
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return out.select(id_col, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", F.floor(F.col("rate") + unit).cast("int").alias("copies"))

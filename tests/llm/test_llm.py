@@ -286,6 +286,15 @@ def test_mixing_tells_of_targets_out_of_reach(docs, spark):
         mixing.mix(docs("a b", "a b"), labels, {"clean": 0.9, "toxic": 0.1})
 
 
+def test_mixing_stage_keeps_clean_documents_where_others_are_scarce(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    texts = [words(100, i) + (" foul nasty" * 50 if i < 1 else "") for i in range(200)]
+    spark.createDataFrame([(i, 1, int(i < 1)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    taken = Counter(r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs(*texts), str(tmp_path)).collect())
+    assert sum(i in taken for i in range(1, 200)) >= 197 and 2 <= taken[0] <= 5  # 3 % of the tokens, of which there is 1 %
+
+
 def test_licenses_inherit_from_nearest(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", "code"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "a/y.txt", "code\n# Licensed under CC BY-NC 4.0.\n" + words(80, 1)), (5, "z/x.txt", None), (6, None, "code"), (7, "top.txt", ""), (8, "a/w.txt", "a licensed plumber"), (8, "a/w.txt", "a licensed plumber")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
