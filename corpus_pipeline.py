@@ -7,8 +7,8 @@ read again as the next one's ``docs``. All but the last return the columns of ``
 - near_duplicates: of each class the document with the least id stays (all rows of an equal id
   and text but one go with it).
 - repeats: bytes that repeat elsewhere are cut; documents stay, if need be empty, and n_chars follows.
-- mixing: each document is taken as often as its rate says, rounded by a hash of its id. Clean
-  documents set the size; scarce domains are repeated, up to REPEAT times what there is of them.
+- mixing: each document is taken as often as its rate says, rounded by a hash of its id (of its text where the id is
+  null). Clean documents set the size; scarce domains are repeated, up to REPEAT times what there is of them.
 - packing: a row for each piece.
 """
 
@@ -48,9 +48,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", label_domain().alias("domain"))
-    taken = mix(docs, labels, repeat=REPEAT).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    several = docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return several.select(*COLUMNS)
+    return mix(docs, labels, repeat=REPEAT, carry=COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), "")
 
 
+def hashes(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("_a"), F.xxhash64(F.lit(1), text).alias("_b")]
+
+
 def _exploded(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode("_words").alias("_word")).select(*keys, F.pmod(F.xxhash64("_word"), F.lit(BUCKETS)).cast("int").alias("bucket"))
 
@@ -63,20 +67,20 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_labelled: in
 
 
 def posteriors(docs: DataFrame, id_col: str, text_col: str, priors: list[float], weights: DataFrame) -> DataFrame:
-    """id, n_tokens and p, the posterior array. The summed log likelihoods are divided by
+    """id, hashes of the text, n_tokens and p, the posterior array. The summed log likelihoods are divided by
     the square root of the length, as words aren't independent."""
     k = len(priors)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), words_of(F.col(text_col)).alias("_words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), *hashes(F.col(text_col)), words_of(F.col(text_col)).alias("_words"))
     n = F.size("_words").cast("long")
     # an outer explode keeps documents without words; the aggregation is by the reading task's own row id
-    words = rows.select("_row", id_col, n.alias("n_tokens"), F.explode_outer("_words").alias("_word")).withColumn("bucket", F.pmod(F.xxhash64("_word"), F.lit(BUCKETS)).cast("int"))
+    words = rows.select("_row", id_col, "_a", "_b", n.alias("n_tokens"), F.explode_outer("_words").alias("_word")).withColumn("bucket", F.pmod(F.xxhash64("_word"), F.lit(BUCKETS)).cast("int"))
     flat = weights.select("bucket", *[F.col("w")[i].alias(f"w{i}") for i in range(k)])
     seen = words.join(F.broadcast(flat), "bucket", "left")  # at most BUCKETS rows
-    got = seen.groupBy("_row").agg(F.first(id_col).alias(id_col), F.first("n_tokens").alias("n_tokens"), *[F.sum(F.when(F.col("_word").isNotNull(), F.coalesce(f"w{i}", F.lit(-14.0)))).alias(f"l{i}") for i in range(k)])
+    got = seen.groupBy("_row").agg(F.first(id_col).alias(id_col), F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.first("n_tokens").alias("n_tokens"), *[F.sum(F.when(F.col("_word").isNotNull(), F.coalesce(f"w{i}", F.lit(-14.0)))).alias(f"l{i}") for i in range(k)])
     score = [F.coalesce(F.col(f"l{i}"), F.lit(0.0)) / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1))) + F.lit(priors[i]) for i in range(k)]
     top = F.greatest(*score) if k > 1 else score[0]
-    got = got.select(id_col, "n_tokens", F.array(*[F.exp(s - top) for s in score]).alias("e"))
-    return got.select(id_col, "n_tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    got = got.select(id_col, "_a", "_b", "n_tokens", F.array(*[F.exp(s - top) for s in score]).alias("e"))
+    return got.select(id_col, "_a", "_b", "n_tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
 def rate_of(p: Column, g: list[float]) -> Column:
@@ -133,12 +137,14 @@ def missed(targets, reached) -> float:
     return max((abs(r - t) / (t or max(sum(targets), 1.0)) for t, r in zip(targets, reached)), default=0.0)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 4000, iterations: int = 40, repeat: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 4000, iterations: int = 40, repeat: float | None = None, carry: list[str] | None = None) -> DataFrame:
     """id, n_tokens, p_<domain>, rate, and copies: the rate rounded down or up by a hash of
     the id, so that the expected number of copies is the rate. labels: doc_id, domain. With
-    ``repeat`` (see solve) a document wholly of the domain with the largest share has rate 1."""
+    ``repeat`` (see solve) a document wholly of the domain with the largest share has rate 1.
+    With ``carry`` (which may include id and text) the result is these columns, a row for each copy."""
     targets = targets or TARGETS
     domains = list(targets)
+    every = docs
     docs = with_clear_names(docs, id_col, text_col)
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     priors, weights = fit(known, labels.select("doc_id", "domain"), domains, max_labelled)
@@ -148,5 +154,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         warnings.warn("mixing doesn't meet its targets: " + ", ".join(f"{d} {r:.0f} of {t:.0f} tokens" for d, t, r in zip(domains, wanted, reached)), stacklevel=2)
     main = g[max(range(len(domains)), key=lambda i: targets[domains[i]] if wanted[i] else 0.0)]
     out = soft.withColumn("rate", rate_of(F.col("p"), g) / (1 - main if repeat is not None and main < 1 else 1.0))
-    unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return out.select(id_col, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", F.floor(F.col("rate") + unit).cast("int").alias("copies"))
+    own = F.when(F.col(id_col).isNull(), F.col("_a"))  # null ids are told apart by their texts
+    unit = F.pmod(F.xxhash64(F.col(id_col), own, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
+    out = out.withColumn("copies", F.floor(F.col("rate") + unit).cast("int"))
+    if carry is None:
+        return out.select(id_col, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
+    # equal rows have equal copies, so rows are found again by id and text
+    taken = out.where("copies > 0").groupBy(F.col(id_col).alias("_id"), "_a", "_b").agg(F.max("copies").alias("_copies")).withColumnsRenamed({"_a": "_a2", "_b": "_b2"})
+    rows = every.select(*[F.col(f"`{c}`") for c in carry], F.col(id_col).alias("_own"), *hashes(F.col(text_col)))
+    several = rows.join(taken, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2")))
+    return several.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in carry])

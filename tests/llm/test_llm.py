@@ -295,6 +295,17 @@ def test_mixing_stage_keeps_clean_documents_where_others_are_scarce(spark, docs,
     assert sum(i in taken for i in range(1, 200)) >= 197 and 2 <= taken[0] <= 5  # 3 % of the tokens, of which there is 1 %
 
 
+def test_mixing_stage_keeps_null_ids(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    texts = [words(100, i) for i in range(40)]
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = docs(*texts, texts[0], None, texts[30], ids=[*range(20), *[None] * 20, 0, None, None])
+    out = corpus_pipeline.mixing_stage(spark, df, str(tmp_path))
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
 def test_licenses_inherit_from_nearest(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", "code"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "a/y.txt", "code\n# Licensed under CC BY-NC 4.0.\n" + words(80, 1)), (5, "z/x.txt", None), (6, None, "code"), (7, "top.txt", ""), (8, "a/w.txt", "a licensed plumber"), (8, "a/w.txt", "a licensed plumber")]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
