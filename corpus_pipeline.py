@@ -4,8 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 read again as the next one's ``docs``. All but the last return the columns of ``documents``.
 
 - quality: documents that the classifier scores under the threshold go.
-- near_duplicates: of each class the document with the least id stays (all rows of an equal id
-  and text but one go with it).
+- near_duplicates: of each class one row stays, of the least id (one without an id only where all are).
 - repeats: bytes that repeat elsewhere are cut; documents stay, if need be empty, and n_chars follows.
 - mixing: each document is taken as often as its rate says, rounded by a hash of its id (of its text where the id is
   null). Clean documents set the size; scarce domains are repeated, up to REPEAT times what there is of them.
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import materialise, table
 from quire.llm.mixing import label_domain, mix
-from quire.llm.near_dup import near_duplicates
+from quire.llm.near_dup import one_of_each
 from quire.llm.packing import pack_documents
 from quire.llm.quality_mil import quality
 from quire.llm.repeats import remove_repeats
@@ -35,10 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near_duplicates(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    # a null id isn't joined: such a row stays
-    return docs.where("doc_id is null").unionByName(docs.join(kept, "doc_id", "left_semi")).select(*COLUMNS)
+    return one_of_each(docs, COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

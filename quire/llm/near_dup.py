@@ -37,7 +37,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Stored, with_clear_names
@@ -177,8 +177,12 @@ def sign(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
     return keyed(docs, id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, node binary, bands array<long>")
 
 
+def node_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return with_clear_names(docs, id_col, text_col).withColumn("node", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    return with_clear_names(docs, id_col, text_col).withColumn("node", node_of(F.col(text_col)))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float, per_block: int = 512) -> Stored:
@@ -252,8 +256,8 @@ def components(links: DataFrame) -> Stored:
     return comp
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
-    """id, class_id (the least id of the class) and class_size, a row for every input row."""
+def placed(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
+    """id, node and comp (the class), a row for every input row."""
     sig = Stored(sign(docs, id_col, text_col, bands, rows), "bags")
     nodes = sig.df.where(F.size("bands") > 0).groupBy("node").agg(F.first("bands").alias("bands"))
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -303,6 +307,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for old in (members, texts, open_, known, *links):
         old.drop()
 
-    placed = sig.df.select(id_col, "node").join(comp.df, "node", "left").select(id_col, F.coalesce("comp", "node").alias("comp"))
-    classes = placed.groupBy("comp").agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(classes, "comp").select(id_col, "class_id", "class_size")
+    return sig.df.select(id_col, "node").join(comp.df, "node", "left").select(id_col, "node", F.coalesce("comp", "node").alias("comp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
+    """id, class_id (the least id of the class) and class_size, a row for every input row."""
+    own = placed(docs, id_col, text_col, threshold, bands, rows)
+    classes = own.groupBy("comp").agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return own.join(classes, "comp").select(id_col, "class_id", "class_size")
+
+
+def one_of_each(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
+    """The columns (among them id and text) of one row of each class: of the least id, null ids last, and of
+    rows equal in id and text the least."""
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("_id"), F.col("node").alias("_node"))).alias("x")
+    kept = placed(docs, id_col, text_col, threshold, bands, rows).groupBy("comp").agg(first).select("x._id", "x._node")
+    own = with_clear_names(docs, *columns).withColumn("node", node_of(F.col(text_col)))
+    own = own.join(kept, (F.col("node") == F.col("_node")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return own.groupBy("node").agg(F.min(F.struct(*columns)).alias("x")).select("x.*")

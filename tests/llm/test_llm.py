@@ -323,3 +323,15 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         assert out.columns == corpus_pipeline.COLUMNS
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
     assert kept == set(range(12)) | {13}
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_class(spark, docs):
+    import corpus_pipeline
+
+    a, b, c, d = (words(150, i) for i in range(70, 74))
+    # a row ingested twice; two texts under one id, one of them a copy; copies without an id; a class of null ids only
+    df = docs(a, a, b, b + " tail", c, a, d, d, ids=[1, 1, 2, 3, 3, None, None, None])
+    out = corpus_pipeline.near_duplicate_stage(spark, df, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (None, d)], key=str)
+    cut = corpus_pipeline.repeats_stage(spark, out, "").collect()
+    assert {r["text"] for r in cut} == {a, b, c, d}
