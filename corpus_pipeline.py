@@ -48,7 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("repeats", repeats_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

@@ -41,28 +41,29 @@ def _byte_of() -> dict[str, int]:
 class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit integers: the vocabulary of a
     byte-level tokenizers file, whose ids are its merge order, run by tiktoken, which takes a
-    fifth of the time for the same ids (a test compares them)."""
+    fifth of the time for the same ids (tests compare them). With ``added``, added tokens in a text
+    get their own ids; without, they are split like any other text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
         from tokenizers import Tokenizer
 
         byte_of, tokenizer = _byte_of(), Tokenizer.from_file(path)
-        special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in tokenizer.get_vocab().items() if token not in special}
-        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        return np.array(self.encoding.encode(text, allowed_special="all", disallowed_special=()), "<u4").tobytes()
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32 (and ids, on request) of each piece."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder(tokenizer, added)
         for pdf in batches:
             rows = []
             for key, text in zip(pdf[id_col], pdf[text_col]):
@@ -170,6 +171,6 @@ def pack(items: DataFrame, capacity: int = 1024, per_partition: int = 50_000, ro
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset (and ids, on request)."""
-    return pack(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), capacity)
+    return pack(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids, added), capacity)

@@ -58,7 +58,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), added=True)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

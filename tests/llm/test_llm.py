@@ -197,6 +197,18 @@ def test_packing_round_trip(docs):
     assert packing.lower_bound(counts, 64) <= len(bins) <= packing.lower_bound(counts, 64) + 1
 
 
+def test_packing_gives_added_tokens_their_ids(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    t = Tokenizer.from_file(path)
+    texts = ["a<|endoftext|> x", "<|endoftext|><|endoftext|>", " <|endoftext|>\n<|endoftext|", words(80, 3) + "<|endoftext|>" + words(80, 4)]
+    rows = packing.pack_documents(docs(*texts), path, with_ids=True, added=True).collect()
+    got = {r["doc_id"]: list(r["ids"]) for r in rows}
+    assert got[0] == [64, 50256, 2124, 2] and got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=7))
 def test_bounds_hold(sizes):
