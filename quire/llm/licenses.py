@@ -1,10 +1,14 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of a whole text that holds a marker word is compared with the notice templates,
-and a text with markers also as a whole: sparse TF-IDF vectors over word tokens, the
-inverse document frequency taken over the templates, tokens outside them at the highest
-weight. The best line at ``line_at`` or more is the file's own license (``header``); a whole text
-at ``file_at`` or more is a license file (``file``) and speaks for its directory.
+Templates are short notices, headers of several lines and titles, and the full texts in
+``license_texts``. A text with a marker word is compared with all of them as a whole. Besides,
+every run of its lines and sentences that holds a marker and is about as long as a template is
+compared with that one, full texts up to ``SHORT`` words included. Vectors are sparse TF-IDF
+over word tokens, the inverse document frequency taken over the templates of a kind, tokens outside
+them at the highest weight. A template is left out where the words around a marker can't reach the
+threshold, which is an exact bound. The best run at ``line_at`` or more is the file's own license
+(``header``; a reservation of all rights only where nothing else is found); a whole text at
+``file_at`` or more is a license file (``file``) and speaks for its directory.
 A file without a license of its own takes that of the nearest ancestor directory with a
 license file (``inherited``). Directories are joined by path: distinct directories are
 expanded to their ancestors, so the join's size follows directories, not files.
@@ -19,8 +23,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from importlib.resources import files as resources
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,6 +49,40 @@ TEMPLATES = {
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
     "public-domain": ["This work is released into the public domain.", "Licensed under CC0 1.0 Universal."],
 }
+_GNU = (
+    "This {it} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, {version}, or (at your option) any later version.",
+    " This {it} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.",
+    " You should have received a copy of the GNU {name} along with this {it}. If not, see <https://www.gnu.org/licenses/>.",
+)
+
+
+def _gnu(name: str, version: str, it: str = "program") -> list[str]:
+    """The whole header, and its first paragraph alone."""
+    return [text.format(it=it, colon=":", name=name, version=version) for text in ("".join(_GNU), _GNU[0])]
+
+
+# fixed values: the standard headers and titles
+HEADERS = {
+    "AGPL-3.0": [*_gnu("Affero General Public License", "either version 3 of the License"), "GNU Affero General Public License Version 3, 19 November 2007"],
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "Apache License Version 2.0, January 2004",
+        "Apache License, Version 2.0",
+    ],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "BSD 3-Clause License"],
+    "GPL-2.0": [*_gnu("General Public License", "either version 2 of the License"), "GNU General Public License Version 2, June 1991"],
+    "GPL-3.0": [*_gnu("General Public License", "either version 3 of the License"), "GNU General Public License Version 3, 29 June 2007"],
+    "LGPL-2.1": [*_gnu("Lesser General Public License", "either version 2.1 of the License", "library"), "GNU Lesser General Public License Version 2.1, February 1999"],
+    "LGPL-3.0": [*_gnu("Lesser General Public License", "either version 3 of the License"), *_gnu("Lesser General Public License", "either version 3 of the License", "library"), "GNU Lesser General Public License Version 3, 29 June 2007"],
+    "MIT": ["The MIT License (MIT)", "This source code is licensed under the MIT license found in the LICENSE file in the root directory of this source tree."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"],
+}
+SHORT = 300  # words of a full text that may also stand above code
+RESERVED = "proprietary"
+_SEGMENT = re.compile(r"\n|(?<=[.;])[ \t]+(?=[A-Z(])")
 _TOKEN = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
@@ -75,21 +115,62 @@ class Matcher:
                 found, score = name, s
         return found, score
 
+
+class Scanner:
+    def __init__(self):
+        texts = {f.name.removesuffix(".txt"): [f.read_text()] for f in resources("quire.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+        self.kinds = [Matcher(), Matcher(HEADERS), Matcher(texts)]
+        self.runs = [(m, name, v, len(ws)) for m in self.kinds for (name, v), (_, ws) in zip(m.vectors, m.notices) if len(ws) <= SHORT]
+
+    def runs_of(self, text: str, at_least: float) -> Iterator[tuple[str, float]]:
+        """License and score of the runs that reach the threshold."""
+        segments, marked = [], []
+        for part in _SEGMENT.split(text):
+            low = part.lower()
+            if own := tokens(low):
+                if any(m in low for m in MARKERS):
+                    marked.append(len(segments))
+                segments.append(own)
+        ends = [0]
+        for own in segments:
+            ends.append(ends[-1] + len(own))
+        seen = set()
+        for m in marked:
+            first = bisect_left(ends, ends[m] - 2 * SHORT)
+            around = {w for own in segments[first : bisect_left(ends, ends[m + 1] + 2 * SHORT) + 1] for w in own}
+            for k, (matcher, name, vector, length) in enumerate(self.runs):
+                # what the words around can reach at most
+                if sum(x * x for w, x in vector.items() if w in around) < (at_least - 1e-9) ** 2:
+                    continue
+                for s in range(m, -1, -1):
+                    if s < m and ends[m + 1] - ends[s] > 1.5 * length:
+                        break
+                    e = bisect_left(ends, ends[s] + length)
+                    for e in {min(max(e + d, m + 1), len(segments)) for d in (-1, 0)}:
+                        if (k, s, e) not in seen:
+                            seen.add((k, s, e))
+                            v = matcher.vector(Counter(w for own in segments[s:e] for w in own))
+                            score = sum(x * v[w] for w, x in vector.items() if w in v)
+                            if score >= at_least:
+                                yield name, score
+
     def scan(self, text: str | None, line_at: float, file_at: float) -> tuple[str | None, float, bool]:
         """license, score, and whether the whole text is a license file."""
         low = (text or "").lower()
         if not any(m in low for m in MARKERS):
             return None, 0.0, False
-        whole = self.best(Counter(tokens(low)))
-        if whole[1] >= file_at:
-            return whole[0], whole[1], True
-        name, score = None, 0.0
-        for line in low.split("\n"):
-            if any(m in line for m in MARKERS):
-                got = self.best(Counter(tokens(line)))
-                if got[1] > score + 1e-12:
-                    name, score = got
-        return (name, score, False) if score >= line_at else (None, score, False)
+        counts, found = Counter(tokens(low)), (None, 0.0)
+        for matcher in self.kinds:
+            got = matcher.best(counts)
+            found = got if got[1] > found[1] + 1e-12 else found
+        if found[1] >= file_at:
+            return *found, True
+        lines = [self.kinds[0].best(Counter(tokens(x))) for x in low.split("\n") if any(m in x for m in MARKERS)]
+        runs = [*self.runs_of(text, line_at), *[x for x in lines if x[1] >= line_at]]
+        if not runs:
+            return None, max((x[1] for x in lines), default=0.0), False
+        name, score = min(runs, key=lambda r: (r[0] == RESERVED, -round(r[1], 12), r[0]))
+        return name, score, False
 
 
 def scan(files: DataFrame, id_col: str, path: Column, text_col: str, line_at: float = 0.8, file_at: float = 0.8) -> DataFrame:
@@ -98,9 +179,9 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str, line_at: fl
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher()
+        scanner = Scanner()
         for pdf in batches:
-            got = [matcher.scan(t, line_at, file_at) for t in pdf["text"]]
+            got = [scanner.scan(t, line_at, file_at) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "path": pdf["path"], "own": [g[0] for g in got], "score": [g[1] for g in got], "is_file": [g[2] for g in got]})
 
     return rows.mapInPandas(run, f"id {kind}, path string, own string, score double, is_file boolean")

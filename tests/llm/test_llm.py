@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -325,6 +326,29 @@ def test_licenses_inherit_from_nearest(spark):
     assert got == [(1, "MIT", "file", None), (2, "Apache-2.0", "inherited", "a/b"), (3, "Apache-2.0", "file", None), (4, "CC-BY-NC-4.0", "header", None), (5, None, None, None), (6, None, None, None), (7, None, None, None), (8, "MIT", "inherited", "a"), (8, "MIT", "inherited", "a")]
 
 
+def test_license_texts_and_headers_of_several_lines(spark):
+    full = {f.stem: f.read_text() for f in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    scanner = licenses.Scanner()
+    for name, text in full.items():
+        assert scanner.scan(text.replace("year, holder", "2020, Jane Doe"), 0.8, 0.8)[::2] == (name, True), name
+    code = "\n" + words(200, 5).replace(" ", "\n") + "\n"
+    wrapped = lambda text, mark="# ": "".join(mark + " ".join(text.split()[i : i + 9]) + "\n" for i in range(0, len(text.split()), 9))
+    for name, texts in licenses.HEADERS.items():
+        for text in texts:
+            assert scanner.scan("# Copyright 2020 Jane Doe\n#\n" + wrapped(text) + code, 0.8, 0.8)[::2] == (name, False), text
+    for text, name in [
+        (wrapped(full["MIT"], " * ") + code, "MIT"),
+        ("Copyright 2020 Jane Doe. Licensed under the MIT License." + code, "MIT"),
+        ("// Copyright 2015 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n" + code, "BSD-3-Clause"),
+        ("a license to\ndrive " + code, None),
+        ("The licensed plumber has no copyright. All of the rest is prose." + code, None),
+    ]:
+        assert scanner.scan(text, 0.8, 0.8)[::2] == (name, False), text[:80]
+    rows = [(1, "a/LICENSE", full["MIT"]), (2, "a/b/x.txt", "code")]
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).orderBy("doc_id").collect()
+    assert [(r["license"], r["origin"], r["license_dir"]) for r in got] == [("MIT", "file", None), ("MIT", "inherited", "a")]
+
+
 def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     import corpus_pipeline
 
