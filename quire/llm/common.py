@@ -11,7 +11,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,33 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
+HOT = 1000
+
+
+def _hot(counted: DataFrame, weight: str) -> Column | None:
+    """Whether a row's weight is over a thousandth of all: true of fewer than a thousand rows."""
+    total = counted.agg(F.sum(weight)).first()[0]
+    return None if total is None else F.col(weight) * HOT > total
+
+
+def hot_keys(counted: DataFrame, weight: str) -> list:
+    """The first column of the hot rows, fewer than ``HOT``."""
+    hot = _hot(counted, weight)
+    return [] if hot is None else [r[0] for r in counted.where(hot).collect()]
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """left joined with right by ``keys``, which are unique in right; ``weight`` counts their
+    rows in left. Hot keys meet a broadcast of fewer than ``HOT`` rows and so stay where they
+    are; the others are shuffled. Both are read twice, so they are best stored."""
+    hot = _hot(right, weight)
+    if hot is None:
+        return left.join(right, keys)
+    often = right.where(hot)
+    rest = left.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(right.where(~hot), keys)
+    return left.join(F.broadcast(often), keys).unionByName(rest)
+
+
 def with_clear_names(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; whatever else the input carries can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
@@ -88,6 +115,6 @@ def sampled(ids: DataFrame, key: str, at_most: int) -> DataFrame:
     return ids.where(F.pmod(F.xxhash64(F.col(key), F.lit(77)), F.lit(1 << 40)) < share)
 
 
-def doubles(values) -> "F.Column":
+def doubles(values) -> Column:
     """A constant array<double>, folded by Catalyst."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")

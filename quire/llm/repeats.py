@@ -6,8 +6,9 @@ the corpus; matches never cross documents.
 1. Anchors. Every window of ``length`` bytes has a minimizer, its least ``GRAM``-byte string by
    a hash. Equal windows have equal minimizers at the same place, so only windows with
    the same minimizer need be compared. Consecutive windows with one minimizer are one
-   occurrence: (minimizer hash, hash of all bytes that its windows span). Occurrences equal in
-   both (128 bits) repeat as a whole; this settles nearly everything by counting.
+   occurrence: (minimizer hash, hash of all bytes that its windows span). Names are counted
+   first; occurrences of a name seen once are dropped where they are made. Occurrences
+   equal in both hashes (128 bits) repeat as a whole; this settles nearly everything by counting.
 2. Edges. Minimizers seen with several spans leave a small pool, one text per distinct
    span. Those that share too few bytes around the minimizer are left out. Pools are concatenated, in batches that keep a minimizer's spans together, and
    their common prefixes derived by a threshold-bounded breadth-first expansion: the
@@ -17,8 +18,10 @@ the corpus; matches never cross documents.
 3. A minimizer with more than ``batch_spans`` spans (a very common line) isn't gathered: its
    windows are counted by their 128-bit hashes, which is exact and has no group in one task.
 
-All counts are aggregations with map-side combination, so a passage in a third of all
-documents is no hot group. Texts move twice, keyed by document.
+All counts are aggregations with map-side combination. In the joins back, keys that hold over
+a thousandth of the rows (fewer than a thousand keys) are dealt over parts or meet a
+broadcast, so a passage in a third of all documents is in no one task. Texts move twice, keyed
+by document.
 
 Cases: a null text is empty. Texts under ``length`` bytes stay. Repeated rows are documents of
 their own and so repeat each other. Null ids are allowed. Other columns are ignored.
@@ -32,15 +35,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Stored
+from quire.llm.common import Stored, hot_keys, join_counted
 from quire.llm.near_dup import mixed
 
 U = np.uint64
 GRAM = 40
 BATCH = 1 << 20  # bytes of one transform
+PARTS = 64  # of a hot name
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
 
 
@@ -233,45 +237,71 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame
     return docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in carry], F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row"))
 
 
-def occurrences(rows: DataFrame, length: int) -> DataFrame:
-    kind = rows.schema["id"].dataType.simpleString()
+def _numbered(rows: DataFrame, length: int, make, schema: str) -> DataFrame:
+    """What ``make`` gives for the occurrences of each text, in frames of some 100,000."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_64_intdigest
         for pdf in batches:
             out, held = [], 0
             for key, row, text in zip(pdf["id"], pdf["row"], pdf["text"]):
                 raw = _bytes(text)
-                first, last, place, name = anchors(raw, length)
-                if not len(first):
-                    continue
-                span = np.fromiter((digest(raw[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist())), U, len(first))
-                out.append((key, row, name.view(np.int64), span.view(np.int64), first.astype(np.int32), (last - first).astype(np.int32)))
-                held += len(first)
+                found = anchors(raw, length)
+                if len(found[0]):
+                    out.append(make(key, row, raw, *found))
+                    held += len(found[0])
                 if held > 100_000:
-                    yield table(out)
+                    yield pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
                     out, held = [], 0
             if out:
-                yield table(out)
+                yield pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
+
+    return rows.select("id", "row", "text").mapInPandas(run, schema)
+
+
+def names_of(rows: DataFrame, length: int) -> DataFrame:
+    """name, the minimizer's hash, of each occurrence."""
+    return _numbered(rows, length, lambda key, row, raw, first, last, place, name: {"name": name.view(np.int64)}, "name long")
+
+
+def occurrences(rows: DataFrame, length: int, hot: list[int]) -> DataFrame:
+    """id, row, name, span, at (first window start, and how many more in the lower half) and part: 0,
+    or one of ``PARTS`` in turn for the names of ``hot``."""
+    kind, often = rows.schema["id"].dataType.simpleString(), np.array(sorted(hot), np.int64)
+    digest = xxhash.xxh3_64_intdigest
+
+    def make(key, row, raw, first, last, place, name):
+        n, name = len(first), name.view(np.int64)
+        span = np.fromiter((digest(raw[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist())), U, n)
+        part = np.where(np.isin(name, often), (np.arange(n) + row) % PARTS, 0).astype(np.int32)
+        return {"id": np.repeat([key], n), "row": np.full(n, row, np.int64), "name": name, "span": span.view(np.int64), "at": first << 32 | (last - first), "part": part}
 
-    def table(out: list) -> pd.DataFrame:
-        n = [len(o[2]) for o in out]
-        return pd.DataFrame({"id": np.repeat([o[0] for o in out], n), "row": np.repeat(np.array([o[1] for o in out], np.int64), n), **{c: np.concatenate([o[i] for o in out]) for i, c in ((2, "name"), (3, "span"), (4, "first"), (5, "more"))}})
+    return _numbered(rows, length, make, f"id {kind}, row long, name long, span long, at long, part int")
 
-    return rows.select("id", "row", "text").mapInPandas(run, f"id {kind}, row long, name long, span long, first int, more int")
+
+def first_of(at: Column) -> Column:
+    return F.call_function("shiftright", at, F.lit(32)).cast("int")
+
+
+def more_of(at: Column) -> Column:
+    return at.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
 def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, batch_spans: int) -> tuple[DataFrame, list[Stored]]:
     """(id, row, first, last): starts of windows that also start elsewhere."""
     rows = keyed(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    found = Stored(occurrences(rows, length), "anchors")
-    spans = Stored(found.df.groupBy("name", "span").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")), "spans")
-    several = spans.df.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    pool = spans.df.join(several, "name").select("name", "span", "n", "row", "k")
-    # the row and place of one occurrence of each pooled span
-    pool = found.df.join(pool, ["name", "span", "row"]).groupBy("name", "span").agg(F.min(F.struct("id", "row", "first", "more", "n", "k")).alias("x")).select("name", "span", "x.*")
-    listed = pool.groupBy("id", "row").agg(F.collect_list(F.struct("name", "first", "more", "n", "k")).alias("spans"))  # at most a few per 100 bytes of one text
+    # a minimizer seen once settles itself: only names move for it, and nothing is written
+    names = Stored(names_of(rows, length).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "names")
+    hot = hot_keys(names.df, "n")
+    parts = F.when(F.col("name").isin(hot), PARTS).otherwise(1) if hot else F.lit(1)
+    known = names.df.select("name", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    found = Stored(occurrences(rows, length, hot).join(known, ["name", "part"], "left_semi").drop("part"), "anchors")
+    # one occurrence of each span stands for it
+    spans = Stored(found.df.groupBy("name", "span").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("id", "row", "at")]), "spans")
+    several = Stored(spans.df.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
+    pool = join_counted(spans.df.drop("span"), several.df, ["name"], "k")
+    spot = F.struct("name", first_of(F.col("at")).alias("first"), more_of(F.col("at")).alias("more"), "n", "k")
+    listed = pool.groupBy("id", "row").agg(F.collect_list(spot).alias("spans"))  # at most a few per 100 bytes of one text
     texts = rows.select("id", "row", "text").join(listed.withColumnsRenamed({"id": "_id", "row": "_row"}), (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select("id", "row", "text", "spans")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,12 +315,12 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, ba
                 for s in spans:
                     out.append((key, row, s["first"], s["name"], s["n"], s["k"], raw[s["first"] : s["first"] + s["more"] + length]))
                 if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=names)
+                    yield pd.DataFrame(out, columns=columns)
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame(out, columns=columns)
 
-    names = ["id", "row", "first", "name", "n", "k", "span"]
+    columns = ["id", "row", "first", "name", "n", "k", "span"]
     edges = Stored(texts.mapInPandas(cut, f"id {kind}, row long, first int, name long, n long, k long, span binary"), "edges")
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -323,16 +353,24 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, ba
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            out, held = [], 0
             for key, row, first, n, span in zip(pdf["id"], pdf["row"], pdf["first"], pdf["n"], pdf["span"]):
                 h = [xxhash.xxh3_128_digest(span[i : i + length]) for i in range(len(span) - length + 1)]
-                yield pd.DataFrame({"id": key, "row": row, "first": np.arange(first, first + len(h), dtype=np.int32), "n": n, "h": h})
+                out.append((np.repeat([key], len(h)), np.full(len(h), row), np.arange(first, first + len(h), dtype=np.int32), np.full(len(h), n), h))
+                held += len(h)
+                if held > 100_000:
+                    yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("id", "row", "first", "n", "h"), zip(*out))})
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("id", "row", "first", "n", "h"), zip(*out))})
 
-    each = edges.df.where(F.col("k") > batch_spans).select("id", "row", "first", "n", "span").mapInPandas(windows, f"id {kind}, row long, first int, n long, h binary")
-    twice = each.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1")
-    common = each.where("n = 1").join(twice, "h").select("id", "row", "first", F.col("first").alias("last"))
-    settled = found.df.join(spans.df.where("n > 1").select("name", "span"), ["name", "span"]).select("id", "row", "first", (F.col("first") + F.col("more")).alias("last"))
+    each = Stored(edges.df.where(F.col("k") > batch_spans).select("id", "row", "first", "n", "span").mapInPandas(windows, f"id {kind}, row long, first int, n long, h binary"), "windows")
+    twice = Stored(each.df.groupBy("h").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("c")).where("all > 1"), "twice")
+    common = join_counted(each.df.where("n = 1"), twice.df, ["h"], "c").select("id", "row", "first", F.col("first").alias("last"))
+    again = spans.df.where("n > 1").select("name", "span", "n")
+    settled = join_counted(found.df, again, ["name", "span"], "n").select("id", "row", first_of(F.col("at")).alias("first"), (first_of(F.col("at")) + more_of(F.col("at"))).alias("last"))
     # what has been found of equal rows is found once a row: the same range each time
-    return settled.unionAll(few).unionAll(common), [found, spans, edges]
+    return settled.unionAll(few).unionAll(common), [names, found, spans, several, edges, each, twice]
 
 
 def covered(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
