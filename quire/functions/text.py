@@ -1,7 +1,7 @@
 """Text expressions: normalising, tokens, stems, edit distances, passages.
 
-NFKC and NFC have no built-in expression; ``nfkc`` and ``nfc`` call a pandas UDF only for texts with
-characters beyond ASCII, and pass the others through within the JVM.
+NFKC and NFC have no built-in expression, so texts with characters beyond ASCII go through a pandas
+UDF; the others reach it as nulls and are handled within the JVM.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StringType, StructType
 
 # fixed values: search terms must equal the reference's
 TOKEN = "[a-z0-9]+(?:['-][a-z0-9]+)*"
@@ -29,14 +29,19 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-def ascii_only(text: Column) -> Column:
-    return F.length(text) == F.octet_length(text)
+def _beyond_ascii(text: Column) -> Column:
+    """The text if it holds a character beyond ASCII, else null: all that a UDF need see."""
+    return F.when(F.length(text) != F.octet_length(text), text)
+
+
+def nfc(text: Column) -> Column:
+    return F.coalesce(_nfc(_beyond_ascii(text)), text)
 
 
 def folded(text: Column, exact: bool = True) -> Column:
     """NFKC and case folding. With exact=False lower case alone, all within the JVM; equal for
     texts without compatibility characters."""
-    return _nfkc(text) if exact else F.lower(text)
+    return F.coalesce(_nfkc(_beyond_ascii(text)), F.lower(text)) if exact else F.lower(text)
 
 
 def collapse(text: Column) -> Column:
@@ -55,10 +60,50 @@ def normalize_list(values: Column, exact: bool = False) -> Column:
 
 
 def canonical_number(number: Column) -> Column:
-    """SC2: no exponent, no trailing zeros, no negative zero."""
-    plain = number.cast("decimal(38,12)").cast("string")
-    cut = F.when(plain.contains("."), F.regexp_replace(plain, "\\.?0+$", "")).otherwise(plain)
-    return F.when(cut.isin("-0", ""), "0").otherwise(cut)
+    """SC2: all digits, no exponent, no trailing zeros, no negative zero."""
+    plain = F.lower(number.cast("string"))
+    sign = F.when(plain.startswith("-"), "-").otherwise("")
+    mantissa = F.regexp_replace(F.substring_index(plain, "e", 1), "^-", "")
+    power = F.when(plain.contains("e"), F.substring_index(plain, "e", -1)).otherwise("0").try_cast("int")
+    whole = F.substring_index(mantissa, ".", 1)
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    point = F.length(whole) + power
+    n = F.length(digits)
+    placed = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
+        .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substr(digits, point + 1)))
+    )
+    cut = F.when(placed.contains("."), F.regexp_replace(placed, "\\.?0+$", "")).otherwise(placed)
+    cut = F.when(F.regexp_replace(cut, "^0+(?=\\d)", "").isin("0", ""), "0").otherwise(F.concat(sign, F.regexp_replace(cut, "^0+(?=\\d)", "")))
+    return F.when(plain.rlike("^-?(nan|inf)"), F.replace(plain, F.lit("infinity"), F.lit("inf"))).otherwise(cut)
+
+
+def normalize_typed(value: Column, kind: DataType, exact: bool = False) -> Column:
+    """SC1 by type: flags, numbers, lists (sorted items), maps and structs (sorted pairs), texts."""
+    joined = lambda items: F.array_join(F.sort_array(F.filter(items, lambda v: F.trim(v) != "")), " | ")
+    pair = lambda k, v: F.concat(k, F.lit(" "), v)
+    if isinstance(kind, BooleanType):
+        return F.coalesce(value.cast("string"), F.lit(""))
+    if isinstance(kind, NumericType):
+        return F.coalesce(canonical_number(value), F.lit(""))
+    if isinstance(kind, ArrayType):
+        return F.coalesce(joined(F.transform(value, lambda v: normalize_typed(v, kind.elementType, exact))), F.lit(""))
+    if isinstance(kind, MapType):
+        pairs = F.transform(F.map_entries(value), lambda e: pair(normalize_typed(e["key"], kind.keyType, exact), normalize_typed(e["value"], kind.valueType, exact)))
+        return F.coalesce(joined(pairs), F.lit(""))
+    if isinstance(kind, StructType):
+        return joined(F.array(*[pair(normalize_text(F.lit(f.name), exact), normalize_typed(value[f.name], f.dataType, exact)) for f in kind.fields]))
+    return normalize_text(value.cast("string"), exact)
+
+
+def substantive(value: Column, kind: DataType) -> Column:
+    """Null, blank texts and empty collections are no value; false and 0 are."""
+    if isinstance(kind, StringType):
+        return F.coalesce(~value.rlike("(?U)^\\s*$"), F.lit(False))
+    if isinstance(kind, (ArrayType, MapType)):
+        return F.coalesce(F.size(value) > 0, F.lit(False))
+    return value.isNotNull()
 
 
 def stem(token: Column) -> Column:
@@ -129,14 +174,17 @@ def heading_line(text: Column) -> Column:
     return F.size(words).between(1, 8) & ~text.rlike("[.!?]") & shape
 
 
-def passages(text: Column, leads: int = 4) -> Column:
-    """SC12: sentences without the heading lines before them (as many as ``leads``)."""
+def passages(text: Column) -> Column:
+    """SC12: sentences without the heading lines before them."""
+    stripped = lambda t: F.regexp_replace(t, "(?U)^\\s+|\\s+$", "")
 
-    def strip_lead(part: Column) -> Column:
-        first = F.substring_index(part, "\n", 1)
-        return F.when(part.contains("\n") & heading_line(F.trim(first)), F.trim(F.substr(part, F.length(first) + 2))).otherwise(part)
+    def body(part: Column) -> Column:
+        lines = F.split(part, "\n")
+        # blank lines among the headings go with them; the last line always stays
+        lead = F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1), lambda x: heading_line(stripped(x)) | (stripped(x) == ""))
+        stop = F.array_position(lead, False)
+        at = F.when(stop > 0, stop.cast("int")).otherwise(F.size(lines))
+        return F.when(part.contains("\n"), stripped(F.array_join(F.slice(lines, at, F.size(lines)), "\n"))).otherwise(part)
 
-    parts = F.transform(F.split(text, "(?<=[.!?])\\s+"), lambda p: F.regexp_replace(p, "^\\s+|\\s+$", ""))
-    for _ in range(leads):
-        parts = F.transform(parts, strip_lead)
-    return F.filter(parts, lambda p: p != "")
+    parts = F.transform(F.split(text, "(?<=[.!?])(?U:\\s+)"), stripped)
+    return F.filter(F.transform(parts, body), lambda p: p != "")

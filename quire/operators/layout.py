@@ -58,18 +58,68 @@ def claimed(blocks: DataFrame, regions: DataFrame) -> DataFrame:
 
 def mark_stamps(blocks: DataFrame, stamps: DataFrame, share: float = 0.2) -> DataFrame:
     """Blocks that overlap a stamp by ``share`` of the smaller area become stamps; a stamp
-    that meets none becomes a block of its own."""
-    s = stamps.select(*PAGE, F.col("bbox").alias("stamp"), F.col("confidence").alias("stamp_confidence"))
+    that meets none becomes a block of its own. stamps may carry ``density`` and ``source``."""
+    given = lambda c: F.col(c) if c in stamps.columns else F.lit(None)
+    s = stamps.select(*PAGE, F.col("bbox").alias("stamp"), F.col("confidence").alias("stamp_confidence"), given("density").cast("double").alias("stamp_density"), given("source").cast("string").alias("stamp_source"))
     least = F.greatest(F.lit(1e-9), F.least(area(F.col("bbox")), area(F.col("stamp"))))
     pairs = blocks.join(s, PAGE).where(overlap(F.col("bbox"), F.col("stamp")) / least >= share)
-    hit = pairs.select(*PAGE, "pos", F.lit(True).alias("stamped"), "stamp_confidence").dropDuplicates([*PAGE, "pos"])
+    hit = pairs.select(*PAGE, "pos", F.lit(True).alias("stamped"), "stamp_confidence", "stamp_density").dropDuplicates([*PAGE, "pos"])
     out = blocks.join(hit, [*PAGE, "pos"], "left").withColumn("kind", F.when(F.col("stamped"), "stamp").otherwise(F.col("kind"))).drop("stamped")
     alone = s.join(pairs.select(*PAGE, "stamp").distinct(), [*PAGE, "stamp"], "left_anti")
     size = blocks.groupBy(*PAGE).agg(F.first("width").alias("width"), F.first("height").alias("height"), (F.max("pos") + 1).alias("pos"))
-    extra = alone.join(size, PAGE, "left").select(*PAGE, F.lit("[red stamp]").alias("text"), F.col("stamp").alias("bbox"), F.lit("stamp").alias("kind"), F.lit(0.0).alias("font_size"), F.col("stamp_confidence").alias("confidence"), "stamp_confidence", "width", "height", F.coalesce("pos", F.lit(0)).alias("pos"), F.lit("native").alias("source"))
+    extra = alone.join(size, PAGE, "left").select(
+        *PAGE, F.lit("[red stamp]").alias("text"), F.col("stamp").alias("bbox"), F.lit("stamp").alias("kind"), F.lit(0.0).alias("font_size"), F.col("stamp_confidence").alias("confidence"),
+        "stamp_confidence", "stamp_density", "width", "height", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("stamp_source", F.lit("native")).alias("source"), F.lit(True).alias("visual_only"),
+    )
     return out.unionByName(extra, allowMissingColumns=True)
 
 
+_ROWS = "array<struct<total:double,n:int,cells:array<struct<x0:double,y0:double,pos:int,text:string>>>>"
+
+
+def table_rows(cells: Column, tolerance: Column) -> Column:
+    """Cells (y0, x0, pos, y1, text), in order, to rows: each joins the first row whose centre, the
+    mean of its cells' so far, is within the tolerance, else begins a row."""
+
+    def place(rows: Column, cell: Column) -> Column:
+        middle = (cell["y0"] + cell["y1"]) / 2
+        own = F.array(F.struct(cell["x0"].alias("x0"), cell["y0"].alias("y0"), cell["pos"].alias("pos"), cell["text"].alias("text")))
+        near = F.array_position(F.transform(rows, lambda r: F.abs(middle - r["total"] / r["n"]) <= tolerance), True)
+        grown = F.transform(rows, lambda r, i: F.when(i + 1 == near, F.struct((r["total"] + middle).alias("total"), (r["n"] + 1).alias("n"), F.concat(r["cells"], own).alias("cells"))).otherwise(r))
+        begun = F.concat(rows, F.array(F.struct(middle.alias("total"), F.lit(1).alias("n"), own.alias("cells"))))
+        return F.when(near > 0, grown).otherwise(begun).cast(_ROWS)
+
+    rows = F.aggregate(cells, F.array().cast(_ROWS), place)
+    return F.array_sort(F.transform(rows, lambda r: F.struct((r["total"] / r["n"]).alias("centre"), F.array_sort(r["cells"]).alias("cells"))))
+
+
+def merge_tables(blocks: DataFrame, regions: DataFrame) -> DataFrame:
+    """The blocks of each table region (numbered from 1 on a page) become one block with a line
+    for each row, cells parted by bars; a single block only becomes a table. Regions without
+    blocks give none. Tables follow the other blocks, in their regions' order. Adds table_id,
+    row_count, column_count and cell_count, null for what is no table."""
+    page = Window.partitionBy(*PAGE)
+    rows = blocks.withColumn("_top", F.max("pos").over(page)).join(claimed(blocks, regions), [*PAGE, "pos"], "left")
+    cell = F.struct(F.col("bbox.y0").alias("y0"), F.col("bbox.x0").alias("x0"), "pos", F.col("bbox.y1").alias("y1"), "text", "confidence", F.struct(*blocks.columns).alias("row"))
+    found = rows.where("region_no is not null").groupBy(*PAGE, "region_no", "_top").agg(F.array_sort(F.collect_list(cell)).alias("cells"))  # of one region
+    found = found.join(regions.select(*PAGE, "region_no", F.col("bbox").alias("region")), [*PAGE, "region_no"])
+    n = F.size("cells")
+    heights = F.array_sort(F.transform("cells", lambda c: c["y1"] - c["y0"]))
+    found = found.withColumn("_tolerance", F.greatest(F.lit(3.0), F.get(heights, F.floor(n / 2).cast("int")) * 0.75))
+    found = found.withColumn("_rows", table_rows(F.col("cells"), F.col("_tolerance")))
+    text = F.array_join(F.transform("_rows", lambda r: F.array_join(F.transform(r["cells"], lambda c: c["text"]), " | ")), "\n")
+    mean = F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["confidence"]) / n
+    whole = {"text": text, "bbox": F.col("region"), "confidence": mean, "font_size": F.lit(0.0)}
+    one = F.get("cells", F.lit(0))["row"]
+    values = [F.when(n == 1, one[c]).otherwise(whole[c] if c in whole else one[c]).alias(c) for c in blocks.columns if c not in ("kind", "pos", *PAGE)]
+    several = lambda x: F.when(n > 1, x.cast("int"))
+    tables = found.select(
+        *PAGE, *values, F.lit("table").alias("kind"), (F.col("_top") + F.col("region_no")).cast("int").alias("pos"), F.col("region_no").cast("int").alias("table_id"),
+        several(F.size("_rows")).alias("row_count"), several(F.array_max(F.transform("_rows", lambda r: F.size(r["cells"])))).alias("column_count"), several(n).alias("cell_count"),
+    )
+    return rows.where("region_no is null").select(*blocks.columns).unionByName(tables, allowMissingColumns=True)
+
+
 def stamp_gate(pixels: DataFrame) -> DataFrame:
     """One box a page over its red pixels (document_id, page, x, y, r, g, b, width, height in
     pixels), unless too few, too large or too sparse."""

@@ -78,7 +78,7 @@ def ranked_passages(questions: DataFrame, hits: DataFrame, chunks: DataFrame, ex
     names = F.regexp_extract_all("question", F.lit("\\b[A-Z][A-Za-z0-9'-]*\\b"), F.lit(0))
     terms = questions.select(
         "query_id", "question", tokenize(F.col("question"), exact).alias("original"), tokenize(F.concat_ws(" ", "question", expansion(F.col("question"))), exact).alias("expanded"),
-        tokenize(expansion(F.col("question")), exact).alias("concepts"), tokenize(F.array_join(F.slice(names, 2, 1000), " "), exact).alias("names"),
+        tokenize(expansion(F.col("question")), exact).alias("concepts"), tokenize(F.array_join(F.slice(names, F.lit(2), F.size(names)), " "), exact).alias("names"),
     )
     terms = terms.withColumn("content", F.array_except(F.array_except("original", "names"), F.array(*map(F.lit, GENERIC))))
     rows = hits.join(chunks, "chunk_id").join(F.broadcast(terms), "query_id")  # the stated questions

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import chunking, evaluation, extraction, layout, retrieval
-from quire.sources import ocr
 
 BOX = (0.0, 0.0, 10.0, 10.0)
 BLOCK = "document_id string, file_name string, page int, block_id string, kind string, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, reading_order int"
@@ -149,16 +148,6 @@ def test_kinds(spark):
     assert [r["kind"] for r in layout.classify(df).orderBy("pos").collect()] == ["title", "paragraph", "table", "footer", "signature", "stamp", "heading"]
 
 
-def test_ocr_payloads():
-    quad = [[0, 0], [4, 0], [4, 2], [0, 2]]
-    want = [("hi", (0.0, 0.0, 4.0, 2.0), 0.9)]
-    assert ocr.lines({"boxes": [quad], "txts": ["hi"], "scores": [0.9]}) == want
-    assert ocr.lines([[[quad, "hi", 90]], [0.1, 0.2]]) == want
-    assert ocr.lines([quad, "hi", "0.9"]) == want
-    assert ocr.lines({"box": [0, 0, 4, 2], "text": "hi", "score": 0.9}) == want
-    assert ocr.lines(None) == [] and ocr.lines({"boxes": [[0, 0, float("nan"), 1]], "txts": ["x"]}) == []
-
-
 def test_pairing_falls_back_to_position(spark):
     gold = spark.createDataFrame([("a", 0), ("a", 1)], "id string, pos int")
     pred = spark.createDataFrame([("x", 0)], "id string, pos int")
