@@ -41,11 +41,35 @@ def test_quality_counts_match_brute_force(docs):
 def test_em_learns_which_rules_to_trust():
     # two rules agree, the third is noise
     patterns = [(2 + 3 * 2 + 9 * v, 450) for v in (0, 2)] + [(0 + 0 + 9 * v, 50) for v in (0, 2)]
-    post, theta, prior = quality_rules.fit_em(patterns, 3)
-    assert post[2 + 6 + 0] > 0.9 and post[0 + 0 + 18] < 0.1 and 0.8 < prior < 0.97
+    theta, prior = quality_rules.fit_em(patterns, 3)
+    begin, says = quality_rules.log_odds(theta, prior)
+    assert begin + says[0][2] + says[1][2] + says[2][0] > 2 and begin + says[0][0] + says[1][0] + says[2][2] < -2 and 0.8 < prior < 0.97
     assert abs(theta[2][1][2] - theta[2][0][2]) < 0.2
 
 
+def test_posterior_decides_beside_the_base_rule(spark):
+    """On the corpus table the posterior itself rejects documents, and the better for it."""
+    d = "/root/testdata/sf0.01"
+    rows = quality_rules.quality_rules(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "left").collect()
+    passed = [r for r in rows if not r["base_failed"]]
+    rejected = [r for r in passed if not r["kept"]]
+    assert len(passed) / 50 < len(rejected) < len(passed) / 5
+    known = [r for r in rows if r["quality"] is not None]
+    right = lambda verdict: sum(verdict(r) == (r["quality"] == 1) for r in known) / len(known)
+    assert right(lambda r: r["kept"]) > right(lambda r: not r["base_failed"]) + 0.04
+    assert sum(r["quality"] == 1 for r in rejected) <= len(rejected) / 50
+
+
+def test_quality_rules_on_long_texts_and_clashing_columns(spark):
+    text = words(20_000, 3) + "\n" + "# " * 40_000
+    names = ["doc_id", "text", "n_words", "pattern", "_w", "kept", "quality_prob"]
+    df = spark.createDataFrame([(1, text, *["x"] * 5), (None, text, *["y"] * 5)], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    rows = quality_rules.quality_rules(df).collect()
+    assert [r["n_words"] for r in rows] == [60_000] * 2 and [r["n_symbols"] for r in rows] == [40_000] * 2 and all(r["base_failed"] for r in rows)
+    counts = quality_rules.add_counts(spark.createDataFrame([("Ab c1 ### né 12 abcd",)], "text string")).first()
+    assert (counts["n_letters"], counts["n_short_words"], counts["n_real_words"], counts["n_upper"]) == (9, 5, 5, 1)
+
+
 def test_url_rules(spark):
     urls = [None, "", "nourl", "http://WWW.Example.com/en/x?q=/fr/", "https://a.example.com/en/#f", "http://example.net/es/1", "ftp://xnet/es/", "http://net/fr/", "http://a.spam-farm.example.org/x", "http://spam-farm.example.org", "http://h.com", "http://h.com/", "HTTP://u@H.NET:8/de/", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, key string")
@@ -61,30 +85,66 @@ def test_url_rules(spark):
         assert got[i] == (host, path, *rule), u
 
 
-def test_topk_matches_brute_force(spark):
-    rng = np.random.default_rng(1)
-    vecs = [(i, [float(x) for x in v], 0) for i, v in enumerate(rng.normal(0, 0.2, (450, 8)))]
-    vecs += [(1000 + i, vecs[7][1], 0) for i in range(30)]  # ties
-    vecs += [(2000, None, 0), (2001, [1.0, None] + [0.0] * 6, 0), (2002, [float("nan")] * 8, 0), (2100, [float("inf")] * 8, 0), (2200, [1.0, 2.0], 0), (2201, [3.0, 2.0], 0), (2300, [1e30, -1e30], 0)]
-    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int")
+def brute_topk(rows, every=100, k=10):
+    """Of (id, vector) rows, repeats included: {query id: [(rank, id, score)]}."""
+    whole = [(i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = {}
+    for q, a in whole:
+        if q % every == 0:
+            out.setdefault(q, []).extend((-sum(x * y for x, y in zip(a, b)), i) for i, b in whole if i != q and len(a) == len(b))
+    return {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted(found)[:k])] for q, found in out.items() if found}
+
+
+def topk_of(df, **given):
     got = {}
-    for r in vafile.top_k(df, data_block=100, query_block=3).collect():
+    for r in vafile.top_k(df, **given).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    whole = {i: [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v] for i, v, _ in vecs if v and all(x is not None and np.isfinite(x) for x in v)}
-    for q in (i for i in whole if i % 100 == 0):
-        s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))[:10]
-        if q != 2300 and 2300 not in [i for _, i in s]:
-            assert sorted(got.get(q, [])) == [(k + 1, i, -x) for k, (x, i) in enumerate(s)], q
+    return {q: sorted(x) for q, x in got.items()}
+
+
+def test_topk_matches_brute_force(spark):
+    rng = np.random.default_rng(1)
+    vecs = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (450, 8)))]
+    vecs += [(1000 + i, vecs[7][1]) for i in range(30)]  # ties
+    vecs += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2100, [float("inf")] * 8), (2200, [1.0, 2.0]), (2201, [3.0, 2.0]), (2300, []), (2400, []), (None, vecs[3][1])]
+    vecs += [(100, vecs[100][1])] * 3 + [(100, vecs[5][1])] + [(7, vecs[7][1])] * 12  # repeated ids, one with two vectors
+    df = spark.createDataFrame([(i, v, 0, 1.0, "x") for i, v in vecs], "vec_id long, embedding array<float>, label int, score double, m string").repartition(3)
+    assert topk_of(df) == brute_topk(vecs) == topk_of(df, batch_bytes=700, first=0)
     assert vafile.top_k(df.limit(0)).count() == 0
 
 
-def test_approximation_reads_few_exact_vectors():
+def test_topk_of_a_very_common_vector(spark):
+    rng = np.random.default_rng(3)
+    common = [0.25] * 6
+    vecs = [(i, common if i % 3 else [float(x) for x in rng.normal(0, 0.2, 6)]) for i in range(1500)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in vecs], "vec_id long, embedding array<float>, label int").repartition(4)
+    assert topk_of(df) == brute_topk(vecs)
+    kept = vafile.distinct(vafile._integers(df, "vec_id", "embedding", 1024.0), 11, 10).count()
+    assert kept <= 500 + 4 * 11
+
+
+def test_cells_bound_and_leave_few():
     v = np.floor(1024 * np.random.default_rng(2).normal(0, 0.1, (5000, 32)))
-    cells = vafile.Cells(v)
-    assert (cells.upper(v[3]) >= v @ v[3]).all()
-    ids, score, read = vafile.scan(v[3], v, cells, np.arange(5000), 3, 10)
-    order = np.lexsort((np.arange(5000), -(v @ v[3])))
-    assert ids.tolist() == [i for i in order if i != 3][:10] and read < 500
+    cells = vafile.Cells.of(v)
+    upper, gap = cells.bounds(v[:40])
+    true = v @ v[:40].T
+    assert (upper >= true).all() and (upper - gap <= true).all()
+    blocks = [(np.arange(a, a + 1000), np.zeros(1000, np.int64), vafile.Cells.of(v[a : a + 1000])) for a in range(0, 5000, 1000)]
+    left = [np.concatenate(x) for x in zip(*vafile.scan(iter(blocks), {32: (v[:40], np.arange(40), np.arange(40))}, 10))]
+    for q in range(40):
+        best = [i for i in np.lexsort((np.arange(5000), -true[:, q])) if i != q][:10]
+        assert set(best) <= set(left[1][left[0] == q])
+    assert len(left[0]) < 40 * 5000 / 50
+    huge = np.array([[9e18, -9e18], [1.0, 2.0], [-9e18, 9e18]])
+    upper, gap = vafile.Cells.of(huge).bounds(huge)
+    assert (upper >= huge @ huge.T).all() and (upper - gap <= huge @ huge.T).all()
+
+
+def test_topk_beyond_doubles(spark):
+    vecs = [(100, [1e5, 1.0]), (1, [1e5, 3.0]), (2, [1e5, 3.001]), (3, [-1e5, 0.0]), (4, [1e18, 0.0]), (5, [1e18, 0.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in vecs], "vec_id long, embedding array<double>, label int")
+    got = topk_of(df, k=4)[100]
+    assert got == [(1, 4, 2**63 - 1), (2, 5, 2**63 - 1), (3, 2, 102400000**2 + 1024 * 3073), (4, 1, 102400000**2 + 1024 * 3072)]
 
 
 def test_near_duplicates_match_brute_force(docs):
