@@ -1,16 +1,16 @@
 """Structure-aware chunks of positioned blocks (R1, R2; W5, W6, W8).
 
-Packing depends on order within a page, so it is one Arrow fold per (document, page); numbering
-chunks over the whole document is a window after it.
+Packing depends on order within a page: it is one fold over the blocks of a partition, which holds whole
+documents in order, and numbers each document's chunks as it goes.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 ATOMIC = ("table", "stamp", "signature")
 HEADING = ("title", "heading")
@@ -77,31 +77,52 @@ class _Page:
             self.open = [*self.context, unit] if self.context and self.fits([*self.context, unit]) else [unit]
 
 
+SCHEMA = "chunk_id string, document_id string, file_name string, pages array<int>, block_ids array<string>, text string, ord int"
+
+
 def _pack(limit: int):
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = _Page(limit)
-        for row in pdf.sort_values(["reading_order", "block_id"], kind="stable").itertuples():
-            text = (row.text or "").strip()
-            if not text:
-                continue
-            heading, atomic = is_heading(row.kind, text), row.kind in ATOMIC
-            for piece in [text] if atomic or heading else split_text(text, limit):
-                state.add((row.block_id, piece, heading), atomic)
-        state.close()
-        first = pdf.iloc[0]
-        rows = [(first["document_id"], first["file_name"], int(first["page"]), i, list(dict.fromkeys(u[0] for u in c)), "\n\n".join(u[1] for u in c)) for i, c in enumerate(state.done)]
-        return pd.DataFrame(rows, columns=["document_id", "file_name", "page", "seq", "block_ids", "text"])
-
-    return page
+    """Rows sorted by document, page and order to chunks. A page that goes on in the next frame is
+    carried over; what is held is one page's open units."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, n, out = None, _Page(limit), 0, []
+
+        def finish() -> None:
+            nonlocal n
+            state.close()
+            for units in state.done:
+                n += 1
+                out.append((f"{at[0]}:p{at[2]}:c{n:03d}", at[0], at[1], [at[2]], list(dict.fromkeys(u[0] for u in units)), "\n\n".join(u[1] for u in units), n))
+
+        for pdf in batches:
+            for document, name, page, block, kind, text in zip(*(pdf[c] for c in ("document_id", "file_name", "page", "block_id", "kind", "text"))):
+                if at is None or (document, page) != (at[0], at[2]):
+                    if at is not None:
+                        finish()
+                        n = n if document == at[0] else 0
+                    at, state = (document, name, int(page)), _Page(limit)
+                text = (text or "").strip()
+                if text:
+                    heading, atomic = is_heading(kind, text), kind in ATOMIC
+                    for piece in [text] if atomic or heading else split_text(text, limit):
+                        state.add((block, piece, heading), atomic)
+            yield pd.DataFrame(out, columns=COLUMNS)
+            out = []
+        if at is not None:
+            finish()
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    return run
+
+
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def chunk(blocks: DataFrame, max_chars: int = 1200) -> DataFrame:
     """blocks: document_id, file_name, page, block_id, kind, text, reading_order.
-    Returns chunk_id, document_id, file_name, pages, block_ids, text, ord."""
+    Returns chunk_id, document_id, file_name, pages, block_ids, text, ord: one shuffle, by document."""
     if max_chars < 80:
         raise ValueError("max_chars must be at least 80")
     rows = blocks.select("document_id", "file_name", "page", "block_id", "kind", "text", "reading_order")
-    packed = rows.groupBy("document_id", "page").applyInPandas(_pack(max_chars), "document_id string, file_name string, page int, seq int, block_ids array<string>, text string")
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("page", "seq"))
-    name = F.format_string("%s:p%d:c%03d", "document_id", "page", "ord")
-    return packed.withColumn("ord", number).select(name.alias("chunk_id"), "document_id", "file_name", F.array("page").alias("pages"), "block_ids", "text", "ord")
+    rows = rows.repartition("document_id").sortWithinPartitions("document_id", "page", "reading_order", "block_id")
+    return rows.mapInPandas(_pack(max_chars), SCHEMA)

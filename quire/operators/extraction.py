@@ -30,6 +30,11 @@ RULES: dict[str, tuple[float, bool, list[tuple[str, str, str]]]] = {
     "governing_law": (0.95, False, [("\\bgoverned\\s+by(?:\\s+and\\s+construed\\s+(?:in\\s+accordance\\s+with|under))?\\s+the\\s+laws?\\s+of\\s+(?:the\\s+)?", LAW, "(?=,|;|\\.|\\s+without\\s+regard|\\s+and\\s+the\\s+courts|$)"), ("\\bthe\\s+laws?\\s+of\\s+(?:the\\s+)?", LAW, "\\s+shall\\s+govern\\b")]),
     "payment_terms": (0.86, True, [("", "\\bnet\\s*[- ]?\\d{1,3}\\b", ""), ("", "\\b(?:invoice|payment|amounts?|fees?)\\b[^.;\\n]{0,120}?\\b(?:due|payable)\\b[^.;\\n]{0,100}(?:[.;]|$)", ""), ("", "\\b(?:due|payable)\\s+(?:within\\s+\\d+\\s+(?:calendar\\s+|business\\s+)?days?|upon\\s+receipt|in\\s+advance|monthly|quarterly|annually)\\b", ""), ("", "\\b(?:buyer|customer|client|recipient|party)\\b[^.;]{0,80}?\\b(?:pay|pays|paid)\\b[^.;]{0,80}?\\binvoices?\\b[^.;]{0,50}?\\bwithin\\s+\\d+\\s+(?:calendar\\s+|business\\s+)?days?\\b", "")]),
 }
+# a word that any match of a field's rules holds
+CUES = {
+    "effective_date": "effective\\s+date|entered\\s+into|made|dated", "initial_term": "term|commence|begin", "renewal_terms": "renew|successive",
+    "termination_notice": "notice", "governing_law": "laws?\\s+of", "payment_terms": "\\bnet|due|payable|invoice",
+}
 ROLES = "client|customer|provider|vendor|supplier|licensor|licensee|employer|contractor|buyer|seller|landlord|tenant|party\\s*[ab12]"
 SIGNED = "(?i)(?:^|\\n)\\s*/s/\\s*\\S|\\bsigned\\s+(?:by|for)\\b|\\bexecuted\\s+(?:by|for)\\b|(?:^|\\n)\\s*For\\s+[^:\\n]{2,100}:\\s*\\S"
 SEALED = "(?i)\\b(?:official\\s+stamp|company\\s+seal|corporate\\s+seal|stamped)\\b"
@@ -46,19 +51,32 @@ def section_heading() -> Column:
     return F.col("kind").isin("heading", "title") & ~text.rlike(f"(?i)^{AMOUNT}$") & text.rlike("^(?:\\d+\\.)?\\s*[A-Z][A-Z0-9 &/\\-—]{2,}$")
 
 
-def text_windows(blocks: DataFrame, n: int = 5) -> DataFrame:
-    """document_id, start (block's place), size, text, segments (start, end, and the block)."""
+def _starts(blocks: DataFrame, n: int) -> DataFrame:
+    """document_id, start (the block's place), and b: up to n following blocks of the page, ended by a
+    heading after the first. All of a document is in one partition from here on."""
     useful = blocks.where((F.col("kind") != "footer") & (F.trim("text") != "")).withColumn("heading", section_heading())
     order = Window.partitionBy("document_id", "page").orderBy("reading_order", "block_id")
     block = F.struct("page", "block_id", "text", "bbox", "heading", squeezed(F.col("text")).alias("flat"))
-    rows = useful.select("document_id", "page", "reading_order", "block_id", F.collect_list(block).over(order.rowsBetween(0, n - 1)).alias("b"))
+    rows = useful.repartition("document_id").select("document_id", F.struct("page", "reading_order", "block_id").alias("start"), F.collect_list(block).over(order.rowsBetween(0, n - 1)).alias("b"))
     stop = F.filter(F.sequence(F.lit(1), F.size("b")), lambda i: (i == F.size("b")) | F.get("b", i)["heading"])[0]
-    rows = rows.select("document_id", "page", "reading_order", "block_id", "b", F.explode(F.sequence(F.lit(1), stop)).alias("size")).withColumn("b", F.slice("b", F.lit(1), F.col("size")))
-    flat = F.transform("b", lambda x: x["flat"])
-    at = lambda i: F.length(F.array_join(F.slice(flat, F.lit(1), i), " ")) + F.when(i > 0, 1).otherwise(0)
-    segments = F.transform("b", lambda x, i: F.struct(at(i).alias("start"), (at(i) + F.length(x["flat"])).alias("end"), x["page"].alias("page"), x["block_id"].alias("block_id"), F.trim(x["text"]).alias("quote"), x["bbox"].alias("bbox")))
-    place = F.struct("page", "reading_order", "block_id")
-    return rows.select("document_id", place.alias("start"), "size", F.array_join(flat, " ").alias("text"), segments.alias("segments"))
+    return rows.withColumn("b", F.slice("b", F.lit(1), stop))
+
+
+def _joined(b: Column) -> Column:
+    return F.array_join(F.transform(b, lambda x: x["flat"]), " ")
+
+
+def _segments(b: Column) -> Column:
+    """Where each block lies in the joined text."""
+    at = lambda i: F.length(_joined(F.slice(b, F.lit(1), i))) + F.when(i > 0, 1).otherwise(0)
+    return F.transform(b, lambda x, i: F.struct(at(i).alias("start"), (at(i) + F.length(x["flat"])).alias("end"), x["page"].alias("page"), x["block_id"].alias("block_id"), F.trim(x["text"]).alias("quote"), x["bbox"].alias("bbox")))
+
+
+def text_windows(blocks: DataFrame, n: int = 5) -> DataFrame:
+    """document_id, start (block's place), size, text, segments (start, end, and the block)."""
+    rows = _starts(blocks, n)
+    rows = rows.select("document_id", "start", "b", F.explode(F.sequence(F.lit(1), F.size("b"))).alias("size")).withColumn("b", F.slice("b", F.lit(1), F.col("size")))
+    return rows.select("document_id", "start", "size", _joined(F.col("b")).alias("text"), _segments(F.col("b")).alias("segments"))
 
 
 def _evidence(segments: Column, start: Column, end: Column) -> Column:
@@ -67,17 +85,31 @@ def _evidence(segments: Column, start: Column, end: Column) -> Column:
     return F.transform(hit, lambda s: F.struct(F.col("document_id"), s["page"].alias("page"), s["block_id"].alias("block_id"), s["quote"].alias("quote"), s["bbox"].alias("bbox")))
 
 
-def clause_fields(blocks: DataFrame) -> DataFrame:
-    """The first match by window start, then window size, then rule."""
-    windows = text_windows(blocks)
-    tries = []
-    for field, (confidence, sentence, rules) in RULES.items():
-        for i, (before, value, after) in enumerate(rules):
-            whole = f"(?is)^(.*?{before})({value}){after}"
-            tries.append(F.struct(F.lit(field).alias("field"), F.lit(i).alias("rule"), F.lit(confidence).alias("confidence"), F.lit(sentence).alias("sentence"), F.regexp_extract("text", whole, 1).alias("pre"), F.regexp_extract("text", whole, 2).alias("hit")))
-    rows = windows.select("*", F.explode(F.array(*tries)).alias("m")).where("m.hit <> ''")
-    first = Window.partitionBy("document_id", "m.field").orderBy("start", "size", "m.rule")
-    rows = rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("document_id", "text", "segments", "m.*")
+def _whole(rule: tuple[str, str, str]) -> str:
+    before, value, after = rule
+    return f"(?is)^(.*?{before})({value}){after}"
+
+
+def clause_fields(blocks: DataFrame, n: int = 5) -> DataFrame:
+    """The first match by window start, then window size, then rule.
+
+    Each start is one row. A field's cue, which every match holds, is looked for in the largest window; only
+    where it is there are sizes and rules tried, in order, up to the first match. Offsets are
+    taken from one window a document and field."""
+    rows = _starts(blocks, n).withColumn("texts", F.transform(F.sequence(F.lit(1), F.size("b")), lambda i: _joined(F.slice("b", F.lit(1), i))))
+    found = []
+    for field, (_, _, rules) in RULES.items():
+        tries = [F.when(F.get("texts", F.lit(size - 1)).rlike("(?is)" + "".join(rule)), size * 10 + i) for size in range(1, n + 1) for i, rule in enumerate(rules)]
+        found.append(F.struct(F.lit(field).alias("field"), F.when(F.element_at("texts", -1).rlike("(?i)" + CUES[field]), F.coalesce(*tries)).alias("code")))
+    rows = rows.select("document_id", "start", "b", F.array(*found).alias("_found"))
+    rows = rows.select("document_id", "start", "b", F.inline(F.filter("_found", lambda x: x["code"].isNotNull())))
+    rows = rows.groupBy("document_id", "field").agg(F.min(F.struct("start", "code", "b")).alias("x"))
+    rows = rows.select("document_id", "field", (F.col("x.code") % 10).alias("rule"), F.slice("x.b", F.lit(1), F.floor(F.col("x.code") / 10).cast("int")).alias("b"))
+    rows = rows.withColumn("text", _joined(F.col("b"))).withColumn("segments", _segments(F.col("b")))
+    every = [(field, i, rule) for field, (_, _, rules) in RULES.items() for i, rule in enumerate(rules)]
+    group = lambda g: F.coalesce(*[F.when((F.col("field") == field) & (F.col("rule") == i), F.regexp_extract("text", _whole(rule), g)) for field, i, rule in every])
+    given = lambda at: F.coalesce(*[F.when(F.col("field") == field, F.lit(RULES[field][at])) for field in RULES])
+    rows = rows.withColumns({"pre": group(1), "hit": group(2), "sentence": given(1), "confidence": given(0)})
     start, end = F.length("pre"), F.length("pre") + F.length("hit")
     left = F.length(F.regexp_extract("pre", "(?s)^(.*[.!?]\\s+)", 1))
     rest = F.substr("text", end + 1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import passages, tokenize
@@ -31,41 +31,89 @@ COMPARISON = r"(?i)\b(?:compare|comparison|versus|vs\.?|both|difference|respecti
 ABSTAIN = "Insufficient evidence in the indexed documents to answer this question."
 
 
+def term_counts(tokens: Column) -> Column:
+    """(term, tf) of a row's tokens, by sorting them."""
+    t = F.array_sort(tokens)
+    edges = F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: (i == F.size(t)) | (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    counts = F.transform(F.slice(edges, F.lit(1), F.size(edges) - 1), lambda i, n: F.struct(F.get(t, i).alias("term"), (F.get(edges, n + 1) - i).cast("long").alias("tf")))
+    return F.when(F.size(t) > 0, counts).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+
 class BM25Index:
-    """Term counts, chunk lengths, document frequencies and the average length."""
+    """Term counts, chunk lengths, document frequencies and the average length.
+
+    Texts are tokenised once a batch of questions: of each chunk its length and the counts of the questions'
+    terms are kept (``persist``, until ``release``), which is all that statistics and scores need. ``save``
+    writes all postings, by term, for an index that is asked often; ``load`` reads them."""
 
-    def __init__(self, chunks: DataFrame, k1: float = 1.5, b: float = 0.75, exact: bool = True):
+    def __init__(self, chunks: DataFrame | None, k1: float = 1.5, b: float = 0.75, exact: bool = True, saved: str | None = None, max_terms: int = 10_000):
         if k1 <= 0 or not 0 <= b <= 1:
             raise ValueError("k1 must be positive and b between 0 and 1")
-        self.k1, self.b, self.exact = k1, b, exact
-        self.chunks = chunks
-        self.tokens = chunks.select("chunk_id", "ord", tokenize(F.col("text"), exact).alias("tokens")).withColumn("len", F.size("tokens"))
-        self.stats = self.tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
-
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """A1, A2: chunk_id, ord, len, term, tf; only of the given terms."""
-        rows = self.tokens.select("chunk_id", "ord", "len", F.explode("tokens").alias("term"))
-        if terms is not None:
-            rows = rows.join(terms, "term", "left_semi")
-        return rows.groupBy("chunk_id", "ord", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-    def idf(self, postings: DataFrame) -> DataFrame:
+        self.k1, self.b, self.exact, self.saved, self.max_terms = k1, b, exact, saved, max_terms
+        self.chunks, self._held = chunks, []
+        if chunks is not None:
+            self.tokens = chunks.select("chunk_id", "ord", tokenize(F.col("text"), exact).alias("tokens")).withColumn("len", F.size("tokens"))
+
+    def save(self, path: str, buckets: int = 64) -> None:
+        """Postings in ``buckets`` folders by a hash of the term, sorted by term, and a row of facts."""
+        rows = self.tokens.select("chunk_id", "ord", "len", F.inline(term_counts(F.col("tokens"))))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+        rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        self.tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/facts")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, chunks: DataFrame | None = None, **given) -> BM25Index:
+        index = cls(None, saved=path, **given)
+        index.spark, index.chunks = spark, chunks
+        return index
+
+    def _of_terms(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """A1, A2: (chunk_id, ord, len, term, tf) of the given terms, and the one row of facts (n, avg_len)."""
+        first = [r["term"] for r in terms.limit(self.max_terms + 1).collect()]
+        few = len(first) <= self.max_terms  # the size that is checked before terms go along with the code
+        if self.saved:
+            facts = self.spark.read.parquet(f"{self.saved}/facts")
+            postings = self.spark.read.parquet(f"{self.saved}/postings")
+            if few:  # only the terms' folders and row groups are read
+                buckets = facts.select(F.explode(F.transform(F.array(*map(F.lit, first)), lambda t: F.pmod(F.xxhash64(t), "buckets").cast("int")))).distinct().collect() if first else []
+                postings = postings.where(F.col("bucket").isin([r[0] for r in buckets])).where(F.col("term").isin(first))
+            else:
+                postings = postings.join(terms, "term", "left_semi")
+            return postings.drop("bucket"), facts.select("n", "avg_len")
+        if few:
+            slim = self.tokens.select("chunk_id", "ord", "len", F.filter("tokens", lambda t: t.isin(first)).alias("tokens")).persist()
+            self._held.append(slim)
+            rows = slim.select("chunk_id", "ord", "len", F.inline(term_counts(F.col("tokens"))))
+        else:
+            slim = self.tokens.select("chunk_id", "ord", "len", term_counts(F.col("tokens")).alias("counts")).persist()
+            self._held.append(slim)
+            rows = slim.select("chunk_id", "ord", "len", F.inline("counts")).join(terms, "term", "left_semi")
+        return rows, slim.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
+
+    def release(self) -> None:
+        for held in self._held:
+            held.unpersist()
+        self._held = []
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        return self._of_terms(terms)[0]
+
+    @staticmethod
+    def idf(postings: DataFrame, facts: DataFrame) -> DataFrame:
         """A4, A5."""
         df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        return df.crossJoin(F.broadcast(self.stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")  # stats is one row
+        return df.crossJoin(F.broadcast(facts)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")  # facts is one row
 
     def search(self, queries: DataFrame, top_k: int = 5, min_score: float = 0.0, question: str = "question") -> DataFrame:
         """query_id, chunk_id, score, rank. Ties keep the chunks' order; the score must
         exceed min_score."""
-        if top_k <= 0:
-            return self.tokens.select(F.lit(None).cast("string").alias("query_id"), "chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
         asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col(question), self.exact))).alias("term"))
-        found = self.postings(asked.select("term").distinct())
+        found, facts = self._of_terms(asked.select("term").distinct())
         length = F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(0.0)
         part = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * length))
-        scored = found.join(self.idf(found), "term").join(asked, "term").groupBy("query_id", "chunk_id", "ord").agg(F.sum(part).alias("score"))
+        scored = found.join(self.idf(found, facts), "term").join(asked, "term").groupBy("query_id", "chunk_id", "ord").agg(F.sum(part).alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord", "chunk_id")
-        return scored.where(F.col("score") > min_score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "chunk_id", "score", "rank")
+        return scored.where(F.col("score") > min_score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, top_k)).select("query_id", "chunk_id", "score", "rank")
 
 
 def expansion(question):
@@ -81,7 +129,7 @@ def ranked_passages(questions: DataFrame, hits: DataFrame, chunks: DataFrame, ex
         tokenize(expansion(F.col("question")), exact).alias("concepts"), tokenize(F.array_join(F.slice(names, F.lit(2), F.size(names)), " "), exact).alias("names"),
     )
     terms = terms.withColumn("content", F.array_except(F.array_except("original", "names"), F.array(*map(F.lit, GENERIC))))
-    rows = hits.join(chunks, "chunk_id").join(F.broadcast(terms), "query_id")  # the stated questions
+    rows = hits.join(chunks, "chunk_id").join(terms, "query_id")
     rows = rows.select("*", F.posexplode(passages(F.col("text"))).alias("pos", "passage")).withColumn("terms", F.array_distinct(tokenize(F.col("passage"), exact)))
     shared = lambda c: F.size(F.array_intersect("terms", c))
     enough = F.greatest(F.lit(1), F.ceil(F.size("content") * 0.6))

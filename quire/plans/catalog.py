@@ -52,8 +52,8 @@ def tokens_sql(key: str, table: str) -> str:
 
 @query("A4_document_frequency", tokens_sql("doc_id", "documents") + " SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM stems GROUP BY term")
 def document_frequency(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", F.explode(T.tokenize(F.col("text"), False)).alias("term"))
-    return rows.groupBy("doc_id", "term").count().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("count").alias("tf"))
+    rows = read(spark, d, "documents").select(F.inline(retrieval.term_counts(T.tokenize(F.col("text"), False))))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("A2_chunk_length", tokens_sql("doc_id", "documents") + " SELECT d.doc_id, count(s.term) AS n_tokens FROM documents d LEFT JOIN stems s ON s.id = d.doc_id GROUP BY d.doc_id")
