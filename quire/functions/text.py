@@ -117,10 +117,18 @@ def stem(token: Column) -> Column:
     return out.otherwise(token)
 
 
+def raw_tokens(text: Column, exact: bool = True) -> Column:
+    return F.regexp_extract_all(folded(text, exact), F.lit(TOKEN), F.lit(0))
+
+
+def is_term(token: Column) -> Column:
+    return (F.length(token) > 1) & ~token.isin(STOP_WORDS)
+
+
 def tokenize(text: Column, exact: bool = True) -> Column:
-    """SC7: stems of the tokens that are no stop word and longer than one character."""
-    found = F.regexp_extract_all(folded(text, exact), F.lit(TOKEN), F.lit(0))
-    return F.transform(F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOP_WORDS)), stem)
+    """SC7: stems of the tokens that are no stop word and longer than one character. Where tokens are rows,
+    ``raw_tokens``, ``is_term`` and ``stem`` give the same within compiled code, which lambdas leave."""
+    return F.transform(F.filter(raw_tokens(text, exact), is_term), stem)
 
 
 def tokens_f1(a: Column, b: Column) -> Column:

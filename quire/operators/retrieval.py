@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import passages, tokenize
+from quire.functions.text import is_term, passages, raw_tokens, stem, tokenize
 
 # fixed values: what widens a question, by concept
 EXPANSIONS = [
@@ -31,12 +31,15 @@ COMPARISON = r"(?i)\b(?:compare|comparison|versus|vs\.?|both|difference|respecti
 ABSTAIN = "Insufficient evidence in the indexed documents to answer this question."
 
 
-def term_counts(tokens: Column) -> Column:
-    """(term, tf) of a row's tokens, by sorting them."""
-    t = F.array_sort(tokens)
-    edges = F.filter(F.sequence(F.lit(0), F.size(t)), lambda i: (i == F.size(t)) | (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-    counts = F.transform(F.slice(edges, F.lit(1), F.size(edges) - 1), lambda i, n: F.struct(F.get(t, i).alias("term"), (F.get(edges, n + 1) - i).cast("long").alias("tf")))
-    return F.when(F.size(t) > 0, counts).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+def term_counts(rows: DataFrame, *keep: str, exact: bool = True, terms: DataFrame | None = None) -> DataFrame:
+    """A1: ``keep``, term and tf of the rows' ``text``. Besides a row with a null term for all other tokens of a
+    text (with ``terms``, a small table of term: those not in it), 0 if it has none. Counting is
+    map-side first."""
+    tokens = rows.select(*keep, F.explode_outer(raw_tokens(F.col("text"), exact)).alias("_t"))
+    fine = F.coalesce(is_term(F.col("_t")), F.lit(False))
+    tokens = tokens.select(*keep, F.when(fine, stem(F.col("_t"))).alias("_t"))
+    tokens = tokens.withColumn("term", F.col("_t")) if terms is None else tokens.join(F.broadcast(terms), F.col("_t") == F.col("term"), "left")
+    return tokens.select(*keep, "term", F.col("_t").isNotNull().cast("long").alias("_n")).groupBy(*keep, "term").agg(F.sum("_n").alias("tf"))
 
 
 class BM25Index:
@@ -52,14 +55,15 @@ class BM25Index:
         self.k1, self.b, self.exact, self.saved, self.max_terms = k1, b, exact, saved, max_terms
         self.chunks, self._held = chunks, []
         if chunks is not None:
-            self.tokens = chunks.select("chunk_id", "ord", tokenize(F.col("text"), exact).alias("tokens")).withColumn("len", F.size("tokens"))
+            self.texts = chunks.select("chunk_id", "ord", "text")
 
     def save(self, path: str, buckets: int = 64) -> None:
         """Postings in ``buckets`` folders by a hash of the term, sorted by term, and a row of facts."""
-        rows = self.tokens.select("chunk_id", "ord", "len", F.inline(term_counts(F.col("tokens"))))
+        rows, facts = self._counted(None)
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
         rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
-        self.tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"), F.lit(buckets).alias("buckets")).write.parquet(f"{path}/facts")
+        facts.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/facts")
+        self.release()
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, chunks: DataFrame | None = None, **given) -> BM25Index:
@@ -70,7 +74,7 @@ class BM25Index:
     def _of_terms(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
         """A1, A2: (chunk_id, ord, len, term, tf) of the given terms, and the one row of facts (n, avg_len)."""
         first = [r["term"] for r in terms.limit(self.max_terms + 1).collect()]
-        few = len(first) <= self.max_terms  # the size that is checked before terms go along with the code
+        few = len(first) <= self.max_terms  # the size is checked before terms are broadcast
         if self.saved:
             facts = self.spark.read.parquet(f"{self.saved}/facts")
             postings = self.spark.read.parquet(f"{self.saved}/postings")
@@ -80,15 +84,17 @@ class BM25Index:
             else:
                 postings = postings.join(terms, "term", "left_semi")
             return postings.drop("bucket"), facts.select("n", "avg_len")
-        if few:
-            slim = self.tokens.select("chunk_id", "ord", "len", F.filter("tokens", lambda t: t.isin(first)).alias("tokens")).persist()
-            self._held.append(slim)
-            rows = slim.select("chunk_id", "ord", "len", F.inline(term_counts(F.col("tokens"))))
-        else:
-            slim = self.tokens.select("chunk_id", "ord", "len", term_counts(F.col("tokens")).alias("counts")).persist()
-            self._held.append(slim)
-            rows = slim.select("chunk_id", "ord", "len", F.inline("counts")).join(terms, "term", "left_semi")
-        return rows, slim.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
+        small = terms.sparkSession.createDataFrame([(t,) for t in first], "term string") if few else None
+        rows, facts = self._counted(small)
+        return (rows if few else rows.join(terms, "term", "left_semi")), facts
+
+    def _counted(self, terms: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        slim = term_counts(self.texts, "chunk_id", "ord", exact=self.exact, terms=terms).persist()
+        self._held.append(slim)
+        lengths = slim.groupBy("chunk_id", "ord").agg(F.sum("tf").alias("len"))  # A2
+        facts = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg_len"))
+        rows = slim.where("term is not null").join(lengths, ["chunk_id", "ord"])
+        return rows.select("chunk_id", "ord", "len", "term", "tf"), facts
 
     def release(self) -> None:
         for held in self._held:

@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import chunking, evaluation, extraction, layout, retrieval
+from quire.sources.tables import read_table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+read = read_table
 
 
 def query(name: str, sql: str | None = None):
@@ -52,8 +52,8 @@ def tokens_sql(key: str, table: str) -> str:
 
 @query("A4_document_frequency", tokens_sql("doc_id", "documents") + " SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM stems GROUP BY term")
 def document_frequency(spark, d):
-    rows = read(spark, d, "documents").select(F.inline(retrieval.term_counts(T.tokenize(F.col("text"), False))))
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    rows = retrieval.term_counts(read(spark, d, "documents"), "doc_id", exact=False)
+    return rows.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 @query("A2_chunk_length", tokens_sql("doc_id", "documents") + " SELECT d.doc_id, count(s.term) AS n_tokens FROM documents d LEFT JOIN stems s ON s.id = d.doc_id GROUP BY d.doc_id")
