@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, table
+from quire.llm.common import stored_alone, table
 from quire.llm.mixing import label_domain, mix
 from quire.llm.near_dup import one_of_each
 from quire.llm.packing import pack_documents
@@ -56,7 +56,11 @@ ORACLE_SQL = None  # neither the classifier nor the signatures can be written in
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages. A stage's own tables, and what it read, are deleted when its result is written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = stored_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            last.drop()
+        docs, last = done.df, done
     return docs

@@ -10,13 +10,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.tables import read_table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+table = read_table
 
 
 def store_dir(spark: SparkSession) -> str:
@@ -69,6 +70,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
+def stored_alone(make: Callable[[], DataFrame], label: str) -> Stored:
+    """What ``make`` gives, written; all that was stored on the way to it is deleted."""
+    before = set(_written)
+    out = Stored(make(), label)
+    for path in set(_written) - before - {out.path}:
+        _delete(_written.pop(path), path)
+    return out
+
+
 HOT = 1000
 
 

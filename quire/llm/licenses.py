@@ -11,7 +11,8 @@ threshold, which is an exact bound. The best run at ``line_at`` or more is the f
 ``file_at`` or more is a license file (``file``) and speaks for its directory.
 A file without a license of its own takes that of the nearest ancestor directory with a
 license file (``inherited``). Directories are joined by path: distinct directories are
-expanded to their ancestors, so the join's size follows directories, not files.
+expanded to their ancestors, so the join's size follows directories, not files; a directory
+with over a thousandth of all files meets a broadcast and is in no one task.
 
 Cases: a null or empty text has no license of its own. Null paths inherit nothing. Of several
 license files in a directory the best score counts, then the first by license and path. Equal
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise
+from quire.llm.common import join_counted, materialise
 
 MARKERS = ("licen", "copyright", "rights reserved", "spdx", "public domain")
 # fixed values: short public license notices
@@ -202,8 +203,10 @@ def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_co
     """id, path, license, origin (header, file, inherited or null), score, license_dir."""
     found = materialise(scan(files, id_col, path, text_col, line_at, file_at).withColumn("folder", directory(F.col("path"))), "licenses")
     speaking = found.where("is_file and folder is not null").groupBy(F.col("folder").alias("above")).agg(F.min(F.struct((-F.col("score")).alias("s"), "own", "path"))["own"].alias("dir_license"))
-    folders = found.where("folder is not null").select("folder").distinct().select("folder", F.explode(ancestors(F.col("folder"))).alias("above"))
-    nearest = folders.join(speaking, "above").groupBy("folder").agg(F.max(F.struct(F.length("above").alias("n"), "above", "dir_license")).alias("x")).select("folder", F.col("x.above").alias("above"), F.col("x.dir_license").alias("dir_license"))
-    out = found.join(nearest, "folder", "left")
+    folders = materialise(found.where("folder is not null").groupBy("folder").agg(F.count(F.lit(1)).alias("files")), "folders")
+    ways = folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("above"))
+    nearest = ways.join(speaking, "above").groupBy("folder").agg(F.max(F.struct(F.length("above").alias("n"), "above", "dir_license")).alias("x")).select("folder", F.col("x.above").alias("above"), F.col("x.dir_license").alias("dir_license"))
+    nearest = materialise(folders.join(nearest, "folder", "left"), "nearest")
+    out = join_counted(found, nearest, ["folder"], "files").unionByName(found.where("folder is null"), allowMissingColumns=True)
     origin = F.when(F.col("is_file"), "file").when(F.col("own").isNotNull(), "header").when(F.col("dir_license").isNotNull(), "inherited")
     return out.select(F.col("id").alias(id_col), "path", F.coalesce("own", "dir_license").alias("license"), origin.alias("origin"), "score", F.when(origin == "inherited", F.col("above")).alias("license_dir"))

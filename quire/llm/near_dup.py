@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Stored, with_clear_names
+from quire.llm.common import Stored, join_counted, with_clear_names
 
 U = np.uint64
 WIDTH = 5
@@ -312,9 +312,9 @@ def placed(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
     """id, class_id (the least id of the class) and class_size, a row for every input row."""
-    own = placed(docs, id_col, text_col, threshold, bands, rows)
-    classes = own.groupBy("comp").agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return own.join(classes, "comp").select(id_col, "class_id", "class_size")
+    own = Stored(placed(docs, id_col, text_col, threshold, bands, rows), "placed")
+    classes = Stored(own.df.groupBy("comp").agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
+    return join_counted(own.df, classes.df, ["comp"], "class_size").select(id_col, "class_id", "class_size")
 
 
 def one_of_each(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ dealt by a hash to partitions of bounded size, each packed by best-fit decreasin
 feasible functions give a lower bound of each partition's bins. A partition that
 meets its bound is certified and keeps its bins but the emptiest; one with a gap gives
 up all bins that aren't full. What is given up is dealt anew over fewer partitions and packed
-again, until the bins meet the bound of the whole or a round brings nothing.
+again, until the bins meet the bound of the whole, one partition holds all, or ``rounds`` are over.
 
 Only counts by length (at most ``capacity``) ever meet in one place.
 

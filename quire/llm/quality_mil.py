@@ -6,13 +6,16 @@ a learned tanh layer; gated attention, softmax(w . (tanh(V h) * sigmoid(U h))),
 passages, and a logistic layer scores the weighted sum. All layers are learned together
 from document labels alone.
 
-Training takes a bounded hash sample of labelled rows (``max_labelled``) with at most
-``max_passages`` evenly spaced passages each; scoring covers every passage of every
-text, in bounded pieces, without a shuffle. The fitted arrays are some 50 kB.
+Training takes a bounded hash sample of labelled ids (``max_labelled``), and of these, in the order
+of a hash, as many as have ``max_passages`` passages together: each with all of its passages.
+Scoring covers every passage of every text, in bounded pieces, without a shuffle. The
+fitted arrays are some 50 kB.
 
 Cases: a null or empty text is one empty passage and gets a score. Without any training
 row of both labels, all score the share of label 1 (0.5 if there is none). Null ids are
-never in training. Repeated rows are scored alike. Other columns are ignored.
+never in training. Of several texts of an id one trains, of several labels the larger. Repeated
+rows are scored alike. An empty table gives an empty result. Other columns are ignored, and
+a carried column named like a result is an error.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc_fold, sampled, with_clear_names
+from quire.llm.common import crc_fold, materialise, sampled, with_clear_names
 
 PASSAGE = 1024
 CHUNK = 2048  # passages handled at once
@@ -166,20 +169,27 @@ class AttentionMIL:
         return _sigmoid((z / np.maximum(low, 1e-300)[:, None]) @ self.p["c"] + self.p["d"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, max_labelled: int = 3000, max_passages: int = 24) -> AttentionMIL:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, max_labelled: int = 3000, max_passages: int = 40_000) -> AttentionMIL:
     """From labelled rows outside the held-out fold."""
-    open_rows = labels.where(F.col(label_col).isNotNull() & (crc_fold(F.col(id_col), folds) != held)).select(F.col(id_col), F.col(label_col).cast("int").alias("_y"))
+    open_rows = labels.where(F.col(label_col).isNotNull() & (crc_fold(F.col(id_col), folds) != held)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     chosen = sampled(open_rows, id_col, max_labelled)  # at most some max_labelled rows, so the broadcast is bounded
-    train = with_clear_names(docs, id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"), "_y")
+    texts = with_clear_names(docs, id_col, text_col).join(F.broadcast(chosen), id_col)
+    train = texts.groupBy(id_col).agg(F.first("_y").alias("_y"), F.min(F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))).alias("x")).select(F.col(id_col).cast("string").alias("id"), "_y", "x.t", "x.h")
+    train = materialise(train, "mil-train")
+    size = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("t"), F.lit(0)) / PASSAGE))
+    taken, total = [], 0
+    for own, n in train.select("id", size.alias("n")).orderBy(F.xxhash64("id", F.lit("mil")), "id").collect():  # at most some max_labelled rows
+        if total + n <= max_passages:
+            taken.append(own)
+            total += n
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for key, text, y in zip(pdf["id"], pdf["t"], pdf["_y"]):
-                x = np.concatenate([x for _, x in encoded([text])])
-                x = x[np.unique(np.linspace(0, len(x) - 1, max_passages).astype(int))] if len(x) > max_passages else x
-                yield pd.DataFrame({"id": [key], "y": [y], "x": [x.tobytes()]})
+            rows = [(key, y, np.concatenate([x for _, x in encoded([text])]).tobytes()) for key, text, y in zip(pdf["id"], pdf["t"], pdf["_y"])]
+            yield pd.DataFrame(rows, columns=["id", "y", "x"])
 
-    rows = sorted((r["id"], r["y"], bytes(r["x"])) for r in train.mapInPandas(features, "id string, y int, x binary").collect())
+    rows = train.where(F.col("id").isin(taken)).mapInPandas(features, "id string, y int, x binary").collect()  # at most max_passages passages
+    rows = sorted((r["id"], r["y"], bytes(r["x"])) for r in rows)
     if not rows:
         return AttentionMIL().fit(np.empty((0, N_FEATURES)), np.empty(0, int), np.empty(0))
     xs = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in rows]
@@ -188,6 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3, max_labelled: int = 3000, carry: list[str] | None = None) -> DataFrame:
     """id, held_out, score, predicted; and the columns to carry, which may include id and text."""
+    if clash := {"held_out", "score", "predicted"} & set(carry or []):
+        raise ValueError(f"can't carry {sorted(clash)}: results have these names")
     model = fit(docs, labels, id_col, text_col, label_col, folds, held, max_labelled)
 
     @F.pandas_udf("double")

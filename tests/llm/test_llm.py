@@ -431,3 +431,234 @@ def test_near_duplicate_stage_keeps_one_row_of_each_class(spark, docs):
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (None, d)], key=str)
     cut = corpus_pipeline.repeats_stage(spark, out, "").collect()
     assert {r["text"] for r in cut} == {a, b, c, d}
+
+
+CLASH = "doc_id long, text string, {}"
+
+
+def with_clashes(spark, rows, names):
+    """(id, text) rows with further text columns of the given names."""
+    return spark.createDataFrame([(i, t, *["x"] * len(names)) for i, t in rows], CLASH.format(", ".join(f"`{n}` string" for n in names)))
+
+
+def test_repeats_of_odd_tables(spark):
+    p, q = words(60, 5), words(70, 6)
+    rows = [(1, p), (1, p), (None, q), (None, q), (2, q + " tail"), (3, None), (4, ""), (5, words(80, 9))]
+    df = with_clashes(spark, rows, ["row", "name", "span", "first", "n", "id", "at", "part", "cuts"])
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(df).collect()), key=str)
+    assert got == sorted(((i, *b) for (i, _), b in zip(rows, brute_repeats([t for _, t in rows], 200))), key=str)
+    assert repeats.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_repeats_in_very_long_texts(spark):
+    """Beyond the eight million bytes after which windows are gone through by pieces."""
+    r = np.random.default_rng(11)
+    long, p = r.integers(97, 123, 8_400_500).astype(np.uint8).tobytes().decode(), words(60, 5)
+    rows = [(1, long[:8_388_600] + p + long[8_388_600:]), (2, p + words(40, 8)), (3, long[8_400_000:])]
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(p)
+    assert got[3] == (500, 1) and got[1] == (n + 500, 2) and got[2][1] == 1 and n <= got[2][0] <= n + 3
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    a, b = words(150, 1), words(150, 2)
+    rows = [(1, a), (1, a), (None, a), (None, b), (2, b + " tail"), (3, None), (4, ""), (5, words(30_000, 9)), (6, words(30_000, 9) + " more")]
+    df = with_clashes(spark, rows, ["node", "comp", "key", "class_id", "bands", "n"])
+    got = Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == Counter([(1, 1, 3)] * 2 + [(None, 1, 3), (None, 2, 2), (2, 2, 2), (3, 3, 2), (4, 3, 2), (5, 5, 2), (6, 5, 2)])
+    assert near_dup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_a_hot_class_and_a_hot_folder_keep_all_rows(spark):
+    a = words(60, 1)
+    df = spark.createDataFrame([(i, a if i % 2 else words(60, 100 + i)) for i in range(300)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {i: (1, 150) if i % 2 else (i, 1) for i in range(300)}
+    files = [(0, "a/LICENSE", "Released under the MIT License.")] + [(i, f"a/b/{i}.txt" if i % 3 else f"c{i}/{i}.txt" if i % 2 else None, "code") for i in range(1, 200)]
+    rows = licenses.license_scan(spark.createDataFrame(files, "doc_id long, path string, text string"), F.col("path")).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(range(200))
+    assert all((r["license"] == "MIT") == (r["doc_id"] == 0 or r["doc_id"] % 3 != 0) for r in rows)
+
+
+def test_licenses_of_odd_tables(spark):
+    df = with_clashes(spark, [(1, "Released under the MIT License."), (None, None), (None, None), (2, words(50_000, 3) + "\n# Licensed under CC BY 4.0.\n" + words(50_000, 4))], ["folder", "own", "score", "files", "above", "license"])
+    got = sorted(((r["doc_id"], r["license"], r["origin"]) for r in licenses.license_scan(df, F.concat(F.lit("d/"), F.col("doc_id").cast("string"))).collect()), key=str)
+    assert got == sorted([(1, "MIT", "file"), (2, "CC-BY-4.0", "header"), (None, None, None), (None, None, None)], key=str)
+    assert licenses.license_scan(df.limit(0), F.lit("x")).count() == 0
+
+
+def test_license_cosine_matches_dense_vectors():
+    m = licenses.Matcher()
+    vocabulary = sorted(m.idf)
+    for text in ["Licensed under the Apache License", "released under the mit license . mit", "all rights reserved by nobody", "use of this source code"]:
+        own = Counter(licenses.tokens(text))
+        dense = np.array([own[w] * m.idf[w] for w in vocabulary])
+        outside = sum((n * m.top) ** 2 for w, n in own.items() if w not in m.idf)
+        scores = []
+        for name, ws in m.notices:
+            t = np.array([Counter(ws)[w] * m.idf[w] for w in vocabulary])
+            scores.append((round(float(t @ dense / np.linalg.norm(t) / np.sqrt(dense @ dense + outside)), 9), name))
+        top = max(s for s, _ in scores)
+        name, score = m.best(own)
+        assert abs(score - top) < 1e-6 and (top, name) in scores
+
+
+def test_urls_of_odd_tables(spark):
+    rules, listed = queries.url_rows(spark, queries.RULES), queries.url_rows(spark, queries.LISTED)
+    urls = ["http://h.com/", "http://h.com/", None, "http://" + "a." * 50_000 + "spam-farm.example.org/x", "http://" + "b" * 100_000, "x://net" + "/fr/" * 20_000]
+    names = ["host", "key", "verdict", "rule", "host_len", "_hits", "listed"]
+    df = spark.createDataFrame([(i // 2, u, *["k"] * len(names)) for i, u in enumerate(urls)], "page_id long, url string, " + ", ".join(f"`{n}` string" for n in names))
+    got = Counter((r["page_id"], r["rule"], r["verdict"], r["listed"]) for r in url_filter.url_filter(df, rules, listed).collect())
+    assert got == Counter([(0, "com/", "allow", None)] * 2 + [(1, None, "allow", None), (1, None, "block", "spam-farm.example.org/"), (2, None, "allow", None), (2, "net/fr/", "block", None)])
+    assert url_filter.url_filter(df.limit(0), rules, listed).count() == 0
+    assert {r["verdict"] for r in url_filter.url_filter(df, rules.limit(0), listed.limit(0)).collect()} == {"allow"} == {r["verdict"] for r in url_filter.url_filter(df, rules.limit(0)).collect()}
+    ties = queries.url_rows(spark, [("h.com", "/", "block"), ("h.com", "/", "allow"), ("com", "/", "block")])
+    assert {(r["rule"], r["verdict"]) for r in url_filter.url_filter(df.where("page_id = 0"), ties).collect()} == {("h.com/", "allow")}
+    # with a full filter, and without a broadcast, the answers are the same
+    many = queries.url_rows(spark, [*queries.LISTED, *[(f"h{i}.org", "/", "block") for i in range(300)]])
+    seen = lambda **given: Counter((r["page_id"], r["rule"], r["verdict"], r["listed"]) for r in url_filter.url_filter(df, rules, many, **given).collect())
+    assert seen() == seen(broadcast_rows=0) == got
+
+
+def test_packing_of_odd_tables(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    df = with_clashes(spark, [(1, "a b"), (1, "a b"), (None, None), (None, "c"), (2, words(4000, 5))], ["piece", "start", "length", "sequence_id", "_item", "ids"])
+    rows = packing.pack_documents(df, path).collect()
+    assert Counter((r["doc_id"], r["piece"]) for r in rows if r["doc_id"] != 2) == Counter([(1, 0)] * 2 + [(None, 0)] * 2)
+    own = sorted((r for r in rows if r["doc_id"] == 2), key=lambda r: r["piece"])
+    assert all(r["length"] == 1024 for r in own[1:]) and [r["start"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist()
+    assert packing.pack_documents(df.limit(0), path).count() == 0
+
+
+def test_distance_matches_brute_force():
+    """Out-of-place distances by their definition, over dictionaries."""
+    texts = {"en": "the river and the light of the stone", "de": "der fluss und das licht auf dem stein", "fr": "la pierre et la lumière de la rivière"}
+    ranked = {n: language.profile(t).tolist() for n, t in texts.items()}
+    profiles = language.Profiles(ranked)
+    for text in [*texts.values(), "stone und pierre", "licht", "x"]:
+        own = language.profile(text).tolist()
+        distance = {n: sum(min(abs(r.index(c) - i), language.SIZE) if c in r else language.SIZE for i, c in enumerate(own)) for n, r in ranked.items()}
+        best = min(sorted(distance), key=distance.get)
+        name, score = profiles.predict(text)
+        assert name == best and abs(score - (1 - distance[best] / (language.SIZE * len(own)))) < 1e-12
+
+
+def test_language_of_odd_tables(spark):
+    rows = [(i, ("the light " if i % 2 else "das licht ") * 5, "en" if i % 2 else "de", "x") for i in range(40)] + [(1, "the light", "en", "x")] * 2 + [(None, "das licht", "de", "x"), (None, None, None, "x"), (7, "the " * 100_000, "en", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    got = language.language_id(df).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows) and {r["lang_pred"] for r in got if r["doc_id"] == 1} == {"en"}
+    assert language.language_id(df.limit(0)).count() == 0
+    tie = language.Profiles({"b": [1, 2], "a": [1, 2]})
+    assert tie.names == ["a", "b"] and int(np.argmin([3, 3])) == 0
+
+
+def test_quality_classifier_of_odd_tables(spark, docs):
+    rows = [(i, words(150, i) if i % 2 else words(150, i).upper()) for i in range(60)] + [(1, words(150, 1))] * 3 + [(None, "x"), (None, None), (2, words(60_000, 3).upper())]
+    df = with_clashes(spark, rows, ["score", "predicted", "held_out", "_y", "t", "h"])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    got = quality_mil.quality(df, labels).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert quality_mil.quality(df.limit(0), labels).count() == 0
+    with pytest.raises(ValueError, match="score"):
+        quality_mil.quality(df, labels, carry=["score"])
+
+
+def test_classifier_trains_on_whole_documents(spark):
+    """What earns the label may be in any one passage of a long text."""
+    r, rows, labels = random.Random(3), [], []
+    for i in range(160):
+        parts = [words(100, 1000 + 40 * i + j) for j in range(30)]
+        if i % 2:
+            parts[r.randrange(30)] = "#!# $$$ " * 130
+        rows.append((i, " ".join(parts)))
+        labels.append((i, i % 2, 0))
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality_mil.quality(df, known, threshold=0.5).collect()
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got if r["held_out"]]) > 0.9
+
+
+def test_scores_match_the_formula():
+    """The gated attention of one bag, written out."""
+    model = quality_mil.AttentionMIL()
+    model.p["w"] = np.random.default_rng(2).normal(0, 1, len(model.p["w"]))
+    x = np.concatenate([x for _, x in quality_mil.encoded([words(900, 4)])]).astype(np.float64)
+    h = [np.tanh(v @ model.p["W"] + model.p["b"]) for v in x]
+    e = [np.exp(model.p["w"] @ (np.tanh(v @ model.p["V"]) / (1 + np.exp(-(v @ model.p["U"]))))) for v in h]
+    z = sum(a * v for a, v in zip(e, h)) / sum(e)
+    assert np.allclose(model.score([words(900, 4)]), 1 / (1 + np.exp(-(z @ model.p["c"] + model.p["d"][0]))))
+
+
+def test_rates_match_dense_least_squares(spark):
+    """The rates nearest to 1, nonnegative, that meet the targets: against a dense projected descent."""
+    r = np.random.default_rng(8)
+    p, n = r.dirichlet((2, 1, 1), 60), r.integers(20, 200, 60).astype(float)
+    soft = spark.createDataFrame([(int(a), [float(y) for y in x]) for a, x in zip(n, p)], "n_tokens long, p array<double>")
+    g, targets, _ = mixing.solve(soft, [0.6, 0.3, 0.1], within=1e-9)
+    rates = np.clip(1 - p @ np.array(g), 0, mixing.MOST)
+    a = (p * n[:, None]).T  # totals are a @ rates
+    x, scale = np.ones(60), 1 / n.max()
+    dual = np.zeros(3)
+    for _ in range(200_000):  # dual ascent on sum n (x - 1)^2 / 2 with a x = targets, x >= 0
+        x = np.clip(1 - p @ dual, 0, mixing.MOST)
+        dual += scale / 60 * (a @ x - targets)
+    assert np.allclose(a @ x, targets, rtol=1e-5) and np.allclose(rates, x, atol=1e-3)
+
+
+def test_mixing_of_odd_tables(spark):
+    labels = spark.createDataFrame([(i, "clean" if i % 2 else "toxic") for i in range(20)], "doc_id long, domain string")
+    rows = [(i, words(100, i) + (" foul" * 30 if i % 2 == 0 else "")) for i in range(20)] + [(1, words(100, 1))] * 3 + [(None, "x y"), (None, None), (30, words(40_000, 5))]
+    df = with_clashes(spark, rows, ["bucket", "_words", "n_tokens", "p", "rate", "copies", "domain", "_a"])
+    got = mixing.mix(df, labels, {"clean": 0.8, "toxic": 0.2}, repeat=4.0).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    assert len({(r["rate"], r["copies"]) for r in got if r["doc_id"] == 1}) == 1
+    assert mixing.mix(df.limit(0), labels).count() == 0
+
+
+def write_labels(spark, path, rows):
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+
+
+def test_pipeline_loses_no_text_but_by_its_rules(spark, docs, tmp_path):
+    """Repeated rows, null ids, empty and very long texts through the whole pipeline: of each distinct good
+    text one copy survives, whole."""
+    import corpus_pipeline
+
+    good = [words(120, i) for i in range(60)]
+    bad = [words(120, 200 + i).upper().replace(" ", " ### ") for i in range(60)]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(0, good[0])] * 2 + [(None, good[1]), (None, words(120, 500)), (None, words(120, 500)), (900, words(8000, 501)), (901, words(120, 502)), (902, words(120, 502) + " tail"), (903, "")]
+    df = docs(*[t for _, t in rows], ids=[i for i, _ in rows])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    write_labels(spark, tmp_path, [(i, int(i < 60), 0) for i in range(120)])
+    stage = df
+    for name, f in corpus_pipeline.STAGES[:4]:
+        stage = f(spark, stage, str(tmp_path))
+        assert stage.columns == corpus_pipeline.COLUMNS, name
+    texts = Counter(r["text"] for r in stage.collect())
+    for t in [*good, words(120, 500), words(8000, 501), words(120, 502)]:
+        assert texts[t] == 1
+    assert not set(bad) & set(texts) and words(120, 502) + " tail" not in texts
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in packed if r["doc_id"] is not None and r["piece"] == 0)[0] == 1
+    assert sum(r["doc_id"] is None and r["piece"] == 0 for r in packed) == 1 and any(r["doc_id"] == 900 and r["piece"] > 0 for r in packed)
+
+
+def test_pipeline_of_empty_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    write_labels(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_deletes_what_it_stored(spark, docs, tmp_path):
+    import corpus_pipeline
+    from quire.llm import common
+
+    docs(*[words(100, i) for i in range(20)]).write.parquet(f"{tmp_path}/documents.parquet")
+    write_labels(spark, tmp_path, [(i, i % 2, 0) for i in range(20)])
+    before = set(common._written)
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(common._written) - before) == 1
