@@ -59,9 +59,16 @@ def normalize_list(values: Column, exact: bool = False) -> Column:
     return F.array_join(F.sort_array(F.filter(F.transform(values, lambda v: normalize_text(v, exact)), lambda v: v != "")), " | ")
 
 
+def shortest(number: Column) -> Column:
+    """A double in the fewest digits that give it back; a cast to string may take more before Java 19."""
+    real = number.cast("double")
+    tries = [F.format_string(f"%.{digits}e", real) for digits in (14, 15, 16)]
+    return F.coalesce(*[F.when(t.cast("double") == real, t) for t in tries[:2]], tries[2])
+
+
 def canonical_number(number: Column) -> Column:
     """SC2: all digits, no exponent, no trailing zeros, no negative zero."""
-    plain = F.lower(number.cast("string"))
+    plain = F.lower(F.when(F.typeof(number) == "double", shortest(number)).otherwise(number.cast("string")))
     sign = F.when(plain.startswith("-"), "-").otherwise("")
     mantissa = F.regexp_replace(F.substring_index(plain, "e", 1), "^-", "")
     power = F.when(plain.contains("e"), F.substring_index(plain, "e", -1)).otherwise("0").try_cast("int")

@@ -173,7 +173,7 @@ def answer(questions: DataFrame, index: BM25Index, top_k: int = 5, min_score: fl
 def relevant_chunks(queries: DataFrame, chunks: DataFrame, stem_of=None) -> DataFrame:
     """Chunks of a relevant document with one of the phrases; all of the document's if none has."""
     stem_of = stem_of if stem_of is not None else F.regexp_replace("file_name", "\\.[^.]*$", "")
-    squeezed = lambda t: F.regexp_replace(F.lower(t), "(?U)\\s+", " ")
+    squeezed = lambda t: F.trim(F.regexp_replace(F.lower(t), "(?U)\\s+", " "))
     pairs = queries.select("query_id", "relevant_phrases", F.explode("relevant_documents").alias("stem")).join(chunks.withColumn("stem", stem_of), "stem")
     hit = F.exists("relevant_phrases", lambda p: squeezed(F.col("text")).contains(squeezed(p)))
     pairs = pairs.withColumn("hit", hit).withColumn("any_hit", F.max("hit").over(Window.partitionBy("query_id")))

@@ -1,7 +1,7 @@
 """The engine's operators as queries over the driver's tables, with SQL that gives the same rows.
 
 Documents stand for chunks, benchmark items for questions, events for latency samples, line items for
-evidence, orders for records. All queries read whole tables.
+evidence and for blocks of pages, orders for records and contracts. All queries read whole tables.
 """
 
 from __future__ import annotations
@@ -12,16 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import chunking, evaluation, extraction, layout, retrieval
-from quire.sources.tables import read_table
+from quire.operators import chunking, evaluation, extraction, layout, records, retrieval
+from quire.plans import sql as S
+from quire.sources import ocr
+from quire.sources.tables import read_table as read
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-read = read_table
-
-
 def query(name: str, sql: str | None = None):
     def add(f):
         Q[name] = f
@@ -32,103 +31,139 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-IRREGULAR_SQL = " ".join(f"WHEN t = '{a}' THEN '{b}'" for a, b in T.IRREGULAR.items())
-TOKENS_SQL = """
-WITH raw AS (SELECT {key} AS id, unnest(regexp_extract_all(lower({text}), '{pattern}')) AS t FROM {table}),
-kept AS (SELECT id, t FROM raw WHERE length(t) > 1 AND t NOT IN ({stop})),
-stems AS (SELECT id, CASE {irregular}
-  WHEN t LIKE '%ies' AND length(t) > 4 THEN left(t, length(t) - 3) || 'y'
-  WHEN t LIKE '%ing' AND length(t) > 5 THEN left(t, length(t) - 3)
-  WHEN t LIKE '%ed' AND length(t) > 4 THEN left(t, length(t) - 2)
-  WHEN regexp_matches(t, '(sses|xes|zes|ches|shes)$') AND length(t) > 4 THEN left(t, length(t) - 2)
-  WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND length(t) > 3 THEN left(t, length(t) - 1)
-  ELSE t END AS term FROM kept)"""
+def _joined(values) -> F.Column:
+    return F.array_join(values, ",")
 
 
-def tokens_sql(key: str, table: str) -> str:
-    return TOKENS_SQL.format(key=key, table=table, text="text", pattern=T.TOKEN.replace("'", "''"), stop=STOP_SQL, irregular=IRREGULAR_SQL)
+# texts
 
 
-@query("A4_document_frequency", tokens_sql("doc_id", "documents") + " SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM stems GROUP BY term")
+@query("A4_document_frequency", f"WITH {S.token_rows('doc_id', 'documents')} SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM stems GROUP BY term")
 def document_frequency(spark, d):
-    rows = retrieval.term_counts(read(spark, d, "documents"), "doc_id", exact=False)
+    rows = retrieval.term_counts(read(spark, d, "documents"), "doc_id")
     return rows.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("A2_chunk_length", tokens_sql("doc_id", "documents") + " SELECT d.doc_id, count(s.term) AS n_tokens FROM documents d LEFT JOIN stems s ON s.id = d.doc_id GROUP BY d.doc_id")
+@query("A2_chunk_length", f"SELECT doc_id, len({S.tokens('text')}) AS n_tokens FROM documents")
 def chunk_length(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.size(T.tokenize(F.col("text"), False)).cast("long").alias("n_tokens"))
+    return read(spark, d, "documents").select("doc_id", F.size(T.tokenize(F.col("text"))).cast("long").alias("n_tokens"))
 
 
-def _chunks(spark, d):
-    docs = read(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.array(F.lit(1)).alias("pages"), F.array(F.col("doc_id").cast("string")).alias("block_ids"), "text", F.col("doc_id").alias("ord"))
+@query("SC1_normalize_text", f"SELECT doc_id, {S.normal('text')} AS normal FROM documents")
+def normalize(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normal"))
 
 
-BM25_SQL = tokens_sql("doc_id", "documents").rstrip() + """,
-asked AS (SELECT DISTINCT item_id, term FROM (""" + tokens_sql("item_id", "benchmark").strip() + """ SELECT id AS item_id, term FROM stems)),
-lens AS (SELECT d.doc_id AS id, count(s.term) AS len FROM documents d LEFT JOIN stems s ON s.id = d.doc_id GROUP BY d.doc_id),
-facts AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
-tf AS (SELECT id, term, count(*) AS tf FROM stems GROUP BY id, term),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-scored AS (SELECT a.item_id AS query_id, tf.id AS chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) AS score
-  FROM asked a JOIN tf USING (term) JOIN df USING (term) JOIN lens ON lens.id = tf.id CROSS JOIN facts GROUP BY a.item_id, tf.id),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
-SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 5"""
+def _typed(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.col("p_size").alias("whole"), (F.col("p_retailprice").cast("decimal(12,2)") * F.lit("1000000.000001").cast("decimal(13,6)")).alias("decimal"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("-"), F.col("p_size"), F.lit("e-12"))).otherwise(F.concat("p_size", F.lit("e21"))).cast("double").alias("real"), (F.col("p_size") > 25).alias("flag"), F.split("p_name", " ").alias("words"), F.create_map(F.lit("Brand"), F.col("p_brand")).alias("pairs"))
 
 
-@query("R4_bm25_search", BM25_SQL)
-def bm25_search(spark, d):
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    hits = retrieval.BM25Index(_chunks(spark, d), exact=False).search(asked, 5)
-    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+@query(
+    "SC2_canonical_number",
+    """SELECT p_partkey, CAST(p_size AS VARCHAR) AS whole,
+  regexp_replace(regexp_replace(CAST(CAST(p_retailprice AS DECIMAL(12, 2)) * CAST('1000000.000001' AS DECIMAL(13, 6)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') AS "decimal",
+  CASE WHEN p_partkey % 3 = 0 THEN '-' || regexp_replace(CAST(CAST(p_size AS DECIMAL(18, 0)) * CAST('0.000000000001' AS DECIMAL(13, 12)) AS VARCHAR), '0+$', '') ELSE p_size || repeat('0', 21) END AS real FROM part""",
+)
+def canonical(spark, d):
+    return _typed(spark, d).select("p_partkey", *[T.canonical_number(F.col(c)).alias(c) for c in ("whole", "decimal", "real")])
 
 
-@query("R6_cited_answers")
-def cited_answers(spark, d):
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return retrieval.answer(asked, retrieval.BM25Index(_chunks(spark, d), exact=False))
+@query("P9_substantive", """SELECT p_partkey, true AS flag, true AS whole, len(list_filter(string_split(p_name, ' '), lambda w: w LIKE '%a%')) > 0 AS words, trim(CASE WHEN p_size > 25 THEN p_name ELSE '  ' END) <> '' AS "text" FROM part""")
+def substantive(spark, d):
+    rows = _typed(spark, d).join(read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_name")).otherwise("  ").alias("text")), "p_partkey")
+    rows = rows.withColumn("words", F.filter("words", lambda w: w.contains("a")))
+    return rows.select("p_partkey", *[T.substantive(F.col(c), rows.schema[c].dataType).alias(c) for c in ("flag", "whole", "words", "text")])
+
+
+@query("SC1_typed_values", f"""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS flag, array_to_string(list_sort(list_transform(string_split(p_name, ' '), lambda w: {S.normal('w')})), ' | ') AS words, 'brand ' || {S.normal('p_brand')} AS pairs FROM part""")
+def typed_values(spark, d):
+    rows = _typed(spark, d)
+    return rows.select("p_partkey", *[T.normalize_typed(F.col(c), rows.schema[c].dataType).alias(c) for c in ("flag", "words", "pairs")])
 
 
-@query("SC12_passages")
+@query("SC12_passages", S.PASSAGES)
 def passage_rows(spark, d):
     return read(spark, d, "documents").select("doc_id", F.posexplode(T.passages(F.col("text"))).alias("pos", "passage"))
 
 
-@query("SC1_normalize_text", "SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '[\\p{P}\\p{Z}]', ' ', 'g'), '\\s+', ' ', 'g')) AS normal FROM benchmark")
-def normalize(spark, d):
-    return read(spark, d, "benchmark").select("item_id", T.normalize_text(F.col("text"), False).alias("normal"))
+# retrieval
 
 
-@query("SC2_canonical_number", "SELECT p_partkey, CASE WHEN contains(s, '.') THEN regexp_replace(s, '\\.?0+$', '') ELSE s END AS number FROM (SELECT p_partkey, CAST(CAST(p_size AS DECIMAL(38, 12)) AS VARCHAR) AS s FROM part)")
-def canonical(spark, d):
-    return read(spark, d, "part").select("p_partkey", T.canonical_number(F.col("p_size")).alias("number"))
+def _chunks(spark, d):
+    docs = read(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.array(F.lit(1)).alias("pages"), F.array(F.col("doc_id").cast("string")).alias("block_ids"), "text", F.col("doc_id").alias("ord"))
+
 
+@query("R4_bm25_search", S.BM25)
+def bm25_search(spark, d):
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    hits = retrieval.BM25Index(_chunks(spark, d)).search(asked, 5)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("R6_cited_answers", S.ANSWERS)
+def cited_answers(spark, d):
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    found = retrieval.answer(asked, retrieval.BM25Index(_chunks(spark, d)))
+    cite = F.transform("citations", lambda c: F.concat_ws("|", c["source_id"].cast("string"), c["document_id"], c["file_name"], c["page"].cast("string"), _joined(c["block_ids"])))
+    return found.select("query_id", "question", "answer", F.array_join(cite, ";").alias("cited"), "abstained")
 
-ASCII_SQL = "WITH ascii AS (SELECT item_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM benchmark) "
+
+@query(
+    "J8_relevant_chunks",
+    """WITH q AS (SELECT item_id AS query_id, 'src' || item_id % 20 AS stem, [substr(text, 1, 6), 'zzz zzz'] AS phrases FROM benchmark),
+p AS (SELECT q.query_id, d.doc_id AS chunk_id, len(list_filter(phrases, lambda p: contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(p), '\\s+', ' ', 'g'))))) > 0 AS hit FROM q JOIN documents d ON d.source = q.stem)
+SELECT query_id, chunk_id FROM p QUALIFY hit OR NOT max(hit) OVER (PARTITION BY query_id)""",
+)
+def relevant_chunks(spark, d):
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("relevant_documents"), F.array(F.substring("text", 1, 6), F.lit("zzz zzz")).alias("relevant_phrases"))
+    return retrieval.relevant_chunks(asked, _chunks(spark, d))
+
+
+# recognition
 
 
 def _next_item(spark, d):
-    b = read(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", "[^\\x00-\\x7F]", "?"))  # the SQL's distance counts bytes
+    b = read(spark, d, "benchmark")
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("predicted_text"))
     return b.join(nxt, "item_id").select(F.col("item_id").alias("case_id"), F.col("text").alias("reference_text"), "predicted_text")
 
 
-@query("SC9_character_errors", ASCII_SQL + "SELECT a.item_id AS case_id, CAST(levenshtein(a.text, b.text) AS INTEGER) AS character_errors, levenshtein(a.text, b.text) / length(a.text) AS cer FROM ascii a JOIN ascii b ON b.item_id = a.item_id + 1")
-def character_errors(spark, d):
-    return evaluation.ocr_by_case(_next_item(spark, d)).select("case_id", "character_errors", "cer")
-
-
-@query("SC10_ocr_metrics")
+@query("SC10_ocr_metrics", S.OCR_METRICS)
 def ocr_metrics(spark, d):
     return evaluation.ocr_by_case(_next_item(spark, d))
 
 
-@query("A12_ocr_summary", ASCII_SQL + "SELECT CAST(sum(levenshtein(a.text, b.text)) AS BIGINT) AS character_errors, CAST(sum(length(a.text)) AS BIGINT) AS reference_characters, sum(levenshtein(a.text, b.text)) / sum(length(a.text)) AS cer FROM ascii a JOIN ascii b ON b.item_id = a.item_id + 1")
+@query("A12_ocr_summary", S.OCR_SUMMARY)
 def ocr_summary(spark, d):
-    return evaluation.ocr_summary(evaluation.ocr_by_case(_next_item(spark, d))).select("character_errors", "reference_characters", "cer")
+    return evaluation.ocr_summary(evaluation.ocr_by_case(_next_item(spark, d)))
+
+
+@query(
+    "S11_ocr_lines",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS doc, l_linenumber AS page, 0 AS pos, CASE WHEN l_partkey % 6 = 5 THEN 'x' ELSE 'part ' || l_partkey END AS text, 10.0 * l_linenumber AS x0, 5.0 AS y0, 10.0 * l_linenumber + 8 AS x1, 25.0 AS y1,
+  CASE WHEN l_partkey % 6 = 5 THEN 0.0 WHEN l_partkey % 6 = 1 AND l_quantity <= 1 THEN l_quantity ELSE l_quantity / 100 END AS confidence FROM lineitem""",
+)
+def ocr_lines(spark, d):
+    li = read(spark, d, "lineitem")
+    x0, text, score = F.col("l_linenumber") * 10.0, F.concat(F.lit("part "), F.col("l_partkey").cast("string")), F.col("l_quantity") / 100
+    corners = F.array(F.array(x0 + 8, F.lit(5.0)), F.array(x0, F.lit(5.0)), F.array(x0, F.lit(25.0)), F.array(x0 + 8, F.lit(25.0)))
+    flat, as_json = F.array(x0, F.lit(5.0), x0 + 8, F.lit(25.0)), lambda c: F.to_json(c)
+    shapes = [
+        as_json(F.struct(F.array(corners).alias("dt_polys"), F.array(text).alias("rec_texts"), F.array(score).alias("rec_scores"))),
+        as_json(F.struct(F.array(F.struct(flat.alias("points"), text.alias("label"), F.col("l_quantity").alias("prob"))).alias("ocr_result"))),
+        F.concat(F.lit("[["), F.lit("["), as_json(corners), F.lit(","), as_json(F.array(text)), F.lit("]"), F.lit("]]")),
+        as_json(F.struct(F.struct(x0.alias("left"), F.lit(5.0).alias("top"), (x0 + 8).alias("right"), F.lit(25.0).alias("bottom")).alias("bbox"), text.alias("rec_text"), score.cast("string").alias("rec_score"))),
+        as_json(F.struct(F.array(flat, F.array(x0)).alias("polys"), F.array(text, F.lit("no box")).alias("txts"), F.array(score).alias("confidences"))),
+        as_json(F.array(F.struct(flat.alias("box"), F.lit(" x ").alias("text"), F.lit("much").alias("score")))),
+    ]
+    # a row of [box, text, score]: JSON arrays of mixed kinds are put together as text
+    shapes[2] = F.concat(F.lit("[[["), as_json(corners), F.lit(',"'), text, F.lit('",'), score.cast("string"), F.lit("]],[0.1,0.2]]"))
+    raw = li.select(F.col("l_orderkey").cast("string").alias("doc"), F.col("l_linenumber").alias("page"), F.coalesce(*[F.when(F.col("l_partkey") % 6 == i, s) for i, s in enumerate(shapes)]).alias("payload"))
+    return ocr.normalize(raw).select("doc", "page", "pos", "text", "bbox.*", F.round("confidence", 9).alias("confidence"))
+
 
+# latency
 
 LATENCY = """count(value) AS "count", coalesce(sum(value), 0.0) AS total, min(value) AS min, avg(value) AS mean, quantile_cont(value, 0.5) AS median,
   quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, max(value) AS max"""
@@ -143,33 +178,41 @@ def latency(spark, d):
     return out.withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 8)).withColumn("median", F.round("median", 8))
 
 
-def _gold_flags(spark, d):
-    return read(spark, d, "labels").select(F.col("doc_id").alias("case_id"), F.explode(F.array(F.struct(F.lit("quality").alias("field"), F.col("quality").cast("string").alias("value")), F.struct(F.lit("toxic").alias("field"), F.col("toxic").cast("string").alias("value")))).alias("x")).select("case_id", "x.*")
+# extraction scores
 
 
-def _predicted_flags(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.lit("quality").alias("field"), F.when(F.col("n_chars") >= 400, "1").otherwise("0").alias("value"))
+def _gold_values(spark, d):
+    return read(spark, d, "part").select(F.col("p_partkey").alias("case_id"), F.lit("name").alias("field"), F.col("p_name").alias("value")).unionAll(read(spark, d, "labels").select("doc_id", F.lit("quality"), F.col("quality").cast("string")))
 
 
-FLAGS_SQL = """WITH g AS (SELECT doc_id AS case_id, 'quality' AS field, CAST(quality AS VARCHAR) AS value FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS VARCHAR) FROM labels),
-p AS (SELECT doc_id AS case_id, 'quality' AS field, CASE WHEN n_chars >= 400 THEN '1' ELSE '0' END AS value FROM documents),
-s AS (SELECT case_id, field, CAST(coalesce(g.value, '') = coalesce(p.value, '') AS DOUBLE) AS score FROM g FULL JOIN p USING (case_id, field))"""
+def _predicted_values(spark, d):
+    guess = F.concat_ws(", ", F.upper(F.split("p_name", " ")[0]), F.split("p_name", " ")[0], F.lit("Extra"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("case_id"), F.lit("name").alias("field"), guess.alias("value")).unionAll(read(spark, d, "documents").select("doc_id", F.lit("quality"), F.when(F.col("n_chars") >= 400, "1").otherwise("0")))
 
 
-@query("J4_field_scores", FLAGS_SQL + " SELECT case_id, field, score AS exact_match, score AS token_f1 FROM s")
+_GUESS = "upper(string_split(p_name, ' ')[1]) || ', ' || string_split(p_name, ' ')[1] || ', Extra'"
+VALUES_SQL = f"""WITH g AS (SELECT p_partkey AS case_id, 'name' AS field, p_name AS value FROM part UNION ALL SELECT doc_id, 'quality', CAST(quality AS VARCHAR) FROM labels),
+p AS (SELECT p_partkey AS case_id, 'name' AS field, {_GUESS} AS value FROM part UNION ALL SELECT doc_id, 'quality', CASE WHEN n_chars >= 400 THEN '1' ELSE '0' END FROM documents),
+n AS (SELECT case_id, field, {S.normal("coalesce(g.value, '')")} AS a, {S.normal("coalesce(p.value, '')")} AS b FROM g FULL JOIN p USING (case_id, field)),
+w AS (SELECT case_id, field, a, b, list_filter(string_split(a, ' '), lambda x: x <> '') AS aw, list_filter(string_split(b, ' '), lambda x: x <> '') AS bw FROM n),
+s AS (SELECT case_id, field, CAST(a = b AS DOUBLE) AS exact_match, CASE WHEN len(aw) = 0 AND len(bw) = 0 THEN 1.0 WHEN len(aw) = 0 OR len(bw) = 0 THEN 0.0
+  ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(aw), lambda x: least(len(list_filter(aw, lambda y: y = x)), len(list_filter(bw, lambda y: y = x))))), 0) / (len(aw) + len(bw)) END AS token_f1 FROM w)"""
+
+
+@query("J4_field_scores", VALUES_SQL + " SELECT case_id, field, exact_match, CAST(token_f1 AS DOUBLE) AS token_f1 FROM s")
 def field_scores(spark, d):
-    return evaluation.field_scores(_gold_flags(spark, d), _predicted_flags(spark, d), False)
+    return evaluation.field_scores(_gold_values(spark, d), _predicted_values(spark, d))
 
 
-@query("A9_extraction_summary", FLAGS_SQL + " SELECT field, avg(score) AS exact_match, avg(score) AS token_f1, count(*) AS n FROM s GROUP BY field UNION ALL SELECT '<all>', avg(score), avg(score), count(*) FROM s")
+@query("A9_extraction_summary", VALUES_SQL + " SELECT field, avg(exact_match) AS exact_match, round(avg(token_f1), 9) AS token_f1, count(*) AS n FROM s GROUP BY field UNION ALL SELECT '<all>', avg(exact_match), round(avg(token_f1), 9), count(*) FROM s")
 def extraction_summary(spark, d):
-    return evaluation.extraction_summary(evaluation.field_scores(_gold_flags(spark, d), _predicted_flags(spark, d), False))
+    return evaluation.extraction_summary(field_scores(spark, d)).withColumn("token_f1", F.round("token_f1", 9))
 
 
-@query("A8_extraction_by_case", FLAGS_SQL + " SELECT case_id, avg(score) AS exact_match, avg(score) AS token_f1, count(*) AS fields FROM s GROUP BY case_id")
+@query("A8_extraction_by_case", VALUES_SQL + " SELECT c.doc_id AS case_id, coalesce(avg(exact_match), 1.0) AS exact_match, round(coalesce(avg(token_f1), 1.0), 9) AS token_f1, count(field) AS fields FROM (SELECT doc_id FROM documents UNION ALL SELECT -1) c LEFT JOIN s ON s.case_id = c.doc_id GROUP BY c.doc_id")
 def extraction_by_case(spark, d):
-    cases = read(spark, d, "documents").select(F.col("doc_id").alias("case_id"))
-    return evaluation.extraction_by_case(evaluation.field_scores(_gold_flags(spark, d), _predicted_flags(spark, d), False), cases)
+    cases = read(spark, d, "documents").select(F.col("doc_id").alias("case_id")).unionAll(spark.sql("SELECT CAST(-1 AS BIGINT)"))
+    return evaluation.extraction_by_case(field_scores(spark, d), cases).withColumn("token_f1", F.round("token_f1", 9))
 
 
 @query("J2_unexpected_ids", "SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -177,122 +220,382 @@ def unexpected_ids(spark, d):
     return evaluation.unexpected(read(spark, d, "labels").select(F.col("doc_id").alias("id")), read(spark, d, "documents").select(F.col("doc_id").alias("id")))
 
 
+@query("J1_pairs", "SELECT g.p_partkey AS id, 'd' || d.doc_id AS got FROM part g LEFT JOIN documents d ON d.doc_id = g.p_partkey")
+def pairs_by_id(spark, d):
+    gold = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("pos"))
+    got = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("pos"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("v"))
+    return evaluation.pair_records(gold, got).select("id", F.col("predicted.v").alias("got"))
+
+
+@query("J3_positions", "SELECT 'pair' AS way, g.l_linenumber AS id, p.l_linenumber AS got FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_returnflag = 'R') g LEFT JOIN (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_linestatus = 'F') p USING (pos) UNION ALL SELECT 'surplus', 0, l_linenumber FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_linestatus = 'F') WHERE pos >= (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R')")
+def pairs_by_position(spark, d):
+    place = F.row_number().over(evaluation.Window.orderBy("l_orderkey", "l_linenumber")) - 1  # the fixture's positions
+    side = lambda where: read(spark, d, "lineitem").where(where).select(F.col("l_linenumber").alias("id"), place.alias("pos"))
+    gold, got = side("l_returnflag = 'R'"), side("l_linestatus = 'F'")
+    paired = evaluation.pair_records(gold, got).select(F.lit("pair").alias("way"), "id", F.col("predicted.id").alias("got"))
+    return paired.unionAll(evaluation.surplus(gold, got).select(F.lit("surplus"), F.lit(0), "id"))
+
+
+# evidence
+
+
 def _evidence(spark, d, gold: bool):
     li = read(spark, d, "lineitem").where(F.col("l_returnflag") == "R" if gold else F.col("l_linestatus") == "F")
-    return li.select(F.col("l_orderkey").alias("case_id"), F.lit("part").alias("field"), F.col("l_orderkey").cast("string").alias("document_id"), F.col("l_linenumber").alias("page"), F.col("l_partkey").cast("string").alias("block_id"))
+    rows = li.select(F.col("l_orderkey").alias("case_id"), F.lit("part").alias("field"), F.col("l_orderkey").cast("string").alias("document_id"), (F.col("l_linenumber") % 4).alias("page"), (F.col("l_partkey") % 50).cast("string").alias("block_id"))
+    return rows if gold else rows.unionAll(rows.where("page = 1"))  # some places are predicted twice
 
 
-@query("A11_evidence_summary", """WITH g AS (SELECT DISTINCT l_orderkey AS c, l_linenumber AS page, l_partkey AS b FROM lineitem WHERE l_returnflag = 'R'),
-p AS (SELECT l_orderkey AS c, l_linenumber AS page, l_partkey AS b FROM lineitem WHERE l_linestatus = 'F'),
+EVIDENCE_SQL = """WITH g AS (SELECT DISTINCT l_orderkey AS c, l_linenumber % 4 AS page, l_partkey % 50 AS b FROM lineitem WHERE l_returnflag = 'R'),
+p1 AS (SELECT l_orderkey AS c, l_linenumber % 4 AS page, l_partkey % 50 AS b FROM lineitem WHERE l_linestatus = 'F'), p AS (SELECT * FROM p1 UNION ALL SELECT * FROM p1 WHERE page = 1),
 m AS (SELECT p.c, count(*) AS predicted, count(gp.c) AS page_correct, count(g.c) AS block_correct FROM p LEFT JOIN g ON g.c = p.c AND g.page = p.page AND g.b = p.b LEFT JOIN (SELECT DISTINCT c, page FROM g) gp ON gp.c = p.c AND gp.page = p.page GROUP BY p.c),
 v AS (SELECT o_orderkey AS c FROM orders),
 f AS (SELECT coalesce(m.c, e.c, v.c) AS c, coalesce(predicted, 0) AS predicted, coalesce(page_correct, 0) AS page_correct, coalesce(block_correct, 0) AS block_correct, coalesce(expected, 0) AS expected, v.c IS NOT NULL AS has_value
   FROM m FULL JOIN (SELECT c, count(*) AS expected FROM g GROUP BY c) e ON e.c = m.c FULL JOIN v ON v.c = coalesce(m.c, e.c))
-SELECT CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(page_correct) AS BIGINT) AS page_correct, CAST(sum(block_correct) AS BIGINT) AS block_correct, count(*) FILTER (has_value) AS "values", count(*) FILTER (has_value AND block_correct = 0) AS unsupported,
-  sum(page_correct) / sum(predicted) AS page_correctness, sum(block_correct) / sum(predicted) AS block_correctness, count(*) FILTER (has_value AND block_correct = 0) / count(*) FILTER (has_value) AS unsupported_value_rate FROM f""")
-def evidence_summary(spark, d):
+SELECT {by}CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(page_correct) AS BIGINT) AS page_correct, CAST(sum(block_correct) AS BIGINT) AS block_correct, count(*) FILTER (has_value) AS "values", count(*) FILTER (has_value AND block_correct = 0) AS unsupported,
+  CASE WHEN sum(predicted) > 0 THEN sum(page_correct) / sum(predicted) WHEN sum(expected) = 0 THEN 1.0 ELSE 0.0 END AS page_correctness, CASE WHEN sum(predicted) > 0 THEN sum(block_correct) / sum(predicted) WHEN sum(expected) = 0 THEN 1.0 ELSE 0.0 END AS block_correctness,
+  CASE WHEN count(*) FILTER (has_value) > 0 THEN count(*) FILTER (has_value AND block_correct = 0) / count(*) FILTER (has_value) ELSE 0.0 END AS unsupported_value_rate FROM f{group}"""
+
+
+def _evidence_rows(spark, d):
     values = read(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.lit("part").alias("field"), F.col("o_orderpriority").alias("value"))
-    return evaluation.evidence_summary(evaluation.evidence_by_field(_evidence(spark, d, True), _evidence(spark, d, False), values))
+    return evaluation.evidence_by_field(_evidence(spark, d, True), _evidence(spark, d, False), values)
+
 
+@query("A11_evidence_summary", EVIDENCE_SQL.format(by="", group=""))
+def evidence_summary(spark, d):
+    return evaluation.evidence_summary(_evidence_rows(spark, d))
 
-@query("R9_retrieval_metrics", """WITH r AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R'),
+
+@query("A10_evidence_by_case", EVIDENCE_SQL.format(by="c AS case_id, ", group=" GROUP BY c"))
+def evidence_by_case(spark, d):
+    return evaluation.evidence_summary(_evidence_rows(spark, d), "case_id")
+
+
+RETRIEVED_SQL = """WITH r AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R'),
 t AS (SELECT l_orderkey AS case_id, l_partkey AS item, min(l_linenumber) AS rank FROM lineitem GROUP BY ALL),
-h AS (SELECT r.case_id, count(*) AS n, count(*) FILTER (rank <= 1) / count(*) AS r1, count(*) FILTER (rank <= 3) / count(*) AS r3, count(*) FILTER (rank <= 5) / count(*) AS r5, coalesce(1 / min(rank), 0) AS mrr FROM r LEFT JOIN t USING (case_id, item) GROUP BY r.case_id)
-SELECT c.case_id, coalesce(n, 0) AS n_relevant, r1 AS recall_at_1, r3 AS recall_at_3, r5 AS recall_at_5, mrr, n IS NOT NULL AS evaluable FROM (SELECT DISTINCT l_orderkey AS case_id FROM lineitem) c LEFT JOIN h USING (case_id)""")
+h AS (SELECT r.case_id, count(*) AS n, count(*) FILTER (rank <= 1) / count(*) AS r1, count(*) FILTER (rank <= 3) / count(*) AS r3, count(*) FILTER (rank <= 5) / count(*) AS r5, coalesce(1 / min(rank), 0) AS mrr FROM r LEFT JOIN t USING (case_id, item) GROUP BY r.case_id),
+x AS (SELECT c.case_id, coalesce(n, 0) AS n_relevant, r1 AS recall_at_1, r3 AS recall_at_3, r5 AS recall_at_5, mrr, n IS NOT NULL AS evaluable FROM (SELECT DISTINCT l_orderkey AS case_id FROM lineitem) c LEFT JOIN h USING (case_id))"""
+
+
+@query("R9_retrieval_metrics", RETRIEVED_SQL + " SELECT * FROM x")
 def retrieval_metrics(spark, d):
     li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").cast("string").alias("item_id"), F.col("l_linenumber").alias("rank"), "l_returnflag")
     return evaluation.retrieval_by_case(li.where("l_returnflag = 'R'"), li)
 
 
-@query("A13_retrieval_summary")
+@query("A13_retrieval_summary", RETRIEVED_SQL + " SELECT count(*) AS queries, count(*) FILTER (evaluable) AS evaluable_queries, round(avg(recall_at_1), 9) AS recall_at_1, round(avg(recall_at_3), 9) AS recall_at_3, round(avg(recall_at_5), 9) AS recall_at_5, round(avg(mrr), 9) AS mrr FROM x")
 def retrieval_summary(spark, d):
-    return evaluation.retrieval_summary(retrieval_metrics(spark, d))
+    out = evaluation.retrieval_summary(retrieval_metrics(spark, d))
+    return out.select("queries", "evaluable_queries", *[F.round(c, 9).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")])
+
+
+def _cited(spark, d):
+    """Gold and predicted citations of each order: some by place, some by a bare source id, some of neither."""
+    li = read(spark, d, "lineitem")
+    cite = lambda bare: F.struct(F.concat(F.lit("s"), (F.col("l_partkey") % 40).cast("string")).alias("source_id"), F.when(~bare, F.concat(F.lit("d"), (F.col("l_suppkey") % 3).cast("string"))).alias("document_id"), F.when(~bare, F.col("l_linenumber") % 2).alias("page"), F.when(bare, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("b"), (F.col("l_partkey") % 5).cast("string")))).alias("block_ids"), bare.alias("is_bare"))
+    pack = lambda where, bare: F.coalesce(F.collect_list(F.when(F.expr(where), cite(bare))))
+    rows = li.groupBy(F.col("l_orderkey").alias("case_id")).agg(pack("l_returnflag = 'R'", F.lit(False)).alias("gold"), pack("l_linenumber <= 3", F.col("l_linenumber") == 2).alias("predicted"))
+    return rows.select("case_id", "gold", "predicted", (F.size("gold") == 0).alias("expected_abstention"), (F.col("case_id") % 5 == 0).alias("predicted_abstention"))
+
+
+CITED_SQL = """WITH g AS (SELECT DISTINCT l_orderkey AS c, 's' || l_partkey % 40 AS s, 'd' || l_suppkey % 3 AS d, l_linenumber % 2 AS p, 'b' || l_partkey % 5 AS b FROM lineitem WHERE l_returnflag = 'R'),
+p AS (SELECT DISTINCT l_orderkey AS c, 's' || l_partkey % 40 AS s, CASE WHEN l_linenumber <> 2 THEN 'd' || l_suppkey % 3 END AS d, CASE WHEN l_linenumber <> 2 THEN l_linenumber % 2 END AS p, CASE WHEN l_linenumber <> 2 THEN 'b' || l_partkey % 5 END AS b, l_linenumber = 2 AS bare FROM lineitem WHERE l_linenumber <= 3),
+m AS (SELECT g.c, g.s AS gs, g.d AS gd, g.p AS gp, g.b AS gb, p.s, p.d, p.p, p.b, p.bare FROM g JOIN p ON g.c = p.c AND (g.s = p.s OR (NOT p.bare AND g.d = p.d AND g.p = p.p AND g.b = p.b))),
+n AS (SELECT o.c, (SELECT count(*) FROM g WHERE g.c = o.c) AS ng, (SELECT count(*) FROM p WHERE p.c = o.c) AS np, (SELECT count(*) FROM (SELECT DISTINCT s, d, p, b, bare FROM m WHERE m.c = o.c)) AS correct, (SELECT count(*) FROM (SELECT DISTINCT gs, gd, gp, gb FROM m WHERE m.c = o.c)) AS covered FROM (SELECT DISTINCT l_orderkey AS c FROM lineitem) o),
+r AS (SELECT c, ng, CASE WHEN np > 0 THEN correct / np WHEN ng = 0 THEN 1.0 ELSE 0.0 END AS pr, CASE WHEN ng > 0 THEN covered / ng ELSE 1.0 END AS co FROM n),
+x AS (SELECT c AS case_id, pr AS citation_precision, co AS citation_completeness, CASE WHEN pr + co > 0 THEN 2 * pr * co / (pr + co) ELSE 0.0 END AS citation_f1, CAST((ng = 0) = (c % 5 = 0) AS DOUBLE) AS abstention_accuracy FROM r)"""
+CITED = ("citation_precision", "citation_completeness", "citation_f1", "abstention_accuracy")
+
+
+@query("R10_answers_by_case", CITED_SQL + " SELECT case_id, " + ", ".join(f"round({c}, 9) AS {c}" for c in CITED) + " FROM x")
+def answers_by_case(spark, d):
+    return evaluation.answers_by_case(_cited(spark, d)).select("case_id", *[F.round(c, 9).alias(c) for c in CITED])
+
+
+@query("A14_answers_summary", CITED_SQL + " SELECT " + ", ".join(f"round(avg({c}), 9) AS {c}" for c in CITED) + " FROM x")
+def answers_summary(spark, d):
+    return evaluation.answers_summary(evaluation.answers_by_case(_cited(spark, d))).select(*[F.round(c, 9).alias(c) for c in CITED])
+
+
+# records
+
+
+def _records(spark, d):
+    """A composite JSON record for each label, and for each document."""
+    labels, docs = read(spark, d, "labels"), read(spark, d, "documents")
+    place = lambda page, block: F.array(F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), page.alias("page"), block.alias("block_id")))
+    gold_fields = F.struct(F.struct(F.col("quality").alias("value"), place(F.lit(1), F.lit("b")).alias("evidence")).alias("quality"), (F.col("toxic") == 1).alias("toxic"))
+    gold = labels.select(F.col("doc_id").cast("string").alias("id"), F.to_json(F.struct(gold_fields.alias("extraction"), F.array(F.concat(F.lit("c"), (F.col("doc_id") % 7).cast("string"))).alias("relevant_chunk_ids"))).alias("record"))
+    guess = F.struct(F.struct(F.when(F.col("n_chars") >= 400, 1.0).otherwise(0.0).alias("value"), place(F.lit(1), F.when(F.col("doc_id") % 2 == 0, "b").otherwise("z")).alias("evidence")).alias("quality"), F.lit("False").alias("toxic"))
+    hits = F.array(F.struct(F.lit(2).alias("rank"), F.lit("c1").alias("chunk_id")), F.struct(F.lit(1).alias("rank"), F.lit("c2").alias("chunk_id")))
+    made = docs.select(F.col("doc_id").cast("string").alias("id"), F.to_json(F.struct(F.struct(guess.alias("fields")).alias("contract_extraction"), hits.alias("search_hits"), F.struct(F.col("n_chars").alias("parse"), F.array(F.lit(1), F.lit(3)).alias("chunk")).alias("latency"))).alias("record"))
+    numbered = lambda df: df.withColumn("pos", F.col("id").cast("long"))
+    return records.typed(numbered(gold), True), records.typed(numbered(made), False)
+
+
+RECORDS_SQL = """WITH j AS (SELECT l.doc_id, l.quality, l.toxic, d.n_chars, d.doc_id IS NULL AS missing FROM labels l LEFT JOIN documents d USING (doc_id)),
+f AS (SELECT 'quality' AS field, CAST(NOT missing AND quality = CASE WHEN n_chars >= 400 THEN 1 ELSE 0 END AS DOUBLE) AS score FROM j UNION ALL SELECT 'toxic', CAST(NOT missing AND toxic = 0 AS DOUBLE) FROM j)
+"""
+
+
+@query("V14_run_fields", RECORDS_SQL + "SELECT field, avg(score) AS exact_match, avg(score) AS token_f1, count(*) AS n FROM f GROUP BY field UNION ALL SELECT '<all>', avg(score), avg(score), count(*) FROM f")
+def run_fields(spark, d):
+    return records.scores(*_records(spark, d))["all_extraction"]
+
+
+@query("V14_run_evidence", RECORDS_SQL + """SELECT count(*) FILTER (NOT missing) AS predicted, count(*) AS expected, count(*) FILTER (NOT missing) AS page_correct, count(*) FILTER (NOT missing AND doc_id % 2 = 0) AS block_correct, 2 * count(*) FILTER (NOT missing) AS "values",
+  count(*) FILTER (NOT missing) + count(*) FILTER (NOT missing AND doc_id % 2 = 1) AS unsupported, 1.0 AS page_correctness, count(*) FILTER (NOT missing AND doc_id % 2 = 0) / count(*) FILTER (NOT missing) AS block_correctness, (count(*) FILTER (NOT missing) + count(*) FILTER (NOT missing AND doc_id % 2 = 1)) / (2 * count(*) FILTER (NOT missing)) AS unsupported_value_rate FROM j""")
+def run_evidence(spark, d):
+    return records.scores(*_records(spark, d))["all_evidence"]
+
+
+@query("V13_case_retrieval", RECORDS_SQL + """SELECT doc_id AS pos, CASE WHEN missing THEN 0 ELSE 2 END AS retrieved_count, 1 AS n_relevant, CAST(NOT missing AND doc_id % 7 = 2 AS DOUBLE) AS recall_at_1, CAST(NOT missing AND doc_id % 7 IN (1, 2) AS DOUBLE) AS recall_at_3, CASE WHEN missing THEN 0.0 WHEN doc_id % 7 = 2 THEN 1.0 WHEN doc_id % 7 = 1 THEN 0.5 ELSE 0.0 END AS mrr, true AS evaluable FROM j""")
+def case_retrieval(spark, d):
+    return records.scores(*_records(spark, d), (1, 3))["retrieval"]
+
+
+@query("V12_run_latency", RECORDS_SQL + """, s AS (SELECT 'parse' AS stage, CAST(n_chars AS DOUBLE) AS value FROM j WHERE NOT missing UNION ALL SELECT 'chunk', unnest([1.0, 3.0]) FROM j WHERE NOT missing)
+SELECT stage, count(*) AS "count", quantile_disc(value, 0.95) AS p95, quantile_cont(value, 0.5) AS median FROM s GROUP BY stage UNION ALL SELECT '<all>', count(*), quantile_disc(value, 0.95), quantile_cont(value, 0.5) FROM s""")
+def run_latency(spark, d):
+    return records.scores(*_records(spark, d))["all_latency"].select("stage", "count", "p95", "median")
+
+
+@query("A24_case_counts", RECORDS_SQL + "SELECT count(*) AS case_count, count(*) FILTER (missing) AS missing_prediction_count, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unexpected FROM j")
+def case_counts(spark, d):
+    found = records.scores(*_records(spark, d))
+    return found["all_cases"].crossJoin(found["unexpected"].agg(F.count(F.lit(1)).alias("unexpected")))  # two rows of totals
+
+
+# contracts
+
+
+def _orders(spark, d):
+    o = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("o_orderkey")
+    return o.select(
+        key.cast("string").alias("document_id"), (key % 4).alias("v"), (key % 60 + 10).cast("string").alias("days"), F.col("o_totalprice").cast("decimal(12,2)").cast("string").alias("price"), F.concat(F.lit("Land "), F.char(F.col("n_nationkey") + 65)).alias("land"),
+        (key % 9 + 1).cast("string").alias("share"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), F.date_format("o_orderdate", "d MMMM yyyy").alias("long"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("local"),
+    )
 
 
 def _contracts(spark, d):
-    """A contract of seven blocks from each order and its customer, nation and lines."""
-    o = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    days = F.col("o_orderkey") % 60 + 10
-    lines = [
-        ("title", F.lit("SERVICES AGREEMENT")),
-        ("paragraph", F.concat(F.lit("This Agreement is entered into as of "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" between Acme Works Ltd and "), F.regexp_replace("c_name", "[#0-9]+", ""), F.lit(" Holdings Inc."))),
-        ("paragraph", F.concat(F.lit("The initial term is for a period of "), days.cast("string"), F.lit(" months. It renews for successive terms of one year unless ended."))),
-        ("paragraph", F.concat(F.lit("Either party may request termination on "), days.cast("string"), F.lit(" days written notice."))),
-        ("heading", F.lit("FEES")),
-        ("paragraph", F.concat(F.lit("The customer shall pay USD "), F.col("o_totalprice").cast("decimal(12,2)").cast("string"), F.lit(". Invoices are due within 30 days."))),
-        ("paragraph", F.concat(F.lit("This Agreement is governed by the laws of "), F.concat(F.lit("Land "), F.char(F.col("n_nationkey") + 65)), F.lit(", without exception."))),
-        ("signature", F.lit("Signed by the parties")),
-    ]
-    blocks = F.array(*[F.struct(F.lit(i).alias("reading_order"), F.lit(k).alias("kind"), t.alias("text")) for i, (k, t) in enumerate(lines)])
-    rows = o.select(F.col("o_orderkey").cast("string").alias("document_id"), F.explode(blocks).alias("b")).select("document_id", "b.*")
-    return rows.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("file_name"), F.lit(1).alias("page"), F.format_string("b%d", "reading_order").alias("block_id"), "kind", "text", "reading_order", F.struct(F.lit(50.0).alias("x0"), (F.col("reading_order") * 60.0).alias("y0"), F.lit(500.0).alias("x1"), (F.col("reading_order") * 60.0 + 40.0).alias("y1")).alias("bbox"))
+    """A contract of ten blocks, in one of four wordings, from each order."""
+
+    def filled(text: str) -> F.Column:
+        out = F.lit(text)
+        for c in ("iso", "long", "local", "days", "price", "land", "share"):
+            out = F.replace(out, F.lit("{" + c + "}"), F.col(c)) if "{" + c + "}" in text else out
+        return out
+
+    wording = lambda texts: F.coalesce(*[F.when(F.col("v") == v, filled(t)) for v, t in enumerate(texts)])
+    blocks = F.array(*[F.struct(F.lit(i).alias("reading_order"), F.lit(kind).alias("kind"), wording(texts).alias("text")) for i, (kind, texts) in enumerate(S.WORDINGS)])
+    rows = _orders(spark, d).select("document_id", F.inline(blocks))
+    y = F.col("reading_order") * 60.0
+    return rows.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("file_name"), F.lit(1).alias("page"), F.format_string("b%d", "reading_order").alias("block_id"), "kind", "text", "reading_order", F.struct(F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 40.0).alias("y1")).alias("bbox"))
 
 
-@query("E_clause_fields", """SELECT CAST(o_orderkey AS VARCHAR) AS document_id, field, text_value FROM (
-SELECT o_orderkey, unnest(['effective_date', 'initial_term', 'termination_notice', 'governing_law']) AS field, unnest([strftime(o_orderdate, '%Y-%m-%d'), CAST(o_orderkey % 60 + 10 AS VARCHAR) || ' months', CAST(o_orderkey % 60 + 10 AS VARCHAR) || ' days written notice', 'Land ' || chr(n_nationkey + 65)]) AS text_value
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""")
+def _cites(evidence: str) -> F.Column:
+    return _joined(F.transform(evidence, lambda e: e["block_id"]))
+
+
+@query("E_clause_fields", S.clause_fields())
 def clause_fields(spark, d):
     out = extraction.clause_fields(_contracts(spark, d))
-    return out.where(F.col("field").isin("effective_date", "initial_term", "termination_notice", "governing_law")).select("document_id", "field", "text_value")
+    return out.select("document_id", "field", F.col("text_value").alias("value"), "status", "confidence", "reason", _cites("evidence").alias("cited"))
 
 
-@query("E_extract_validated")
+@query("E_extract_validated", S.validated_fields())
 def extract_validated(spark, d):
     blocks = _contracts(spark, d)
-    return extraction.validate(extraction.extract(blocks), blocks)
+    value = F.coalesce("text_value", F.array_join("list_value", ", "), F.col("flag_value").cast("string"))
+    out = extraction.validate(extraction.extract(blocks), blocks)
+    return out.select("document_id", "field", value.alias("value"), "status", "confidence", "reason", _cites("evidence").alias("cited"))
+
+
+def _spoilt(spark, d):
+    """Fields whose evidence is partly made up, by the wording."""
+    blocks = _contracts(spark, d)
+    e = lambda block, quote, box=None, document=None: F.struct((F.col("document_id") if document is None else document).alias("document_id"), F.lit(1).alias("page"), F.lit(block).alias("block_id"), quote.alias("quote"), (F.col("bbox") if box is None else box).alias("bbox"))
+    rows = blocks.where("block_id = 'b0'").select("document_id", "bbox", "text", (F.col("document_id").cast("long") % 8).alias("w"))
+    fine, absent, bad = e("b0", F.col("text")), e("b99", F.col("text")), e("b0", F.lit("not there"))
+    moved = e("b0", F.col("text"), F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1")))
+    ways = [F.array(fine), F.array(absent, fine), F.array(bad), F.array(moved), F.array(e("b0", F.lit("  "))), F.array(e("b0", F.col("text"), document=F.lit("x"))), F.filter(F.array(fine), lambda x: F.lit(False)), F.array(fine)]
+    evidence = F.coalesce(*[F.when(F.col("w") == i, way) for i, way in enumerate(ways)])
+    fields = rows.select("document_id", F.lit("initial_term").alias("field"), F.when(F.col("w") != 7, "v").alias("text_value"), F.lit(None).cast("array<string>").alias("list_value"), F.lit(None).cast("boolean").alias("flag_value"), F.lit("extracted").alias("status"), F.lit(0.9).alias("confidence"), evidence.alias("evidence"), F.lit("why").alias("reason"))
+    return extraction.validate(fields, blocks)
+
+
+REJECT = "'why Rejected by evidence validator: {}.'"
+
+
+@query(
+    "V1_rejections",
+    f"""WITH {S.ORDERS}, w AS (SELECT doc, CAST(doc AS BIGINT) % 8 AS w FROM o)
+SELECT doc AS document_id, CASE WHEN w IN (0, 1) THEN 'v' END AS value, CASE WHEN w = 0 THEN 'extracted' ELSE 'needs_review' END AS status, CAST(CASE w WHEN 0 THEN 0.9 WHEN 1 THEN 0.65 ELSE 0.2 END AS DOUBLE) AS confidence,
+  CASE w WHEN 0 THEN 'why' WHEN 1 THEN 'why Evidence validator removed 1 invalid reference(s).' WHEN 2 THEN {REJECT.format('evidence quote is not an exact substring of the referenced block')} WHEN 3 THEN {REJECT.format('bounding box does not match the referenced block')}
+    WHEN 4 THEN {REJECT.format('evidence quote is empty')} WHEN 5 THEN {REJECT.format('document_id does not match the source document')} WHEN 6 THEN {REJECT.format('no evidence was supplied')} ELSE 'why Evidence validator found an extracted status without a value.' END AS reason,
+  CASE WHEN w IN (0, 1, 7) THEN 'b0' ELSE '' END AS cited, CASE w WHEN 0 THEN NULL WHEN 7 THEN NULL WHEN 1 THEN 'initial_term: invalid evidence reference(s) removed' ELSE 'initial_term: rejected unsupported non-null value' END AS warning FROM w""",
+)
+def rejections(spark, d):
+    return _spoilt(spark, d).select("document_id", F.col("text_value").alias("value"), "status", "confidence", "reason", _cites("evidence").alias("cited"), "warning")
 
 
-@query("E7_fees", "SELECT CAST(o_orderkey AS VARCHAR) AS document_id, 'USD ' || CAST(CAST(o_totalprice AS DECIMAL(12, 2)) AS VARCHAR) AS fee FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("E7_fees", S.FEES)
 def fee_rows(spark, d):
     return extraction.fees(_contracts(spark, d)).select("document_id", F.explode("list_value").alias("fee"))
 
 
-@query("W3_text_windows", "SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CAST(20 AS BIGINT) AS windows FROM orders JOIN customer ON o_custkey = c_custkey")
+@query("W3_text_windows", S.WINDOWS)
 def windows(spark, d):
-    return extraction.text_windows(_contracts(spark, d), 5).groupBy("document_id").agg(F.count(F.lit(1)).alias("windows"))
+    rows = extraction.text_windows(_contracts(spark, d), 5)
+    parts = F.transform("segments", lambda s: F.concat_ws(":", s["block_id"], (s["end"] - s["start"]).cast("string")))
+    return rows.select("document_id", F.col("start.block_id").alias("start"), "size", "text", _joined(parts).alias("segments"))
 
 
-@query("R2_chunks")
+@query("P2_document_text", f"WITH {S.BLOCKS} SELECT doc AS document_id, string_agg(text, chr(10) ORDER BY i) AS text FROM b WHERE trim(text) <> '' GROUP BY doc")
+def document_text(spark, d):
+    return layout.document_text(_contracts(spark, d))
+
+
+@query(
+    "J7_gold_evidence",
+    f"""WITH {S.BLOCKS} SELECT doc AS document_id, p.field, p.pos, 'b' || min(b.i) AS block_id FROM b JOIN (SELECT * FROM (VALUES ('first', 0, 'this  agreement'), ('fees', 0, 'fees'), ('both', 0, 'paper'), ('law', 0, 'LAND')) t(field, pos, phrase)) p
+  ON contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(p.phrase), '\\s+', ' ', 'g'))) GROUP BY doc, p.field, p.pos
+UNION ALL SELECT doc, 'again', k, 'b' || i FROM (SELECT doc, i, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS k FROM b WHERE contains(lower(text), 'agreement')) WHERE k < 2""",
+)
+def gold_evidence(spark, d):
+    asked = [("first", 0, "this  agreement"), ("fees", 0, "fees"), ("both", 0, "paper"), ("law", 0, "LAND"), ("again", 0, "Agreement"), ("again", 1, "agreement"), ("absent", 0, "nowhere")]
+    phrases = spark.createDataFrame(asked, "field string, pos int, phrase string")
+    blocks = _contracts(spark, d)
+    every = blocks.select("document_id").distinct().crossJoin(F.broadcast(phrases))  # seven phrases a document
+    return records.gold_evidence(every, blocks).select("document_id", "field", F.col("pos").cast("int").alias("pos"), "block_id")
+
+
+CHUNK = ["chunk_id", "document_id", _joined("block_ids").alias("block_ids"), "text", "ord"]
+
+
+@query("R2_chunks", S.CONTRACT_CHUNKS)
 def chunks(spark, d):
-    return chunking.chunk(_contracts(spark, d), 200)
+    return chunking.chunk(_contracts(spark, d), S.MAX_CHARS).select(*CHUNK)
 
 
-@query("R2_document_chunks")
+@query("R2_document_chunks", S.DOCUMENT_CHUNKS)
 def document_chunks(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.lit(1).alias("page"), F.lit("b0").alias("block_id"), F.lit("paragraph").alias("kind"), "text", F.lit(0).alias("reading_order"))
-    return chunking.chunk(docs)
+    return chunking.chunk(docs).select(*CHUNK)
+
+
+# pages
+
+
+def _numbered(spark, d):
+    """Line items with their number within the order."""
+    place = F.row_number().over(evaluation.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return read(spark, d, "lineitem").withColumn("n", place)
 
 
 def _page_blocks(spark, d):
-    li = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    x = F.when(F.col("l_linenumber") % 2 == 0, 40.0).otherwise(320.0)
-    y = (F.col("l_linenumber") * 97 % 13) * 55.0 + 30
-    return li.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.col("l_linenumber").alias("pos"), F.col("p_name").alias("text"), F.struct(x.alias("x0"), y.alias("y0"), (x + 220).alias("x1"), (y + 40).alias("y1")).alias("bbox"), F.lit(10.0).alias("font_size"), F.lit("unknown").alias("kind"), F.lit("native").alias("source"), F.lit(1.0).alias("confidence"))
+    """Blocks of one page for each order: full-width, left, middle and right ones, footers, titles, tables."""
+    li = _numbered(spark, d).join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    w, s, name, line = F.col("l_partkey") % 7, F.col("l_suppkey") % 5, F.col("p_name"), F.col("l_linenumber")
+    text = F.when(w == 0, name).when(w == 1, F.upper(name)).when(w == 2, F.concat(F.lit("1. "), name)).when(w == 3, F.concat(name, F.lit(" agreement"))).when(w == 4, F.format_string("Page %d of 7", line)).when(w == 5, F.concat(F.lit("a | b | "), name)).otherwise(F.concat(F.lit("Signed by "), name))
+    x0, x1 = F.when(s == 4, 320.0).when(s == 1, 280.0).otherwise(40.0), F.when(s == 0, 560.0).when(s == 1, 320.0).when(s == 4, 540.0).otherwise(260.0)
+    y = F.when(w == 4, 760.0).otherwise((line * 97 + F.col("l_partkey")) % 13 * 55.0 + 30)
+    return li.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.col("n").alias("pos"), text.alias("text"), F.struct(x0.alias("x0"), y.alias("y0"), x1.alias("x1"), (y + 40).alias("y1")).alias("bbox"), F.when(w == 3, 18.0).otherwise(10.0).alias("font_size"), F.lit("unknown").alias("kind"), F.lit("native").alias("source"), F.lit(1.0).alias("confidence"))
 
 
-@query("L3_classify")
+@query("L3_classify", S.CLASSIFY)
 def classify(spark, d):
     return layout.classify(_page_blocks(spark, d)).select("document_id", "pos", "kind", "char_count")
 
 
-@query("L4_reading_order", """WITH b AS (SELECT l_orderkey AS doc, l_linenumber AS pos, CASE WHEN l_linenumber % 2 = 0 THEN 40 ELSE 320 END AS x, (l_linenumber * 97 % 13) * 55 + 30 AS y FROM lineitem JOIN part ON l_partkey = p_partkey),
-s AS (SELECT *, count(*) FILTER (x = 40) OVER (PARTITION BY doc) AS l, count(*) FILTER (x = 320) OVER (PARTITION BY doc) AS r FROM b)
-SELECT CAST(doc AS VARCHAR) AS document_id, pos, CAST(row_number() OVER (PARTITION BY doc ORDER BY CASE WHEN l > 0 AND r > 0 THEN x ELSE 0 END, y, x, pos) - 1 AS INTEGER) AS reading_order FROM s""")
+@query("L4_reading_order", S.READING_ORDER)
 def order(spark, d):
-    return layout.reading_order(_page_blocks(spark, d).withColumn("kind", F.lit("paragraph"))).select("document_id", "pos", "reading_order")
+    return layout.reading_order(layout.classify(_page_blocks(spark, d))).select("document_id", "pos", "reading_order")
 
 
-@query("L5_block_ids")
+@query("L5_block_ids", S.BLOCK_IDS)
 def block_ids(spark, d):
     rows = layout.reading_order(layout.classify(_page_blocks(spark, d)))
     return layout.block_ids(rows, F.sha2("document_id", 256)).select("document_id", "pos", "reading_order", "block_id")
 
 
-@query("P4_native_pages", "SELECT CAST(l_orderkey AS VARCHAR) AS document_id, 1 AS page, sum(length(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '', 'g'))) >= 40 AS native FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
+@query("P4_native_pages", S.NATIVE)
 def native_pages(spark, d):
     return layout.native_pages(_page_blocks(spark, d))
 
 
+def _regions(spark, d):
+    """Two regions a page, the second within the first at its top."""
+    pages = _page_blocks(spark, d).select("document_id", "page").distinct()
+    box = lambda y1: F.struct(F.lit(30.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(300.0).alias("x1"), F.lit(y1).alias("y1"))
+    return pages.select("document_id", "page", F.inline(F.array(F.struct(F.lit(1).alias("region_no"), box(200.0).alias("bbox")), F.struct(F.lit(2).alias("region_no"), box(400.0).alias("bbox")))))
+
+
+_MIDDLE = "(x0 + x1) / 2 BETWEEN 30 AND 300 AND y0 + 20 <= 400"
+
+
+@query("J9_claimed_blocks", f"WITH {S.PAGE_BLOCKS} SELECT doc AS document_id, 1 AS page, pos, CASE WHEN y0 + 20 <= 200 THEN 1 ELSE 2 END AS region_no FROM blocks WHERE {_MIDDLE}")
+def claimed_blocks(spark, d):
+    return layout.claimed(_page_blocks(spark, d), _regions(spark, d))
+
+
+@query("J10_region_blocks", f"WITH {S.PAGE_BLOCKS} SELECT doc AS document_id, pos FROM blocks WHERE greatest(0, least(x1, 300) - greatest(x0, 30)) * greatest(0, least(y0 + 40, 400) - y0) / greatest(1.0, (x1 - x0) * 40) >= 0.35")
+def region_blocks(spark, d):
+    return layout.in_region(_page_blocks(spark, d), _regions(spark, d)).select("document_id", "pos")
+
+
+@query(
+    "J11_stamped_blocks",
+    f"""WITH {S.PAGE_BLOCKS}, hit AS (SELECT *, greatest(0, least(x1, 150) - greatest(x0, 50)) * greatest(0, least(y0 + 40, 160) - greatest(y0, 100)) / least((x1 - x0) * 40, 6000) >= 0.2 AS stamped FROM blocks)
+SELECT doc AS document_id, pos, text, CASE WHEN stamped THEN 'stamp' ELSE 'unknown' END AS kind FROM hit UNION ALL SELECT doc, max(pos) + 1, '[red stamp]', 'stamp' FROM hit GROUP BY doc HAVING NOT bool_or(stamped)""",
+)
+def stamped_blocks(spark, d):
+    blocks = _page_blocks(spark, d)
+    box = F.struct(F.lit(50.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(150.0).alias("x1"), F.lit(160.0).alias("y1"))
+    stamps = blocks.select("document_id", "page").distinct().select("document_id", "page", box.alias("bbox"), F.lit(0.9).alias("confidence"))
+    return layout.mark_stamps(blocks, stamps).select("document_id", "pos", "text", "kind")
+
+
+@query("P14_clipped_boxes", f"WITH {S.PAGE_BLOCKS} SELECT doc AS document_id, pos, CASE WHEN least(x1, 300) > x0 AND least(y0 + 40, 700) > y0 THEN concat_ws(',', x0, y0, least(x1, 300.0), least(y0 + 40, 700.0)) END AS box FROM blocks")
+def clipped_boxes(spark, d):
+    rows = _page_blocks(spark, d).withColumn("c", layout.clip(F.col("bbox"), F.lit(300.0), F.lit(700.0)))
+    return rows.select("document_id", "pos", F.when(F.col("c").isNotNull(), F.concat_ws(",", *[F.col(f"c.{x}").cast("string") for x in ("x0", "y0", "x1", "y1")])).alias("box"))
+
+
+@query(
+    "L2_table_merge",
+    f"""WITH {S.PAGE_BLOCKS}, c AS (SELECT *, CASE WHEN y0 + 20 <= 200 THEN 1 ELSE 2 END AS region FROM blocks WHERE {_MIDDLE}),
+r AS (SELECT doc, region, y0, string_agg(text, ' | ' ORDER BY x0, pos) AS line, count(*) AS n FROM c GROUP BY doc, region, y0),
+t AS (SELECT doc, region, string_agg(line, chr(10) ORDER BY y0) AS text, CAST(count(*) AS INTEGER) AS row_count, CAST(max(n) AS INTEGER) AS column_count, CAST(sum(n) AS INTEGER) AS cell_count FROM r GROUP BY doc, region)
+SELECT doc AS document_id, text, 'unknown' AS kind, CAST(NULL AS INTEGER) AS table_id, CAST(NULL AS INTEGER) AS row_count, CAST(NULL AS INTEGER) AS column_count, CAST(NULL AS INTEGER) AS cell_count FROM blocks WHERE NOT ({_MIDDLE})
+UNION ALL SELECT doc, text, 'table', region, CASE WHEN cell_count > 1 THEN row_count END, CASE WHEN cell_count > 1 THEN column_count END, CASE WHEN cell_count > 1 THEN cell_count END FROM t""",
+)
+def table_merge(spark, d):
+    return layout.merge_tables(_page_blocks(spark, d), _regions(spark, d)).select("document_id", "text", "kind", "table_id", "row_count", "column_count", "cell_count")
+
+
+@query(
+    "A23_layout_scores",
+    f"""WITH li AS {S.NUMBERED}, g AS (SELECT l_orderkey AS c, n AS col, l_partkey % 9 AS cell FROM li), p AS (SELECT l_orderkey AS c, n AS col, l_partkey % 9 * (n % 2) AS cell FROM li WHERE n < 6),
+s AS (SELECT DISTINCT l_orderkey AS c, l_partkey % 5 AS t FROM lineitem WHERE l_returnflag = 'R'), q AS (SELECT DISTINCT l_orderkey AS c, l_partkey % 5 AS t FROM li WHERE n <= 2 AND l_orderkey IN (SELECT c FROM s)),
+k AS (SELECT (SELECT count(*) FROM s) AS e, (SELECT count(*) FROM q) AS p, (SELECT count(*) FROM s JOIN q USING (c, t)) AS b),
+o AS (SELECT a.l_orderkey AS c, avg(CASE WHEN a.n <> 4 AND b.n <> 4 AND a.l_partkey < b.l_partkey THEN 1.0 ELSE 0.0 END) AS share FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.n < b.n GROUP BY a.l_orderkey)
+SELECT (SELECT count(*) FROM g) AS table_cell_count, (SELECT count(*) FILTER (g.cell = p.cell) / count(*) FROM g LEFT JOIN p USING (c, col)) AS table_cell_accuracy, b / p AS stamp_text_precision, b / e AS stamp_text_recall, 2 * (b / p) * (b / e) / (b / p + b / e) AS stamp_text_f1,
+  (SELECT round(avg(coalesce(share, 1.0)), 9) FROM (SELECT DISTINCT l_orderkey AS c FROM lineitem) LEFT JOIN o USING (c)) AS two_column_order_accuracy FROM k""",
+)
+def layout_scores(spark, d):
+    li = _numbered(spark, d).select(F.col("l_orderkey").cast("string").alias("case_id"), F.col("n").alias("l_linenumber"), "l_partkey", "l_returnflag")
+    cells = lambda df, cell: df.select("case_id", F.lit(1).alias("page"), F.lit(0).alias("row"), F.col("l_linenumber").alias("col"), cell.cast("string").alias("cell"))
+    stamps = li.select("case_id", (F.col("l_partkey") % 5).cast("string").alias("text"), "l_returnflag", "l_linenumber")
+    heads = li.select("case_id", F.col("l_linenumber").alias("pos"), F.col("l_linenumber").cast("string").alias("text"), "l_partkey")
+    out = evaluation.layout_scores(
+        cells(li, F.col("l_partkey") % 9), cells(li.where("l_linenumber < 6"), F.col("l_partkey") % 9 * (F.col("l_linenumber") % 2)), stamps.where("l_returnflag = 'R'").select("case_id", "text"), stamps.where("l_linenumber <= 2").select("case_id", "text"),
+        heads.select("case_id", "pos", "text"), heads.where("pos <> 4").select("case_id", F.col("l_partkey").alias("pos"), "text"),
+    )
+    return out.withColumn("two_column_order_accuracy", F.round("two_column_order_accuracy", 9))
+
+
 def queries():
     return dict(Q)
 
