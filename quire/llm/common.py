@@ -17,7 +17,18 @@ from pyspark.sql import functions as F
 
 from quire.sources.tables import read_table
 
-table = read_table
+BATCH_BYTES = 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of the session hold ``BATCH_BYTES`` at most: rows are counted by default up to 64 MB, and texts
+    may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
+    return read_table(spark, sf_dir, name)
 
 
 def store_dir(spark: SparkSession) -> str:
@@ -56,6 +67,7 @@ class Stored:
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
+        bounded(self.spark)
         self.path = f"{store_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         _written[self.path] = self.spark

@@ -66,7 +66,7 @@ class _Words(dict):
     """64-bit hashes of words, in a bounded cache."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -168,7 +168,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
                 ids.append(key)
                 nodes.append(node)
                 held += len(bags[-1])
-                if held > 500_000 or len(bags) >= 4096:
+                if held > 300_000 or len(bags) >= 4096:
                     yield done()
                     ids, nodes, bags, held = [], [], [], 0
             if bags:
