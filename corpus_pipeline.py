@@ -51,7 +51,10 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
-STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("repeats", repeats_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("repeats", repeats_stage), ("mixing", mixing_stage),
+    ("packing", packing_stage)
+]
 ORACLE_SQL = None  # neither the classifier nor the signatures can be written in SQL
 
 

@@ -71,7 +71,9 @@ class Profiles:
     def __init__(self, ranked: dict[str, list[int]], size: int = SIZE):
         self.names = sorted(ranked)
         self.size = size
-        codes = np.unique(np.concatenate([np.asarray(ranked[n], np.int64) for n in self.names])) if ranked else np.empty(0, np.int64)
+        codes = np.unique(
+            np.concatenate([np.asarray(ranked[n], np.int64) for n in self.names])
+        ) if ranked else np.empty(0, np.int64)
         self.codes = codes
         self.ranks = np.full((len(self.names), len(codes) + 1), -1, np.int32)
         for i, n in enumerate(self.names):
@@ -98,8 +100,13 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, size: int =
     if not counts:
         return Profiles({}, size)
     unit = F.pmod(F.xxhash64(F.col(id_col), F.lit("profile")), F.lit(1 << 40))
-    share = F.element_at(F.create_map(*[x for n, c in counts.items() for x in (F.lit(n), F.lit(min(1 << 40, int(per_language / c * (1 << 40)))))]), F.col(lang_col))
-    train = docs.where(F.col(lang_col).isNotNull()).where(unit < share).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    share = F.element_at(
+        F.create_map(*[x for n, c in counts.items() for x in (F.lit(n), F.lit(min(1 << 40, int(per_language / c * (1 << 40)))))]),
+        F.col(lang_col)
+    )
+    train = docs.where(F.col(lang_col).isNotNull()).where(unit < share).select(
+        F.col(lang_col).alias("l"), F.col(text_col).alias("t")
+    )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -109,7 +116,9 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, size: int =
 
     grams = train.mapInPandas(count, "l string, code long, n long").groupBy("l", "code").agg(F.sum("n").alias("n"))
     # of each language's bounded table the first ranks: a bounded array, merged map-side
-    top = grams.groupBy("l").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, size).alias("top"))
+    top = grams.groupBy("l").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, size).alias("top")
+    )
     return Profiles({r["l"]: [x["code"] for x in r["top"]] for r in top.collect()}, size)
 
 
@@ -125,8 +134,16 @@ def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_c
     return with_clear_names(docs, id_col, text_col).mapInPandas(score, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1, per_language: int = 400) -> DataFrame:
+def language_id(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1,
+    per_language: int = 400
+) -> DataFrame:
     """id, held_out, lang_pred, score; rows whose crc32(id) % folds = held never train."""
     held_out = crc_fold(F.col(id_col), folds) == held
-    profiles = fit(with_clear_names(docs, id_col, text_col, lang_col).where(F.coalesce(~held_out, F.lit(False))), id_col, text_col, lang_col, per_language=per_language)
-    return identify(docs, profiles, id_col, text_col).select(id_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    profiles = fit(
+        with_clear_names(docs, id_col, text_col, lang_col).where(F.coalesce(~held_out, F.lit(False))), id_col, text_col, lang_col,
+        per_language=per_language
+    )
+    return identify(docs, profiles, id_col, text_col).select(
+        id_col, F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score"
+    )

@@ -40,13 +40,27 @@ MARKERS = ("licen", "copyright", "rights reserved", "spdx", "public domain")
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
     "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"],
+    "CC-BY-4.0": [
+        "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."
+    ],
+    "CC-BY-NC-4.0": [
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."
+    ],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-only"
+    ],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"
+    ],
     "proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
     "public-domain": ["This work is released into the public domain.", "Licensed under CC0 1.0 Universal."],
 }
@@ -64,7 +78,10 @@ def _gnu(name: str, version: str, it: str = "program") -> list[str]:
 
 # fixed values: the standard headers and titles
 HEADERS = {
-    "AGPL-3.0": [*_gnu("Affero General Public License", "either version 3 of the License"), "GNU Affero General Public License Version 3, 19 November 2007"],
+    "AGPL-3.0": [
+        *_gnu("Affero General Public License", "either version 3 of the License"),
+        "GNU Affero General Public License Version 3, 19 November 2007"
+    ],
     "Apache-2.0": [
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
@@ -73,13 +90,33 @@ HEADERS = {
         "Apache License, Version 2.0",
     ],
     "BSD-2-Clause": ["BSD 2-Clause License"],
-    "BSD-3-Clause": ["Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "BSD 3-Clause License"],
-    "GPL-2.0": [*_gnu("General Public License", "either version 2 of the License"), "GNU General Public License Version 2, June 1991"],
-    "GPL-3.0": [*_gnu("General Public License", "either version 3 of the License"), "GNU General Public License Version 3, 29 June 2007"],
-    "LGPL-2.1": [*_gnu("Lesser General Public License", "either version 2.1 of the License", "library"), "GNU Lesser General Public License Version 2.1, February 1999"],
-    "LGPL-3.0": [*_gnu("Lesser General Public License", "either version 3 of the License"), *_gnu("Lesser General Public License", "either version 3 of the License", "library"), "GNU Lesser General Public License Version 3, 29 June 2007"],
-    "MIT": ["The MIT License (MIT)", "This source code is licensed under the MIT license found in the LICENSE file in the root directory of this source tree."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"],
+    "BSD-3-Clause": [
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "BSD 3-Clause License"
+    ],
+    "GPL-2.0": [
+        *_gnu("General Public License", "either version 2 of the License"), "GNU General Public License Version 2, June 1991"
+    ],
+    "GPL-3.0": [
+        *_gnu("General Public License", "either version 3 of the License"), "GNU General Public License Version 3, 29 June 2007"
+    ],
+    "LGPL-2.1": [
+        *_gnu("Lesser General Public License", "either version 2.1 of the License", "library"),
+        "GNU Lesser General Public License Version 2.1, February 1999"
+    ],
+    "LGPL-3.0": [
+        *_gnu("Lesser General Public License", "either version 3 of the License"),
+        *_gnu("Lesser General Public License", "either version 3 of the License", "library"),
+        "GNU Lesser General Public License Version 3, 29 June 2007"
+    ],
+    "MIT": [
+        "The MIT License (MIT)",
+        "This source code is licensed under the MIT license found in the LICENSE file in the root directory of this source tree."
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0"
+    ],
 }
 SHORT = 300  # words of a full text that may also stand above code
 RESERVED = "proprietary"
@@ -119,9 +156,13 @@ class Matcher:
 
 class Scanner:
     def __init__(self):
-        texts = {f.name.removesuffix(".txt"): [f.read_text()] for f in resources("quire.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+        texts = {
+            f.name.removesuffix(".txt"): [f.read_text()] for f in resources("quire.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")
+        }
         self.kinds = [Matcher(), Matcher(HEADERS), Matcher(texts)]
-        self.runs = [(m, name, v, len(ws)) for m in self.kinds for (name, v), (_, ws) in zip(m.vectors, m.notices) if len(ws) <= SHORT]
+        self.runs = [
+            (m, name, v, len(ws)) for m in self.kinds for (name, v), (_, ws) in zip(m.vectors, m.notices) if len(ws) <= SHORT
+        ]
 
     def runs_of(self, text: str, at_least: float) -> Iterator[tuple[str, float]]:
         """License and score of the runs that reach the threshold."""
@@ -183,7 +224,12 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str, line_at: fl
         scanner = Scanner()
         for pdf in batches:
             got = [scanner.scan(t, line_at, file_at) for t in pdf["text"]]
-            yield pd.DataFrame({"id": pdf["id"], "path": pdf["path"], "own": [g[0] for g in got], "score": [g[1] for g in got], "is_file": [g[2] for g in got]})
+            yield pd.DataFrame(
+                {
+                    "id": pdf["id"], "path": pdf["path"], "own": [g[0] for g in got], "score": [g[1] for g in got],
+                    "is_file": [g[2] for g in got]
+                }
+            )
 
     return rows.mapInPandas(run, f"id {kind}, path string, own string, score double, is_file boolean")
 
@@ -196,17 +242,32 @@ def directory(path: Column) -> Column:
 def ancestors(folder: Column) -> Column:
     """The directory, its parents and the top (empty)."""
     parts = F.split(folder, "/")
-    return F.when(folder == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    return F.when(folder == "", F.array(F.lit(""))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    )
 
 
-def license_scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", line_at: float = 0.8, file_at: float = 0.8) -> DataFrame:
+def license_scan(
+    files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", line_at: float = 0.8, file_at: float = 0.8
+) -> DataFrame:
     """id, path, license, origin (header, file, inherited or null), score, license_dir."""
-    found = materialise(scan(files, id_col, path, text_col, line_at, file_at).withColumn("folder", directory(F.col("path"))), "licenses")
-    speaking = found.where("is_file and folder is not null").groupBy(F.col("folder").alias("above")).agg(F.min(F.struct((-F.col("score")).alias("s"), "own", "path"))["own"].alias("dir_license"))
+    found = materialise(
+        scan(files, id_col, path, text_col, line_at, file_at).withColumn("folder", directory(F.col("path"))), "licenses"
+    )
+    speaking = found.where("is_file and folder is not null").groupBy(F.col("folder").alias("above")).agg(
+        F.min(F.struct((-F.col("score")).alias("s"), "own", "path"))["own"].alias("dir_license")
+    )
     folders = materialise(found.where("folder is not null").groupBy("folder").agg(F.count(F.lit(1)).alias("files")), "folders")
     ways = folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("above"))
-    nearest = ways.join(speaking, "above").groupBy("folder").agg(F.max(F.struct(F.length("above").alias("n"), "above", "dir_license")).alias("x")).select("folder", F.col("x.above").alias("above"), F.col("x.dir_license").alias("dir_license"))
+    nearest = ways.join(speaking, "above").groupBy("folder").agg(F.max(F.struct(F.length("above").alias("n"), "above", "dir_license")).alias("x")).select(
+        "folder", F.col("x.above").alias("above"), F.col("x.dir_license").alias("dir_license")
+    )
     nearest = materialise(folders.join(nearest, "folder", "left"), "nearest")
     out = join_counted(found, nearest, ["folder"], "files").unionByName(found.where("folder is null"), allowMissingColumns=True)
-    origin = F.when(F.col("is_file"), "file").when(F.col("own").isNotNull(), "header").when(F.col("dir_license").isNotNull(), "inherited")
-    return out.select(F.col("id").alias(id_col), "path", F.coalesce("own", "dir_license").alias("license"), origin.alias("origin"), "score", F.when(origin == "inherited", F.col("above")).alias("license_dir"))
+    origin = F.when(F.col("is_file"), "file").when(F.col("own").isNotNull(), "header").when(
+        F.col("dir_license").isNotNull(), "inherited"
+    )
+    return out.select(
+        F.col("id").alias(id_col), "path", F.coalesce("own", "dir_license").alias("license"), origin.alias("origin"), "score",
+        F.when(origin == "inherited", F.col("above")).alias("license_dir")
+    )

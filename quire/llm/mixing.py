@@ -54,7 +54,9 @@ def buckets_of(words: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
 
 
-def logistic(rows: list[tuple[int, list[int]]], k: int, steps: int = 120, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def logistic(
+    rows: list[tuple[int, list[int]]], k: int, steps: int = 120, rate: float = 0.1, decay: float = 1e-3
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights (BUCKETS x k) and biases of (domain, buckets) rows, by Adam on the whole sample. Domains
     without a row have a bias that leaves them nothing."""
     own = np.array([d for d, _ in rows], np.int64)
@@ -71,7 +73,13 @@ def logistic(rows: list[tuple[int, list[int]]], k: int, steps: int = 120, rate:
         z = np.stack([np.bincount(at, weights=w[bucket, j], minlength=len(rows)) for j in range(k)], axis=1) + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         off = (p / p.sum(axis=1, keepdims=True) - goal) / len(rows)
-        for x, g, first, second in ((w, np.stack([np.bincount(bucket, weights=off[at, j], minlength=BUCKETS) for j in range(k)], axis=1) + decay * w, m, v), (b, off.sum(axis=0) * live, mb, vb)):
+        for x, g, first, second in (
+            (
+                w, np.stack([np.bincount(bucket, weights=off[at, j], minlength=BUCKETS) for j in range(k)], axis=1) + decay * w,
+                m, v
+            ),
+            (b, off.sum(axis=0) * live, mb, vb)
+        ):
             first += 0.1 * (g - first)
             second += 0.01 * (g * g - second)
             x -= rate * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
@@ -81,29 +89,50 @@ def logistic(rows: list[tuple[int, list[int]]], k: int, steps: int = 120, rate:
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], max_labelled: int) -> tuple[list[float], DataFrame]:
     """Biases by domain, and a table of bucket and its weights w0, w1, ...: at most BUCKETS rows. docs: doc_id, text.
     Of several texts of an id one counts, of several domains the first by name."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    known = labels.where(
+        F.col("doc_id").isNotNull() & F.col("domain").isin(domains)
+    ).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = sampled(known, "doc_id", max_labelled)
-    train = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", F.struct(F.xxhash64("text").alias("h"), F.sort_array(buckets_of(words_of(F.col("text")))).alias("b")).alias("x"))  # about max_labelled ids
+    train = docs.join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "domain",
+        F.struct(F.xxhash64("text").alias("h"), F.sort_array(buckets_of(words_of(F.col("text")))).alias("b")).alias("x")
+    )  # about max_labelled ids
     rows = train.groupBy("doc_id").agg(F.first("domain").alias("domain"), F.min("x").alias("x")).select("domain", "x.b").collect()
     w, bias = logistic(sorted((domains.index(r["domain"]), list(r["b"])) for r in rows), len(domains))
     some = np.flatnonzero(np.abs(w).max(axis=1) > 1e-4)
     flat = ";".join(",".join([str(i), *(f"{x:.5g}" for x in w[i])]) for i in some.tolist())
-    parts = docs.sparkSession.range(1).select(F.explode(F.split(F.lit(flat), ";")).alias("x")).where("x <> ''").select(F.split("x", ",").alias("x"))
-    return bias.tolist(), parts.select(F.col("x")[0].cast("int").alias("bucket"), *[F.col("x")[i + 1].cast("double").alias(f"w{i}") for i in range(len(domains))])
+    parts = docs.sparkSession.range(1).select(
+        F.explode(F.split(F.lit(flat), ";")).alias("x")
+    ).where("x <> ''").select(F.split("x", ",").alias("x"))
+    return bias.tolist(), parts.select(
+        F.col("x")[0].cast("int").alias("bucket"), *[F.col("x")[i + 1].cast("double").alias(f"w{i}") for i in range(len(domains))]
+    )
 
 
 def posteriors(docs: DataFrame, id_col: str, text_col: str, bias: list[float], weights: DataFrame) -> DataFrame:
     """id, hashes of the text, n_tokens and p, the posterior array."""
     k = len(bias)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), *hashes(F.col(text_col)), words_of(F.col(text_col)).alias("_words"))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("_row"), F.col(id_col), *hashes(F.col(text_col)),
+        words_of(F.col(text_col)).alias("_words")
+    )
     # an outer explode keeps documents without words; the aggregation is by the reading task's own row id
-    words = rows.select("_row", id_col, "_a", "_b", F.size("_words").cast("long").alias("n_tokens"), F.explode_outer(buckets_of(F.col("_words"))).alias("bucket"))
+    words = rows.select(
+        "_row", id_col, "_a", "_b", F.size("_words").cast("long").alias("n_tokens"),
+        F.explode_outer(buckets_of(F.col("_words"))).alias("bucket")
+    )
     seen = words.join(F.broadcast(weights), "bucket", "left")  # at most BUCKETS rows
-    got = seen.groupBy("_row").agg(F.first(id_col).alias(id_col), F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.first("n_tokens").alias("n_tokens"), *[F.sum(f"w{i}").alias(f"l{i}") for i in range(k)])
+    got = seen.groupBy("_row").agg(
+        F.first(id_col).alias(id_col), F.first("_a").alias("_a"), F.first("_b").alias("_b"),
+        F.first("n_tokens").alias("n_tokens"), *[F.sum(f"w{i}").alias(f"l{i}") for i in range(k)]
+    )
     score = [F.coalesce(F.col(f"l{i}"), F.lit(0.0)) + F.lit(bias[i]) for i in range(k)]
     top = F.greatest(*score) if k > 1 else score[0]
     got = got.select(id_col, "_a", "_b", "n_tokens", F.array(*[F.exp(s - top) for s in score]).alias("e"))
-    return got.select(id_col, "_a", "_b", "n_tokens", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
+    return got.select(
+        id_col, "_a", "_b", "n_tokens",
+        F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p")
+    )
 
 
 def rate_of(p: Column, g: list[float]) -> Column:
@@ -117,7 +146,9 @@ def against_main(p: Column, ratios: list[float], main: int) -> Column:
     return F.array(*[F.lit(0.0) if i == main else p[i] - p[main] * r for i, r in enumerate(ratios)])
 
 
-def solve(soft: DataFrame, shares: list[float], iterations: int = 40, within: float = 1e-4) -> tuple[list[float], list[float], list[float]]:
+def solve(
+    soft: DataFrame, shares: list[float], iterations: int = 40, within: float = 1e-4
+) -> tuple[list[float], list[float], list[float]]:
     """Multipliers, targets and reached totals, each within a share of its own target unless
     that can't be had. ``soft`` has n_tokens and p. The sum of targets is the largest for which
     no domain must be repeated."""
@@ -134,7 +165,9 @@ def masses(soft: DataFrame, k: int) -> np.ndarray:
     return np.array([x or 0.0 for x in soft.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]) for i in range(k)]).first()])
 
 
-def descend(soft: DataFrame, mass: np.ndarray, targets: np.ndarray, sizes: np.ndarray, iterations: int, within: float) -> tuple[list[float], list[float]]:
+def descend(
+    soft: DataFrame, mass: np.ndarray, targets: np.ndarray, sizes: np.ndarray, iterations: int, within: float
+) -> tuple[list[float], list[float]]:
     """Multipliers and the totals that they reach: each within a share of its size from its target, if that can be."""
     k = len(targets)
     n, p, pairs = F.col("n_tokens"), F.col("p"), [(i, j) for i in range(k) for j in range(i, k)]
@@ -143,7 +176,12 @@ def descend(soft: DataFrame, mass: np.ndarray, targets: np.ndarray, sizes: np.nd
         """Reached totals, the sums of n * p_i * p_j over rates between the limits, and the dual value."""
         rate = rate_of(p, g.tolist())
         inside = (rate > 0) & (rate < MOST)
-        sums = [x or 0.0 for x in soft.agg(*[F.sum(rate * n * p[i]) for i in range(k)], *[F.sum(F.when(inside, n * p[i] * p[j])) for i, j in pairs], F.sum(n * (rate - 1) * (rate - 1))).first()]
+        sums = [
+            x or 0.0 for x in soft.agg(
+                *[F.sum(rate * n * p[i]) for i in range(k)], *[F.sum(F.when(inside, n * p[i] * p[j])) for i, j in pairs],
+                F.sum(n * (rate - 1) * (rate - 1))
+            ).first()
+        ]
         both = np.zeros((k, k))
         for (i, j), x in zip(pairs, sums[k:-1]):
             both[i, j] = both[j, i] = x
@@ -175,7 +213,12 @@ def missed(targets, reached, sizes=None) -> float:
 
 def told(domains: list[str], targets, reached, sizes=None) -> None:
     if missed(targets, reached, sizes) > 1e-4:
-        warnings.warn("mixing doesn't meet its targets: " + ", ".join(f"{d} {r:.0f} of {t:.0f} tokens" for d, t, r in zip(domains, targets, reached)), stacklevel=3)
+        warnings.warn(
+            "mixing doesn't meet its targets: " + ", ".join(
+                f"{d} {r:.0f} of {t:.0f} tokens" for d, t, r in zip(domains, targets, reached)
+            ),
+            stacklevel=3
+        )
 
 
 def rates(soft: DataFrame, domains: list[str], shares: list[float], iterations: int, repeat: float | None) -> Column:
@@ -190,7 +233,11 @@ def rates(soft: DataFrame, domains: list[str], shares: list[float], iterations:
     if not live:
         return F.lit(1.0)
     main = max(live, key=lambda i: shares[i])
-    ratios = [0.0 if i == main or i not in live else min(shares[i] / shares[main], repeat * mass[i] / mass[main]) for i in range(len(shares))]
+    ratios = [
+        0.0 if i == main or i not in live else min(
+            shares[i] / shares[main], repeat * mass[i] / mass[main]
+        ) for i in range(len(shares))
+    ]
     turned, sizes = soft.withColumn("p", against_main(F.col("p"), ratios, main)), np.array(ratios) * mass[main]
     g, reached = descend(turned, mass, np.zeros(len(shares)), sizes, iterations, 1e-4)
     told([f"{d} beyond its share" for d in domains], [0.0] * len(shares), reached, sizes)
@@ -198,7 +245,10 @@ def rates(soft: DataFrame, domains: list[str], shares: list[float], iterations:
     return rate_of(against_main(F.col("p"), ratios, main), g) / (whole if whole > 0 else 1.0)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 4000, iterations: int = 40, repeat: float | None = None, carry: list[str] | None = None) -> DataFrame:
+def mix(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text",
+    max_labelled: int = 4000, iterations: int = 40, repeat: float | None = None, carry: list[str] | None = None
+) -> DataFrame:
     """id, n_tokens, p_<domain>, rate, and copies: the rate rounded down or up by a hash of
     the id, so that the expected number of copies is the rate. labels: doc_id, domain. For
     ``repeat`` see ``rates``. With ``carry`` (which may include id and text) the result is these
@@ -217,7 +267,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     if carry is None:
         return out.select(id_col, "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate", "copies")
     # equal rows have equal copies, so rows are found again by id and text
-    taken = out.where("copies > 0").groupBy(F.col(id_col).alias("_id"), "_a", "_b").agg(F.max("copies").alias("_copies")).withColumnsRenamed({"_a": "_a2", "_b": "_b2"})
+    taken = out.where("copies > 0").groupBy(
+        F.col(id_col).alias("_id"), "_a", "_b"
+    ).agg(F.max("copies").alias("_copies")).withColumnsRenamed({"_a": "_a2", "_b": "_b2"})
     rows = every.select(*[F.col(f"`{c}`") for c in carry], F.col(id_col).alias("_own"), *hashes(F.col(text_col)))
-    several = rows.join(taken, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2")))
-    return several.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in carry])
+    several = rows.join(
+        taken, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2"))
+    )
+    return several.withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    ).select(*[F.col(f"`{c}`") for c in carry])

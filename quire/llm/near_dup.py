@@ -159,7 +159,9 @@ def sign(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: int) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done() -> pd.DataFrame:
             keys = band_keys(signatures(bags, bands * rows), bands, rows)
-            return pd.DataFrame({id_col: ids, "node": nodes, "bands": [k if len(b) else np.empty(0, np.int64) for k, b in zip(keys, bags)]})
+            return pd.DataFrame(
+                {id_col: ids, "node": nodes, "bands": [k if len(b) else np.empty(0, np.int64) for k, b in zip(keys, bags)]}
+            )
 
         for pdf in batches:
             ids, nodes, bags, held = [], [], [], 0
@@ -192,7 +194,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, per_block: in
     blocks = max(1, texts.count() // per_block)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     dealt = Stored(pairs.select("u", "v", block("u").alias("bu"), block("v").alias("bv")), "pairs")
-    needed = dealt.df.select(F.col("bu").alias("nu"), F.col("bv").alias("nv"), F.explode(F.array("u", "v")).alias("node")).distinct().join(texts, "node")
+    needed = dealt.df.select(
+        F.col("bu").alias("nu"), F.col("bv").alias("nv"), F.explode(F.array("u", "v")).alias("node")
+    ).distinct().join(texts, "node")
 
     def run(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         text = dict(zip(map(bytes, theirs["node"]), theirs["text"]))
@@ -206,7 +210,9 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float, per_block: in
         keep = [similarity(bag(bytes(u)), bag(bytes(v))) >= threshold for u, v in zip(ours["u"], ours["v"])]
         return ours.loc[keep, ["u", "v"]]
 
-    found = Stored(dealt.df.groupBy("bu", "bv").cogroup(needed.groupBy("nu", "nv")).applyInPandas(run, "u binary, v binary"), "links")
+    found = Stored(
+        dealt.df.groupBy("bu", "bv").cogroup(needed.groupBy("nu", "nv")).applyInPandas(run, "u binary, v binary"), "links"
+    )
     dealt.drop()
     return found
 
@@ -233,7 +239,11 @@ def parities(texts: DataFrame, longs: int = 16) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            odd = [np.bincount((shingles(t) % U(64 * longs)).astype(np.int64), minlength=64 * longs).astype(np.uint8) & 1 for t in pdf["text"]]
+            odd = [
+                np.bincount(
+                    (shingles(t) % U(64 * longs)).astype(np.int64), minlength=64 * longs
+                ).astype(np.uint8) & 1 for t in pdf["text"]
+            ]
             yield pd.DataFrame({"node": pdf["node"], "odd": [np.packbits(b).view(np.int64) for b in odd]})
 
     return texts.select("node", "text").mapInPandas(run, "node binary, odd array<long>")
@@ -242,14 +252,29 @@ def parities(texts: DataFrame, longs: int = 16) -> DataFrame:
 def components(links: DataFrame) -> Stored:
     """(node, comp) of every node with a link. Each turn moves every node to the least of
     itself and its neighbours and contracts the links, until none is left."""
-    edges = Stored(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
-    comp = Stored(edges.df.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("comp", F.col("node")), "comp")
+    edges = Stored(
+        links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges"
+    )
+    comp = Stored(
+        edges.df.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("comp", F.col("node")), "comp"
+    )
     while not edges.df.isEmpty():
         ways = edges.df.unionAll(edges.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = Stored(ways.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("at"), F.least("u", "w").alias("to")), "step")
-        moved = edges.df.join(step.df.select(F.col("at").alias("u"), F.col("to").alias("a")), "u").join(step.df.select(F.col("at").alias("v"), F.col("to").alias("b")), "v")
-        edges2 = Stored(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
-        comp2 = Stored(comp.df.join(step.df.withColumnRenamed("at", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comp")
+        step = Stored(
+            ways.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("at"), F.least("u", "w").alias("to")), "step"
+        )
+        moved = edges.df.join(
+            step.df.select(F.col("at").alias("u"), F.col("to").alias("a")), "u"
+        ).join(step.df.select(F.col("at").alias("v"), F.col("to").alias("b")), "v")
+        edges2 = Stored(
+            moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges"
+        )
+        comp2 = Stored(
+            comp.df.join(
+                step.df.withColumnRenamed("at", "comp"), "comp", "left"
+            ).select("node", F.coalesce("to", "comp").alias("comp")),
+            "comp"
+        )
         for old in (edges, comp, step):
             old.drop()
         edges, comp = edges2, comp2
@@ -274,10 +299,21 @@ def placed(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands:
 
     def opened() -> Stored:
         """Members of buckets with several components, and whether theirs is the bucket's largest."""
-        placed = members.df.select("key", "band", "node").join(comp.df, "node", "left").select("key", "band", "node", F.coalesce("comp", "node").alias("comp"))
-        parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("c"))
-        tops = parts.groupBy("key").agg(F.max(F.struct("n", "comp", "c")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        return Stored(placed.join(tops.select("key", "top"), "key").select("key", "band", "node", "comp", F.col("top.c").alias("c"), (F.col("comp") == F.col("top.comp")).alias("main")), "open")
+        placed = members.df.select("key", "band", "node").join(comp.df, "node", "left").select(
+            "key", "band", "node", F.coalesce("comp", "node").alias("comp")
+        )
+        parts = placed.groupBy("key", "comp").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("c")
+        )
+        tops = parts.groupBy("key").agg(
+            F.max(F.struct("n", "comp", "c")).alias("top"), F.count(F.lit(1)).alias("parts")
+        ).where("parts > 1")
+        return Stored(
+            placed.join(tops.select("key", "top"), "key").select(
+                "key", "band", "node", "comp", F.col("top.c").alias("c"), (F.col("comp") == F.col("top.comp")).alias("main")
+            ),
+            "open"
+        )
 
     def more(pairs: DataFrame) -> None:
         nonlocal comp
@@ -293,13 +329,24 @@ def placed(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands:
     # what is still apart: all pairs of a bucket that the bounds allow, each in the first band that it shares
     open_ = opened()
     alone = open_.df.select("node").distinct().join(texts.df, "node")
-    known = Stored(weights(alone).where(F.col("shared") >= threshold * F.col("size") - 1e-6).join(nodes, "node").join(parities(alone), "node"), "weights")
+    known = Stored(
+        weights(alone).where(
+            F.col("shared") >= threshold * F.col("size") - 1e-6
+        ).join(nodes, "node").join(parities(alone), "node"),
+        "weights"
+    )
     able = open_.df.drop("c").join(known.df, "node")  # few rows are left, with 8 bytes a band
-    u, v = (able.select("key", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "main", "size", "shared", "bands", "odd")]) for side in "uv")
+    u, v = (
+        able.select(
+            "key", "band", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "comp", "main", "size", "shared", "bands", "odd")]
+        ) for side in "uv"
+    )
     apart = "comp_u <> comp_v and (main_v or comp_u < comp_v)"
     near = F.least("shared_u", "shared_v") >= threshold / (1 + threshold) * (F.col("size_u") + F.col("size_v")) - 1e-6
     # a bound on the difference of two bags: that of a pair at the threshold is (1 - t) / (1 + t) of their sizes at most
-    unlike = reduce(lambda x, y: x + y, [F.bit_count(F.get("odd_u", F.lit(i)).bitwiseXOR(F.get("odd_v", F.lit(i)))) for i in range(16)])
+    unlike = reduce(
+        lambda x, y: x + y, [F.bit_count(F.get("odd_u", F.lit(i)).bitwiseXOR(F.get("odd_v", F.lit(i)))) for i in range(16)]
+    )
     like = unlike <= (1 - threshold) / (1 + threshold) * (F.col("size_u") + F.col("size_v")) + 1e-6
     first = F.expr("not exists(slice(zip_with(bands_u, bands_v, (x, y) -> x = y), 1, band), e -> e)")
     pairs = u.where("not main_u").join(v.drop("band"), "key").where(apart).where(near).where(like).where(first)
@@ -307,20 +354,31 @@ def placed(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands:
     for old in (members, texts, open_, known, *links):
         old.drop()
 
-    return sig.df.select(id_col, "node").join(comp.df, "node", "left").select(id_col, "node", F.coalesce("comp", "node").alias("comp"))
+    return sig.df.select(id_col, "node").join(comp.df, "node", "left").select(
+        id_col, "node", F.coalesce("comp", "node").alias("comp")
+    )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5
+) -> DataFrame:
     """id, class_id (the least id of the class) and class_size, a row for every input row."""
     own = Stored(placed(docs, id_col, text_col, threshold, bands, rows), "placed")
-    classes = Stored(own.df.groupBy("comp").agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes")
+    classes = Stored(
+        own.df.groupBy("comp").agg(F.min(id_col).alias("class_id"), F.count(F.lit(1)).alias("class_size")), "classes"
+    )
     return join_counted(own.df, classes.df, ["comp"], "class_size").select(id_col, "class_id", "class_size")
 
 
-def one_of_each(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32, rows: int = 5) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 32,
+    rows: int = 5
+) -> DataFrame:
     """The columns (among them id and text) of one row of each class: of the least id, null ids last, and of
     rows equal in id and text the least."""
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("_id"), F.col("node").alias("_node"))).alias("x")
+    first = F.min(
+        F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("_id"), F.col("node").alias("_node"))
+    ).alias("x")
     kept = placed(docs, id_col, text_col, threshold, bands, rows).groupBy("comp").agg(first).select("x._id", "x._node")
     own = with_clear_names(docs, *columns).withColumn("node", node_of(F.col(text_col)))
     own = own.join(kept, (F.col("node") == F.col("_node")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")

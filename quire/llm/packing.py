@@ -57,7 +57,10 @@ class Encoder:
         return np.array(self.encoding.encode(text, allowed_special="all", disallowed_special=()), "<u4").tobytes()
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = False, added: bool = False
+) -> DataFrame:
     """id, piece, start, length, ids_crc32 (and ids, on request) of each piece."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
@@ -72,7 +75,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for i, (a, b) in enumerate(zip(edges, edges[1:])):
                     own = raw[4 * a : 4 * b]
-                    rows.append((key, i, a, b - a, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype(np.int32)] if with_ids else [])))
+                    rows.append(
+                        (key, i, a, b - a, zlib.crc32(own), *([np.frombuffer(own, "<u4").astype(np.int32)] if with_ids else []))
+                    )
                     if len(rows) >= 20_000:
                         yield pd.DataFrame(rows, columns=names)
                         rows = []
@@ -133,7 +138,9 @@ def _packer(turn: int, capacity: int):
         gap = len(fill) > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         gives = fill < capacity if gap else np.arange(len(fill)) == int(fill.argmin())
         number = (turn << 58) + (int(pdf["_part"].iloc[0]) << 25) + 2 * bins  # even; by round, partition and bin
-        return pdf.drop(columns="_part").assign(sequence_id=number, offset=offsets, fill=fill[bins], gives=gives[bins] & (fill[bins] < capacity))
+        return pdf.drop(columns="_part").assign(
+            sequence_id=number, offset=offsets, fill=fill[bins], gives=gives[bins] & (fill[bins] < capacity)
+        )
 
     return one
 
@@ -143,13 +150,17 @@ def pack(items: DataFrame, capacity: int = 1024, per_partition: int = 50_000, ro
     columns = items.columns
     stored = Stored(items.withColumn("_item", F.monotonically_increasing_id()), "pieces")
     keyed = stored.df
-    whole = keyed.where(F.col("length") >= capacity).select(*columns, (F.col("_item") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = keyed.where(F.col("length") >= capacity).select(
+        *columns, (F.col("_item") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+    )
     pool = keyed.where(F.col("length") < capacity)
     counts = np.zeros(capacity + 1, np.int64)
     for size, n in pool.groupBy("length").count().collect():  # at most capacity rows
         counts[size] = n
     bound, done, settled = lower_bound(counts, capacity), [], 0
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema) + ", sequence_id long, offset long, fill long, gives boolean"
+    schema = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema
+    ) + ", sequence_id long, offset long, fill long, gives boolean"
 
     for turn in range(rounds):
         n = int(counts.sum()) if turn == 0 else pool.count()
@@ -158,7 +169,10 @@ def pack(items: DataFrame, capacity: int = 1024, per_partition: int = 50_000, ro
         parts = max(1, -(-n // per_partition))
         dealt = pool.withColumn("_part", F.pmod(F.xxhash64("_item", F.lit(turn)), F.lit(parts)))
         packed = Stored(dealt.groupBy("_part").applyInPandas(_packer(turn, capacity), schema), f"packed{turn}").df
-        facts = packed.agg(F.count_distinct("sequence_id").alias("bins"), F.count_distinct(F.when(F.col("gives"), F.col("sequence_id"))).alias("given")).first()
+        facts = packed.agg(
+            F.count_distinct("sequence_id").alias("bins"),
+            F.count_distinct(F.when(F.col("gives"), F.col("sequence_id"))).alias("given")
+        ).first()
         last = parts == 1 or turn == rounds - 1 or settled + facts["bins"] <= bound
         done.append(packed if last else packed.where(~F.col("gives")))
         if last:
@@ -171,6 +185,9 @@ def pack(items: DataFrame, capacity: int = 1024, per_partition: int = 50_000, ro
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, added: bool = False) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
+    with_ids: bool = False, added: bool = False
+) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset (and ids, on request)."""
     return pack(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids, added), capacity)

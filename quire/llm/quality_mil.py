@@ -48,7 +48,10 @@ def _features(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         first = np.flatnonzero(~space & (begins | np.concatenate(([True], space[:-1]))))
         wide = np.concatenate((data, np.zeros(6, np.uint8))).astype(np.uint64)
         owner = np.concatenate((at, np.full(6, -1, at.dtype)))
-        key = sum((np.where(owner[first + i] == at[first], wide[first + i], np.uint64(0)) << np.uint64(8 * i) for i in range(1, 5)), wide[first])
+        key = sum(
+            (np.where(owner[first + i] == at[first], wide[first + i], np.uint64(0)) << np.uint64(8 * i) for i in range(1, 5)),
+            wide[first]
+        )
         order = np.sort((at[first].astype(np.uint64) << np.uint64(40)) | key)
         words = np.bincount(at[first], minlength=n)
         new = np.concatenate(([True], order[1:] != order[:-1])) if len(order) else np.empty(0, bool)
@@ -100,7 +103,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class AttentionMIL:
     def __init__(self, hidden: int = 24, gate: int = 12, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.p = {"W": rng.normal(0, 0.15, (N_FEATURES, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.3, (hidden, gate)), "U": rng.normal(0, 0.3, (hidden, gate)), "w": np.zeros(gate), "c": rng.normal(0, 0.3, hidden), "d": np.zeros(1)}
+        self.p = {
+            "W": rng.normal(0, 0.15, (N_FEATURES, hidden)), "b": np.zeros(hidden), "V": rng.normal(0, 0.3, (hidden, gate)),
+            "U": rng.normal(0, 0.3, (hidden, gate)), "w": np.zeros(gate), "c": rng.normal(0, 0.3, hidden), "d": np.zeros(1)
+        }
         self.mean, self.scale, self.share = np.zeros(N_FEATURES), np.ones(N_FEATURES), None
 
     def _forward(self, x: np.ndarray):
@@ -109,7 +115,10 @@ class AttentionMIL:
         t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
         return h, t, s, (t * s) @ p["w"]
 
-    def fit(self, x: np.ndarray, doc: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 4e-3, decay: float = 1e-4) -> AttentionMIL:
+    def fit(
+        self, x: np.ndarray, doc: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 4e-3,
+        decay: float = 1e-4
+    ) -> AttentionMIL:
         """x: passages, sorted by doc (0 to len(y) - 1)."""
         self.share = float(y.mean()) if len(y) else 0.5
         if len(set(y.tolist())) < 2:
@@ -140,13 +149,18 @@ class AttentionMIL:
                 gate = de[:, None] * p["w"]
                 dt, ds = gate * s * (1 - t * t), gate * t * s * (1 - s)
                 dh = (alpha[:, None] * dz[at] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-                grad = {"W": xs.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ g, "d": g.sum(keepdims=True)}
+                grad = {
+                    "W": xs.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ g,
+                    "d": g.sum(keepdims=True)
+                }
                 step += 1
                 lr = rate * (1 - epoch / epochs) + rate / 20
                 for k, q in p.items():
                     m[k] += 0.1 * (grad[k] - m[k])
                     v[k] += 0.001 * (grad[k] ** 2 - v[k])
-                    q -= lr * (m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) + (decay * q if k != "d" else 0))
+                    q -= lr * (
+                        m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8) + (decay * q if k != "d" else 0)
+                    )
         return self
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -169,12 +183,19 @@ class AttentionMIL:
         return _sigmoid((z / np.maximum(low, 1e-300)[:, None]) @ self.p["c"] + self.p["d"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int, max_labelled: int = 3000, max_passages: int = 40_000) -> AttentionMIL:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, held: int,
+    max_labelled: int = 3000, max_passages: int = 40_000
+) -> AttentionMIL:
     """From labelled rows outside the held-out fold."""
-    open_rows = labels.where(F.col(label_col).isNotNull() & (crc_fold(F.col(id_col), folds) != held)).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
+    open_rows = labels.where(
+        F.col(label_col).isNotNull() & (crc_fold(F.col(id_col), folds) != held)
+    ).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     chosen = sampled(open_rows, id_col, max_labelled)  # at most some max_labelled rows, so the broadcast is bounded
     texts = with_clear_names(docs, id_col, text_col).join(F.broadcast(chosen), id_col)
-    train = texts.groupBy(id_col).agg(F.first("_y").alias("_y"), F.min(F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))).alias("x")).select(F.col(id_col).cast("string").alias("id"), "_y", "x.t", "x.h")
+    train = texts.groupBy(id_col).agg(
+        F.first("_y").alias("_y"), F.min(F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))).alias("x")
+    ).select(F.col(id_col).cast("string").alias("id"), "_y", "x.t", "x.h")
     train = materialise(train, "mil-train")
     size = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("t"), F.lit(0)) / PASSAGE))
     taken, total = [], 0
@@ -185,7 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(key, y, np.concatenate([x for _, x in encoded([text])]).tobytes()) for key, text, y in zip(pdf["id"], pdf["t"], pdf["_y"])]
+            rows = [
+                (key, y, np.concatenate([x for _, x in encoded([text])]).tobytes()) for key, text,
+                y in zip(pdf["id"], pdf["t"], pdf["_y"])
+            ]
             yield pd.DataFrame(rows, columns=["id", "y", "x"])
 
     rows = train.where(F.col("id").isin(taken)).mapInPandas(features, "id string, y int, x binary").collect()  # at most max_passages passages
@@ -193,10 +217,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     if not rows:
         return AttentionMIL().fit(np.empty((0, N_FEATURES)), np.empty(0, int), np.empty(0))
     xs = [np.frombuffer(r[2], np.float32).reshape(-1, N_FEATURES) for r in rows]
-    return AttentionMIL().fit(np.concatenate(xs).astype(np.float64), np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.array([float(r[1]) for r in rows]))
+    return AttentionMIL().fit(
+        np.concatenate(xs).astype(np.float64), np.repeat(np.arange(len(xs)), [len(x) for x in xs]),
+        np.array([float(r[1]) for r in rows])
+    )
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3, max_labelled: int = 3000, carry: list[str] | None = None) -> DataFrame:
+def quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    folds: int = 5, held: int = 0, threshold: float = 0.3, max_labelled: int = 3000, carry: list[str] | None = None
+) -> DataFrame:
     """id, held_out, score, predicted; and the columns to carry, which may include id and text."""
     if clash := {"held_out", "score", "predicted"} & set(carry or []):
         raise ValueError(f"can't carry {sorted(clash)}: results have these names")

@@ -47,8 +47,13 @@ def add_counts(df: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     # position in the low bits, hash in the others: one sort of longs brings equal windows together
-    df = df.withColumn("_m", F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(F.size("_h"), F.lit(2)))).cast("int")) - 1)
-    df = df.withColumn("_p", F.sort_array(F.transform("_h", lambda x, i: x.bitwiseAND(F.bitwise_not(F.col("_m"))).bitwiseOR(i.cast("long")))))
+    df = df.withColumn(
+        "_m",
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(F.size("_h"), F.lit(2)))).cast("int")) - 1
+    )
+    df = df.withColumn(
+        "_p", F.sort_array(F.transform("_h", lambda x, i: x.bitwiseAND(F.bitwise_not(F.col("_m"))).bitwiseOR(i.cast("long"))))
+    )
 
     def prefix(at: Column) -> Column:
         return F.get("_p", at).bitwiseAND(F.bitwise_not(F.col("_m")))
@@ -86,7 +91,9 @@ def _vote(good: Column, bad: Column) -> Column:
 
 def rules() -> dict[str, Column]:
     n, lines, chars = (F.greatest(F.col(c), F.lit(1)) for c in ("n_words", "n_lines", "word_chars"))
-    symbols, repeats, length, short, real = (F.col(c) / n for c in ("n_symbols", "n_repeat_words", "word_chars", "n_short_words", "n_real_words"))
+    symbols, repeats, length, short, real = (
+        F.col(c) / n for c in ("n_symbols", "n_repeat_words", "word_chars", "n_short_words", "n_real_words")
+    )
     upper, letters = (F.col(c) / chars for c in ("n_upper", "n_letters"))
     dup, ends = (F.col(c) / lines for c in ("n_dup_lines", "n_end_lines"))
     return {

@@ -22,8 +22,14 @@ from quire.llm.vafile import top_k
 
 TOKENIZER = "byte_bpe_50k.json"
 # fixed values: the rules as the query states them, and a short list of hosts
-RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-LISTED = [("ads-track.example.com", "/", "block"), ("casino-win.example.net", "/", "block"), ("cheap-pills.example.net", "/", "block"), ("free-bets.example.net", "/", "block"), ("spam-farm.example.org", "/", "block")]
+RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+    ("net", "/fr/", "block")
+]
+LISTED = [
+    ("ads-track.example.com", "/", "block"), ("casino-win.example.net", "/", "block"), ("cheap-pills.example.net", "/", "block"),
+    ("free-bets.example.net", "/", "block"), ("spam-farm.example.org", "/", "block")
+]
 
 
 def url_rows(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
@@ -74,11 +80,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_topk, op3_licenses, op4_quality_rules, op5_near_duplicates, op6_url_filter, op7_packing, op8_quality_classifier, op9_language, op10_repeats)}
+    return {
+        f.__name__: f for f in (
+            op1_mixing, op2_topk, op3_licenses, op4_quality_rules, op5_near_duplicates, op6_url_filter, op7_packing,
+            op8_quality_classifier, op9_language, op10_repeats
+        )
+    }
 
 
 def _url_rule_sql() -> str:
-    case = lambda rows: "SELECT * FROM (VALUES " + ", ".join("('%s', '%s', '%s')" % r for r in rows) + ") AS t(host, path, verdict)"
+    case = lambda rows: "SELECT * FROM (VALUES " + ", ".join(
+        "('%s', '%s', '%s')" % r for r in rows
+    ) + ") AS t(host, path, verdict)"
     fits = "(p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)"
     return f"""
 WITH rules AS ({case(RULES)}), listed AS ({case(LISTED)}),

@@ -234,7 +234,11 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
     """id, text and row, a hash of both: what is found of a row holds for its equals."""
-    return docs.select(*[F.col(f"`{c}`").alias(f"c_{c}") for c in carry], F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row"))
+    return docs.select(
+        *[F.col(f"`{c}`").alias(f"c_{c}") for c in carry], F.col(f"`{id_col}`").alias("id"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("row")
+    )
 
 
 def _numbered(rows: DataFrame, length: int, make, schema: str) -> DataFrame:
@@ -271,9 +275,14 @@ def occurrences(rows: DataFrame, length: int, hot: list[int]) -> DataFrame:
 
     def make(key, row, raw, first, last, place, name):
         n, name = len(first), name.view(np.int64)
-        span = np.fromiter((digest(raw[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist())), U, n)
+        span = np.fromiter(
+            (digest(raw[a : b + length], p - a) for a, b, p in zip(first.tolist(), last.tolist(), place.tolist())), U, n
+        )
         part = np.where(np.isin(name, often), (np.arange(n) + row) % PARTS, 0).astype(np.int32)
-        return {"id": np.repeat([key], n), "row": np.full(n, row, np.int64), "name": name, "span": span.view(np.int64), "at": first << 32 | (last - first), "part": part}
+        return {
+            "id": np.repeat([key], n), "row": np.full(n, row, np.int64), "name": name, "span": span.view(np.int64),
+            "at": first << 32 | (last - first), "part": part
+        }
 
     return _numbered(rows, length, make, f"id {kind}, row long, name long, span long, at long, part int")
 
@@ -297,12 +306,18 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, ba
     known = names.df.select("name", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
     found = Stored(occurrences(rows, length, hot).join(known, ["name", "part"], "left_semi").drop("part"), "anchors")
     # one occurrence of each span stands for it
-    spans = Stored(found.df.groupBy("name", "span").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("id", "row", "at")]), "spans")
+    spans = Stored(
+        found.df.groupBy("name", "span").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("id", "row", "at")]),
+        "spans"
+    )
     several = Stored(spans.df.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
     pool = join_counted(spans.df.drop("span"), several.df, ["name"], "k")
     spot = F.struct("name", first_of(F.col("at")).alias("first"), more_of(F.col("at")).alias("more"), "n", "k")
     listed = pool.groupBy("id", "row").agg(F.collect_list(spot).alias("spans"))  # at most a few per 100 bytes of one text
-    texts = rows.select("id", "row", "text").join(listed.withColumnsRenamed({"id": "_id", "row": "_row"}), (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))).select("id", "row", "text", "spans")
+    texts = rows.select("id", "row", "text").join(
+        listed.withColumnsRenamed({"id": "_id", "row": "_row"}),
+        (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id"))
+    ).select("id", "row", "text", "spans")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -313,7 +328,9 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, ba
                 seen.add((key, row))
                 raw = _bytes(text)
                 for s in spans:
-                    out.append((key, row, s["first"], s["name"], s["n"], s["k"], raw[s["first"] : s["first"] + s["more"] + length]))
+                    out.append(
+                        (key, row, s["first"], s["name"], s["n"], s["k"], raw[s["first"] : s["first"] + s["more"] + length])
+                    )
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
@@ -333,7 +350,10 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, ba
             if not held:
                 return pd.DataFrame({"id": [], "row": [], "first": [], "last": []})
             flags = shared_windows([bytes(h[4]) for h in held], np.array([h[3] > 1 for h in held]), length)
-            rows = [(h[0], h[1], h[2] + a, h[2] + b) for h, f in zip(held, flags) if h[3] == 1 for a, b in zip(*(x.tolist() for x in _ranges(f)))]
+            rows = [
+                (h[0], h[1], h[2] + a, h[2] + b) for h, f in zip(held, flags) if h[3] == 1 for a,
+                b in zip(*(x.tolist() for x in _ranges(f)))
+            ]
             return pd.DataFrame(rows, columns=["id", "row", "first", "last"])
 
         name = None
@@ -349,14 +369,21 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, ba
             yield done(held)
 
     schema = f"id {kind}, row long, first int, last int"
-    few = edges.df.where(F.col("k") <= batch_spans).repartition("name").sortWithinPartitions("name").select("id", "row", "first", "name", "n", "span").mapInPandas(expand, schema)
+    few = edges.df.where(F.col("k") <= batch_spans).repartition("name").sortWithinPartitions("name").select(
+        "id", "row", "first", "name", "n", "span"
+    ).mapInPandas(expand, schema)
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out, held = [], 0
             for key, row, first, n, span in zip(pdf["id"], pdf["row"], pdf["first"], pdf["n"], pdf["span"]):
                 h = [xxhash.xxh3_128_digest(span[i : i + length]) for i in range(len(span) - length + 1)]
-                out.append((np.repeat([key], len(h)), np.full(len(h), row), np.arange(first, first + len(h), dtype=np.int32), np.full(len(h), n), h))
+                out.append(
+                    (
+                        np.repeat([key], len(h)), np.full(len(h), row), np.arange(first, first + len(h), dtype=np.int32),
+                        np.full(len(h), n), h
+                    )
+                )
                 held += len(h)
                 if held > 100_000:
                     yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("id", "row", "first", "n", "h"), zip(*out))})
@@ -364,11 +391,18 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, ba
             if out:
                 yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("id", "row", "first", "n", "h"), zip(*out))})
 
-    each = Stored(edges.df.where(F.col("k") > batch_spans).select("id", "row", "first", "n", "span").mapInPandas(windows, f"id {kind}, row long, first int, n long, h binary"), "windows")
+    each = Stored(
+        edges.df.where(F.col("k") > batch_spans).select("id", "row", "first", "n", "span").mapInPandas(
+            windows, f"id {kind}, row long, first int, n long, h binary"
+        ),
+        "windows"
+    )
     twice = Stored(each.df.groupBy("h").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("c")).where("all > 1"), "twice")
     common = join_counted(each.df.where("n = 1"), twice.df, ["h"], "c").select("id", "row", "first", F.col("first").alias("last"))
     again = spans.df.where("n > 1").select("name", "span", "n")
-    settled = join_counted(found.df, again, ["name", "span"], "n").select("id", "row", first_of(F.col("at")).alias("first"), (first_of(F.col("at")) + more_of(F.col("at"))).alias("last"))
+    settled = join_counted(found.df, again, ["name", "span"], "n").select(
+        "id", "row", first_of(F.col("at")).alias("first"), (first_of(F.col("at")) + more_of(F.col("at"))).alias("last")
+    )
     # what has been found of equal rows is found once a row: the same range each time
     return settled.unionAll(few).unionAll(common), [names, found, spans, several, edges, each, twice]
 
@@ -384,7 +418,10 @@ def covered(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int,
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_spans: int = 4096, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, batch_spans: int = 4096,
+    with_text: bool = False, carry: list[str] | None = None
+) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 (and on request the remaining text, where
     characters cut in two are dropped, and other columns to carry) of every row."""
     carry = carry or []
@@ -394,7 +431,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = Stored(ranges.groupBy("id", "row").agg(F.collect_set(F.struct("first", "last")).alias("cuts")), "cuts")  # of one text
     for old in stored:
         old.drop()
-    joined = rows.join(ranges.df.withColumnsRenamed({"id": "_id", "row": "_row"}), (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "text", "cuts", *[f"c_{c}" for c in carry])
+    joined = rows.join(
+        ranges.df.withColumnsRenamed({"id": "_id", "row": "_row"}),
+        (F.col("row") == F.col("_row")) & F.col("id").eqNullSafe(F.col("_id")), "left"
+    ).select("id", "text", "cuts", *[f"c_{c}" for c in carry])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -404,9 +444,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 runs = covered([c["first"] for c in cuts], [c["last"] for c in cuts], length) if cuts is not None else []
                 edges = [0, *[x for r in runs for x in r], len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else raw
-                out.append((key, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if with_text else [])))
+                out.append(
+                    (
+                        key, len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(),
+                        *([kept.decode("utf-8", "ignore")] if with_text else [])
+                    )
+                )
             yield pd.DataFrame(out, columns=names).assign(**{c: pdf[f"c_{c}"] for c in carry})
 
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *([text_col] if with_text else [])]
-    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", `{text_col}` string" * with_text + "".join(f", `{c}` {rows.schema[f'c_{c}'].dataType.simpleString()}" for c in carry)
+    schema = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + f", `{text_col}` string" * with_text + "".join(
+        f", `{c}` {rows.schema[f'c_{c}'].dataType.simpleString()}" for c in carry
+    )
     return joined.mapInPandas(apply, schema)

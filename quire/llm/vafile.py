@@ -124,8 +124,12 @@ def scan(blocks: Iterator[tuple[np.ndarray, np.ndarray, Cells]], asked: Asked, k
 def _integers(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
     """vec_id and the whole vectors that take part."""
     v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
-    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    fine = F.forall(
+        F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    )
+    return vectors.where(
+        F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine
+    ).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
 def distinct(rows: DataFrame, ids: int | None, most: int) -> DataFrame:
@@ -138,7 +142,10 @@ def distinct(rows: DataFrame, ids: int | None, most: int) -> DataFrame:
             for own, v in zip(pdf["vec_id"].tolist(), pdf["v"]):
                 times = found.setdefault(packed(np.asarray(v, np.float64)), {})
                 times[own] = times.get(own, 0) + 1
-            out = [(own, xxhash.xxh3_64_intdigest(raw) - (1 << 63), min(times[own], most), raw) for raw, times in found.items() for own in sorted(times)[:ids]]
+            out = [
+                (own, xxhash.xxh3_64_intdigest(raw) - (1 << 63), min(times[own], most), raw) for raw,
+                times in found.items() for own in sorted(times)[:ids]
+            ]
             yield pd.DataFrame(out, columns=["vec_id", "h", "m", "v"])
 
     return rows.mapInPandas(run, VECTOR)
@@ -154,7 +161,12 @@ def cells_of(vectors: DataFrame) -> DataFrame:
             for d in np.unique(sizes).tolist():
                 some = np.flatnonzero(sizes == d)
                 cells = Cells.of(np.array([whole[i] for i in some]).reshape(len(some), d))
-                rows.append((d, *(pdf[c].to_numpy(np.int64)[some].tobytes() for c in ("vec_id", "h")), cells.low.tobytes(), cells.width.tobytes(), cells.codes.tobytes()))
+                rows.append(
+                    (
+                        d, *(pdf[c].to_numpy(np.int64)[some].tobytes() for c in ("vec_id", "h")), cells.low.tobytes(),
+                        cells.width.tobytes(), cells.codes.tobytes()
+                    )
+                )
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS.split(", ")])
 
     return vectors.select("vec_id", "h", "v").mapInPandas(run, CELLS)
@@ -165,7 +177,9 @@ def candidates(cells: DataFrame, asked: Asked, k: int) -> DataFrame:
         for pdf in batches:
             for d, ids, hs, low, width, codes in zip(*(pdf[c] for c in pdf.columns)):
                 ids, hs = np.frombuffer(ids, np.int64), np.frombuffer(hs, np.int64)
-                yield ids, hs, Cells(np.frombuffer(low), np.frombuffer(width), np.frombuffer(codes, np.uint8).reshape(len(ids), d))
+                yield ids, hs, Cells(
+                    np.frombuffer(low), np.frombuffer(width), np.frombuffer(codes, np.uint8).reshape(len(ids), d)
+                )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for found in scan(blocks(batches), asked, k):
@@ -177,7 +191,9 @@ def candidates(cells: DataFrame, asked: Asked, k: int) -> DataFrame:
 def exact(wanted: DataFrame, vectors: DataFrame, asked: list[np.ndarray], k: int) -> DataFrame:
     """query, vec_id, score, m of the wanted (query, vec_id, h), from whole vectors."""
     needed = wanted.select("vec_id", "h").distinct()
-    whole = vectors.join(needed, ["vec_id", "h"], "left_semi").groupBy("vec_id", "h").agg(F.least(F.lit(k), F.sum("m")).cast("int").alias("m"), F.first("v").alias("v"))
+    whole = vectors.join(needed, ["vec_id", "h"], "left_semi").groupBy("vec_id", "h").agg(
+        F.least(F.lit(k), F.sum("m")).cast("int").alias("m"), F.first("v").alias("v")
+    )
 
     def product(q: np.ndarray, v: np.ndarray) -> int:
         if np.abs(q).max(initial=0.0) * np.abs(v).max(initial=0.0) * max(1, len(q)) < 2.0**53:
@@ -187,9 +203,13 @@ def exact(wanted: DataFrame, vectors: DataFrame, asked: list[np.ndarray], k: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             score = [product(asked[q], unpacked(v)) for q, v in zip(pdf["query"], pdf["v"])]
-            yield pd.DataFrame({"query": pdf["query"], "vec_id": pdf["vec_id"], "score": np.array(score, np.int64), "m": pdf["m"]})
+            yield pd.DataFrame(
+                {"query": pdf["query"], "vec_id": pdf["vec_id"], "score": np.array(score, np.int64), "m": pdf["m"]}
+            )
 
-    return wanted.join(whole, ["vec_id", "h"]).select("query", "vec_id", "v", "m").mapInPandas(run, "query int, vec_id long, score long, m int")
+    return wanted.join(whole, ["vec_id", "h"]).select("query", "vec_id", "v", "m").mapInPandas(
+        run, "query int, vec_id long, score long, m int"
+    )
 
 
 def answered(asked: list, vectors: DataFrame, cells: DataFrame, k: int, first: int) -> Stored:
@@ -197,33 +217,57 @@ def answered(asked: list, vectors: DataFrame, cells: DataFrame, k: int, first: i
     spark, whole = vectors.sparkSession, [unpacked(bytes(r["v"])) for r in asked]
     sizes, own = np.array([len(v) for v in whole]), np.array([r["vec_id"] for r in asked], np.int64)
     groups = {d: np.flatnonzero(sizes == d) for d in np.unique(sizes).tolist()}
-    seen = Stored(candidates(cells, {d: (np.array([whole[i] for i in at]).reshape(len(at), d), own[at], at.astype(np.int32)) for d, at in groups.items()}, k), "candidates")
+    seen = Stored(
+        candidates(
+            cells,
+            {d: (np.array([whole[i] for i in at]).reshape(len(at), d), own[at], at.astype(np.int32)) for d, at in groups.items()},
+            k
+        ),
+        "candidates"
+    )
     best = Window.partitionBy("query").orderBy(F.desc("lower"))
-    floors = seen.df.select("query", "lower", F.row_number().over(best).alias("n")).where(F.col("n") == k).select("query", F.col("lower").alias("floor"))
-    able = seen.df.join(floors, "query", "left").where("floor is null or upper >= floor").groupBy("query", "vec_id", "h").agg(F.max("upper").alias("upper"))
-    ordered = Stored(able.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("upper"), "vec_id"))), "ordered")
+    floors = seen.df.select(
+        "query", "lower", F.row_number().over(best).alias("n")
+    ).where(F.col("n") == k).select("query", F.col("lower").alias("floor"))
+    able = seen.df.join(floors, "query", "left").where(
+        "floor is null or upper >= floor"
+    ).groupBy("query", "vec_id", "h").agg(F.max("upper").alias("upper"))
+    ordered = Stored(
+        able.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("upper"), "vec_id"))), "ordered"
+    )
     read = Stored(exact(ordered.df.where(F.col("place") <= k + first), vectors, whole, k), "read")
     # the k-th result so far: what can't reach it is never read
     so_far = F.sum("m").over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
-    kth = read.df.select("query", "score", so_far.alias("n")).where(F.col("n") >= k).groupBy("query").agg(F.max("score").alias("kth"))
+    kth = read.df.select(
+        "query", "score", so_far.alias("n")
+    ).where(F.col("n") >= k).groupBy("query").agg(F.max("score").alias("kth"))
     rest = ordered.df.where(F.col("place") > k + first).join(kth, "query", "left").where("kth is null or upper >= kth")
     found = read.df.unionAll(exact(rest, vectors, whole, k))
-    numbered = spark.createDataFrame([(i, r["vec_id"], r["m"]) for i, r in enumerate(asked)], "query int, query_id long, times int")
+    numbered = spark.createDataFrame(
+        [(i, r["vec_id"], r["m"]) for i, r in enumerate(asked)], "query int, query_id long, times int"
+    )
     copies = F.least(F.lit(k), F.col("m") * F.col("times"))
-    result = Stored(found.join(F.broadcast(numbered), "query").select("query_id", "vec_id", "score", copies.alias("copies")), "answers")  # one batch
+    result = Stored(
+        found.join(F.broadcast(numbered), "query").select("query_id", "vec_id", "score", copies.alias("copies")), "answers"
+    )  # one batch
     for old in (seen, ordered, read):
         old.drop()
     return result
 
 
-def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100, scale: float = 1024.0, first: int = 10, batch_bytes: int = 1 << 24) -> DataFrame:
+def top_k(
+    vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 100,
+    scale: float = 1024.0, first: int = 10, batch_bytes: int = 1 << 24
+) -> DataFrame:
     """query_id, rank, vec_id, score of each row whose id is divisible by ``every``. ``first`` more than k exact
     vectors are read before the first look at what is certain."""
     rows = _integers(vectors, id_col, vector_col, scale)
     whole = Stored(distinct(rows, k + 1, k), "vectors")
     cells = Stored(cells_of(whole.df), "cells")
     alike = distinct(rows.where(F.col("vec_id") % every == 0), None, k)
-    asked = Stored(alike.groupBy("vec_id", "h").agg(F.least(F.lit(k), F.sum("m")).cast("int").alias("m"), F.first("v").alias("v")), "asked")
+    asked = Stored(
+        alike.groupBy("vec_id", "h").agg(F.least(F.lit(k), F.sum("m")).cast("int").alias("m"), F.first("v").alias("v")), "asked"
+    )
     size = asked.df.agg(F.sum(4 * F.octet_length("v") + 64)).first()[0] or 0  # as doubles, at most
     batches = -(-size // batch_bytes)
     results = []
@@ -237,4 +281,6 @@ def top_k(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: s
     found = reduce(DataFrame.unionAll, [r.df for r in results]) if results else empty
     found = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
     merged = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score"
+    )

@@ -19,7 +19,11 @@ ODD = (None, "", " \n\t", "a", "ü" * 3000, "same text here", "same text here")
 
 def words(n, seed):
     r = random.Random(seed)
-    return " ".join(r.choice("the of and to in is was thing place water light stone river cloud number " .split()) + str(r.randrange(400)) for _ in range(n))
+    return " ".join(
+        r.choice(
+            "the of and to in is was thing place water light stone river cloud number " .split()
+        ) + str(r.randrange(400)) for _ in range(n)
+    )
 
 
 def test_quality_counts_match_brute_force(docs):
@@ -33,7 +37,9 @@ def test_quality_counts_match_brute_force(docs):
         covered = {k + j for k, g in enumerate(grams) if seen[g] > 1 for j in range(3)}
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         r = got[i]
-        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)), i
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+        ), i
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
     assert quality_rules.quality_rules(docs(*texts).limit(0)).count() == 0
 
@@ -50,7 +56,9 @@ def test_em_learns_which_rules_to_trust():
 def test_posterior_decides_beside_the_base_rule(spark):
     """On the corpus table the posterior itself rejects documents, and the better for it."""
     d = "/root/testdata/sf0.01"
-    rows = quality_rules.quality_rules(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "left").collect()
+    rows = quality_rules.quality_rules(spark.read.parquet(f"{d}/documents.parquet")).join(
+        spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "left"
+    ).collect()
     passed = [r for r in rows if not r["base_failed"]]
     rejected = [r for r in passed if not r["kept"]]
     assert len(passed) / 50 < len(rejected) < len(passed) / 5
@@ -63,17 +71,30 @@ def test_posterior_decides_beside_the_base_rule(spark):
 def test_quality_rules_on_long_texts_and_clashing_columns(spark):
     text = words(20_000, 3) + "\n" + "# " * 40_000
     names = ["doc_id", "text", "n_words", "pattern", "_w", "kept", "quality_prob"]
-    df = spark.createDataFrame([(1, text, *["x"] * 5), (None, text, *["y"] * 5)], ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    df = spark.createDataFrame(
+        [(1, text, *["x"] * 5), (None, text, *["y"] * 5)],
+        ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names)
+    )
     rows = quality_rules.quality_rules(df).collect()
-    assert [r["n_words"] for r in rows] == [60_000] * 2 and [r["n_symbols"] for r in rows] == [40_000] * 2 and all(r["base_failed"] for r in rows)
+    assert [r["n_words"] for r in rows] == [60_000] * 2 and [r["n_symbols"] for r in rows] == [40_000] * 2 and all(
+        r["base_failed"] for r in rows
+    )
     counts = quality_rules.add_counts(spark.createDataFrame([("Ab c1 ### né 12 abcd",)], "text string")).first()
     assert (counts["n_letters"], counts["n_short_words"], counts["n_real_words"], counts["n_upper"]) == (9, 5, 5, 1)
 
 
 def test_url_rules(spark):
-    urls = [None, "", "nourl", "http://WWW.Example.com/en/x?q=/fr/", "https://a.example.com/en/#f", "http://example.net/es/1", "ftp://xnet/es/", "http://net/fr/", "http://a.spam-farm.example.org/x", "http://spam-farm.example.org", "http://h.com", "http://h.com/", "HTTP://u@H.NET:8/de/", "a://b://c/d"]
+    urls = [
+        None, "", "nourl", "http://WWW.Example.com/en/x?q=/fr/", "https://a.example.com/en/#f", "http://example.net/es/1",
+        "ftp://xnet/es/", "http://net/fr/", "http://a.spam-farm.example.org/x", "http://spam-farm.example.org", "http://h.com",
+        "http://h.com/", "HTTP://u@H.NET:8/de/", "a://b://c/d"
+    ]
     pages = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "page_id long, url string, key string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_filter(pages, queries.url_rows(spark, queries.RULES), queries.url_rows(spark, queries.LISTED)).collect()}
+    got = {
+        r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_filter(
+            pages, queries.url_rows(spark, queries.RULES), queries.url_rows(spark, queries.LISTED)
+        ).collect()
+    }
     rules = queries.RULES
     for i, u in enumerate(urls):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
@@ -87,7 +108,10 @@ def test_url_rules(spark):
 
 def brute_topk(rows, every=100, k=10):
     """Of (id, vector) rows, repeats included: {query id: [(rank, id, score)]}."""
-    whole = [(i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [
+        (i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]) for i,
+        v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
     out = {}
     for q, a in whole:
         if q % every == 0:
@@ -106,9 +130,14 @@ def test_topk_matches_brute_force(spark):
     rng = np.random.default_rng(1)
     vecs = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 0.2, (450, 8)))]
     vecs += [(1000 + i, vecs[7][1]) for i in range(30)]  # ties
-    vecs += [(2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2100, [float("inf")] * 8), (2200, [1.0, 2.0]), (2201, [3.0, 2.0]), (2300, []), (2400, []), (None, vecs[3][1])]
+    vecs += [
+        (2000, None), (2001, [1.0, None] + [0.0] * 6), (2002, [float("nan")] * 8), (2100, [float("inf")] * 8), (2200, [1.0, 2.0]),
+        (2201, [3.0, 2.0]), (2300, []), (2400, []), (None, vecs[3][1])
+    ]
     vecs += [(100, vecs[100][1])] * 3 + [(100, vecs[5][1])] + [(7, vecs[7][1])] * 12  # repeated ids, one with two vectors
-    df = spark.createDataFrame([(i, v, 0, 1.0, "x") for i, v in vecs], "vec_id long, embedding array<float>, label int, score double, m string").repartition(3)
+    df = spark.createDataFrame(
+        [(i, v, 0, 1.0, "x") for i, v in vecs], "vec_id long, embedding array<float>, label int, score double, m string"
+    ).repartition(3)
     assert topk_of(df) == brute_topk(vecs) == topk_of(df, batch_bytes=700, first=0)
     assert vafile.top_k(df.limit(0)).count() == 0
 
@@ -149,7 +178,10 @@ def test_topk_beyond_doubles(spark):
 
 def test_near_duplicates_match_brute_force(docs):
     base = [words(120, s) for s in range(6)]
-    texts = [*ODD, *base, base[0] + " tail", base[0].replace("the", "thy", 2), base[1], base[1] + " " + words(20, 99), "a b c", "a b c", "p q r s t " * 9, "p q r s t " * 10]
+    texts = [
+        *ODD, *base, base[0] + " tail", base[0].replace("the", "thy", 2), base[1], base[1] + " " + words(20, 99), "a b c",
+        "a b c", "p q r s t " * 9, "p q r s t " * 10
+    ]
     got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(docs(*texts)).collect()}
     bags = [np.unique(near_dup.shingles(t), return_counts=True) for t in texts]
     group = list(range(len(texts)))
@@ -205,8 +237,15 @@ def brute_repeats(texts, length):
 @pytest.mark.parametrize("batch_spans", [4096, 2])
 def test_repeats_match_brute_force(docs, batch_spans):
     p = words(60, 5)
-    texts = [*ODD, "ü" * 90 + "x", words(40, 6) + p + words(30, 7), p + words(50, 8), words(10, 9) + p[40:320], "ab" * 300, "q" * 250, *[words(12, 20 + i) + p[100:330] + words(9, 40 + i) for i in range(12)], "é" * 120 + p[:250], "é" * 120]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(docs(*texts), batch_spans=batch_spans).collect()}
+    texts = [
+        *ODD, "ü" * 90 + "x", words(40, 6) + p + words(30, 7), p + words(50, 8), words(10, 9) + p[40:320], "ab" * 300, "q" * 250,
+        *[words(12, 20 + i) + p[100:330] + words(9, 40 + i) for i in range(12)], "é" * 120 + p[:250], "é" * 120
+    ]
+    got = {
+        r["doc_id"]: (
+            r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]
+        ) for r in repeats.remove_repeats(docs(*texts), batch_spans=batch_spans).collect()
+    }
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200)
 
 
@@ -222,7 +261,12 @@ def test_expansion_finds_all_shared_windows(spans):
 def test_only_spans_without_shared_windows_are_left_out():
     r = np.random.default_rng(8)
     base = r.integers(97, 123, 900).astype(np.uint8).tobytes()
-    texts = [r.integers(97, 123, int(r.integers(0, 90))).astype(np.uint8).tobytes() + base[a : a + n] + b"-" * int(r.integers(0, 60)) for a, n in zip(r.integers(0, 500, 60), r.integers(120, 400, 60))]
+    texts = [
+        r.integers(
+            97, 123, int(r.integers(0, 90))
+        ).astype(np.uint8).tobytes() + base[a : a + n] + b"-" * int(r.integers(0, 60)) for a,
+        n in zip(r.integers(0, 500, 60), r.integers(120, 400, 60))
+    ]
     spans, names = [], []
     for t in texts:
         for first, last, _, name in zip(*repeats.anchors(t, 200)):
@@ -248,12 +292,16 @@ def test_packing_round_trip(docs):
         own = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["piece"])
         ids = [x for r in own for x in r["ids"]]
         assert ids == [*t.encode(text or "", add_special_tokens=False).ids, 2]
-        assert all(r["length"] == 64 for r in own[1:]) and [r["start"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist()
+        assert all(
+            r["length"] == 64 for r in own[1:]
+        ) and [r["start"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist()
     bins = {}
     for r in rows:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for b in bins.values():
-        assert [o for o, _ in sorted(b)] == np.cumsum([0, *[n for _, n in sorted(b)]])[:-1].tolist() and sum(n for _, n in b) <= 64
+        assert [o for o, _ in sorted(b)] == np.cumsum(
+            [0, *[n for _, n in sorted(b)]]
+        )[:-1].tolist() and sum(n for _, n in b) <= 64
     counts = np.bincount([r["length"] for r in rows], minlength=65)
     assert packing.lower_bound(counts, 64) <= len(bins) <= packing.lower_bound(counts, 64) + 1
 
@@ -264,10 +312,15 @@ def test_packing_gives_added_tokens_their_ids(docs):
 
     path = public_tokenizers.path(queries.TOKENIZER)
     t = Tokenizer.from_file(path)
-    texts = ["a<|endoftext|> x", "<|endoftext|><|endoftext|>", " <|endoftext|>\n<|endoftext|", words(80, 3) + "<|endoftext|>" + words(80, 4)]
+    texts = [
+        "a<|endoftext|> x", "<|endoftext|><|endoftext|>", " <|endoftext|>\n<|endoftext|",
+        words(80, 3) + "<|endoftext|>" + words(80, 4)
+    ]
     rows = packing.pack_documents(docs(*texts), path, with_ids=True, added=True).collect()
     got = {r["doc_id"]: list(r["ids"]) for r in rows}
-    assert got[0] == [64, 50256, 2124, 2] and got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    assert got[0] == [64, 50256, 2124, 2] and got == {
+        i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)
+    }
 
 
 @settings(max_examples=60, deadline=None)
@@ -289,14 +342,18 @@ def test_bounds_hold(sizes):
 def test_repacking_exchanges_between_partitions(spark):
     r = np.random.default_rng(1)
     items = spark.createDataFrame([(int(x),) for x in r.integers(1, 700, 600)], "length long")
-    rows = packing.pack(items, 1024, per_partition=100).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    rows = packing.pack(items, 1024, per_partition=100).groupBy("sequence_id").agg(
+        F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")
+    ).collect()
     total = items.agg(F.sum("length")).first()[0]
     assert all(x["n"] == x["end"] <= 1024 for x in rows) and len(rows) <= -(-total // 1024) + 3
 
 
 def test_language_held_out(docs, spark):
     en, de = ("the river and the light of the stone ", "der fluss und das licht auf dem stein ")
-    rows = [(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de", "s") for i in range(60)] + [(100, None, "en", "s"), (101, "123 !", "de", "s"), (102, "the stone", None, "s")]
+    rows = [(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de", "s") for i in range(60)] + [
+        (100, None, "en", "s"), (101, "123 !", "de", "s"), (102, "the stone", None, "s")
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
     got = {r["doc_id"]: r for r in language.language_id(df).collect()}
     assert len(got) == 63 and all(got[i]["lang_pred"] == ("en" if i % 2 else "de") for i in range(60))
@@ -315,9 +372,13 @@ def test_quality_classifier(docs, spark):
     good = [words(150, i) + "." for i in range(60)]
     bad = [(words(150, 100 + i) + ".").upper().replace(" ", "!! ") for i in range(60)]
     df = docs(*[x for pair in zip(good, bad) for x in pair], None, "")
-    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(120)] + [(500, None, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(i, 1 - i % 2, 0) for i in range(120)] + [(500, None, 0)], "doc_id long, quality int, toxic int"
+    )
     got = {r["doc_id"]: r for r in quality_mil.quality(df, labels).collect()}
-    assert len(got) == 122 and all(got[i]["predicted"] == 1 - i % 2 for i in range(120)) and 0 <= got[120]["score"] == got[121]["score"] <= 1
+    assert len(got) == 122 and all(
+        got[i]["predicted"] == 1 - i % 2 for i in range(120)
+    ) and 0 <= got[120]["score"] == got[121]["score"] <= 1
     assert {r["score"] for r in quality_mil.quality(df, labels.limit(0)).collect()} == {0.5}
 
 
@@ -346,7 +407,9 @@ def test_mixing_reaches_targets(docs, spark):
 def test_mixing_meets_each_target_of_overlapping_domains(spark):
     r = np.random.default_rng(4)
     p = np.concatenate([r.dirichlet((6, 1, 1), 600), r.dirichlet((1, 3, 1), 150), r.dirichlet((4, 0.5, 2), 60)])
-    soft = spark.createDataFrame([(int(n), [float(y) for y in x]) for n, x in zip(r.integers(20, 2000, len(p)), p)], "n_tokens long, p array<double>")
+    soft = spark.createDataFrame(
+        [(int(n), [float(y) for y in x]) for n, x in zip(r.integers(20, 2000, len(p)), p)], "n_tokens long, p array<double>"
+    )
     g, targets, reached = mixing.solve(soft, [0.9, 0.07, 0.03])
     assert np.allclose(np.array(targets) / sum(targets), [0.9, 0.07, 0.03]) and np.allclose(reached, targets, rtol=1e-4)
     sums = soft.agg(*[F.sum(mixing.rate_of(F.col("p"), g) * F.col("n_tokens") * F.col("p")[i]) for i in range(3)]).first()
@@ -363,7 +426,9 @@ def test_mixing_stage_keeps_clean_documents_where_others_are_scarce(spark, docs,
     import corpus_pipeline
 
     texts = [words(100, i) + (" foul nasty" * 50 if i < 1 else "") for i in range(200)]
-    spark.createDataFrame([(i, 1, int(i < 1)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(
+        [(i, 1, int(i < 1)) for i in range(200)], "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{tmp_path}/labels.parquet")
     taken = Counter(r["doc_id"] for r in corpus_pipeline.mixing_stage(spark, docs(*texts), str(tmp_path)).collect())
     assert sum(i in taken for i in range(1, 200)) >= 197 and 2 <= taken[0] <= 5  # 3 % of the tokens, of which there is 1 %
 
@@ -372,7 +437,9 @@ def test_mixing_stage_keeps_null_ids(spark, docs, tmp_path):
     import corpus_pipeline
 
     texts = [words(100, i) for i in range(40)]
-    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(
+        [(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int"
+    ).write.parquet(f"{tmp_path}/labels.parquet")
     df = docs(*texts, texts[0], None, texts[30], ids=[*range(20), *[None] * 20, 0, None, None])
     out = corpus_pipeline.mixing_stage(spark, df, str(tmp_path))
     assert out.columns == corpus_pipeline.COLUMNS
@@ -380,10 +447,23 @@ def test_mixing_stage_keeps_null_ids(spark, docs, tmp_path):
 
 
 def test_licenses_inherit_from_nearest(spark):
-    rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", "code"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), (4, "a/y.txt", "code\n# Licensed under CC BY-NC 4.0.\n" + words(80, 1)), (5, "z/x.txt", None), (6, None, "code"), (7, "top.txt", ""), (8, "a/w.txt", "a licensed plumber"), (8, "a/w.txt", "a licensed plumber")]
+    rows = [
+        (1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/c/x.txt", "code"),
+        (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."),
+        (4, "a/y.txt", "code\n# Licensed under CC BY-NC 4.0.\n" + words(80, 1)), (5, "z/x.txt", None), (6, None, "code"),
+        (7, "top.txt", ""), (8, "a/w.txt", "a licensed plumber"), (8, "a/w.txt", "a licensed plumber")
+    ]
     df = spark.createDataFrame(rows, "doc_id long, path string, text string")
-    got = [(r["doc_id"], r["license"], r["origin"], r["license_dir"]) for r in licenses.license_scan(df, F.col("path")).orderBy("doc_id").collect()]
-    assert got == [(1, "MIT", "file", None), (2, "Apache-2.0", "inherited", "a/b"), (3, "Apache-2.0", "file", None), (4, "CC-BY-NC-4.0", "header", None), (5, None, None, None), (6, None, None, None), (7, None, None, None), (8, "MIT", "inherited", "a"), (8, "MIT", "inherited", "a")]
+    got = [
+        (
+            r["doc_id"], r["license"], r["origin"], r["license_dir"]
+        ) for r in licenses.license_scan(df, F.col("path")).orderBy("doc_id").collect()
+    ]
+    assert got == [
+        (1, "MIT", "file", None), (2, "Apache-2.0", "inherited", "a/b"), (3, "Apache-2.0", "file", None),
+        (4, "CC-BY-NC-4.0", "header", None), (5, None, None, None), (6, None, None, None), (7, None, None, None),
+        (8, "MIT", "inherited", "a"), (8, "MIT", "inherited", "a")
+    ]
 
 
 def test_license_texts_and_headers_of_several_lines(spark):
@@ -392,20 +472,27 @@ def test_license_texts_and_headers_of_several_lines(spark):
     for name, text in full.items():
         assert scanner.scan(text.replace("year, holder", "2020, Jane Doe"), 0.8, 0.8)[::2] == (name, True), name
     code = "\n" + words(200, 5).replace(" ", "\n") + "\n"
-    wrapped = lambda text, mark="# ": "".join(mark + " ".join(text.split()[i : i + 9]) + "\n" for i in range(0, len(text.split()), 9))
+    wrapped = lambda text, mark="# ": "".join(
+        mark + " ".join(text.split()[i : i + 9]) + "\n" for i in range(0, len(text.split()), 9)
+    )
     for name, texts in licenses.HEADERS.items():
         for text in texts:
             assert scanner.scan("# Copyright 2020 Jane Doe\n#\n" + wrapped(text) + code, 0.8, 0.8)[::2] == (name, False), text
     for text, name in [
         (wrapped(full["MIT"], " * ") + code, "MIT"),
         ("Copyright 2020 Jane Doe. Licensed under the MIT License." + code, "MIT"),
-        ("// Copyright 2015 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n" + code, "BSD-3-Clause"),
+        (
+            "// Copyright 2015 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n" + code,
+            "BSD-3-Clause"
+        ),
         ("a license to\ndrive " + code, None),
         ("The licensed plumber has no copyright. All of the rest is prose." + code, None),
     ]:
         assert scanner.scan(text, 0.8, 0.8)[::2] == (name, False), text[:80]
     rows = [(1, "a/LICENSE", full["MIT"]), (2, "a/b/x.txt", "code")]
-    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).orderBy("doc_id").collect()
+    got = licenses.license_scan(
+        spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")
+    ).orderBy("doc_id").collect()
     assert [(r["license"], r["origin"], r["license_dir"]) for r in got] == [("MIT", "file", None), ("MIT", "inherited", "a")]
 
 
@@ -428,7 +515,9 @@ def test_near_duplicate_stage_keeps_one_row_of_each_class(spark, docs):
     # a row ingested twice; two texts under one id, one of them a copy; copies without an id; a class of null ids only
     df = docs(a, a, b, b + " tail", c, a, d, d, ids=[1, 1, 2, 3, 3, None, None, None])
     out = corpus_pipeline.near_duplicate_stage(spark, df, "")
-    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (None, d)], key=str)
+    assert sorted(
+        ((r["doc_id"], r["text"]) for r in out.collect()), key=str
+    ) == sorted([(1, a), (2, b), (3, c), (None, d)], key=str)
     cut = corpus_pipeline.repeats_stage(spark, out, "").collect()
     assert {r["text"] for r in cut} == {a, b, c, d}
 
@@ -438,14 +527,23 @@ CLASH = "doc_id long, text string, {}"
 
 def with_clashes(spark, rows, names):
     """(id, text) rows with further text columns of the given names."""
-    return spark.createDataFrame([(i, t, *["x"] * len(names)) for i, t in rows], CLASH.format(", ".join(f"`{n}` string" for n in names)))
+    return spark.createDataFrame(
+        [(i, t, *["x"] * len(names)) for i, t in rows], CLASH.format(", ".join(f"`{n}` string" for n in names))
+    )
 
 
 def test_repeats_of_odd_tables(spark):
     p, q = words(60, 5), words(70, 6)
     rows = [(1, p), (1, p), (None, q), (None, q), (2, q + " tail"), (3, None), (4, ""), (5, words(80, 9))]
     df = with_clashes(spark, rows, ["row", "name", "span", "first", "n", "id", "at", "part", "cuts"])
-    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(df).collect()), key=str)
+    got = sorted(
+        (
+            (
+                r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]
+            ) for r in repeats.remove_repeats(df).collect()
+        ),
+        key=str
+    )
     assert got == sorted(((i, *b) for (i, _), b in zip(rows, brute_repeats([t for _, t in rows], 200))), key=str)
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
@@ -455,14 +553,21 @@ def test_repeats_in_very_long_texts(spark):
     r = np.random.default_rng(11)
     long, p = r.integers(97, 123, 8_400_500).astype(np.uint8).tobytes().decode(), words(60, 5)
     rows = [(1, long[:8_388_600] + p + long[8_388_600:]), (2, p + words(40, 8)), (3, long[8_400_000:])]
-    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {
+        x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in repeats.remove_repeats(
+            spark.createDataFrame(rows, "doc_id long, text string")
+        ).collect()
+    }
     n = len(p)
     assert got[3] == (500, 1) and got[1] == (n + 500, 2) and got[2][1] == 1 and n <= got[2][0] <= n + 3
 
 
 def test_near_duplicates_of_odd_tables(spark):
     a, b = words(150, 1), words(150, 2)
-    rows = [(1, a), (1, a), (None, a), (None, b), (2, b + " tail"), (3, None), (4, ""), (5, words(30_000, 9)), (6, words(30_000, 9) + " more")]
+    rows = [
+        (1, a), (1, a), (None, a), (None, b), (2, b + " tail"), (3, None), (4, ""), (5, words(30_000, 9)),
+        (6, words(30_000, 9) + " more")
+    ]
     df = with_clashes(spark, rows, ["node", "comp", "key", "class_id", "bands", "n"])
     got = Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in near_dup.near_duplicates(df).collect())
     assert got == Counter([(1, 1, 3)] * 2 + [(None, 1, 3), (None, 2, 2), (2, 2, 2), (3, 3, 2), (4, 3, 2), (5, 5, 2), (6, 5, 2)])
@@ -474,15 +579,31 @@ def test_a_hot_class_and_a_hot_folder_keep_all_rows(spark):
     df = spark.createDataFrame([(i, a if i % 2 else words(60, 100 + i)) for i in range(300)], "doc_id long, text string")
     got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_dup.near_duplicates(df).collect()}
     assert got == {i: (1, 150) if i % 2 else (i, 1) for i in range(300)}
-    files = [(0, "a/LICENSE", "Released under the MIT License.")] + [(i, f"a/b/{i}.txt" if i % 3 else f"c{i}/{i}.txt" if i % 2 else None, "code") for i in range(1, 200)]
+    files = [(0, "a/LICENSE", "Released under the MIT License.")] + [
+        (i, f"a/b/{i}.txt" if i % 3 else f"c{i}/{i}.txt" if i % 2 else None, "code") for i in range(1, 200)
+    ]
     rows = licenses.license_scan(spark.createDataFrame(files, "doc_id long, path string, text string"), F.col("path")).collect()
     assert Counter(r["doc_id"] for r in rows) == Counter(range(200))
     assert all((r["license"] == "MIT") == (r["doc_id"] == 0 or r["doc_id"] % 3 != 0) for r in rows)
 
 
 def test_licenses_of_odd_tables(spark):
-    df = with_clashes(spark, [(1, "Released under the MIT License."), (None, None), (None, None), (2, words(50_000, 3) + "\n# Licensed under CC BY 4.0.\n" + words(50_000, 4))], ["folder", "own", "score", "files", "above", "license"])
-    got = sorted(((r["doc_id"], r["license"], r["origin"]) for r in licenses.license_scan(df, F.concat(F.lit("d/"), F.col("doc_id").cast("string"))).collect()), key=str)
+    df = with_clashes(
+        spark,
+        [
+            (1, "Released under the MIT License."), (None, None), (None, None),
+            (2, words(50_000, 3) + "\n# Licensed under CC BY 4.0.\n" + words(50_000, 4))
+        ],
+        ["folder", "own", "score", "files", "above", "license"]
+    )
+    got = sorted(
+        (
+            (r["doc_id"], r["license"], r["origin"]) for r in licenses.license_scan(
+                df, F.concat(F.lit("d/"), F.col("doc_id").cast("string"))
+            ).collect()
+        ),
+        key=str
+    )
     assert got == sorted([(1, "MIT", "file"), (2, "CC-BY-4.0", "header"), (None, None, None), (None, None, None)], key=str)
     assert licenses.license_scan(df.limit(0), F.lit("x")).count() == 0
 
@@ -490,7 +611,10 @@ def test_licenses_of_odd_tables(spark):
 def test_license_cosine_matches_dense_vectors():
     m = licenses.Matcher()
     vocabulary = sorted(m.idf)
-    for text in ["Licensed under the Apache License", "released under the mit license . mit", "all rights reserved by nobody", "use of this source code"]:
+    for text in [
+        "Licensed under the Apache License", "released under the mit license . mit", "all rights reserved by nobody",
+        "use of this source code"
+    ]:
         own = Counter(licenses.tokens(text))
         dense = np.array([own[w] * m.idf[w] for w in vocabulary])
         outside = sum((n * m.top) ** 2 for w, n in own.items() if w not in m.idf)
@@ -505,18 +629,37 @@ def test_license_cosine_matches_dense_vectors():
 
 def test_urls_of_odd_tables(spark):
     rules, listed = queries.url_rows(spark, queries.RULES), queries.url_rows(spark, queries.LISTED)
-    urls = ["http://h.com/", "http://h.com/", None, "http://" + "a." * 50_000 + "spam-farm.example.org/x", "http://" + "b" * 100_000, "x://net" + "/fr/" * 20_000]
+    urls = [
+        "http://h.com/", "http://h.com/", None, "http://" + "a." * 50_000 + "spam-farm.example.org/x", "http://" + "b" * 100_000,
+        "x://net" + "/fr/" * 20_000
+    ]
     names = ["host", "key", "verdict", "rule", "host_len", "_hits", "listed"]
-    df = spark.createDataFrame([(i // 2, u, *["k"] * len(names)) for i, u in enumerate(urls)], "page_id long, url string, " + ", ".join(f"`{n}` string" for n in names))
-    got = Counter((r["page_id"], r["rule"], r["verdict"], r["listed"]) for r in url_filter.url_filter(df, rules, listed).collect())
-    assert got == Counter([(0, "com/", "allow", None)] * 2 + [(1, None, "allow", None), (1, None, "block", "spam-farm.example.org/"), (2, None, "allow", None), (2, "net/fr/", "block", None)])
+    df = spark.createDataFrame(
+        [(i // 2, u, *["k"] * len(names)) for i, u in enumerate(urls)],
+        "page_id long, url string, " + ", ".join(f"`{n}` string" for n in names)
+    )
+    got = Counter(
+        (r["page_id"], r["rule"], r["verdict"], r["listed"]) for r in url_filter.url_filter(df, rules, listed).collect()
+    )
+    assert got == Counter(
+        [(0, "com/", "allow", None)] * 2 + [
+            (1, None, "allow", None), (1, None, "block", "spam-farm.example.org/"), (2, None, "allow", None),
+            (2, "net/fr/", "block", None)
+        ]
+    )
     assert url_filter.url_filter(df.limit(0), rules, listed).count() == 0
-    assert {r["verdict"] for r in url_filter.url_filter(df, rules.limit(0), listed.limit(0)).collect()} == {"allow"} == {r["verdict"] for r in url_filter.url_filter(df, rules.limit(0)).collect()}
+    assert {
+        r["verdict"] for r in url_filter.url_filter(df, rules.limit(0), listed.limit(0)).collect()
+    } == {"allow"} == {r["verdict"] for r in url_filter.url_filter(df, rules.limit(0)).collect()}
     ties = queries.url_rows(spark, [("h.com", "/", "block"), ("h.com", "/", "allow"), ("com", "/", "block")])
-    assert {(r["rule"], r["verdict"]) for r in url_filter.url_filter(df.where("page_id = 0"), ties).collect()} == {("h.com/", "allow")}
+    assert {
+        (r["rule"], r["verdict"]) for r in url_filter.url_filter(df.where("page_id = 0"), ties).collect()
+    } == {("h.com/", "allow")}
     # with a full filter, and without a broadcast, the answers are the same
     many = queries.url_rows(spark, [*queries.LISTED, *[(f"h{i}.org", "/", "block") for i in range(300)]])
-    seen = lambda **given: Counter((r["page_id"], r["rule"], r["verdict"], r["listed"]) for r in url_filter.url_filter(df, rules, many, **given).collect())
+    seen = lambda **given: Counter(
+        (r["page_id"], r["rule"], r["verdict"], r["listed"]) for r in url_filter.url_filter(df, rules, many, **given).collect()
+    )
     assert seen() == seen(broadcast_rows=0) == got
 
 
@@ -524,43 +667,64 @@ def test_packing_of_odd_tables(spark):
     import public_tokenizers
 
     path = public_tokenizers.path(queries.TOKENIZER)
-    df = with_clashes(spark, [(1, "a b"), (1, "a b"), (None, None), (None, "c"), (2, words(4000, 5))], ["piece", "start", "length", "sequence_id", "_item", "ids"])
+    df = with_clashes(
+        spark, [(1, "a b"), (1, "a b"), (None, None), (None, "c"), (2, words(4000, 5))],
+        ["piece", "start", "length", "sequence_id", "_item", "ids"]
+    )
     rows = packing.pack_documents(df, path).collect()
     assert Counter((r["doc_id"], r["piece"]) for r in rows if r["doc_id"] != 2) == Counter([(1, 0)] * 2 + [(None, 0)] * 2)
     own = sorted((r for r in rows if r["doc_id"] == 2), key=lambda r: r["piece"])
-    assert all(r["length"] == 1024 for r in own[1:]) and [r["start"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist()
+    assert all(
+        r["length"] == 1024 for r in own[1:]
+    ) and [r["start"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist()
     assert packing.pack_documents(df.limit(0), path).count() == 0
 
 
 def test_distance_matches_brute_force():
     """Out-of-place distances by their definition, over dictionaries."""
-    texts = {"en": "the river and the light of the stone", "de": "der fluss und das licht auf dem stein", "fr": "la pierre et la lumière de la rivière"}
+    texts = {
+        "en": "the river and the light of the stone", "de": "der fluss und das licht auf dem stein",
+        "fr": "la pierre et la lumière de la rivière"
+    }
     ranked = {n: language.profile(t).tolist() for n, t in texts.items()}
     profiles = language.Profiles(ranked)
     for text in [*texts.values(), "stone und pierre", "licht", "x"]:
         own = language.profile(text).tolist()
-        distance = {n: sum(min(abs(r.index(c) - i), language.SIZE) if c in r else language.SIZE for i, c in enumerate(own)) for n, r in ranked.items()}
+        distance = {
+            n: sum(min(abs(r.index(c) - i), language.SIZE) if c in r else language.SIZE for i, c in enumerate(own)) for n,
+            r in ranked.items()
+        }
         best = min(sorted(distance), key=distance.get)
         name, score = profiles.predict(text)
         assert name == best and abs(score - (1 - distance[best] / (language.SIZE * len(own)))) < 1e-12
 
 
 def test_language_of_odd_tables(spark):
-    rows = [(i, ("the light " if i % 2 else "das licht ") * 5, "en" if i % 2 else "de", "x") for i in range(40)] + [(1, "the light", "en", "x")] * 2 + [(None, "das licht", "de", "x"), (None, None, None, "x"), (7, "the " * 100_000, "en", "x")]
+    rows = [
+        (i, ("the light " if i % 2 else "das licht ") * 5, "en" if i % 2 else "de", "x") for i in range(40)
+    ] + [(1, "the light", "en", "x")] * 2 + [(None, "das licht", "de", "x"), (None, None, None, "x"), (7, "the " * 100_000, "en", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
     got = language.language_id(df).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows) and {r["lang_pred"] for r in got if r["doc_id"] == 1} == {"en"}
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows) and {
+        r["lang_pred"] for r in got if r["doc_id"] == 1
+    } == {"en"}
     assert language.language_id(df.limit(0)).count() == 0
     tie = language.Profiles({"b": [1, 2], "a": [1, 2]})
     assert tie.names == ["a", "b"] and int(np.argmin([3, 3])) == 0
 
 
 def test_quality_classifier_of_odd_tables(spark, docs):
-    rows = [(i, words(150, i) if i % 2 else words(150, i).upper()) for i in range(60)] + [(1, words(150, 1))] * 3 + [(None, "x"), (None, None), (2, words(60_000, 3).upper())]
+    rows = [
+        (i, words(150, i) if i % 2 else words(150, i).upper()) for i in range(60)
+    ] + [(1, words(150, 1))] * 3 + [(None, "x"), (None, None), (2, words(60_000, 3).upper())]
     df = with_clashes(spark, rows, ["score", "predicted", "held_out", "_y", "t", "h"])
-    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(1, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(i, i % 2, 0) for i in range(60)] + [(1, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int"
+    )
     got = quality_mil.quality(df, labels).collect()
-    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows) and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows) and len(
+        {r["score"] for r in got if r["doc_id"] == 1}
+    ) == 1
     assert quality_mil.quality(df.limit(0), labels).count() == 0
     with pytest.raises(ValueError, match="score"):
         quality_mil.quality(df, labels, carry=["score"])
@@ -575,7 +739,9 @@ def test_classifier_trains_on_whole_documents(spark):
             parts[r.randrange(30)] = "#!# $$$ " * 130
         rows.append((i, " ".join(parts)))
         labels.append((i, i % 2, 0))
-    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(
+        labels, "doc_id long, quality int, toxic int"
+    )
     got = quality_mil.quality(df, known, threshold=0.5).collect()
     assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got if r["held_out"]]) > 0.9
 
@@ -609,7 +775,9 @@ def test_rates_match_dense_least_squares(spark):
 
 def test_mixing_of_odd_tables(spark):
     labels = spark.createDataFrame([(i, "clean" if i % 2 else "toxic") for i in range(20)], "doc_id long, domain string")
-    rows = [(i, words(100, i) + (" foul" * 30 if i % 2 == 0 else "")) for i in range(20)] + [(1, words(100, 1))] * 3 + [(None, "x y"), (None, None), (30, words(40_000, 5))]
+    rows = [
+        (i, words(100, i) + (" foul" * 30 if i % 2 == 0 else "")) for i in range(20)
+    ] + [(1, words(100, 1))] * 3 + [(None, "x y"), (None, None), (30, words(40_000, 5))]
     df = with_clashes(spark, rows, ["bucket", "_words", "n_tokens", "p", "rate", "copies", "domain", "_a"])
     got = mixing.mix(df, labels, {"clean": 0.8, "toxic": 0.2}, repeat=4.0).collect()
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
@@ -628,7 +796,10 @@ def test_pipeline_loses_no_text_but_by_its_rules(spark, docs, tmp_path):
 
     good = [words(120, i) for i in range(60)]
     bad = [words(120, 200 + i).upper().replace(" ", " ### ") for i in range(60)]
-    rows = [(i, t) for i, t in enumerate(good + bad)] + [(0, good[0])] * 2 + [(None, good[1]), (None, words(120, 500)), (None, words(120, 500)), (900, words(8000, 501)), (901, words(120, 502)), (902, words(120, 502) + " tail"), (903, "")]
+    rows = [(i, t) for i, t in enumerate(good + bad)] + [(0, good[0])] * 2 + [
+        (None, good[1]), (None, words(120, 500)), (None, words(120, 500)), (900, words(8000, 501)), (901, words(120, 502)),
+        (902, words(120, 502) + " tail"), (903, "")
+    ]
     df = docs(*[t for _, t in rows], ids=[i for i, _ in rows])
     df.write.parquet(f"{tmp_path}/documents.parquet")
     write_labels(spark, tmp_path, [(i, int(i < 60), 0) for i in range(120)])
@@ -642,13 +813,17 @@ def test_pipeline_loses_no_text_but_by_its_rules(spark, docs, tmp_path):
     assert not set(bad) & set(texts) and words(120, 502) + " tail" not in texts
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r["doc_id"] for r in packed if r["doc_id"] is not None and r["piece"] == 0)[0] == 1
-    assert sum(r["doc_id"] is None and r["piece"] == 0 for r in packed) == 1 and any(r["doc_id"] == 900 and r["piece"] > 0 for r in packed)
+    assert sum(
+        r["doc_id"] is None and r["piece"] == 0 for r in packed
+    ) == 1 and any(r["doc_id"] == 900 and r["piece"] > 0 for r in packed)
 
 
 def test_pipeline_of_empty_tables(spark, docs, tmp_path):
     import corpus_pipeline
 
-    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [], "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     write_labels(spark, tmp_path, [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
