@@ -16,7 +16,10 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, Numeric
 # fixed values: search terms must equal the reference's
 TOKEN = "[a-z0-9]+(?:['-][a-z0-9]+)*"
 STOP_WORDS = "a an and are as at be by did do does for from how i in is it of on or that the this to was were what when where which who why will with".split()
-IRREGULAR = {"giving": "give", "renewal": "renew", "terminated": "terminate", "terminates": "terminate", "terminating": "terminate", "termination": "terminate"}
+IRREGULAR = {
+    "giving": "give", "renewal": "renew", "terminated": "terminate", "terminates": "terminate", "terminating": "terminate",
+    "termination": "terminate"
+}
 
 
 @F.pandas_udf(StringType())
@@ -82,7 +85,9 @@ def canonical_number(number: Column) -> Column:
         .otherwise(F.concat(F.left(digits, point), F.lit("."), F.substr(digits, point + 1)))
     )
     cut = F.when(placed.contains("."), F.regexp_replace(placed, "\\.?0+$", "")).otherwise(placed)
-    cut = F.when(F.regexp_replace(cut, "^0+(?=\\d)", "").isin("0", ""), "0").otherwise(F.concat(sign, F.regexp_replace(cut, "^0+(?=\\d)", "")))
+    cut = F.when(
+        F.regexp_replace(cut, "^0+(?=\\d)", "").isin("0", ""), "0"
+    ).otherwise(F.concat(sign, F.regexp_replace(cut, "^0+(?=\\d)", "")))
     return F.when(plain.rlike("^-?(nan|inf)"), F.replace(plain, F.lit("infinity"), F.lit("inf"))).otherwise(cut)
 
 
@@ -97,10 +102,21 @@ def normalize_typed(value: Column, kind: DataType, exact: bool = False) -> Colum
     if isinstance(kind, ArrayType):
         return F.coalesce(joined(F.transform(value, lambda v: normalize_typed(v, kind.elementType, exact))), F.lit(""))
     if isinstance(kind, MapType):
-        pairs = F.transform(F.map_entries(value), lambda e: pair(normalize_typed(e["key"], kind.keyType, exact), normalize_typed(e["value"], kind.valueType, exact)))
+        pairs = F.transform(
+            F.map_entries(value),
+            lambda e: pair(normalize_typed(e["key"], kind.keyType, exact), normalize_typed(e["value"], kind.valueType, exact))
+        )
         return F.coalesce(joined(pairs), F.lit(""))
     if isinstance(kind, StructType):
-        return joined(F.array(*[pair(normalize_text(F.lit(f.name), exact), normalize_typed(value[f.name], f.dataType, exact)) for f in kind.fields]))
+        return joined(
+            F.array(
+                *[
+                    pair(
+                        normalize_text(F.lit(f.name), exact), normalize_typed(value[f.name], f.dataType, exact)
+                    ) for f in kind.fields
+                ]
+            )
+        )
     return normalize_text(value.cast("string"), exact)
 
 
@@ -119,8 +135,12 @@ def stem(token: Column) -> Column:
     out = F.when(token == F.lit("giving"), "give")
     for word, base in IRREGULAR.items():
         out = out.when(token == word, base)
-    out = out.when(token.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y"))).when(token.endswith("ing") & (n > 5), cut(3)).when(token.endswith("ed") & (n > 4), cut(2))
-    out = out.when(token.rlike("(sses|xes|zes|ches|shes)$") & (n > 4), cut(2)).when(token.endswith("s") & ~token.endswith("ss") & (n > 3), cut(1))
+    out = out.when(
+        token.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y"))
+    ).when(token.endswith("ing") & (n > 5), cut(3)).when(token.endswith("ed") & (n > 4), cut(2))
+    out = out.when(token.rlike("(sses|xes|zes|ches|shes)$") & (n > 4), cut(2)).when(
+        token.endswith("s") & ~token.endswith("ss") & (n > 3), cut(1)
+    )
     return out.otherwise(token)
 
 
@@ -140,8 +160,13 @@ def tokenize(text: Column, exact: bool = True) -> Column:
 
 def tokens_f1(a: Column, b: Column) -> Column:
     """SC4 over two token arrays: both empty 1, one empty 0, repeats count."""
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
+    both = F.aggregate(
+        F.array_distinct(a), F.lit(0), lambda s,
+        t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t)))
+    )
+    return F.when(
+        (F.size(a) == 0) & (F.size(b) == 0), 1.0
+    ).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * both / (F.size(a) + F.size(b)))
 
 
 def split_words(text: Column) -> Column:
@@ -169,7 +194,10 @@ def word_errors(a: Column, b: Column) -> Column:
 
 def _char(code: Column) -> Column:
     """The code point as UTF-8: four bytes."""
-    byte = lambda shift, base: F.lpad(F.hex((F.call_function("shiftright", code, F.lit(shift)).bitwiseAND(F.lit(0x3F).cast("long")) + base).cast("long")), 2, "0")
+    byte = lambda shift, base: F.lpad(
+        F.hex((F.call_function("shiftright", code, F.lit(shift)).bitwiseAND(F.lit(0x3F).cast("long")) + base).cast("long")), 2,
+        "0"
+    )
     lead = F.lpad(F.hex((F.call_function("shiftright", code, F.lit(18)) + 0xF0).cast("long")), 2, "0")
     return F.decode(F.unhex(F.concat(lead, byte(12, 0x80), byte(6, 0x80), byte(0, 0x80))), "UTF-8")
 

@@ -92,10 +92,17 @@ def _pack(limit: int):
             state.close()
             for units in state.done:
                 n += 1
-                out.append((f"{at[0]}:p{at[2]}:c{n:03d}", at[0], at[1], [at[2]], list(dict.fromkeys(u[0] for u in units)), "\n\n".join(u[1] for u in units), n))
+                out.append(
+                    (
+                        f"{at[0]}:p{at[2]}:c{n:03d}", at[0], at[1], [at[2]], list(dict.fromkeys(u[0] for u in units)),
+                        "\n\n".join(u[1] for u in units), n
+                    )
+                )
 
         for pdf in batches:
-            for document, name, page, block, kind, text in zip(*(pdf[c] for c in ("document_id", "file_name", "page", "block_id", "kind", "text"))):
+            for document, name, page, block, kind, text in zip(
+                *(pdf[c] for c in ("document_id", "file_name", "page", "block_id", "kind", "text"))
+            ):
                 if at is None or (document, page) != (at[0], at[2]):
                     if at is not None:
                         finish()

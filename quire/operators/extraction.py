@@ -12,7 +12,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIELDS = ["parties", "effective_date", "initial_term", "renewal_terms", "termination_notice", "governing_law", "fees", "payment_terms", "signatures_present", "stamps_present"]
+FIELDS = [
+    "parties", "effective_date", "initial_term", "renewal_terms", "termination_notice", "governing_law", "fees", "payment_terms",
+    "signatures_present", "stamps_present"
+]
 # fixed values: the forms of dates, durations, amounts, entities, and the rules' wording
 MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 DATE = f"(?:{MONTH}\\s+\\d{{1,2}}(?:st|nd|rd|th)?[,]?\\s+\\d{{4}}|\\d{{1,2}}(?:st|nd|rd|th)?\\s+{MONTH}\\s+\\d{{4}}|\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}|\\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d{{2,4}})"
@@ -23,12 +26,58 @@ NOTICE = "(?:at\\s+least\\s+)?(?:\\d+|ten|fifteen|thirty|forty[- ]five|sixty|nin
 LAW = "[A-Za-z][A-Za-z .'-]{1,80}?"
 # field -> (confidence, whole sentence, [(before, value, after)])
 RULES: dict[str, tuple[float, bool, list[tuple[str, str, str]]]] = {
-    "effective_date": (0.94, False, [("\\beffective\\s+date\\b\\s*(?:is|shall\\s+be|means|:)?\\s*[\"']?", DATE, ""), ("\\b(?:entered\\s+into|made|dated)\\s+(?:as\\s+of|on)\\s+[\"']?", DATE, "")]),
-    "initial_term": (0.89, False, [("\\b(?:initial\\s+)?term\\b.{0,90}?(?:period\\s+of|for|continue\\s+for|is)\\s+", DURATION, ""), ("\\b(?:commence|begin)s?\\b.{0,100}?\\b(?:continue|remain)\\b.{0,60}?", DURATION, "")]),
-    "renewal_terms": (0.87, True, [("", "\\brenew(?:s|ed)?\\b[^.;]{0,240}[.;]", ""), ("", "\\bsuccessive\\s+(?:renewal\\s+)?terms?\\b[^.;]{0,180}[.;]", "")]),
-    "termination_notice": (0.91, False, [("\\b(?:terminat(?:e|ion)|cancel(?:lation)?|non[- ]renewal)\\b.{0,180}?", NOTICE, ""), ("", NOTICE, ".{0,120}?\\b(?:terminat(?:e|ion)|cancel|non[- ]renewal)\\b")]),
-    "governing_law": (0.95, False, [("\\bgoverned\\s+by(?:\\s+and\\s+construed\\s+(?:in\\s+accordance\\s+with|under))?\\s+the\\s+laws?\\s+of\\s+(?:the\\s+)?", LAW, "(?=,|;|\\.|\\s+without\\s+regard|\\s+and\\s+the\\s+courts|$)"), ("\\bthe\\s+laws?\\s+of\\s+(?:the\\s+)?", LAW, "\\s+shall\\s+govern\\b")]),
-    "payment_terms": (0.86, True, [("", "\\bnet\\s*[- ]?\\d{1,3}\\b", ""), ("", "\\b(?:invoice|payment|amounts?|fees?)\\b[^.;\\n]{0,120}?\\b(?:due|payable)\\b[^.;\\n]{0,100}(?:[.;]|$)", ""), ("", "\\b(?:due|payable)\\s+(?:within\\s+\\d+\\s+(?:calendar\\s+|business\\s+)?days?|upon\\s+receipt|in\\s+advance|monthly|quarterly|annually)\\b", ""), ("", "\\b(?:buyer|customer|client|recipient|party)\\b[^.;]{0,80}?\\b(?:pay|pays|paid)\\b[^.;]{0,80}?\\binvoices?\\b[^.;]{0,50}?\\bwithin\\s+\\d+\\s+(?:calendar\\s+|business\\s+)?days?\\b", "")]),
+    "effective_date": (
+        0.94, False,
+        [
+            ("\\beffective\\s+date\\b\\s*(?:is|shall\\s+be|means|:)?\\s*[\"']?", DATE, ""),
+            ("\\b(?:entered\\s+into|made|dated)\\s+(?:as\\s+of|on)\\s+[\"']?", DATE, "")
+        ]
+    ),
+    "initial_term": (
+        0.89, False,
+        [
+            ("\\b(?:initial\\s+)?term\\b.{0,90}?(?:period\\s+of|for|continue\\s+for|is)\\s+", DURATION, ""),
+            ("\\b(?:commence|begin)s?\\b.{0,100}?\\b(?:continue|remain)\\b.{0,60}?", DURATION, "")
+        ]
+    ),
+    "renewal_terms": (
+        0.87, True,
+        [("", "\\brenew(?:s|ed)?\\b[^.;]{0,240}[.;]", ""), ("", "\\bsuccessive\\s+(?:renewal\\s+)?terms?\\b[^.;]{0,180}[.;]", "")]
+    ),
+    "termination_notice": (
+        0.91, False,
+        [
+            ("\\b(?:terminat(?:e|ion)|cancel(?:lation)?|non[- ]renewal)\\b.{0,180}?", NOTICE, ""),
+            ("", NOTICE, ".{0,120}?\\b(?:terminat(?:e|ion)|cancel|non[- ]renewal)\\b")
+        ]
+    ),
+    "governing_law": (
+        0.95, False,
+        [
+            (
+                "\\bgoverned\\s+by(?:\\s+and\\s+construed\\s+(?:in\\s+accordance\\s+with|under))?\\s+the\\s+laws?\\s+of\\s+(?:the\\s+)?",
+                LAW, "(?=,|;|\\.|\\s+without\\s+regard|\\s+and\\s+the\\s+courts|$)"
+            ),
+            ("\\bthe\\s+laws?\\s+of\\s+(?:the\\s+)?", LAW, "\\s+shall\\s+govern\\b")
+        ]
+    ),
+    "payment_terms": (
+        0.86, True,
+        [
+            ("", "\\bnet\\s*[- ]?\\d{1,3}\\b", ""),
+            ("", "\\b(?:invoice|payment|amounts?|fees?)\\b[^.;\\n]{0,120}?\\b(?:due|payable)\\b[^.;\\n]{0,100}(?:[.;]|$)", ""),
+            (
+                "",
+                "\\b(?:due|payable)\\s+(?:within\\s+\\d+\\s+(?:calendar\\s+|business\\s+)?days?|upon\\s+receipt|in\\s+advance|monthly|quarterly|annually)\\b",
+                ""
+            ),
+            (
+                "",
+                "\\b(?:buyer|customer|client|recipient|party)\\b[^.;]{0,80}?\\b(?:pay|pays|paid)\\b[^.;]{0,80}?\\binvoices?\\b[^.;]{0,50}?\\bwithin\\s+\\d+\\s+(?:calendar\\s+|business\\s+)?days?\\b",
+                ""
+            )
+        ]
+    ),
 }
 # a word that any match of a field's rules holds
 CUES = {
@@ -48,7 +97,9 @@ def squeezed(text: Column) -> Column:
 def section_heading() -> Column:
     """P6."""
     text = squeezed(F.col("text"))
-    return F.col("kind").isin("heading", "title") & ~text.rlike(f"(?i)^{AMOUNT}$") & text.rlike("^(?:\\d+\\.)?\\s*[A-Z][A-Z0-9 &/\\-—]{2,}$")
+    return F.col("kind").isin("heading", "title") & ~text.rlike(f"(?i)^{AMOUNT}$") & text.rlike(
+        "^(?:\\d+\\.)?\\s*[A-Z][A-Z0-9 &/\\-—]{2,}$"
+    )
 
 
 def _starts(blocks: DataFrame, n: int) -> DataFrame:
@@ -57,7 +108,10 @@ def _starts(blocks: DataFrame, n: int) -> DataFrame:
     useful = blocks.where((F.col("kind") != "footer") & (F.trim("text") != "")).withColumn("heading", section_heading())
     order = Window.partitionBy("document_id", "page").orderBy("reading_order", "block_id")
     block = F.struct("page", "block_id", "text", "bbox", "heading", squeezed(F.col("text")).alias("flat"))
-    rows = useful.repartition("document_id").select("document_id", F.struct("page", "reading_order", "block_id").alias("start"), F.collect_list(block).over(order.rowsBetween(0, n - 1)).alias("b"))
+    rows = useful.repartition("document_id").select(
+        "document_id", F.struct("page", "reading_order", "block_id").alias("start"),
+        F.collect_list(block).over(order.rowsBetween(0, n - 1)).alias("b")
+    )
     stop = F.filter(F.sequence(F.lit(1), F.size("b")), lambda i: (i == F.size("b")) | F.get("b", i)["heading"])[0]
     return rows.withColumn("b", F.slice("b", F.lit(1), stop))
 
@@ -69,20 +123,34 @@ def _joined(b: Column) -> Column:
 def _segments(b: Column) -> Column:
     """Where each block lies in the joined text."""
     at = lambda i: F.length(_joined(F.slice(b, F.lit(1), i))) + F.when(i > 0, 1).otherwise(0)
-    return F.transform(b, lambda x, i: F.struct(at(i).alias("start"), (at(i) + F.length(x["flat"])).alias("end"), x["page"].alias("page"), x["block_id"].alias("block_id"), F.trim(x["text"]).alias("quote"), x["bbox"].alias("bbox")))
+    return F.transform(
+        b, lambda x,
+        i: F.struct(
+            at(i).alias("start"), (at(i) + F.length(x["flat"])).alias("end"), x["page"].alias("page"),
+            x["block_id"].alias("block_id"), F.trim(x["text"]).alias("quote"), x["bbox"].alias("bbox")
+        )
+    )
 
 
 def text_windows(blocks: DataFrame, n: int = 5) -> DataFrame:
     """document_id, start (block's place), size, text, segments (start, end, and the block)."""
     rows = _starts(blocks, n)
-    rows = rows.select("document_id", "start", "b", F.explode(F.sequence(F.lit(1), F.size("b"))).alias("size")).withColumn("b", F.slice("b", F.lit(1), F.col("size")))
+    rows = rows.select(
+        "document_id", "start", "b", F.explode(F.sequence(F.lit(1), F.size("b"))).alias("size")
+    ).withColumn("b", F.slice("b", F.lit(1), F.col("size")))
     return rows.select("document_id", "start", "size", _joined(F.col("b")).alias("text"), _segments(F.col("b")).alias("segments"))
 
 
 def _evidence(segments: Column, start: Column, end: Column) -> Column:
     """J12."""
     hit = F.filter(segments, lambda s: (start < s["end"]) & (end > s["start"]))
-    return F.transform(hit, lambda s: F.struct(F.col("document_id"), s["page"].alias("page"), s["block_id"].alias("block_id"), s["quote"].alias("quote"), s["bbox"].alias("bbox")))
+    return F.transform(
+        hit,
+        lambda s: F.struct(
+            F.col("document_id"), s["page"].alias("page"), s["block_id"].alias("block_id"), s["quote"].alias("quote"),
+            s["bbox"].alias("bbox")
+        )
+    )
 
 
 def _whole(rule: tuple[str, str, str]) -> str:
@@ -96,18 +164,38 @@ def clause_fields(blocks: DataFrame, n: int = 5) -> DataFrame:
     Each start is one row. A field's cue, which every match holds, is looked for in the largest window; only
     where it is there are sizes and rules tried, in order, up to the first match. Offsets are
     taken from one window a document and field."""
-    rows = _starts(blocks, n).withColumn("texts", F.transform(F.sequence(F.lit(1), F.size("b")), lambda i: _joined(F.slice("b", F.lit(1), i))))
+    rows = _starts(blocks, n).withColumn(
+        "texts", F.transform(F.sequence(F.lit(1), F.size("b")), lambda i: _joined(F.slice("b", F.lit(1), i)))
+    )
     found = []
     for field, (_, _, rules) in RULES.items():
-        tries = [F.when(F.get("texts", F.lit(size - 1)).rlike("(?is)" + "".join(rule)), size * 10 + i) for size in range(1, n + 1) for i, rule in enumerate(rules)]
-        found.append(F.struct(F.lit(field).alias("field"), F.when(F.element_at("texts", -1).rlike("(?i)" + CUES[field]), F.coalesce(*tries)).alias("code")))
+        tries = [
+            F.when(
+                F.get("texts", F.lit(size - 1)).rlike("(?is)" + "".join(rule)), size * 10 + i
+            ) for size in range(1, n + 1) for i,
+            rule in enumerate(rules)
+        ]
+        found.append(
+            F.struct(
+                F.lit(field).alias("field"),
+                F.when(F.element_at("texts", -1).rlike("(?i)" + CUES[field]), F.coalesce(*tries)).alias("code")
+            )
+        )
     rows = rows.select("document_id", "start", "b", F.array(*found).alias("_found"))
     rows = rows.select("document_id", "start", "b", F.inline(F.filter("_found", lambda x: x["code"].isNotNull())))
     rows = rows.groupBy("document_id", "field").agg(F.min(F.struct("start", "code", "b")).alias("x"))
-    rows = rows.select("document_id", "field", (F.col("x.code") % 10).alias("rule"), F.slice("x.b", F.lit(1), F.floor(F.col("x.code") / 10).cast("int")).alias("b"))
+    rows = rows.select(
+        "document_id", "field", (F.col("x.code") % 10).alias("rule"),
+        F.slice("x.b", F.lit(1), F.floor(F.col("x.code") / 10).cast("int")).alias("b")
+    )
     rows = rows.withColumn("text", _joined(F.col("b"))).withColumn("segments", _segments(F.col("b")))
     every = [(field, i, rule) for field, (_, _, rules) in RULES.items() for i, rule in enumerate(rules)]
-    group = lambda g: F.coalesce(*[F.when((F.col("field") == field) & (F.col("rule") == i), F.regexp_extract("text", _whole(rule), g)) for field, i, rule in every])
+    group = lambda g: F.coalesce(
+        *[
+            F.when((F.col("field") == field) & (F.col("rule") == i), F.regexp_extract("text", _whole(rule), g)) for field, i,
+            rule in every
+        ]
+    )
     given = lambda at: F.coalesce(*[F.when(F.col("field") == field, F.lit(RULES[field][at])) for field in RULES])
     rows = rows.withColumns({"pre": group(1), "hit": group(2), "sentence": given(1), "confidence": given(0)})
     start, end = F.length("pre"), F.length("pre") + F.length("hit")
@@ -115,10 +203,17 @@ def clause_fields(blocks: DataFrame, n: int = 5) -> DataFrame:
     rest = F.substr("text", end + 1)
     tail = F.regexp_extract(rest, "(?s)^(.*?[.!?])(?=\\s|$)", 1)
     right = F.when(tail == "", F.length("text")).otherwise(end + F.length(tail))
-    rows = rows.withColumn("a", F.when(F.col("sentence"), left).otherwise(start)).withColumn("z", F.when(F.col("sentence"), right).otherwise(end))
+    rows = rows.withColumn(
+        "a", F.when(F.col("sentence"), left).otherwise(start)
+    ).withColumn("z", F.when(F.col("sentence"), right).otherwise(end))
     value = F.trim(F.substr("text", F.col("a") + 1, F.col("z") - F.col("a")))
     local = (F.col("field") == "effective_date") & value.rlike("^\\d{1,2}[/-]\\d{1,2}[/-]\\d{2,4}$")
-    return rows.select("document_id", "field", value.alias("text_value"), F.when(local, 0.72).otherwise(F.col("confidence")).alias("confidence"), F.when(local, "needs_review").otherwise("extracted").alias("status"), F.when(local, "Numeric date format may be locale-ambiguous.").alias("reason"), _evidence(F.col("segments"), F.col("a"), F.col("z")).alias("evidence"))
+    return rows.select(
+        "document_id", "field", value.alias("text_value"), F.when(local, 0.72).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(local, "needs_review").otherwise("extracted").alias("status"),
+        F.when(local, "Numeric date format may be locale-ambiguous.").alias("reason"),
+        _evidence(F.col("segments"), F.col("a"), F.col("z")).alias("evidence")
+    )
 
 
 def _block_evidence(quote: Column) -> Column:
@@ -135,16 +230,33 @@ def fees(blocks: DataFrame) -> DataFrame:
     """Amounts in blocks with a fee word or in a fee section, distinct but for case."""
     flat = squeezed(F.col("text"))
     order = Window.partitionBy("document_id", "page").orderBy("reading_order", "block_id")
-    mark = F.when(flat.rlike("(?i)^(?:FEE|FEES|PRICE|AMOUNT)$"), True).when(section_heading(), flat.rlike("(?i)\\b(?:fee|fees|charges?|payment|pricing)\\b"))
+    mark = F.when(flat.rlike("(?i)^(?:FEE|FEES|PRICE|AMOUNT)$"), True).when(
+        section_heading(), flat.rlike("(?i)\\b(?:fee|fees|charges?|payment|pricing)\\b")
+    )
     rows = blocks.withColumn("_in", F.coalesce(F.last(mark, ignorenulls=True).over(order), F.lit(False)))
-    rows = rows.where(F.col("_in") | flat.rlike("(?i)\\b(?:fee|fees|price|pricing|rate|rates|amount|compensation|charges?|cost)\\b"))
+    rows = rows.where(
+        F.col("_in") | flat.rlike("(?i)\\b(?:fee|fees|price|pricing|rate|rates|amount|compensation|charges?|cost)\\b")
+    )
     rows = rows.withColumn("_found", F.regexp_extract_all("text", F.lit(f"(?i){AMOUNT}"), F.lit(0))).where(F.size("_found") > 0)
     place = F.struct("page", "reading_order", "block_id")
-    got = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.transform("_found", lambda v: F.trim(v)).alias("v"), _block_evidence(_lines(F.col("text"), AMOUNT)).alias("e")))).alias("x"))
+    got = rows.groupBy("document_id").agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct(
+                    place.alias("p"), F.transform("_found", lambda v: F.trim(v)).alias("v"),
+                    _block_evidence(_lines(F.col("text"), AMOUNT)).alias("e")
+                )
+            )
+        ).alias("x")
+    )
     values = F.flatten(F.transform("x", lambda r: r["v"]))
     lowered = F.transform(values, F.lower)
     distinct = F.filter(values, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
-    return got.select("document_id", F.lit("fees").alias("field"), distinct.alias("list_value"), F.lit(0.88).alias("confidence"), F.lit("extracted").alias("status"), F.lit(None).cast("string").alias("reason"), F.transform("x", lambda r: r["e"]).alias("evidence"))
+    return got.select(
+        "document_id", F.lit("fees").alias("field"), distinct.alias("list_value"), F.lit(0.88).alias("confidence"),
+        F.lit("extracted").alias("status"), F.lit(None).cast("string").alias("reason"),
+        F.transform("x", lambda r: r["e"]).alias("evidence")
+    )
 
 
 def presence(blocks: DataFrame, field: str, kind: str, pattern: str) -> DataFrame:
@@ -152,53 +264,106 @@ def presence(blocks: DataFrame, field: str, kind: str, pattern: str) -> DataFram
     structural, textual, blank = F.col("kind") == kind, F.col("text").rlike(pattern), F.trim("text") == ""
     rows = blocks.where(structural | textual).withColumn("_blank", blank & structural)
     place = F.struct("page", "reading_order", "block_id")
-    quote = F.when(textual, _lines(F.col("text"), pattern.removeprefix("(?i)").replace("(?:^|\\n)", "(?:^|(?<=\\n))"))).otherwise(F.trim("text"))
+    quote = F.when(
+        textual, _lines(F.col("text"), pattern.removeprefix("(?i)").replace("(?:^|\\n)", "(?:^|(?<=\\n))"))
+    ).otherwise(F.trim("text"))
     seen = F.struct(F.when(structural, 0.94).otherwise(0.80).alias("confidence"), _block_evidence(quote).alias("e"))
     got = rows.groupBy("document_id").agg(F.min_by(F.when(~F.col("_blank"), seen), F.when(~F.col("_blank"), place)).alias("x"))
     hit = F.col("x").isNotNull()
-    evidence = F.when(hit, F.array("x.e")).otherwise(F.array().cast("array<struct<document_id:string,page:int,block_id:string,quote:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>"))
-    return got.select("document_id", F.lit(field).alias("field"), F.when(hit, True).alias("flag_value"), F.when(hit, F.col("x.confidence")).otherwise(0.45).alias("confidence"), F.when(hit, "extracted").otherwise("needs_review").alias("status"), F.when(~hit, f"A visual {kind} block was detected, but it has no quotable text evidence.").alias("reason"), evidence.alias("evidence"))
+    evidence = F.when(hit, F.array("x.e")).otherwise(
+        F.array().cast(
+            "array<struct<document_id:string,page:int,block_id:string,quote:string,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>"
+        )
+    )
+    return got.select(
+        "document_id", F.lit(field).alias("field"), F.when(hit, True).alias("flag_value"),
+        F.when(hit, F.col("x.confidence")).otherwise(0.45).alias("confidence"),
+        F.when(hit, "extracted").otherwise("needs_review").alias("status"),
+        F.when(~hit, f"A visual {kind} block was detected, but it has no quotable text evidence.").alias("reason"),
+        evidence.alias("evidence")
+    )
 
 
 def parties(blocks: DataFrame) -> DataFrame:
     """Labelled names, then entities after "between" in windows of up to three blocks, else a plain
     pair; distinct but for case, and at least two."""
-    from_label = blocks.select("document_id", F.struct("page", "reading_order", "block_id").alias("start"), F.lit(0).alias("size"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?im)^\\s*(?:{ROLES})\\s*[:\\-]\\s*([^\\n;]+)"), F.lit(1))).alias("pos", "name"), F.lit(0.88).alias("confidence"), F.array(_block_evidence(_lines(F.col("text"), f"(?:^|(?<=\\n))\\s*(?:{ROLES})\\s*[:\\-]"))).alias("evidence"))
-    windows = text_windows(blocks, 3).withColumn("pre", F.regexp_extract("text", "(?is)^(.*?\\b(?:by\\s+and\\s+)?between\\b)", 1)).where("pre <> ''").withColumn("tail", F.substr("text", F.length("pre") + 1, F.lit(650)))
+    from_label = blocks.select(
+        "document_id", F.struct("page", "reading_order", "block_id").alias("start"), F.lit(0).alias("size"),
+        F.posexplode(
+            F.regexp_extract_all("text", F.lit(f"(?im)^\\s*(?:{ROLES})\\s*[:\\-]\\s*([^\\n;]+)"), F.lit(1))
+        ).alias("pos", "name"),
+        F.lit(0.88).alias("confidence"),
+        F.array(_block_evidence(_lines(F.col("text"), f"(?:^|(?<=\\n))\\s*(?:{ROLES})\\s*[:\\-]"))).alias("evidence")
+    )
+    windows = text_windows(blocks, 3).withColumn(
+        "pre", F.regexp_extract("text", "(?is)^(.*?\\b(?:by\\s+and\\s+)?between\\b)", 1)
+    ).where("pre <> ''").withColumn("tail", F.substr("text", F.length("pre") + 1, F.lit(650)))
     named = F.slice(F.regexp_extract_all("tail", F.lit(f"(?<!\\b[aA] )(?<!\\b[aA]n )({ENTITY})"), F.lit(1)), 1, 2)
     pair = "(?s)\\s+([A-Z][^,;\\n]{1,80}?)\\s+and\\s+([A-Z][^;\\n]{1,80}?)(?=\\.|;|\\n|$)"
     plain = F.filter(F.array(F.regexp_extract("tail", pair, 1), F.regexp_extract("tail", pair, 2)), lambda v: v != "")
-    rows = windows.withColumn("named", named).withColumn("plain", F.when(F.size("named") < 2, plain).otherwise(F.array().cast("array<string>")))
-    many = F.concat(F.transform("named", lambda v: F.struct(v.alias("name"), F.lit(0.94).alias("confidence"))), F.transform("plain", lambda v: F.struct(v.alias("name"), F.lit(0.76).alias("confidence"))))
+    rows = windows.withColumn("named", named).withColumn(
+        "plain", F.when(F.size("named") < 2, plain).otherwise(F.array().cast("array<string>"))
+    )
+    many = F.concat(
+        F.transform("named", lambda v: F.struct(v.alias("name"), F.lit(0.94).alias("confidence"))),
+        F.transform("plain", lambda v: F.struct(v.alias("name"), F.lit(0.76).alias("confidence")))
+    )
     rows = rows.select("document_id", "start", "size", "segments", "tail", "pre", F.posexplode(many).alias("pos", "m"))
     at = F.length("pre") + F.expr("locate(m.name, tail)") - 1
-    from_text = rows.select("document_id", "start", "size", "pos", F.col("m.name").alias("name"), F.col("m.confidence").alias("confidence"), _evidence(F.col("segments"), at, at + F.length("m.name")).alias("evidence"))
+    from_text = rows.select(
+        "document_id", "start", "size", "pos", F.col("m.name").alias("name"), F.col("m.confidence").alias("confidence"),
+        _evidence(F.col("segments"), at, at + F.length("m.name")).alias("evidence")
+    )
     both = from_label.withColumn("way", F.lit(0)).unionByName(from_text.withColumn("way", F.lit(1)))
     trimmed = F.regexp_replace("name", "^[\\s:;,-]+|[\\s:;,-]+$", "")
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(trimmed, "(?s)(?:\\s{2,}|\\s+\\().*$", ""), "(?is),\\s+(?:a|an)\\s+.*$", ""), "^[\\s,.;\"']+|[\\s,.;\"']+$", "")
+    clean = F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(trimmed, "(?s)(?:\\s{2,}|\\s+\\().*$", ""), "(?is),\\s+(?:a|an)\\s+.*$", ""),
+        "^[\\s,.;\"']+|[\\s,.;\"']+$", ""
+    )
     both = both.withColumn("name", clean).where(F.length("name") >= 2).withColumn("at", F.struct("way", "start", "size", "pos"))
-    once = both.groupBy("document_id", F.lower("name").alias("k")).agg(F.min(F.struct("at", "name", "confidence", "evidence")).alias("x"))
+    once = both.groupBy("document_id", F.lower("name").alias("k")).agg(
+        F.min(F.struct("at", "name", "confidence", "evidence")).alias("x")
+    )
     got = once.groupBy("document_id").agg(F.array_sort(F.collect_list("x")).alias("x")).where(F.size("x") >= 2)
-    return got.select("document_id", F.lit("parties").alias("field"), F.transform("x", lambda r: r["name"]).alias("list_value"), F.array_max(F.transform("x", lambda r: r["confidence"])).alias("confidence"), F.lit("extracted").alias("status"), F.lit(None).cast("string").alias("reason"), F.array_distinct(F.flatten(F.transform("x", lambda r: r["evidence"]))).alias("evidence"))
+    return got.select(
+        "document_id", F.lit("parties").alias("field"), F.transform("x", lambda r: r["name"]).alias("list_value"),
+        F.array_max(F.transform("x", lambda r: r["confidence"])).alias("confidence"), F.lit("extracted").alias("status"),
+        F.lit(None).cast("string").alias("reason"),
+        F.array_distinct(F.flatten(F.transform("x", lambda r: r["evidence"]))).alias("evidence")
+    )
 
 
 def extract(blocks: DataFrame) -> DataFrame:
     """document_id, field, text_value, list_value, flag_value, status, confidence, evidence, reason: a row
     for each document and field."""
-    found = [parties(blocks), clause_fields(blocks), fees(blocks), presence(blocks, "signatures_present", "signature", SIGNED), presence(blocks, "stamps_present", "stamp", SEALED)]
+    found = [
+        parties(blocks), clause_fields(blocks), fees(blocks), presence(blocks, "signatures_present", "signature", SIGNED),
+        presence(blocks, "stamps_present", "stamp", SEALED)
+    ]
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
     grid = blocks.select("document_id").distinct().select("document_id", F.explode(F.array(*map(F.lit, FIELDS))).alias("field"))
     out = grid.join(rows, ["document_id", "field"], "left")
     empty = F.array().cast(dict(rows.dtypes)["evidence"])
-    return out.select("document_id", "field", "text_value", "list_value", "flag_value", F.coalesce("status", F.lit("missing")).alias("status"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("evidence", empty).alias("evidence"), F.when(F.col("status").isNull(), MISSING).otherwise(F.col("reason")).alias("reason"))
+    return out.select(
+        "document_id", "field", "text_value", "list_value", "flag_value", F.coalesce("status", F.lit("missing")).alias("status"),
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("evidence", empty).alias("evidence"),
+        F.when(F.col("status").isNull(), MISSING).otherwise(F.col("reason")).alias("reason")
+    )
 
 
 def validate(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     """Evidence that doesn't hold against its block is removed, and the field downgraded."""
-    keyed = fields.withColumn("_has", F.coalesce("text_value", F.col("list_value").cast("string"), F.col("flag_value").cast("string")).isNotNull())
+    keyed = fields.withColumn(
+        "_has", F.coalesce("text_value", F.col("list_value").cast("string"), F.col("flag_value").cast("string")).isNotNull()
+    )
     e = keyed.select("document_id", "field", F.posexplode("evidence").alias("pos", "e"))
-    b = blocks.select(F.col("document_id").alias("_d"), F.col("page").alias("_p"), F.col("block_id").alias("_b"), F.col("text").alias("_text"), F.col("bbox").alias("_box"))
-    e = e.join(b, (F.col("document_id") == F.col("_d")) & (F.col("e.page") == F.col("_p")) & (F.col("e.block_id") == F.col("_b")), "left")
+    b = blocks.select(
+        F.col("document_id").alias("_d"), F.col("page").alias("_p"), F.col("block_id").alias("_b"), F.col("text").alias("_text"),
+        F.col("bbox").alias("_box")
+    )
+    e = e.join(
+        b, (F.col("document_id") == F.col("_d")) & (F.col("e.page") == F.col("_p")) & (F.col("e.block_id") == F.col("_b")), "left"
+    )
     error = (
         F.when(~F.col("e.document_id").eqNullSafe(F.col("document_id")), "document_id does not match the source document")
         .when(F.col("_b").isNull(), "page/block_id does not exist in the source document")
@@ -206,13 +371,29 @@ def validate(fields: DataFrame, blocks: DataFrame) -> DataFrame:
         .when(F.trim("e.quote") == "", "evidence quote is empty")
         .when(~F.contains("_text", "e.quote"), "evidence quote is not an exact substring of the referenced block")
     )
-    checked = e.withColumn("error", error).groupBy("document_id", "field").agg(F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("pos", "e")))).alias("good"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error"), F.count("error").alias("bad"))
+    checked = e.withColumn("error", error).groupBy("document_id", "field").agg(
+        F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("pos", "e")))).alias("good"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error"), F.count("error").alias("bad")
+    )
     rows = keyed.join(checked, ["document_id", "field"], "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
     good = F.coalesce(F.transform("good", lambda x: x["e"]), F.filter("evidence", lambda x: F.lit(False)))
-    none, some, bare = F.col("_has") & (F.size(good) == 0), F.col("_has") & (F.size(good) > 0) & (F.col("bad") > 0), ~F.col("_has") & (F.col("status") == "extracted")
-    note = F.when(none, F.concat(F.lit("Rejected by evidence validator: "), F.coalesce("error", F.lit("no evidence was supplied")), F.lit("."))).when(some, F.concat(F.lit("Evidence validator removed "), F.col("bad").cast("string"), F.lit(" invalid reference(s)."))).when(bare, "Evidence validator found an extracted status without a value.")
-    cap = F.when(none | bare, F.least("confidence", F.lit(0.20))).when(some, F.least("confidence", F.lit(0.65))).otherwise(F.col("confidence"))
-    warning = F.when(none, F.concat("field", F.lit(": rejected unsupported non-null value"))).when(some, F.concat("field", F.lit(": invalid evidence reference(s) removed")))
+    none, some, bare = F.col("_has") & (F.size(good) == 0), F.col("_has") & (F.size(good) > 0) & (F.col("bad") > 0), ~F.col("_has") & (
+        F.col("status") == "extracted"
+    )
+    note = F.when(
+        none,
+        F.concat(F.lit("Rejected by evidence validator: "), F.coalesce("error", F.lit("no evidence was supplied")), F.lit("."))
+    ).when(some, F.concat(F.lit("Evidence validator removed "), F.col("bad").cast("string"), F.lit(" invalid reference(s)."))).when(bare, "Evidence validator found an extracted status without a value.")
+    cap = F.when(
+        none | bare, F.least("confidence", F.lit(0.20))
+    ).when(some, F.least("confidence", F.lit(0.65))).otherwise(F.col("confidence"))
+    warning = F.when(none, F.concat("field", F.lit(": rejected unsupported non-null value"))).when(
+        some, F.concat("field", F.lit(": invalid evidence reference(s) removed"))
+    )
     reason = F.when(note.isNull(), F.col("reason")).otherwise(F.concat_ws(" ", "reason", note))
     keep = lambda c: F.when(~none, F.col(c)).alias(c)
-    return rows.select("document_id", "field", keep("text_value"), keep("list_value"), keep("flag_value"), F.when(note.isNotNull(), "needs_review").otherwise(F.col("status")).alias("status"), cap.alias("confidence"), good.alias("evidence"), reason.alias("reason"), warning.alias("warning"))
+    return rows.select(
+        "document_id", "field", keep("text_value"), keep("list_value"), keep("flag_value"),
+        F.when(note.isNotNull(), "needs_review").otherwise(F.col("status")).alias("status"), cap.alias("confidence"),
+        good.alias("evidence"), reason.alias("reason"), warning.alias("warning")
+    )

@@ -138,7 +138,12 @@ def field_evidence(field: Any) -> list[dict]:
         if not isinstance(e, Mapping):
             raise TypeError("an item of evidence must be a mapping")
         page = e.get("page")
-        out.append({"document_id": str(e.get("document_id", "")), "page": None if page is None else int(page), "block_id": str(e.get("block_id", ""))})
+        out.append(
+            {
+                "document_id": str(e.get("document_id", "")), "page": None if page is None else int(page),
+                "block_id": str(e.get("block_id", ""))
+            }
+        )
     return out
 
 
@@ -228,14 +233,23 @@ def citation(item: Any) -> dict:
     if not isinstance(item, Mapping):
         raise TypeError("a citation must be a source id or a mapping")
     page = item.get("page")
-    return {"source_id": str(item.get("source_id", "")), "document_id": str(item.get("document_id", "")), "page": None if page is None else str(page), "block_ids": sorted(map(str, item.get("block_ids") or [])), "is_bare": False}
+    return {
+        "source_id": str(item.get("source_id", "")), "document_id": str(item.get("document_id", "")),
+        "page": None if page is None else str(page), "block_ids": sorted(map(str, item.get("block_ids") or [])), "is_bare": False
+    }
 
 
 def _typed_row(pos: int, own: str | None, record: Any, reference: bool) -> tuple:
     s = sections(record, reference)
     fields = relevant = retrieved = cites = abstained = latency = None
     if "extraction" in s:
-        fields = [{"name": k, "normal": normal_value(field_value(v)), "substantive": substantive(field_value(v)), "evidence": field_evidence(v)} for k, v in field_map(s["extraction"]).items()]
+        fields = [
+            {
+                "name": k, "normal": normal_value(field_value(v)), "substantive": substantive(field_value(v)),
+                "evidence": field_evidence(v)
+            } for k,
+            v in field_map(s["extraction"]).items()
+        ]
     if "relevant_ids" in s:
         relevant = sorted({str(x) for x in s["relevant_ids"]})
     if "retrieved" in s:
@@ -257,9 +271,18 @@ def typed(records: DataFrame, reference: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in TYPED.split(", ")]
         for pdf in batches:
-            yield pd.DataFrame([_typed_row(p, i, json.loads(r) if r is not None else {}, reference) for p, i, r in zip(pdf["pos"], pdf["id"], pdf["record"])], columns=columns)
+            yield pd.DataFrame(
+                [
+                    _typed_row(p, i, json.loads(r) if r is not None else {}, reference) for p, i,
+                    r in zip(pdf["pos"], pdf["id"], pdf["record"])
+                ],
+                columns=columns
+            )
 
-    return records.select(F.col("pos").cast("long").alias("pos"), F.col("id").cast("string").alias("id"), F.col("record").cast("string").alias("record")).mapInPandas(run, TYPED)
+    return records.select(
+        F.col("pos").cast("long").alias("pos"), F.col("id").cast("string").alias("id"),
+        F.col("record").cast("string").alias("record")
+    ).mapInPandas(run, TYPED)
 
 
 def frame(spark: SparkSession, records: Any) -> DataFrame:
@@ -298,12 +321,16 @@ def pairs_of(gold: DataFrame, predicted: DataFrame) -> tuple[DataFrame, DataFram
 
 def field_rows(pairs: DataFrame) -> DataFrame:
     """J4, SC3, SC4: (pos, case_id, field, both normal forms, exact_match, token_f1)."""
-    side = lambda c, name: pairs.where("g.fields is not null").select("pos", "case_id", F.inline(f"{c}.fields")).select("pos", "case_id", F.col("name").alias("field"), F.col("normal").alias(name))
+    side = lambda c, name: pairs.where("g.fields is not null").select("pos", "case_id", F.inline(f"{c}.fields")).select(
+        "pos", "case_id", F.col("name").alias("field"), F.col("normal").alias(name)
+    )
     both = side("g", "reference_normalized").join(side("p", "prediction_normalized"), ["pos", "case_id", "field"], "full")
     both = both.fillna("", ["reference_normalized", "prediction_normalized"])
     words = [split_words(F.col(c)) for c in ("reference_normalized", "prediction_normalized")]
     exact = (F.col("reference_normalized") == F.col("prediction_normalized")).cast("double")
-    return both.withColumn("_a", words[0]).withColumn("_b", words[1]).withColumn("exact_match", exact).withColumn("token_f1", tokens_f1(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+    return both.withColumn("_a", words[0]).withColumn("_b", words[1]).withColumn("exact_match", exact).withColumn(
+        "token_f1", tokens_f1(F.col("_a"), F.col("_b"))
+    ).drop("_a", "_b")
 
 
 def evidence_rows(pairs: DataFrame) -> DataFrame:
@@ -311,7 +338,9 @@ def evidence_rows(pairs: DataFrame) -> DataFrame:
     rows = pairs.where("g.fields is not null")
     fields = lambda c: rows.select(F.col("pos").alias("case_id"), F.inline(f"{c}.fields")).withColumnRenamed("name", "field")
     items = lambda c: fields(c).select("case_id", "field", F.inline("evidence")).fillna(-1, ["page"])  # noqa: E731  places without a page are alike
-    named = fields("g").select("case_id", "field", F.lit(None).cast("string").alias("value")).unionAll(fields("p").select("case_id", "field", F.when(F.col("substantive"), "x")))
+    named = fields("g").select("case_id", "field", F.lit(None).cast("string").alias("value")).unionAll(
+        fields("p").select("case_id", "field", F.when(F.col("substantive"), "x"))
+    )
     return E.evidence_by_field(items("g"), items("p"), named.groupBy("case_id", "field").agg(F.max("value").alias("value")))
 
 
@@ -320,22 +349,31 @@ def scores(gold: DataFrame, predicted: DataFrame, ks: Sequence[int] = (1, 3, 5))
     same with ``all_`` before). gold and predicted as ``typed`` gives them. What the gold record
     has is scored; a missing prediction is an empty one; latencies are the predictions'."""
     pairs, extra = pairs_of(gold, predicted)
-    out: dict[str, DataFrame] = {"cases": pairs.select("pos", "case_id", "missing", F.col("p.latency").isNotNull().alias("timed")), "unexpected": extra}
+    out: dict[str, DataFrame] = {
+        "cases": pairs.select("pos", "case_id", "missing", F.col("p.latency").isNotNull().alias("timed")), "unexpected": extra
+    }
     out["all_cases"] = pairs.agg(F.count(F.lit(1)).alias("case_count"), F.count_if("missing").alias("missing_prediction_count"))  # A24
 
     fields, scored = field_rows(pairs), pairs.where("g.fields is not null").select("pos", "case_id")
     out["fields"] = fields
     mean = lambda c: F.coalesce(F.avg(c), F.lit(1.0)).alias(c)
-    out["extraction"] = scored.join(fields.drop("case_id"), "pos", "left").groupBy("pos").agg(F.count("field").alias("field_count"), mean("exact_match"), mean("token_f1"))
+    out["extraction"] = scored.join(fields.drop("case_id"), "pos", "left").groupBy("pos").agg(
+        F.count("field").alias("field_count"), mean("exact_match"), mean("token_f1")
+    )
     out["all_extraction"] = E.extraction_summary(fields)
     evidence = evidence_rows(pairs)
     out["evidence_fields"] = E.evidence_summary(evidence, "case_id", "field").withColumnRenamed("case_id", "pos")
     by_case = E.evidence_summary(evidence, "case_id").withColumnRenamed("case_id", "pos")
-    empty = {c: 0 for c in ("predicted", "expected", "page_correct", "block_correct", "values", "unsupported")} | {"page_correctness": 1.0, "block_correctness": 1.0, "unsupported_value_rate": 0.0}
+    empty = {
+        c: 0 for c in ("predicted", "expected", "page_correct", "block_correct", "values", "unsupported")
+    } | {"page_correctness": 1.0, "block_correctness": 1.0, "unsupported_value_rate": 0.0}
     out["evidence"] = scored.select("pos").join(by_case, "pos", "left").fillna(empty)
     out["all_evidence"] = E.evidence_summary(evidence)
 
-    texts = pairs.where("g.ocr_text is not null").select(F.col("pos").alias("case_id"), F.col("g.ocr_text").alias("reference_text"), F.coalesce("p.ocr_text", F.lit("")).alias("predicted_text"))
+    texts = pairs.where("g.ocr_text is not null").select(
+        F.col("pos").alias("case_id"), F.col("g.ocr_text").alias("reference_text"),
+        F.coalesce("p.ocr_text", F.lit("")).alias("predicted_text")
+    )
     out["ocr"] = E.ocr_by_case(texts).withColumnRenamed("case_id", "pos")
     out["all_ocr"] = E.ocr_summary(out["ocr"])
 
@@ -345,11 +383,16 @@ def scores(gold: DataFrame, predicted: DataFrame, ks: Sequence[int] = (1, 3, 5))
     found = E.retrieval_by_case(relevant, retrieved, tuple(ks)).withColumnRenamed("case_id", "pos")
     counts = asked.select("pos", F.coalesce(F.size("p.retrieved"), F.lit(0)).alias("retrieved_count"))
     counts = counts.withColumn("retrieved_count", F.greatest("retrieved_count", F.lit(0)))
-    out["retrieval"] = counts.join(found, "pos", "left").fillna(0, ["n_relevant"]).withColumn("evaluable", F.coalesce("evaluable", F.lit(False)))
+    out["retrieval"] = counts.join(found, "pos", "left").fillna(0, ["n_relevant"]).withColumn(
+        "evaluable", F.coalesce("evaluable", F.lit(False))
+    )
     out["all_retrieval"] = E.retrieval_summary(out["retrieval"].drop("pos"))
 
     none = F.array().cast(f"array<struct<{_CITE}>>")
-    answers = pairs.where("g.citations is not null").select(F.col("pos").alias("case_id"), F.col("g.citations").alias("gold"), F.coalesce("p.citations", none).alias("predicted"), F.col("g.abstained").alias("expected_abstention"), F.coalesce("p.abstained", F.lit(False)).alias("predicted_abstention"))
+    answers = pairs.where("g.citations is not null").select(
+        F.col("pos").alias("case_id"), F.col("g.citations").alias("gold"), F.coalesce("p.citations", none).alias("predicted"),
+        F.col("g.abstained").alias("expected_abstention"), F.coalesce("p.abstained", F.lit(False)).alias("predicted_abstention")
+    )
     out["answers"] = E.answers_by_case(answers, counts=True).withColumnRenamed("case_id", "pos")
     out["all_answers"] = E.answers_summary(out["answers"])
 
@@ -361,8 +404,16 @@ def scores(gold: DataFrame, predicted: DataFrame, ks: Sequence[int] = (1, 3, 5))
 
 # the report
 
-_LATENCY = {"count": "count", "total": "total_ms", "min": "min_ms", "mean": "mean_ms", "median": "median_ms", "p50": "p50_ms", "p95": "p95_ms", "p99": "p99_ms", "max": "max_ms"}
-_EVIDENCE = {"predicted": "predicted_evidence_count", "expected": "reference_evidence_count", "page_correct": "page_correct_count", "block_correct": "block_correct_count", "page_correctness": "page_correctness", "block_correctness": "block_correctness", "values": "predicted_value_count", "unsupported": "unsupported_value_count", "unsupported_value_rate": "unsupported_value_rate"}
+_LATENCY = {
+    "count": "count", "total": "total_ms", "min": "min_ms", "mean": "mean_ms", "median": "median_ms", "p50": "p50_ms",
+    "p95": "p95_ms", "p99": "p99_ms", "max": "max_ms"
+}
+_EVIDENCE = {
+    "predicted": "predicted_evidence_count", "expected": "reference_evidence_count", "page_correct": "page_correct_count",
+    "block_correct": "block_correct_count", "page_correctness": "page_correctness", "block_correctness": "block_correctness",
+    "values": "predicted_value_count", "unsupported": "unsupported_value_count",
+    "unsupported_value_rate": "unsupported_value_rate"
+}
 
 
 def _renamed(row: Any, names: dict[str, str]) -> dict:
@@ -377,7 +428,10 @@ def _stages(rows: Iterable) -> dict:
     rows = sorted(rows, key=lambda r: r["stage"])
     whole = [_renamed(r, _LATENCY) for r in rows if r["stage"] == E.NO_KEY]
     nothing = {"count": 0, "total_ms": 0.0} | {v: None for v in _LATENCY.values() if v not in ("count", "total_ms")}
-    return {"overall": whole[0] if whole else nothing, "by_stage": {r["stage"]: _renamed(r, _LATENCY) for r in rows if r["stage"] != E.NO_KEY}}
+    return {
+        "overall": whole[0] if whole else nothing,
+        "by_stage": {r["stage"]: _renamed(r, _LATENCY) for r in rows if r["stage"] != E.NO_KEY}
+    }
 
 
 def report(found: dict[str, DataFrame]) -> dict:
@@ -387,9 +441,18 @@ def report(found: dict[str, DataFrame]) -> dict:
     one = {n: by_pos(n) for n in ("extraction", "evidence", "ocr", "retrieval", "answers")}
     fields, evidence = ({} for _ in range(2))
     for r in sorted(rows["fields"], key=lambda r: r["field"]):
-        fields.setdefault(r["pos"], {})[r["field"]] = {c: r[c] for c in ("exact_match", "token_f1", "reference_normalized", "prediction_normalized")}
+        fields.setdefault(r["pos"], {})[r["field"]] = {
+            c: r[c] for c in ("exact_match", "token_f1", "reference_normalized", "prediction_normalized")
+        }
     for r in sorted(rows["evidence_fields"], key=lambda r: r["field"]):
-        evidence.setdefault(r["pos"], {})[r["field"]] = {**{c: _renamed(r, _EVIDENCE)[c] for c in ("predicted_evidence_count", "reference_evidence_count", "page_correctness", "block_correctness")}, "value_supported": r["unsupported"] == 0 if r["values"] else None}
+        evidence.setdefault(r["pos"], {})[r["field"]] = {
+            **{
+                c: _renamed(r, _EVIDENCE)[c] for c in (
+                    "predicted_evidence_count", "reference_evidence_count", "page_correctness", "block_correctness"
+                )
+            },
+            "value_supported": r["unsupported"] == 0 if r["values"] else None
+        }
     timed: dict[int, list] = {}
     for r in rows["latency"]:
         timed.setdefault(r["pos"], []).append(r)
@@ -405,33 +468,55 @@ def report(found: dict[str, DataFrame]) -> dict:
         if pos in one["retrieval"]:
             r = one["retrieval"][pos]
             first = round(1 / r["mrr"]) if r["mrr"] else None
-            m["retrieval"] = {"evaluable": r["evaluable"], "relevant_count": r["n_relevant"], "retrieved_count": r["retrieved_count"], "recall_at_k": _recalls(r), "mrr": r["mrr"], "first_relevant_rank": first}
+            m["retrieval"] = {
+                "evaluable": r["evaluable"], "relevant_count": r["n_relevant"], "retrieved_count": r["retrieved_count"],
+                "recall_at_k": _recalls(r), "mrr": r["mrr"], "first_relevant_rank": first
+            }
         if pos in one["answers"]:
             m["answer"] = drop(one["answers"][pos], "pos")
         if c["timed"]:
             m["latency"] = _stages(timed.get(pos, []))
         cases.append({"case_id": c["case_id"], "prediction_missing": c["missing"], "metrics": m})
-    return {"schema_version": "1.0", "summary": _summary(rows, cases), "unexpected_prediction_ids": [r["id"] for r in sorted(rows["unexpected"], key=lambda r: (r["pos"] or 0, r["id"]))], "cases": cases}
+    return {
+        "schema_version": "1.0", "summary": _summary(rows, cases),
+        "unexpected_prediction_ids": [r["id"] for r in sorted(rows["unexpected"], key=lambda r: (r["pos"] or 0, r["id"]))],
+        "cases": cases
+    }
 
 
 def _summary(rows: dict[str, list], cases: list[dict]) -> dict:
     out = rows["all_cases"][0].asDict()
     some = lambda name: any(name in c["metrics"] for c in cases)
-    scores = {r["field"]: {"count": r["n"], "exact_match": r["exact_match"], "token_f1": r["token_f1"]} for r in sorted(rows["all_extraction"], key=lambda r: r["field"])}
+    scores = {
+        r["field"]: {
+            "count": r["n"], "exact_match": r["exact_match"], "token_f1": r["token_f1"]
+        } for r in sorted(rows["all_extraction"], key=lambda r: r["field"])
+    }
     whole = scores.pop(E.NO_KEY)
     if scores:
-        out["extraction"] = {"field_instance_count": whole["count"], "exact_match": whole["exact_match"], "token_f1": whole["token_f1"], "per_field": scores}
+        out["extraction"] = {
+            "field_instance_count": whole["count"], "exact_match": whole["exact_match"], "token_f1": whole["token_f1"],
+            "per_field": scores
+        }
     if some("evidence"):
         r = rows["all_evidence"][0].asDict()
         r = {k: (0 if v is None else v) for k, v in r.items()}
         if not r["predicted"]:
             r["page_correctness"] = r["block_correctness"] = 0.0 if r["expected"] else 1.0
-        out["evidence"] = {k: v for k, v in _renamed(r, _EVIDENCE).items() if k not in ("page_correct_count", "block_correct_count", "unsupported_value_count")}
+        out["evidence"] = {
+            k: v for k,
+            v in _renamed(r, _EVIDENCE).items() if k not in (
+                "page_correct_count", "block_correct_count", "unsupported_value_count"
+            )
+        }
     if some("ocr"):
         out["ocr"] = {"case_count": len(rows["ocr"]), **rows["all_ocr"][0].asDict()}
     if some("retrieval"):
         r = rows["all_retrieval"][0]
-        out["retrieval"] = {"query_count": r["queries"], "evaluable_query_count": r["evaluable_queries"], "recall_at_k": _recalls(r), "mrr": r["mrr"]}
+        out["retrieval"] = {
+            "query_count": r["queries"], "evaluable_query_count": r["evaluable_queries"], "recall_at_k": _recalls(r),
+            "mrr": r["mrr"]
+        }
     if some("answer"):
         out["answer"] = {"case_count": len(rows["answers"]), **rows["all_answers"][0].asDict()}
     if rows["all_latency"] and any(r["stage"] != E.NO_KEY for r in rows["all_latency"]):
@@ -444,9 +529,16 @@ def evaluate_records(spark: SparkSession, references: Any, predictions: Any, k_v
     return report(scores(typed(frame(spark, references), True), typed(frame(spark, predictions), False), k_values))
 
 
-def evaluate_case(spark: SparkSession, reference: Any, prediction: Any | None, case_id: str | None = None, k_values: Sequence[int] = (1, 3, 5)) -> dict:
+def evaluate_case(
+    spark: SparkSession, reference: Any, prediction: Any | None, case_id: str | None = None, k_values: Sequence[int] = (1, 3, 5)
+) -> dict:
     """One gold record against one prediction."""
-    found = report(scores(typed(frame(spark, [reference]).withColumn("id", F.lit(None)), True), typed(frame(spark, [] if prediction is None else [prediction]), False), k_values))["cases"][0]
+    found = report(
+        scores(
+            typed(frame(spark, [reference]).withColumn("id", F.lit(None)), True),
+            typed(frame(spark, [] if prediction is None else [prediction]), False), k_values
+        )
+    )["cases"][0]
     return found | {"case_id": str(case_id or record_id(reference) or record_id(prediction) or "case")}
 
 
@@ -455,7 +547,9 @@ def load_json_records(spark: SparkSession, path: str) -> Any:
     return json.loads(spark.read.text(path, wholetext=True).first()["value"])
 
 
-def evaluate_json_files(spark: SparkSession, reference_path: str, prediction_path: str, k_values: Sequence[int] = (1, 3, 5)) -> dict:
+def evaluate_json_files(
+    spark: SparkSession, reference_path: str, prediction_path: str, k_values: Sequence[int] = (1, 3, 5)
+) -> dict:
     return evaluate_records(spark, load_json_records(spark, reference_path), load_json_records(spark, prediction_path), k_values)
 
 
@@ -469,21 +563,36 @@ def gold_evidence(phrases: DataFrame, blocks: DataFrame) -> DataFrame:
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), "(?U)\\s+", " "))
     place = F.struct("page", "reading_order", "block_id", "text", "bbox", flat(F.col("text")).alias("flat"))
     held = blocks.groupBy("document_id").agg(F.array_sort(F.collect_list(place)).alias("blocks"))
-    asked = phrases.groupBy("document_id", "field").agg(F.array_sort(F.collect_list(F.struct("pos", flat(F.col("phrase")).alias("phrase")))).alias("phrases"))
+    asked = phrases.groupBy("document_id", "field").agg(
+        F.array_sort(F.collect_list(F.struct("pos", flat(F.col("phrase")).alias("phrase")))).alias("phrases")
+    )
 
     def take(taken: Column, p: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(0), F.size("blocks") - 1), lambda i: F.contains(F.get("blocks", i)["flat"], p["phrase"]) & ~F.exists(taken, lambda t: t["at"] == i))
-        return F.when(F.size(free) > 0, F.concat(taken, F.array(F.struct(p["pos"].cast("long").alias("pos"), F.get(free, F.lit(0)).alias("at"))))).otherwise(taken)
-
-    rows = asked.join(held, "document_id").withColumn("taken", F.aggregate("phrases", F.array().cast("array<struct<pos:bigint,at:int>>"), take))
+        free = F.filter(
+            F.sequence(F.lit(0), F.size("blocks") - 1),
+            lambda i: F.contains(F.get("blocks", i)["flat"], p["phrase"]) & ~F.exists(taken, lambda t: t["at"] == i)
+        )
+        return F.when(
+            F.size(free) > 0,
+            F.concat(taken, F.array(F.struct(p["pos"].cast("long").alias("pos"), F.get(free, F.lit(0)).alias("at"))))
+        ).otherwise(taken)
+
+    rows = asked.join(held, "document_id").withColumn(
+        "taken", F.aggregate("phrases", F.array().cast("array<struct<pos:bigint,at:int>>"), take)
+    )
     rows = rows.select("document_id", "field", F.inline("taken"), "blocks").withColumn("b", F.get("blocks", F.col("at")))
-    return rows.select("document_id", "field", "pos", F.col("b.page").alias("page"), F.col("b.block_id").alias("block_id"), F.col("b.text").alias("quote"), F.col("b.bbox").alias("bbox"))
+    return rows.select(
+        "document_id", "field", "pos", F.col("b.page").alias("page"), F.col("b.block_id").alias("block_id"),
+        F.col("b.text").alias("quote"), F.col("b.bbox").alias("bbox")
+    )
 
 
 def strict(cases: DataFrame, gold: DataFrame, key: str = "case_id") -> DataFrame:
     """gold's rows of the cases; a case without any is an error, raised where the rows are read."""
     known = cases.select(key).distinct().join(gold.withColumn("_known", F.lit(True)), key, "left")
-    checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no gold for case "), F.col(key).cast("string")))).otherwise(F.col(key))
+    checked = F.when(
+        F.col("_known").isNull(), F.raise_error(F.concat(F.lit("no gold for case "), F.col(key).cast("string")))
+    ).otherwise(F.col(key))
     return known.withColumn(key, checked).drop("_known").select(*gold.columns)
 
 

@@ -38,8 +38,12 @@ def term_counts(rows: DataFrame, *keep: str, exact: bool = True, terms: DataFram
     tokens = rows.select(*keep, F.explode_outer(raw_tokens(F.col("text"), exact)).alias("_t"))
     fine = F.coalesce(is_term(F.col("_t")), F.lit(False))
     tokens = tokens.select(*keep, F.when(fine, stem(F.col("_t"))).alias("_t"))
-    tokens = tokens.withColumn("term", F.col("_t")) if terms is None else tokens.join(F.broadcast(terms), F.col("_t") == F.col("term"), "left")
-    return tokens.select(*keep, "term", F.col("_t").isNotNull().cast("long").alias("_n")).groupBy(*keep, "term").agg(F.sum("_n").alias("tf"))
+    tokens = tokens.withColumn("term", F.col("_t")) if terms is None else tokens.join(
+        F.broadcast(terms), F.col("_t") == F.col("term"), "left"
+    )
+    return tokens.select(
+        *keep, "term", F.col("_t").isNotNull().cast("long").alias("_n")
+    ).groupBy(*keep, "term").agg(F.sum("_n").alias("tf"))
 
 
 class BM25Index:
@@ -49,7 +53,10 @@ class BM25Index:
     terms are kept (``persist``, until ``release``), which is all that statistics and scores need. ``save``
     writes all postings, by term, for an index that is asked often; ``load`` reads them."""
 
-    def __init__(self, chunks: DataFrame | None, k1: float = 1.5, b: float = 0.75, exact: bool = True, saved: str | None = None, max_terms: int = 10_000):
+    def __init__(
+        self, chunks: DataFrame | None, k1: float = 1.5, b: float = 0.75, exact: bool = True, saved: str | None = None,
+        max_terms: int = 10_000
+    ):
         if k1 <= 0 or not 0 <= b <= 1:
             raise ValueError("k1 must be positive and b between 0 and 1")
         self.k1, self.b, self.exact, self.saved, self.max_terms = k1, b, exact, saved, max_terms
@@ -61,7 +68,9 @@ class BM25Index:
         """Postings in ``buckets`` folders by a hash of the term, sorted by term, and a row of facts."""
         rows, facts = self._counted(None)
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-        rows.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        rows.repartition(
+            "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16))
+        ).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
         facts.withColumn("buckets", F.lit(buckets)).write.parquet(f"{path}/facts")
         self.release()
 
@@ -79,7 +88,9 @@ class BM25Index:
             facts = self.spark.read.parquet(f"{self.saved}/facts")
             postings = self.spark.read.parquet(f"{self.saved}/postings")
             if few:  # only the terms' folders and row groups are read
-                buckets = facts.select(F.explode(F.transform(F.array(*map(F.lit, first)), lambda t: F.pmod(F.xxhash64(t), "buckets").cast("int")))).distinct().collect() if first else []
+                buckets = facts.select(
+                    F.explode(F.transform(F.array(*map(F.lit, first)), lambda t: F.pmod(F.xxhash64(t), "buckets").cast("int")))
+                ).distinct().collect() if first else []
                 postings = postings.where(F.col("bucket").isin([r[0] for r in buckets])).where(F.col("term").isin(first))
             else:
                 postings = postings.join(terms, "term", "left_semi")
@@ -108,7 +119,9 @@ class BM25Index:
     def idf(postings: DataFrame, facts: DataFrame) -> DataFrame:
         """A4, A5."""
         df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        return df.crossJoin(F.broadcast(facts)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")  # facts is one row
+        return df.crossJoin(F.broadcast(facts)).select(
+            "term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len"
+        )  # facts is one row
 
     def search(self, queries: DataFrame, top_k: int = 5, min_score: float = 0.0, question: str = "question") -> DataFrame:
         """query_id, chunk_id, score, rank. Ties keep the chunks' order; the score must
@@ -117,9 +130,13 @@ class BM25Index:
         found, facts = self._of_terms(asked.select("term").distinct())
         length = F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(0.0)
         part = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * length))
-        scored = found.join(self.idf(found, facts), "term").join(asked, "term").groupBy("query_id", "chunk_id", "ord").agg(F.sum(part).alias("score"))
+        scored = found.join(
+            self.idf(found, facts), "term"
+        ).join(asked, "term").groupBy("query_id", "chunk_id", "ord").agg(F.sum(part).alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord", "chunk_id")
-        return scored.where(F.col("score") > min_score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, top_k)).select("query_id", "chunk_id", "score", "rank")
+        return scored.where(F.col("score") > min_score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, top_k)).select(
+            "query_id", "chunk_id", "score", "rank"
+        )
 
 
 def expansion(question):
@@ -131,17 +148,27 @@ def ranked_passages(questions: DataFrame, hits: DataFrame, chunks: DataFrame, ex
     """Every supported passage of the hits with its score and place (W11: the best of equal ones)."""
     names = F.regexp_extract_all("question", F.lit("\\b[A-Z][A-Za-z0-9'-]*\\b"), F.lit(0))
     terms = questions.select(
-        "query_id", "question", tokenize(F.col("question"), exact).alias("original"), tokenize(F.concat_ws(" ", "question", expansion(F.col("question"))), exact).alias("expanded"),
-        tokenize(expansion(F.col("question")), exact).alias("concepts"), tokenize(F.array_join(F.slice(names, F.lit(2), F.size(names)), " "), exact).alias("names"),
+        "query_id", "question", tokenize(F.col("question"), exact).alias("original"), tokenize(
+            F.concat_ws(" ", "question", expansion(F.col("question"))), exact
+        ).alias("expanded"),
+        tokenize(expansion(F.col("question")), exact).alias("concepts"), tokenize(
+            F.array_join(F.slice(names, F.lit(2), F.size(names)), " "), exact
+        ).alias("names"),
     )
     terms = terms.withColumn("content", F.array_except(F.array_except("original", "names"), F.array(*map(F.lit, GENERIC))))
     rows = hits.join(chunks, "chunk_id").join(terms, "query_id")
-    rows = rows.select("*", F.posexplode(passages(F.col("text"))).alias("pos", "passage")).withColumn("terms", F.array_distinct(tokenize(F.col("passage"), exact)))
+    rows = rows.select(
+        "*", F.posexplode(passages(F.col("text"))).alias("pos", "passage")
+    ).withColumn("terms", F.array_distinct(tokenize(F.col("passage"), exact)))
     shared = lambda c: F.size(F.array_intersect("terms", c))
     enough = F.greatest(F.lit(1), F.ceil(F.size("content") * 0.6))
-    supported = (shared("expanded") > 0) & F.when(F.size("concepts") > 0, shared("concepts") > 0).otherwise(shared("content") >= enough)
+    supported = (shared("expanded") > 0) & F.when(
+        F.size("concepts") > 0, shared("concepts") > 0
+    ).otherwise(shared("content") >= enough)
     heading = F.when((F.size("terms") < 3) & ~F.col("passage").rlike("\\d|[$£€₹]"), 1.5).otherwise(0.0)
-    value = 3.0 * shared("original") + shared("expanded") + 1.5 * shared("concepts") + 0.15 * F.col("score") + F.least(F.size("terms"), F.lit(24)) / 100 - heading
+    value = 3.0 * shared("original") + shared("expanded") + 1.5 * shared("concepts") + 0.15 * F.col("score") + F.least(
+        F.size("terms"), F.lit(24)
+    ) / 100 - heading
     rows = rows.where(supported).withColumn("value", F.round(value, 9))
     best = Window.partitionBy("query_id", "chunk_id", "passage").orderBy(F.desc("value"), "rank", "pos")
     return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
@@ -151,30 +178,48 @@ def answer(questions: DataFrame, index: BM25Index, top_k: int = 5, min_score: fl
     """query_id, question, answer, citations, abstained. A comparison needs two documents."""
     if min_score < 0:
         raise ValueError("min_score cannot be negative")
-    asked = questions.where(F.trim("question") != "").withColumn("wide", F.concat_ws(" ", "question", expansion(F.col("question"))))
+    asked = questions.where(F.trim("question") != "").withColumn(
+        "wide", F.concat_ws(" ", "question", expansion(F.col("question")))
+    )
     hits = index.search(asked, top_k, min_score, "wide")
     rows = ranked_passages(asked, hits, index.chunks, index.exact).withColumn("compares", F.col("question").rlike(COMPARISON))
     place = ["value", "rank", "pos", "passage"]
     order = [F.desc("value"), *place[1:]]
     named = F.size(F.array_intersect("original", tokenize(F.concat_ws(" ", "document_id", "file_name"), index.exact))) > 0
     rows = rows.withColumn("named", named)
-    rows = rows.withColumn("n_named", F.size(F.collect_set(F.when(F.col("named"), F.col("document_id"))).over(Window.partitionBy("query_id"))))
+    rows = rows.withColumn(
+        "n_named", F.size(F.collect_set(F.when(F.col("named"), F.col("document_id"))).over(Window.partitionBy("query_id")))
+    )
     rows = rows.where(~F.col("compares") | (F.col("n_named") < 2) | F.col("named"))
-    rows = rows.withColumn("_d", F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy(*order))).where("not compares or _d = 1")
-    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where("_k = 1 or (compares and _k = 2)")
-    cite = F.struct("_k", F.col("chunk_id").alias("source_id"), "document_id", "file_name", F.get("pages", F.lit(0)).alias("page"), "block_ids", F.col("passage").alias("quote"))
-    picked = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(cite)).alias("c"), F.first("compares").alias("compares")).where("not compares or size(c) = 2")
+    rows = rows.withColumn(
+        "_d", F.row_number().over(Window.partitionBy("query_id", "document_id").orderBy(*order))
+    ).where("not compares or _d = 1")
+    rows = rows.withColumn(
+        "_k", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    ).where("_k = 1 or (compares and _k = 2)")
+    cite = F.struct(
+        "_k", F.col("chunk_id").alias("source_id"), "document_id", "file_name", F.get("pages", F.lit(0)).alias("page"),
+        "block_ids", F.col("passage").alias("quote")
+    )
+    picked = rows.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(cite)).alias("c"), F.first("compares").alias("compares")
+    ).where("not compares or size(c) = 2")
     picked = picked.select("query_id", F.transform("c", lambda x: x.dropFields("_k")).alias("citations"))
     out = questions.join(picked, "query_id", "left")
     text = F.array_join(F.transform("citations", lambda x: x["quote"]), "\n")
-    return out.select("query_id", "question", F.coalesce(text, F.lit(ABSTAIN)).alias("answer"), "citations", F.col("citations").isNull().alias("abstained"))
+    return out.select(
+        "query_id", "question", F.coalesce(text, F.lit(ABSTAIN)).alias("answer"), "citations",
+        F.col("citations").isNull().alias("abstained")
+    )
 
 
 def relevant_chunks(queries: DataFrame, chunks: DataFrame, stem_of=None) -> DataFrame:
     """Chunks of a relevant document with one of the phrases; all of the document's if none has."""
     stem_of = stem_of if stem_of is not None else F.regexp_replace("file_name", "\\.[^.]*$", "")
     squeezed = lambda t: F.trim(F.regexp_replace(F.lower(t), "(?U)\\s+", " "))
-    pairs = queries.select("query_id", "relevant_phrases", F.explode("relevant_documents").alias("stem")).join(chunks.withColumn("stem", stem_of), "stem")
+    pairs = queries.select(
+        "query_id", "relevant_phrases", F.explode("relevant_documents").alias("stem")
+    ).join(chunks.withColumn("stem", stem_of), "stem")
     hit = F.exists("relevant_phrases", lambda p: squeezed(F.col("text")).contains(squeezed(p)))
     pairs = pairs.withColumn("hit", hit).withColumn("any_hit", F.max("hit").over(Window.partitionBy("query_id")))
     return pairs.where("hit or not any_hit").select("query_id", "chunk_id").distinct()

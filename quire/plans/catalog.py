@@ -38,7 +38,10 @@ def _joined(values) -> F.Column:
 # texts
 
 
-@query("A4_document_frequency", f"WITH {S.token_rows('doc_id', 'documents')} SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM stems GROUP BY term")
+@query(
+    "A4_document_frequency",
+    f"WITH {S.token_rows('doc_id', 'documents')} SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM stems GROUP BY term"
+)
 def document_frequency(spark, d):
     rows = retrieval.term_counts(read(spark, d, "documents"), "doc_id")
     return rows.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
@@ -55,7 +58,15 @@ def normalize(spark, d):
 
 
 def _typed(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.col("p_size").alias("whole"), (F.col("p_retailprice").cast("decimal(12,2)") * F.lit("1000000.000001").cast("decimal(13,6)")).alias("decimal"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("-"), F.col("p_size"), F.lit("e-12"))).otherwise(F.concat("p_size", F.lit("e21"))).cast("double").alias("real"), (F.col("p_size") > 25).alias("flag"), F.split("p_name", " ").alias("words"), F.create_map(F.lit("Brand"), F.col("p_brand")).alias("pairs"))
+    return read(spark, d, "part").select(
+        "p_partkey", F.col("p_size").alias("whole"),
+        (F.col("p_retailprice").cast("decimal(12,2)") * F.lit("1000000.000001").cast("decimal(13,6)")).alias("decimal"),
+        F.when(
+            F.col("p_partkey") % 3 == 0, F.concat(F.lit("-"), F.col("p_size"), F.lit("e-12"))
+        ).otherwise(F.concat("p_size", F.lit("e21"))).cast("double").alias("real"),
+        (F.col("p_size") > 25).alias("flag"), F.split("p_name", " ").alias("words"),
+        F.create_map(F.lit("Brand"), F.col("p_brand")).alias("pairs")
+    )
 
 
 @query(
@@ -68,17 +79,30 @@ def canonical(spark, d):
     return _typed(spark, d).select("p_partkey", *[T.canonical_number(F.col(c)).alias(c) for c in ("whole", "decimal", "real")])
 
 
-@query("P9_substantive", """SELECT p_partkey, true AS flag, true AS whole, len(list_filter(string_split(p_name, ' '), lambda w: w LIKE '%a%')) > 0 AS words, trim(CASE WHEN p_size > 25 THEN p_name ELSE '  ' END) <> '' AS "text" FROM part""")
+@query(
+    "P9_substantive",
+    """SELECT p_partkey, true AS flag, true AS whole, len(list_filter(string_split(p_name, ' '), lambda w: w LIKE '%a%')) > 0 AS words, trim(CASE WHEN p_size > 25 THEN p_name ELSE '  ' END) <> '' AS "text" FROM part"""
+)
 def substantive(spark, d):
-    rows = _typed(spark, d).join(read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_name")).otherwise("  ").alias("text")), "p_partkey")
+    rows = _typed(spark, d).join(
+        read(spark, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_name")).otherwise("  ").alias("text")),
+        "p_partkey"
+    )
     rows = rows.withColumn("words", F.filter("words", lambda w: w.contains("a")))
-    return rows.select("p_partkey", *[T.substantive(F.col(c), rows.schema[c].dataType).alias(c) for c in ("flag", "whole", "words", "text")])
+    return rows.select(
+        "p_partkey", *[T.substantive(F.col(c), rows.schema[c].dataType).alias(c) for c in ("flag", "whole", "words", "text")]
+    )
 
 
-@query("SC1_typed_values", f"""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS flag, array_to_string(list_sort(list_transform(string_split(p_name, ' '), lambda w: {S.normal('w')})), ' | ') AS words, 'brand ' || {S.normal('p_brand')} AS pairs FROM part""")
+@query(
+    "SC1_typed_values",
+    f"""SELECT p_partkey, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END AS flag, array_to_string(list_sort(list_transform(string_split(p_name, ' '), lambda w: {S.normal('w')})), ' | ') AS words, 'brand ' || {S.normal('p_brand')} AS pairs FROM part"""
+)
 def typed_values(spark, d):
     rows = _typed(spark, d)
-    return rows.select("p_partkey", *[T.normalize_typed(F.col(c), rows.schema[c].dataType).alias(c) for c in ("flag", "words", "pairs")])
+    return rows.select(
+        "p_partkey", *[T.normalize_typed(F.col(c), rows.schema[c].dataType).alias(c) for c in ("flag", "words", "pairs")]
+    )
 
 
 @query("SC12_passages", S.PASSAGES)
@@ -91,7 +115,11 @@ def passage_rows(spark, d):
 
 def _chunks(spark, d):
     docs = read(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.array(F.lit(1)).alias("pages"), F.array(F.col("doc_id").cast("string")).alias("block_ids"), "text", F.col("doc_id").alias("ord"))
+    return docs.select(
+        F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"),
+        F.concat("source", F.lit(".pdf")).alias("file_name"), F.array(F.lit(1)).alias("pages"),
+        F.array(F.col("doc_id").cast("string")).alias("block_ids"), "text", F.col("doc_id").alias("ord")
+    )
 
 
 @query("R4_bm25_search", S.BM25)
@@ -105,7 +133,13 @@ def bm25_search(spark, d):
 def cited_answers(spark, d):
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     found = retrieval.answer(asked, retrieval.BM25Index(_chunks(spark, d)))
-    cite = F.transform("citations", lambda c: F.concat_ws("|", c["source_id"].cast("string"), c["document_id"], c["file_name"], c["page"].cast("string"), _joined(c["block_ids"])))
+    cite = F.transform(
+        "citations",
+        lambda c: F.concat_ws(
+            "|", c["source_id"].cast("string"), c["document_id"], c["file_name"], c["page"].cast("string"),
+            _joined(c["block_ids"])
+        )
+    )
     return found.select("query_id", "question", "answer", F.array_join(cite, ";").alias("cited"), "abstained")
 
 
@@ -116,7 +150,11 @@ p AS (SELECT q.query_id, d.doc_id AS chunk_id, len(list_filter(phrases, lambda p
 SELECT query_id, chunk_id FROM p QUALIFY hit OR NOT max(hit) OVER (PARTITION BY query_id)""",
 )
 def relevant_chunks(spark, d):
-    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("relevant_documents"), F.array(F.substring("text", 1, 6), F.lit("zzz zzz")).alias("relevant_phrases"))
+    asked = read(spark, d, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.array(F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))).alias("relevant_documents"),
+        F.array(F.substring("text", 1, 6), F.lit("zzz zzz")).alias("relevant_phrases")
+    )
     return retrieval.relevant_chunks(asked, _chunks(spark, d))
 
 
@@ -126,7 +164,9 @@ def relevant_chunks(spark, d):
 def _next_item(spark, d):
     b = read(spark, d, "benchmark")
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("predicted_text"))
-    return b.join(nxt, "item_id").select(F.col("item_id").alias("case_id"), F.col("text").alias("reference_text"), "predicted_text")
+    return b.join(nxt, "item_id").select(
+        F.col("item_id").alias("case_id"), F.col("text").alias("reference_text"), "predicted_text"
+    )
 
 
 @query("SC10_ocr_metrics", S.OCR_METRICS)
@@ -146,20 +186,49 @@ def ocr_summary(spark, d):
 )
 def ocr_lines(spark, d):
     li = read(spark, d, "lineitem")
-    x0, text, score = F.col("l_linenumber") * 10.0, F.concat(F.lit("part "), F.col("l_partkey").cast("string")), F.col("l_quantity") / 100
-    corners = F.array(F.array(x0 + 8, F.lit(5.0)), F.array(x0, F.lit(5.0)), F.array(x0, F.lit(25.0)), F.array(x0 + 8, F.lit(25.0)))
+    x0, text, score = F.col("l_linenumber") * 10.0, F.concat(
+        F.lit("part "), F.col("l_partkey").cast("string")
+    ), F.col("l_quantity") / 100
+    corners = F.array(
+        F.array(x0 + 8, F.lit(5.0)), F.array(x0, F.lit(5.0)), F.array(x0, F.lit(25.0)), F.array(x0 + 8, F.lit(25.0))
+    )
     flat, as_json = F.array(x0, F.lit(5.0), x0 + 8, F.lit(25.0)), lambda c: F.to_json(c)
     shapes = [
-        as_json(F.struct(F.array(corners).alias("dt_polys"), F.array(text).alias("rec_texts"), F.array(score).alias("rec_scores"))),
-        as_json(F.struct(F.array(F.struct(flat.alias("points"), text.alias("label"), F.col("l_quantity").alias("prob"))).alias("ocr_result"))),
+        as_json(
+            F.struct(F.array(corners).alias("dt_polys"), F.array(text).alias("rec_texts"), F.array(score).alias("rec_scores"))
+        ),
+        as_json(
+            F.struct(
+                F.array(
+                    F.struct(flat.alias("points"), text.alias("label"), F.col("l_quantity").alias("prob"))
+                ).alias("ocr_result")
+            )
+        ),
         F.concat(F.lit("[["), F.lit("["), as_json(corners), F.lit(","), as_json(F.array(text)), F.lit("]"), F.lit("]]")),
-        as_json(F.struct(F.struct(x0.alias("left"), F.lit(5.0).alias("top"), (x0 + 8).alias("right"), F.lit(25.0).alias("bottom")).alias("bbox"), text.alias("rec_text"), score.cast("string").alias("rec_score"))),
-        as_json(F.struct(F.array(flat, F.array(x0)).alias("polys"), F.array(text, F.lit("no box")).alias("txts"), F.array(score).alias("confidences"))),
+        as_json(
+            F.struct(
+                F.struct(
+                    x0.alias("left"), F.lit(5.0).alias("top"), (x0 + 8).alias("right"), F.lit(25.0).alias("bottom")
+                ).alias("bbox"),
+                text.alias("rec_text"), score.cast("string").alias("rec_score")
+            )
+        ),
+        as_json(
+            F.struct(
+                F.array(flat, F.array(x0)).alias("polys"), F.array(text, F.lit("no box")).alias("txts"),
+                F.array(score).alias("confidences")
+            )
+        ),
         as_json(F.array(F.struct(flat.alias("box"), F.lit(" x ").alias("text"), F.lit("much").alias("score")))),
     ]
     # a row of [box, text, score]: JSON arrays of mixed kinds are put together as text
-    shapes[2] = F.concat(F.lit("[[["), as_json(corners), F.lit(',"'), text, F.lit('",'), score.cast("string"), F.lit("]],[0.1,0.2]]"))
-    raw = li.select(F.col("l_orderkey").cast("string").alias("doc"), F.col("l_linenumber").alias("page"), F.coalesce(*[F.when(F.col("l_partkey") % 6 == i, s) for i, s in enumerate(shapes)]).alias("payload"))
+    shapes[2] = F.concat(
+        F.lit("[[["), as_json(corners), F.lit(',"'), text, F.lit('",'), score.cast("string"), F.lit("]],[0.1,0.2]]")
+    )
+    raw = li.select(
+        F.col("l_orderkey").cast("string").alias("doc"), F.col("l_linenumber").alias("page"),
+        F.coalesce(*[F.when(F.col("l_partkey") % 6 == i, s) for i, s in enumerate(shapes)]).alias("payload")
+    )
     return ocr.normalize(raw).select("doc", "page", "pos", "text", "bbox.*", F.round("confidence", 9).alias("confidence"))
 
 
@@ -175,19 +244,25 @@ SELECT stage, "count", round(total, 4) AS total, min, round(mean, 8) AS mean, ro
 def latency(spark, d):
     rows = read(spark, d, "events").select(F.col("event_type").alias("stage"), evaluation.checked_ms(F.abs("value")).alias("ms"))
     out = evaluation.latency_summary(rows)
-    return out.withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 8)).withColumn("median", F.round("median", 8))
+    return out.withColumn("total", F.round("total", 4)).withColumn("mean", F.round("mean", 8)).withColumn(
+        "median", F.round("median", 8)
+    )
 
 
 # extraction scores
 
 
 def _gold_values(spark, d):
-    return read(spark, d, "part").select(F.col("p_partkey").alias("case_id"), F.lit("name").alias("field"), F.col("p_name").alias("value")).unionAll(read(spark, d, "labels").select("doc_id", F.lit("quality"), F.col("quality").cast("string")))
+    return read(spark, d, "part").select(
+        F.col("p_partkey").alias("case_id"), F.lit("name").alias("field"), F.col("p_name").alias("value")
+    ).unionAll(read(spark, d, "labels").select("doc_id", F.lit("quality"), F.col("quality").cast("string")))
 
 
 def _predicted_values(spark, d):
     guess = F.concat_ws(", ", F.upper(F.split("p_name", " ")[0]), F.split("p_name", " ")[0], F.lit("Extra"))
-    return read(spark, d, "part").select(F.col("p_partkey").alias("case_id"), F.lit("name").alias("field"), guess.alias("value")).unionAll(read(spark, d, "documents").select("doc_id", F.lit("quality"), F.when(F.col("n_chars") >= 400, "1").otherwise("0")))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("case_id"), F.lit("name").alias("field"), guess.alias("value")).unionAll(
+        read(spark, d, "documents").select("doc_id", F.lit("quality"), F.when(F.col("n_chars") >= 400, "1").otherwise("0"))
+    )
 
 
 _GUESS = "upper(string_split(p_name, ' ')[1]) || ', ' || string_split(p_name, ' ')[1] || ', Extra'"
@@ -204,12 +279,18 @@ def field_scores(spark, d):
     return evaluation.field_scores(_gold_values(spark, d), _predicted_values(spark, d))
 
 
-@query("A9_extraction_summary", VALUES_SQL + " SELECT field, avg(exact_match) AS exact_match, round(avg(token_f1), 9) AS token_f1, count(*) AS n FROM s GROUP BY field UNION ALL SELECT '<all>', avg(exact_match), round(avg(token_f1), 9), count(*) FROM s")
+@query(
+    "A9_extraction_summary",
+    VALUES_SQL + " SELECT field, avg(exact_match) AS exact_match, round(avg(token_f1), 9) AS token_f1, count(*) AS n FROM s GROUP BY field UNION ALL SELECT '<all>', avg(exact_match), round(avg(token_f1), 9), count(*) FROM s"
+)
 def extraction_summary(spark, d):
     return evaluation.extraction_summary(field_scores(spark, d)).withColumn("token_f1", F.round("token_f1", 9))
 
 
-@query("A8_extraction_by_case", VALUES_SQL + " SELECT c.doc_id AS case_id, coalesce(avg(exact_match), 1.0) AS exact_match, round(coalesce(avg(token_f1), 1.0), 9) AS token_f1, count(field) AS fields FROM (SELECT doc_id FROM documents UNION ALL SELECT -1) c LEFT JOIN s ON s.case_id = c.doc_id GROUP BY c.doc_id")
+@query(
+    "A8_extraction_by_case",
+    VALUES_SQL + " SELECT c.doc_id AS case_id, coalesce(avg(exact_match), 1.0) AS exact_match, round(coalesce(avg(token_f1), 1.0), 9) AS token_f1, count(field) AS fields FROM (SELECT doc_id FROM documents UNION ALL SELECT -1) c LEFT JOIN s ON s.case_id = c.doc_id GROUP BY c.doc_id"
+)
 def extraction_by_case(spark, d):
     cases = read(spark, d, "documents").select(F.col("doc_id").alias("case_id")).unionAll(spark.sql("SELECT CAST(-1 AS BIGINT)"))
     return evaluation.extraction_by_case(field_scores(spark, d), cases).withColumn("token_f1", F.round("token_f1", 9))
@@ -217,17 +298,25 @@ def extraction_by_case(spark, d):
 
 @query("J2_unexpected_ids", "SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unexpected_ids(spark, d):
-    return evaluation.unexpected(read(spark, d, "labels").select(F.col("doc_id").alias("id")), read(spark, d, "documents").select(F.col("doc_id").alias("id")))
+    return evaluation.unexpected(
+        read(spark, d, "labels").select(F.col("doc_id").alias("id")),
+        read(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    )
 
 
 @query("J1_pairs", "SELECT g.p_partkey AS id, 'd' || d.doc_id AS got FROM part g LEFT JOIN documents d ON d.doc_id = g.p_partkey")
 def pairs_by_id(spark, d):
     gold = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lit(0).alias("pos"))
-    got = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("pos"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("v"))
+    got = read(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.lit(0).alias("pos"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("v")
+    )
     return evaluation.pair_records(gold, got).select("id", F.col("predicted.v").alias("got"))
 
 
-@query("J3_positions", "SELECT 'pair' AS way, g.l_linenumber AS id, p.l_linenumber AS got FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_returnflag = 'R') g LEFT JOIN (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_linestatus = 'F') p USING (pos) UNION ALL SELECT 'surplus', 0, l_linenumber FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_linestatus = 'F') WHERE pos >= (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R')")
+@query(
+    "J3_positions",
+    "SELECT 'pair' AS way, g.l_linenumber AS id, p.l_linenumber AS got FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_returnflag = 'R') g LEFT JOIN (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_linestatus = 'F') p USING (pos) UNION ALL SELECT 'surplus', 0, l_linenumber FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_linestatus = 'F') WHERE pos >= (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R')"
+)
 def pairs_by_position(spark, d):
     place = F.row_number().over(evaluation.Window.orderBy("l_orderkey", "l_linenumber")) - 1  # the fixture's positions
     side = lambda where: read(spark, d, "lineitem").where(where).select(F.col("l_linenumber").alias("id"), place.alias("pos"))
@@ -241,7 +330,11 @@ def pairs_by_position(spark, d):
 
 def _evidence(spark, d, gold: bool):
     li = read(spark, d, "lineitem").where(F.col("l_returnflag") == "R" if gold else F.col("l_linestatus") == "F")
-    rows = li.select(F.col("l_orderkey").alias("case_id"), F.lit("part").alias("field"), F.col("l_orderkey").cast("string").alias("document_id"), (F.col("l_linenumber") % 4).alias("page"), (F.col("l_partkey") % 50).cast("string").alias("block_id"))
+    rows = li.select(
+        F.col("l_orderkey").alias("case_id"), F.lit("part").alias("field"),
+        F.col("l_orderkey").cast("string").alias("document_id"), (F.col("l_linenumber") % 4).alias("page"),
+        (F.col("l_partkey") % 50).cast("string").alias("block_id")
+    )
     return rows if gold else rows.unionAll(rows.where("page = 1"))  # some places are predicted twice
 
 
@@ -257,7 +350,9 @@ SELECT {by}CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(expected) AS BI
 
 
 def _evidence_rows(spark, d):
-    values = read(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), F.lit("part").alias("field"), F.col("o_orderpriority").alias("value"))
+    values = read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("case_id"), F.lit("part").alias("field"), F.col("o_orderpriority").alias("value")
+    )
     return evaluation.evidence_by_field(_evidence(spark, d, True), _evidence(spark, d, False), values)
 
 
@@ -279,23 +374,45 @@ x AS (SELECT c.case_id, coalesce(n, 0) AS n_relevant, r1 AS recall_at_1, r3 AS r
 
 @query("R9_retrieval_metrics", RETRIEVED_SQL + " SELECT * FROM x")
 def retrieval_metrics(spark, d):
-    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").cast("string").alias("item_id"), F.col("l_linenumber").alias("rank"), "l_returnflag")
+    li = read(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("case_id"), F.col("l_partkey").cast("string").alias("item_id"),
+        F.col("l_linenumber").alias("rank"), "l_returnflag"
+    )
     return evaluation.retrieval_by_case(li.where("l_returnflag = 'R'"), li)
 
 
-@query("A13_retrieval_summary", RETRIEVED_SQL + " SELECT count(*) AS queries, count(*) FILTER (evaluable) AS evaluable_queries, round(avg(recall_at_1), 9) AS recall_at_1, round(avg(recall_at_3), 9) AS recall_at_3, round(avg(recall_at_5), 9) AS recall_at_5, round(avg(mrr), 9) AS mrr FROM x")
+@query(
+    "A13_retrieval_summary",
+    RETRIEVED_SQL + " SELECT count(*) AS queries, count(*) FILTER (evaluable) AS evaluable_queries, round(avg(recall_at_1), 9) AS recall_at_1, round(avg(recall_at_3), 9) AS recall_at_3, round(avg(recall_at_5), 9) AS recall_at_5, round(avg(mrr), 9) AS mrr FROM x"
+)
 def retrieval_summary(spark, d):
     out = evaluation.retrieval_summary(retrieval_metrics(spark, d))
-    return out.select("queries", "evaluable_queries", *[F.round(c, 9).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")])
+    return out.select(
+        "queries", "evaluable_queries", *[F.round(c, 9).alias(c) for c in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr")]
+    )
 
 
 def _cited(spark, d):
     """Gold and predicted citations of each order: some by place, some by a bare source id, some of neither."""
     li = read(spark, d, "lineitem")
-    cite = lambda bare: F.struct(F.concat(F.lit("s"), (F.col("l_partkey") % 40).cast("string")).alias("source_id"), F.when(~bare, F.concat(F.lit("d"), (F.col("l_suppkey") % 3).cast("string"))).alias("document_id"), F.when(~bare, F.col("l_linenumber") % 2).alias("page"), F.when(bare, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("b"), (F.col("l_partkey") % 5).cast("string")))).alias("block_ids"), bare.alias("is_bare"))
+    cite = lambda bare: F.struct(
+        F.concat(F.lit("s"), (F.col("l_partkey") % 40).cast("string")).alias("source_id"),
+        F.when(~bare, F.concat(F.lit("d"), (F.col("l_suppkey") % 3).cast("string"))).alias("document_id"),
+        F.when(~bare, F.col("l_linenumber") % 2).alias("page"),
+        F.when(bare, F.array().cast("array<string>")).otherwise(
+            F.array(F.concat(F.lit("b"), (F.col("l_partkey") % 5).cast("string")))
+        ).alias("block_ids"),
+        bare.alias("is_bare")
+    )
     pack = lambda where, bare: F.coalesce(F.collect_list(F.when(F.expr(where), cite(bare))))
-    rows = li.groupBy(F.col("l_orderkey").alias("case_id")).agg(pack("l_returnflag = 'R'", F.lit(False)).alias("gold"), pack("l_linenumber <= 3", F.col("l_linenumber") == 2).alias("predicted"))
-    return rows.select("case_id", "gold", "predicted", (F.size("gold") == 0).alias("expected_abstention"), (F.col("case_id") % 5 == 0).alias("predicted_abstention"))
+    rows = li.groupBy(F.col("l_orderkey").alias("case_id")).agg(
+        pack("l_returnflag = 'R'", F.lit(False)).alias("gold"),
+        pack("l_linenumber <= 3", F.col("l_linenumber") == 2).alias("predicted")
+    )
+    return rows.select(
+        "case_id", "gold", "predicted", (F.size("gold") == 0).alias("expected_abstention"),
+        (F.col("case_id") % 5 == 0).alias("predicted_abstention")
+    )
 
 
 CITED_SQL = """WITH g AS (SELECT DISTINCT l_orderkey AS c, 's' || l_partkey % 40 AS s, 'd' || l_suppkey % 3 AS d, l_linenumber % 2 AS p, 'b' || l_partkey % 5 AS b FROM lineitem WHERE l_returnflag = 'R'),
@@ -314,7 +431,9 @@ def answers_by_case(spark, d):
 
 @query("A14_answers_summary", CITED_SQL + " SELECT " + ", ".join(f"round(avg({c}), 9) AS {c}" for c in CITED) + " FROM x")
 def answers_summary(spark, d):
-    return evaluation.answers_summary(evaluation.answers_by_case(_cited(spark, d))).select(*[F.round(c, 9).alias(c) for c in CITED])
+    return evaluation.answers_summary(
+        evaluation.answers_by_case(_cited(spark, d))
+    ).select(*[F.round(c, 9).alias(c) for c in CITED])
 
 
 # records
@@ -323,12 +442,44 @@ def answers_summary(spark, d):
 def _records(spark, d):
     """A composite JSON record for each label, and for each document."""
     labels, docs = read(spark, d, "labels"), read(spark, d, "documents")
-    place = lambda page, block: F.array(F.struct(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), page.alias("page"), block.alias("block_id")))
-    gold_fields = F.struct(F.struct(F.col("quality").alias("value"), place(F.lit(1), F.lit("b")).alias("evidence")).alias("quality"), (F.col("toxic") == 1).alias("toxic"))
-    gold = labels.select(F.col("doc_id").cast("string").alias("id"), F.to_json(F.struct(gold_fields.alias("extraction"), F.array(F.concat(F.lit("c"), (F.col("doc_id") % 7).cast("string"))).alias("relevant_chunk_ids"))).alias("record"))
-    guess = F.struct(F.struct(F.when(F.col("n_chars") >= 400, 1.0).otherwise(0.0).alias("value"), place(F.lit(1), F.when(F.col("doc_id") % 2 == 0, "b").otherwise("z")).alias("evidence")).alias("quality"), F.lit("False").alias("toxic"))
-    hits = F.array(F.struct(F.lit(2).alias("rank"), F.lit("c1").alias("chunk_id")), F.struct(F.lit(1).alias("rank"), F.lit("c2").alias("chunk_id")))
-    made = docs.select(F.col("doc_id").cast("string").alias("id"), F.to_json(F.struct(F.struct(guess.alias("fields")).alias("contract_extraction"), hits.alias("search_hits"), F.struct(F.col("n_chars").alias("parse"), F.array(F.lit(1), F.lit(3)).alias("chunk")).alias("latency"))).alias("record"))
+    place = lambda page, block: F.array(
+        F.struct(
+            F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("document_id"), page.alias("page"), block.alias("block_id")
+        )
+    )
+    gold_fields = F.struct(
+        F.struct(F.col("quality").alias("value"), place(F.lit(1), F.lit("b")).alias("evidence")).alias("quality"),
+        (F.col("toxic") == 1).alias("toxic")
+    )
+    gold = labels.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.to_json(
+            F.struct(
+                gold_fields.alias("extraction"),
+                F.array(F.concat(F.lit("c"), (F.col("doc_id") % 7).cast("string"))).alias("relevant_chunk_ids")
+            )
+        ).alias("record")
+    )
+    guess = F.struct(
+        F.struct(
+            F.when(F.col("n_chars") >= 400, 1.0).otherwise(0.0).alias("value"),
+            place(F.lit(1), F.when(F.col("doc_id") % 2 == 0, "b").otherwise("z")).alias("evidence")
+        ).alias("quality"),
+        F.lit("False").alias("toxic")
+    )
+    hits = F.array(
+        F.struct(F.lit(2).alias("rank"), F.lit("c1").alias("chunk_id")),
+        F.struct(F.lit(1).alias("rank"), F.lit("c2").alias("chunk_id"))
+    )
+    made = docs.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.to_json(
+            F.struct(
+                F.struct(guess.alias("fields")).alias("contract_extraction"), hits.alias("search_hits"),
+                F.struct(F.col("n_chars").alias("parse"), F.array(F.lit(1), F.lit(3)).alias("chunk")).alias("latency")
+            )
+        ).alias("record")
+    )
     numbered = lambda df: df.withColumn("pos", F.col("id").cast("long"))
     return records.typed(numbered(gold), True), records.typed(numbered(made), False)
 
@@ -338,7 +489,10 @@ f AS (SELECT 'quality' AS field, CAST(NOT missing AND quality = CASE WHEN n_char
 """
 
 
-@query("V14_run_fields", RECORDS_SQL + "SELECT field, avg(score) AS exact_match, avg(score) AS token_f1, count(*) AS n FROM f GROUP BY field UNION ALL SELECT '<all>', avg(score), avg(score), count(*) FROM f")
+@query(
+    "V14_run_fields",
+    RECORDS_SQL + "SELECT field, avg(score) AS exact_match, avg(score) AS token_f1, count(*) AS n FROM f GROUP BY field UNION ALL SELECT '<all>', avg(score), avg(score), count(*) FROM f"
+)
 def run_fields(spark, d):
     return records.scores(*_records(spark, d))["all_extraction"]
 
@@ -349,7 +503,10 @@ def run_evidence(spark, d):
     return records.scores(*_records(spark, d))["all_evidence"]
 
 
-@query("V13_case_retrieval", RECORDS_SQL + """SELECT doc_id AS pos, CASE WHEN missing THEN 0 ELSE 2 END AS retrieved_count, 1 AS n_relevant, CAST(NOT missing AND doc_id % 7 = 2 AS DOUBLE) AS recall_at_1, CAST(NOT missing AND doc_id % 7 IN (1, 2) AS DOUBLE) AS recall_at_3, CASE WHEN missing THEN 0.0 WHEN doc_id % 7 = 2 THEN 1.0 WHEN doc_id % 7 = 1 THEN 0.5 ELSE 0.0 END AS mrr, true AS evaluable FROM j""")
+@query(
+    "V13_case_retrieval",
+    RECORDS_SQL + """SELECT doc_id AS pos, CASE WHEN missing THEN 0 ELSE 2 END AS retrieved_count, 1 AS n_relevant, CAST(NOT missing AND doc_id % 7 = 2 AS DOUBLE) AS recall_at_1, CAST(NOT missing AND doc_id % 7 IN (1, 2) AS DOUBLE) AS recall_at_3, CASE WHEN missing THEN 0.0 WHEN doc_id % 7 = 2 THEN 1.0 WHEN doc_id % 7 = 1 THEN 0.5 ELSE 0.0 END AS mrr, true AS evaluable FROM j"""
+)
 def case_retrieval(spark, d):
     return records.scores(*_records(spark, d), (1, 3))["retrieval"]
 
@@ -360,7 +517,10 @@ def run_latency(spark, d):
     return records.scores(*_records(spark, d))["all_latency"].select("stage", "count", "p95", "median")
 
 
-@query("A24_case_counts", RECORDS_SQL + "SELECT count(*) AS case_count, count(*) FILTER (missing) AS missing_prediction_count, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unexpected FROM j")
+@query(
+    "A24_case_counts",
+    RECORDS_SQL + "SELECT count(*) AS case_count, count(*) FILTER (missing) AS missing_prediction_count, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unexpected FROM j"
+)
 def case_counts(spark, d):
     found = records.scores(*_records(spark, d))
     return found["all_cases"].crossJoin(found["unexpected"].agg(F.count(F.lit(1)).alias("unexpected")))  # two rows of totals
@@ -370,11 +530,17 @@ def case_counts(spark, d):
 
 
 def _orders(spark, d):
-    o = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = read(spark, d, "orders").join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+        read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
     key = F.col("o_orderkey")
     return o.select(
-        key.cast("string").alias("document_id"), (key % 4).alias("v"), (key % 60 + 10).cast("string").alias("days"), F.col("o_totalprice").cast("decimal(12,2)").cast("string").alias("price"), F.concat(F.lit("Land "), F.char(F.col("n_nationkey") + 65)).alias("land"),
-        (key % 9 + 1).cast("string").alias("share"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), F.date_format("o_orderdate", "d MMMM yyyy").alias("long"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("local"),
+        key.cast("string").alias("document_id"), (key % 4).alias("v"), (key % 60 + 10).cast("string").alias("days"), F.col("o_totalprice").cast("decimal(12,2)").cast("string").alias("price"), F.concat(
+            F.lit("Land "), F.char(F.col("n_nationkey") + 65)
+        ).alias("land"),
+        (key % 9 + 1).cast("string").alias("share"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), F.date_format(
+            "o_orderdate", "d MMMM yyyy"
+        ).alias("long"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("local"),
     )
 
 
@@ -388,10 +554,19 @@ def _contracts(spark, d):
         return out
 
     wording = lambda texts: F.coalesce(*[F.when(F.col("v") == v, filled(t)) for v, t in enumerate(texts)])
-    blocks = F.array(*[F.struct(F.lit(i).alias("reading_order"), F.lit(kind).alias("kind"), wording(texts).alias("text")) for i, (kind, texts) in enumerate(S.WORDINGS)])
+    blocks = F.array(
+        *[
+            F.struct(F.lit(i).alias("reading_order"), F.lit(kind).alias("kind"), wording(texts).alias("text")) for i,
+            (kind, texts) in enumerate(S.WORDINGS)
+        ]
+    )
     rows = _orders(spark, d).select("document_id", F.inline(blocks))
     y = F.col("reading_order") * 60.0
-    return rows.select("document_id", F.concat("document_id", F.lit(".pdf")).alias("file_name"), F.lit(1).alias("page"), F.format_string("b%d", "reading_order").alias("block_id"), "kind", "text", "reading_order", F.struct(F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 40.0).alias("y1")).alias("bbox"))
+    return rows.select(
+        "document_id", F.concat("document_id", F.lit(".pdf")).alias("file_name"), F.lit(1).alias("page"),
+        F.format_string("b%d", "reading_order").alias("block_id"), "kind", "text", "reading_order",
+        F.struct(F.lit(50.0).alias("x0"), y.alias("y0"), F.lit(500.0).alias("x1"), (y + 40.0).alias("y1")).alias("bbox")
+    )
 
 
 def _cites(evidence: str) -> F.Column:
@@ -401,7 +576,10 @@ def _cites(evidence: str) -> F.Column:
 @query("E_clause_fields", S.clause_fields())
 def clause_fields(spark, d):
     out = extraction.clause_fields(_contracts(spark, d))
-    return out.select("document_id", "field", F.col("text_value").alias("value"), "status", "confidence", "reason", _cites("evidence").alias("cited"))
+    return out.select(
+        "document_id", "field", F.col("text_value").alias("value"), "status", "confidence", "reason",
+        _cites("evidence").alias("cited")
+    )
 
 
 @query("E_extract_validated", S.validated_fields())
@@ -409,19 +587,37 @@ def extract_validated(spark, d):
     blocks = _contracts(spark, d)
     value = F.coalesce("text_value", F.array_join("list_value", ", "), F.col("flag_value").cast("string"))
     out = extraction.validate(extraction.extract(blocks), blocks)
-    return out.select("document_id", "field", value.alias("value"), "status", "confidence", "reason", _cites("evidence").alias("cited"))
+    return out.select(
+        "document_id", "field", value.alias("value"), "status", "confidence", "reason", _cites("evidence").alias("cited")
+    )
 
 
 def _spoilt(spark, d):
     """Fields whose evidence is partly made up, by the wording."""
     blocks = _contracts(spark, d)
-    e = lambda block, quote, box=None, document=None: F.struct((F.col("document_id") if document is None else document).alias("document_id"), F.lit(1).alias("page"), F.lit(block).alias("block_id"), quote.alias("quote"), (F.col("bbox") if box is None else box).alias("bbox"))
-    rows = blocks.where("block_id = 'b0'").select("document_id", "bbox", "text", (F.col("document_id").cast("long") % 8).alias("w"))
+    e = lambda block, quote, box=None, document=None: F.struct(
+        (F.col("document_id") if document is None else document).alias("document_id"), F.lit(1).alias("page"),
+        F.lit(block).alias("block_id"), quote.alias("quote"), (F.col("bbox") if box is None else box).alias("bbox")
+    )
+    rows = blocks.where("block_id = 'b0'").select(
+        "document_id", "bbox", "text", (F.col("document_id").cast("long") % 8).alias("w")
+    )
     fine, absent, bad = e("b0", F.col("text")), e("b99", F.col("text")), e("b0", F.lit("not there"))
-    moved = e("b0", F.col("text"), F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1")))
-    ways = [F.array(fine), F.array(absent, fine), F.array(bad), F.array(moved), F.array(e("b0", F.lit("  "))), F.array(e("b0", F.col("text"), document=F.lit("x"))), F.filter(F.array(fine), lambda x: F.lit(False)), F.array(fine)]
+    moved = e(
+        "b0", F.col("text"),
+        F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("x1"), F.lit(1.0).alias("y1"))
+    )
+    ways = [
+        F.array(fine), F.array(absent, fine), F.array(bad), F.array(moved), F.array(e("b0", F.lit("  "))),
+        F.array(e("b0", F.col("text"), document=F.lit("x"))), F.filter(F.array(fine), lambda x: F.lit(False)), F.array(fine)
+    ]
     evidence = F.coalesce(*[F.when(F.col("w") == i, way) for i, way in enumerate(ways)])
-    fields = rows.select("document_id", F.lit("initial_term").alias("field"), F.when(F.col("w") != 7, "v").alias("text_value"), F.lit(None).cast("array<string>").alias("list_value"), F.lit(None).cast("boolean").alias("flag_value"), F.lit("extracted").alias("status"), F.lit(0.9).alias("confidence"), evidence.alias("evidence"), F.lit("why").alias("reason"))
+    fields = rows.select(
+        "document_id", F.lit("initial_term").alias("field"), F.when(F.col("w") != 7, "v").alias("text_value"),
+        F.lit(None).cast("array<string>").alias("list_value"), F.lit(None).cast("boolean").alias("flag_value"),
+        F.lit("extracted").alias("status"), F.lit(0.9).alias("confidence"), evidence.alias("evidence"),
+        F.lit("why").alias("reason")
+    )
     return extraction.validate(fields, blocks)
 
 
@@ -437,7 +633,10 @@ SELECT doc AS document_id, CASE WHEN w IN (0, 1) THEN 'v' END AS value, CASE WHE
   CASE WHEN w IN (0, 1, 7) THEN 'b0' ELSE '' END AS cited, CASE w WHEN 0 THEN NULL WHEN 7 THEN NULL WHEN 1 THEN 'initial_term: invalid evidence reference(s) removed' ELSE 'initial_term: rejected unsupported non-null value' END AS warning FROM w""",
 )
 def rejections(spark, d):
-    return _spoilt(spark, d).select("document_id", F.col("text_value").alias("value"), "status", "confidence", "reason", _cites("evidence").alias("cited"), "warning")
+    return _spoilt(spark, d).select(
+        "document_id", F.col("text_value").alias("value"), "status", "confidence", "reason", _cites("evidence").alias("cited"),
+        "warning"
+    )
 
 
 @query("E7_fees", S.FEES)
@@ -452,7 +651,10 @@ def windows(spark, d):
     return rows.select("document_id", F.col("start.block_id").alias("start"), "size", "text", _joined(parts).alias("segments"))
 
 
-@query("P2_document_text", f"WITH {S.BLOCKS} SELECT doc AS document_id, string_agg(text, chr(10) ORDER BY i) AS text FROM b WHERE trim(text) <> '' GROUP BY doc")
+@query(
+    "P2_document_text",
+    f"WITH {S.BLOCKS} SELECT doc AS document_id, string_agg(text, chr(10) ORDER BY i) AS text FROM b WHERE trim(text) <> '' GROUP BY doc"
+)
 def document_text(spark, d):
     return layout.document_text(_contracts(spark, d))
 
@@ -464,7 +666,10 @@ def document_text(spark, d):
 UNION ALL SELECT doc, 'again', k, 'b' || i FROM (SELECT doc, i, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS k FROM b WHERE contains(lower(text), 'agreement')) WHERE k < 2""",
 )
 def gold_evidence(spark, d):
-    asked = [("first", 0, "this  agreement"), ("fees", 0, "fees"), ("both", 0, "paper"), ("law", 0, "LAND"), ("again", 0, "Agreement"), ("again", 1, "agreement"), ("absent", 0, "nowhere")]
+    asked = [
+        ("first", 0, "this  agreement"), ("fees", 0, "fees"), ("both", 0, "paper"), ("law", 0, "LAND"), ("again", 0, "Agreement"),
+        ("again", 1, "agreement"), ("absent", 0, "nowhere")
+    ]
     phrases = spark.createDataFrame(asked, "field string, pos int, phrase string")
     blocks = _contracts(spark, d)
     every = blocks.select("document_id").distinct().crossJoin(F.broadcast(phrases))  # seven phrases a document
@@ -481,7 +686,11 @@ def chunks(spark, d):
 
 @query("R2_document_chunks", S.DOCUMENT_CHUNKS)
 def document_chunks(spark, d):
-    docs = read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.lit(1).alias("page"), F.lit("b0").alias("block_id"), F.lit("paragraph").alias("kind"), "text", F.lit(0).alias("reading_order"))
+    docs = read(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit(".pdf")).alias("file_name"),
+        F.lit(1).alias("page"), F.lit("b0").alias("block_id"), F.lit("paragraph").alias("kind"), "text",
+        F.lit(0).alias("reading_order")
+    )
     return chunking.chunk(docs).select(*CHUNK)
 
 
@@ -498,10 +707,18 @@ def _page_blocks(spark, d):
     """Blocks of one page for each order: full-width, left, middle and right ones, footers, titles, tables."""
     li = _numbered(spark, d).join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     w, s, name, line = F.col("l_partkey") % 7, F.col("l_suppkey") % 5, F.col("p_name"), F.col("l_linenumber")
-    text = F.when(w == 0, name).when(w == 1, F.upper(name)).when(w == 2, F.concat(F.lit("1. "), name)).when(w == 3, F.concat(name, F.lit(" agreement"))).when(w == 4, F.format_string("Page %d of 7", line)).when(w == 5, F.concat(F.lit("a | b | "), name)).otherwise(F.concat(F.lit("Signed by "), name))
+    text = F.when(w == 0, name).when(w == 1, F.upper(name)).when(w == 2, F.concat(F.lit("1. "), name)).when(w == 3, F.concat(name, F.lit(" agreement"))).when(
+        w == 4, F.format_string("Page %d of 7", line)
+    ).when(w == 5, F.concat(F.lit("a | b | "), name)).otherwise(F.concat(F.lit("Signed by "), name))
     x0, x1 = F.when(s == 4, 320.0).when(s == 1, 280.0).otherwise(40.0), F.when(s == 0, 560.0).when(s == 1, 320.0).when(s == 4, 540.0).otherwise(260.0)
     y = F.when(w == 4, 760.0).otherwise((line * 97 + F.col("l_partkey")) % 13 * 55.0 + 30)
-    return li.select(F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.col("n").alias("pos"), text.alias("text"), F.struct(x0.alias("x0"), y.alias("y0"), x1.alias("x1"), (y + 40).alias("y1")).alias("bbox"), F.when(w == 3, 18.0).otherwise(10.0).alias("font_size"), F.lit("unknown").alias("kind"), F.lit("native").alias("source"), F.lit(1.0).alias("confidence"))
+    return li.select(
+        F.col("l_orderkey").cast("string").alias("document_id"), F.lit(1).alias("page"), F.lit(600.0).alias("width"),
+        F.lit(800.0).alias("height"), F.col("n").alias("pos"), text.alias("text"),
+        F.struct(x0.alias("x0"), y.alias("y0"), x1.alias("x1"), (y + 40).alias("y1")).alias("bbox"),
+        F.when(w == 3, 18.0).otherwise(10.0).alias("font_size"), F.lit("unknown").alias("kind"), F.lit("native").alias("source"),
+        F.lit(1.0).alias("confidence")
+    )
 
 
 @query("L3_classify", S.CLASSIFY)
@@ -529,18 +746,32 @@ def _regions(spark, d):
     """Two regions a page, the second within the first at its top."""
     pages = _page_blocks(spark, d).select("document_id", "page").distinct()
     box = lambda y1: F.struct(F.lit(30.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(300.0).alias("x1"), F.lit(y1).alias("y1"))
-    return pages.select("document_id", "page", F.inline(F.array(F.struct(F.lit(1).alias("region_no"), box(200.0).alias("bbox")), F.struct(F.lit(2).alias("region_no"), box(400.0).alias("bbox")))))
+    return pages.select(
+        "document_id", "page",
+        F.inline(
+            F.array(
+                F.struct(F.lit(1).alias("region_no"), box(200.0).alias("bbox")),
+                F.struct(F.lit(2).alias("region_no"), box(400.0).alias("bbox"))
+            )
+        )
+    )
 
 
 _MIDDLE = "(x0 + x1) / 2 BETWEEN 30 AND 300 AND y0 + 20 <= 400"
 
 
-@query("J9_claimed_blocks", f"WITH {S.PAGE_BLOCKS} SELECT doc AS document_id, 1 AS page, pos, CASE WHEN y0 + 20 <= 200 THEN 1 ELSE 2 END AS region_no FROM blocks WHERE {_MIDDLE}")
+@query(
+    "J9_claimed_blocks",
+    f"WITH {S.PAGE_BLOCKS} SELECT doc AS document_id, 1 AS page, pos, CASE WHEN y0 + 20 <= 200 THEN 1 ELSE 2 END AS region_no FROM blocks WHERE {_MIDDLE}"
+)
 def claimed_blocks(spark, d):
     return layout.claimed(_page_blocks(spark, d), _regions(spark, d))
 
 
-@query("J10_region_blocks", f"WITH {S.PAGE_BLOCKS} SELECT doc AS document_id, pos FROM blocks WHERE greatest(0, least(x1, 300) - greatest(x0, 30)) * greatest(0, least(y0 + 40, 400) - y0) / greatest(1.0, (x1 - x0) * 40) >= 0.35")
+@query(
+    "J10_region_blocks",
+    f"WITH {S.PAGE_BLOCKS} SELECT doc AS document_id, pos FROM blocks WHERE greatest(0, least(x1, 300) - greatest(x0, 30)) * greatest(0, least(y0 + 40, 400) - y0) / greatest(1.0, (x1 - x0) * 40) >= 0.35"
+)
 def region_blocks(spark, d):
     return layout.in_region(_page_blocks(spark, d), _regions(spark, d)).select("document_id", "pos")
 
@@ -553,14 +784,24 @@ SELECT doc AS document_id, pos, text, CASE WHEN stamped THEN 'stamp' ELSE 'unkno
 def stamped_blocks(spark, d):
     blocks = _page_blocks(spark, d)
     box = F.struct(F.lit(50.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(150.0).alias("x1"), F.lit(160.0).alias("y1"))
-    stamps = blocks.select("document_id", "page").distinct().select("document_id", "page", box.alias("bbox"), F.lit(0.9).alias("confidence"))
+    stamps = blocks.select("document_id", "page").distinct().select(
+        "document_id", "page", box.alias("bbox"), F.lit(0.9).alias("confidence")
+    )
     return layout.mark_stamps(blocks, stamps).select("document_id", "pos", "text", "kind")
 
 
-@query("P14_clipped_boxes", f"WITH {S.PAGE_BLOCKS} SELECT doc AS document_id, pos, CASE WHEN least(x1, 300) > x0 AND least(y0 + 40, 700) > y0 THEN concat_ws(',', x0, y0, least(x1, 300.0), least(y0 + 40, 700.0)) END AS box FROM blocks")
+@query(
+    "P14_clipped_boxes",
+    f"WITH {S.PAGE_BLOCKS} SELECT doc AS document_id, pos, CASE WHEN least(x1, 300) > x0 AND least(y0 + 40, 700) > y0 THEN concat_ws(',', x0, y0, least(x1, 300.0), least(y0 + 40, 700.0)) END AS box FROM blocks"
+)
 def clipped_boxes(spark, d):
     rows = _page_blocks(spark, d).withColumn("c", layout.clip(F.col("bbox"), F.lit(300.0), F.lit(700.0)))
-    return rows.select("document_id", "pos", F.when(F.col("c").isNotNull(), F.concat_ws(",", *[F.col(f"c.{x}").cast("string") for x in ("x0", "y0", "x1", "y1")])).alias("box"))
+    return rows.select(
+        "document_id", "pos",
+        F.when(
+            F.col("c").isNotNull(), F.concat_ws(",", *[F.col(f"c.{x}").cast("string") for x in ("x0", "y0", "x1", "y1")])
+        ).alias("box")
+    )
 
 
 @query(
@@ -572,7 +813,9 @@ SELECT doc AS document_id, text, 'unknown' AS kind, CAST(NULL AS INTEGER) AS tab
 UNION ALL SELECT doc, text, 'table', region, CASE WHEN cell_count > 1 THEN row_count END, CASE WHEN cell_count > 1 THEN column_count END, CASE WHEN cell_count > 1 THEN cell_count END FROM t""",
 )
 def table_merge(spark, d):
-    return layout.merge_tables(_page_blocks(spark, d), _regions(spark, d)).select("document_id", "text", "kind", "table_id", "row_count", "column_count", "cell_count")
+    return layout.merge_tables(_page_blocks(spark, d), _regions(spark, d)).select(
+        "document_id", "text", "kind", "table_id", "row_count", "column_count", "cell_count"
+    )
 
 
 @query(
@@ -585,13 +828,24 @@ SELECT (SELECT count(*) FROM g) AS table_cell_count, (SELECT count(*) FILTER (g.
   (SELECT round(avg(coalesce(share, 1.0)), 9) FROM (SELECT DISTINCT l_orderkey AS c FROM lineitem) LEFT JOIN o USING (c)) AS two_column_order_accuracy FROM k""",
 )
 def layout_scores(spark, d):
-    li = _numbered(spark, d).select(F.col("l_orderkey").cast("string").alias("case_id"), F.col("n").alias("l_linenumber"), "l_partkey", "l_returnflag")
-    cells = lambda df, cell: df.select("case_id", F.lit(1).alias("page"), F.lit(0).alias("row"), F.col("l_linenumber").alias("col"), cell.cast("string").alias("cell"))
+    li = _numbered(spark, d).select(
+        F.col("l_orderkey").cast("string").alias("case_id"), F.col("n").alias("l_linenumber"), "l_partkey", "l_returnflag"
+    )
+    cells = lambda df, cell: df.select(
+        "case_id", F.lit(1).alias("page"), F.lit(0).alias("row"), F.col("l_linenumber").alias("col"),
+        cell.cast("string").alias("cell")
+    )
     stamps = li.select("case_id", (F.col("l_partkey") % 5).cast("string").alias("text"), "l_returnflag", "l_linenumber")
-    heads = li.select("case_id", F.col("l_linenumber").alias("pos"), F.col("l_linenumber").cast("string").alias("text"), "l_partkey")
+    heads = li.select(
+        "case_id", F.col("l_linenumber").alias("pos"), F.col("l_linenumber").cast("string").alias("text"), "l_partkey"
+    )
     out = evaluation.layout_scores(
-        cells(li, F.col("l_partkey") % 9), cells(li.where("l_linenumber < 6"), F.col("l_partkey") % 9 * (F.col("l_linenumber") % 2)), stamps.where("l_returnflag = 'R'").select("case_id", "text"), stamps.where("l_linenumber <= 2").select("case_id", "text"),
-        heads.select("case_id", "pos", "text"), heads.where("pos <> 4").select("case_id", F.col("l_partkey").alias("pos"), "text"),
+        cells(li, F.col("l_partkey") % 9), cells(
+            li.where("l_linenumber < 6"), F.col("l_partkey") % 9 * (F.col("l_linenumber") % 2)
+        ), stamps.where("l_returnflag = 'R'").select("case_id", "text"), stamps.where("l_linenumber <= 2").select("case_id", "text"),
+        heads.select("case_id", "pos", "text"), heads.where("pos <> 4").select(
+            "case_id", F.col("l_partkey").alias("pos"), "text"
+        ),
     )
     return out.withColumn("two_column_order_accuracy", F.round("two_column_order_accuracy", 9))
 

@@ -80,7 +80,10 @@ PASSAGES = f"WITH {passages('doc_id', 'documents')} SELECT id AS doc_id, pos, pa
 
 
 def expansion(question: str) -> str:
-    cases = ", ".join("CASE WHEN regexp_matches({q}, '(?i){rule}') THEN '{words}' END".format(q=question, rule=rule, words=words) for rule, words in R.EXPANSIONS)
+    cases = ", ".join(
+        "CASE WHEN regexp_matches({q}, '(?i){rule}') THEN '{words}' END".format(q=question, rule=rule, words=words) for rule,
+        words in R.EXPANSIONS
+    )
     return f"concat_ws(' ', {cases})"
 
 
@@ -139,13 +142,47 @@ ORDERS = f"""o AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc, o_orderkey % 4 AS
 # (kind, the text in each wording); {x} stands for a column of the order
 WORDINGS: list[tuple[str, tuple[str, str, str, str]]] = [
     ("title", ("SERVICES AGREEMENT",) * 4),
-    ("paragraph", ("This Agreement is entered into as of {iso} between Acme Works Ltd and Bolt Holdings Inc.", "This Agreement is made on {long} by and between Acme Works Ltd and Bolt Holdings Inc.", "The effective date is {local}.\nClient: Acme Works Ltd\nVendor: Bolt Holdings Inc", "This paper binds both sides.")),
-    ("paragraph", ("The initial term is for a period of {days} months. It renews for successive terms of one year unless ended.", "The term shall continue for {days} days.", "This Agreement shall commence at once and", "")),
+    (
+        "paragraph",
+        (
+            "This Agreement is entered into as of {iso} between Acme Works Ltd and Bolt Holdings Inc.",
+            "This Agreement is made on {long} by and between Acme Works Ltd and Bolt Holdings Inc.",
+            "The effective date is {local}.\nClient: Acme Works Ltd\nVendor: Bolt Holdings Inc", "This paper binds both sides."
+        )
+    ),
+    (
+        "paragraph",
+        (
+            "The initial term is for a period of {days} months. It renews for successive terms of one year unless ended.",
+            "The term shall continue for {days} days.", "This Agreement shall commence at once and", ""
+        )
+    ),
     ("paragraph", ("", "", "continue for twelve months.", "")),
-    ("paragraph", ("Either party may request termination on {days} days written notice.", "At least thirty (30) days prior written notice is required to cancel.", "On non-renewal: 60 days notice.", "No early end.")),
+    (
+        "paragraph",
+        (
+            "Either party may request termination on {days} days written notice.",
+            "At least thirty (30) days prior written notice is required to cancel.", "On non-renewal: 60 days notice.",
+            "No early end."
+        )
+    ),
     ("heading", ("FEES",) * 4),
-    ("paragraph", ("The customer shall pay USD {price}. Invoices are due within 30 days.", "Payment of USD {price} is due upon receipt.", "Net 45 from the invoice. The price is EUR {price}.", "The rate is {share}% of revenue.")),
-    ("paragraph", ("This Agreement is governed by the laws of {land}, without exception.", "The laws of {land} shall govern this Agreement.", "This Agreement shall be governed by and construed in accordance with the laws of", "Governed by the laws of {land} and the courts there.")),
+    (
+        "paragraph",
+        (
+            "The customer shall pay USD {price}. Invoices are due within 30 days.", "Payment of USD {price} is due upon receipt.",
+            "Net 45 from the invoice. The price is EUR {price}.", "The rate is {share}% of revenue."
+        )
+    ),
+    (
+        "paragraph",
+        (
+            "This Agreement is governed by the laws of {land}, without exception.",
+            "The laws of {land} shall govern this Agreement.",
+            "This Agreement shall be governed by and construed in accordance with the laws of",
+            "Governed by the laws of {land} and the courts there."
+        )
+    ),
     ("paragraph", ("", "", "the State of {land}.", "Official stamp applied")),
     ("signature", ("Signed by the parties", "For Acme: A. Smith", "Signed by the parties", "")),
 ]
@@ -154,9 +191,15 @@ CLAUSES: dict[str, list[tuple[str, float, str] | None]] = {
     "effective_date": [("{iso}", 0.94, "b1"), ("{long}", 0.94, "b1"), ("{local}", 0.72, "b1"), None],
     "initial_term": [("{days} months", 0.89, "b2"), ("{days} days", 0.89, "b2"), ("twelve months", 0.89, "b3"), None],
     "renewal_terms": [("It renews for successive terms of one year unless ended.", 0.87, "b2"), None, None, None],
-    "termination_notice": [("{days} days written notice", 0.91, "b4"), ("At least thirty (30) days prior written notice", 0.91, "b4"), ("60 days notice", 0.91, "b4"), None],
+    "termination_notice": [
+        ("{days} days written notice", 0.91, "b4"), ("At least thirty (30) days prior written notice", 0.91, "b4"),
+        ("60 days notice", 0.91, "b4"), None
+    ],
     "governing_law": [("{land}", 0.95, "b7"), ("{land}", 0.95, "b7"), ("State of {land}", 0.95, "b8"), ("{land}", 0.95, "b7")],
-    "payment_terms": [("Invoices are due within 30 days.", 0.86, "b6"), ("FEES Payment of USD {price} is due upon receipt.", 0.86, "b5,b6"), ("FEES Net 45 from the invoice.", 0.86, "b5,b6"), None],
+    "payment_terms": [
+        ("Invoices are due within 30 days.", 0.86, "b6"), ("FEES Payment of USD {price} is due upon receipt.", 0.86, "b5,b6"),
+        ("FEES Net 45 from the invoice.", 0.86, "b5,b6"), None
+    ],
 }
 BOTH, PAIR = "Acme Works Ltd and Bolt Holdings Inc", "Acme Works Ltd, Bolt Holdings Inc"
 OTHERS: dict[str, list[tuple[str, float, str] | None]] = {
@@ -179,7 +222,12 @@ def filled(text: str) -> str:
 
 
 def _blocks() -> str:
-    rows = [f"SELECT doc, {i} AS i, '{kind}' AS kind, CASE v " + " ".join(f"WHEN {v} THEN {filled(t)}" for v, t in enumerate(texts)) + " END AS text FROM o" for i, (kind, texts) in enumerate(WORDINGS)]
+    rows = [
+        f"SELECT doc, {i} AS i, '{kind}' AS kind, CASE v " + " ".join(
+            f"WHEN {v} THEN {filled(t)}" for v, t in enumerate(texts)
+        ) + " END AS text FROM o" for i,
+        (kind, texts) in enumerate(WORDINGS)
+    ]
     return f"{ORDERS},\nb AS ({' UNION ALL '.join(rows)})"
 
 
@@ -193,7 +241,11 @@ def _found(fields: dict, missing: bool) -> str:
             if got:
                 value, confidence, cited = got
                 local = value == "{local}"
-                rows.append(f"SELECT doc AS document_id, '{field}' AS field, {filled(value)} AS value, '{'needs_review' if local else 'extracted'}' AS status, {confidence} AS confidence, " + (f"'{LOCAL}'" if local else "CAST(NULL AS VARCHAR)") + f" AS reason, '{cited}' AS cited FROM o WHERE v = {v}")
+                rows.append(
+                    f"SELECT doc AS document_id, '{field}' AS field, {filled(value)} AS value, '{'needs_review' if local else 'extracted'}' AS status, {confidence} AS confidence, " + (
+                        f"'{LOCAL}'" if local else "CAST(NULL AS VARCHAR)"
+                    ) + f" AS reason, '{cited}' AS cited FROM o WHERE v = {v}"
+                )
             elif missing:
                 blank = field == "signatures_present"
                 status, confidence, reason = ("needs_review", 0.45, NO_TEXT) if blank else ("missing", 0.0, MISSING)
@@ -242,7 +294,10 @@ def chunks(blocks: str, limit: int) -> str:
     new = lambda c, x, ctx: case(alone(x), none, none, joined(c, x), with_context(ctx, x), joined(c, x))
     kept = lambda c, x, ctx: f"CASE WHEN u.head THEN CASE WHEN heads AND {room} THEN list_append({c}, u.{x}) ELSE [u.{x}] END ELSE {ctx} END"
     whole = lambda ids, texts: f"struct_pack(ids := {ids}, texts := {texts})"
-    done = case(closed, f"list_append(done, {whole(joined('ids', 'id'), joined('texts', 'text'))})", f"list_append({closed}, {whole('[u.id]', '[u.text]')})", "done", closed, "done")
+    done = case(
+        closed, f"list_append(done, {whole(joined('ids', 'id'), joined('texts', 'text'))})",
+        f"list_append({closed}, {whole('[u.id]', '[u.text]')})", "done", closed, "done"
+    )
     return f"""
 h AS (SELECT doc, file, i, {strip('text')} AS text, kind IN ('table', 'stamp', 'signature') AS atomic, kind = 'title' OR (kind = 'heading' AND upper(text) = text AND len(regexp_extract_all(text, '[A-Za-z]+')) BETWEEN 1 AND 12 AND NOT regexp_matches(text, '[.;:]$')) AS head FROM {blocks}),
 cuts(doc, file, i, k, piece, rest, atomic, head) AS (

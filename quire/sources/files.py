@@ -34,7 +34,10 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataF
     """document_id, file_name, sha256, content."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     sha = F.sha2("content", 256)
-    return files.select(F.concat(F.lit("doc_"), F.left(sha, F.lit(16))).alias("document_id"), F.element_at(F.split("path", "/"), -1).alias("file_name"), sha.alias("sha256"), "content")
+    return files.select(
+        F.concat(F.lit("doc_"), F.left(sha, F.lit(16))).alias("document_id"),
+        F.element_at(F.split("path", "/"), -1).alias("file_name"), sha.alias("sha256"), "content"
+    )
 
 
 def stem(name):
@@ -49,7 +52,9 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_gold_text(spark: SparkSession, path: str) -> DataFrame:
     """case_id and the text, white space collapsed."""
     text = F.trim(F.regexp_replace("value", "(?U)\\s+", " "))
-    return spark.read.text(path, wholetext=True).select(stem(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("case_id"), text.alias("text"))
+    return spark.read.text(path, wholetext=True).select(
+        stem(F.element_at(F.split("_metadata.file_path", "/"), -1)).alias("case_id"), text.alias("text")
+    )
 
 
 def source_payload(blocks: DataFrame) -> DataFrame:
@@ -72,7 +77,10 @@ def extract_with_client(payloads: DataFrame, make_client: Callable[[], Callable[
 
     found = payloads.mapInPandas(run, "document_id string, answer string")
     named = F.get_json_object("answer", "$.document_id")
-    warning = F.when(named.isNotNull() & (named != F.col("document_id")), F.concat(F.lit("the model named document "), named, F.lit("; the caller's id was kept")))
+    warning = F.when(
+        named.isNotNull() & (named != F.col("document_id")),
+        F.concat(F.lit("the model named document "), named, F.lit("; the caller's id was kept"))
+    )
     return found.select("document_id", F.from_json("answer", schema).alias("answer"), warning.alias("warning"))
 
 
@@ -86,13 +94,18 @@ def extract_validated(blocks: DataFrame, make_client: Callable[[], Callable[[str
     fields = answers.select("document_id", F.inline("answer.fields"))
     checked = extraction.validate(fields, blocks)
     told = answers.where("warning is not null").select("document_id", F.col("warning").alias("_told"))
-    return checked.join(told, "document_id", "left").withColumn("warning", F.nullif(F.concat_ws("; ", "_told", "warning"), F.lit(""))).drop("_told")
+    return checked.join(told, "document_id", "left").withColumn(
+        "warning", F.nullif(F.concat_ws("; ", "_told", "warning"), F.lit(""))
+    ).drop("_told")
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*.pdf") -> dict:
     """The files' hashes and the versions that read them."""
     rows = read_documents(spark, path, glob).select("file_name", "sha256").orderBy("file_name").collect()
-    return {"files": [r.asDict() for r in rows], "versions": {name: installed(name) for name in ("pyspark", "pyarrow", "pandas", "numpy")}}
+    return {
+        "files": [r.asDict() for r in rows],
+        "versions": {name: installed(name) for name in ("pyspark", "pyarrow", "pandas", "numpy")}
+    }
 
 
 def installed(package: str) -> str | None:
@@ -119,7 +132,11 @@ def _write(path: str, text: str) -> None:
 
 # what is shown as a share
 RATES = ("accuracy", "precision", "completeness", "correctness", "recall", "rate", "f1", "exact_match", "mrr", "cer", "wer")
-CARDS = {"Extraction": ("extraction", "exact_match"), "Token F1": ("extraction", "token_f1"), "Character errors": ("ocr", "cer"), "Retrieval MRR": ("retrieval", "mrr"), "Citations": ("answer", "citation_precision"), "p95, ms": ("latency", "overall", "p95_ms")}
+CARDS = {
+    "Extraction": ("extraction", "exact_match"), "Token F1": ("extraction", "token_f1"), "Character errors": ("ocr", "cer"),
+    "Retrieval MRR": ("retrieval", "mrr"), "Citations": ("answer", "citation_precision"),
+    "p95, ms": ("latency", "overall", "p95_ms")
+}
 STYLE = "body{font:15px/1.5 system-ui,sans-serif;max-width:70rem;margin:2rem auto;padding:0 1rem}.cards{display:flex;flex-wrap:wrap;gap:1rem}.card{border:1px solid #bbb;border-radius:6px;padding:.6rem 1rem}.card b{display:block;font-size:1.4rem}table{border-collapse:collapse;margin:.5rem 0}td,th{border-bottom:1px solid #ddd;padding:.25rem .8rem;text-align:right}th:first-child{text-align:left}pre{overflow:auto;background:#f4f4f4;padding:.6rem}"
 
 
@@ -151,8 +168,12 @@ def render_html_report(report: dict, title: str = "Document evaluation") -> str:
     summary = report.get("summary", {})
     if not isinstance(summary, dict):
         raise TypeError("the summary must be a mapping")
-    parts = [f"<!doctype html><html lang=en><meta charset=utf-8><title>{html.escape(title)}</title><style>{STYLE}</style><h1>{html.escape(title)}</h1>"]
-    cards = "".join(f"<div class=card>{html.escape(k)}<b>{html.escape(shown(_at(summary, *at), at[-1]))}</b></div>" for k, at in CARDS.items())
+    parts = [
+        f"<!doctype html><html lang=en><meta charset=utf-8><title>{html.escape(title)}</title><style>{STYLE}</style><h1>{html.escape(title)}</h1>"
+    ]
+    cards = "".join(
+        f"<div class=card>{html.escape(k)}<b>{html.escape(shown(_at(summary, *at), at[-1]))}</b></div>" for k, at in CARDS.items()
+    )
     parts.append(f"<section class=cards>{cards}</section>")
     flat = {k: v for k, v in summary.items() if not isinstance(v, (dict, list))}
     for name, section in [("run", flat), *[(k, v) for k, v in summary.items() if isinstance(v, dict) and k != "latency"]]:
@@ -161,15 +182,29 @@ def render_html_report(report: dict, title: str = "Document evaluation") -> str:
         parts.append(f"<h2>{html.escape(name)}</h2>" + _table(["", "value"], rows))
     fields, stages = _at(summary, "extraction", "per_field"), _at(summary, "latency", "by_stage")
     if fields:
-        parts.append("<h2>fields</h2>" + _table(["field", "n", "exact", "token F1"], [[k, str(v["count"]), shown(v["exact_match"], "rate"), shown(v["token_f1"], "rate")] for k, v in fields.items()]))
+        parts.append(
+            "<h2>fields</h2>" + _table(
+                ["field", "n", "exact", "token F1"],
+                [[k, str(v["count"]), shown(v["exact_match"], "rate"), shown(v["token_f1"], "rate")] for k, v in fields.items()]
+            )
+        )
     if stages:
-        parts.append("<h2>latency, ms</h2>" + _table(["stage", "n", "mean", "p95", "max"], [[k, str(v["count"]), *(shown(v[c]) for c in ("mean_ms", "p95_ms", "max_ms"))] for k, v in stages.items()]))
+        parts.append(
+            "<h2>latency, ms</h2>" + _table(
+                ["stage", "n", "mean", "p95", "max"],
+                [[k, str(v["count"]), *(shown(v[c]) for c in ("mean_ms", "p95_ms", "max_ms"))] for k, v in stages.items()]
+            )
+        )
     for name, rows in report.items():  # frames of ``to_report``
         if isinstance(rows, list) and rows and name != "cases" and isinstance(rows[0], dict):
-            parts.append(f"<h2>{html.escape(name)}</h2>" + _table(list(rows[0]), [[shown(v, k) for k, v in r.items()] for r in rows]))
+            parts.append(
+                f"<h2>{html.escape(name)}</h2>" + _table(list(rows[0]), [[shown(v, k) for k, v in r.items()] for r in rows])
+            )
     for case in report.get("cases", []):
         body = json.dumps(case, indent=2, sort_keys=True, ensure_ascii=False, default=str)
-        parts.append(f"<details><summary>{html.escape(str(case.get('case_id', 'case')))}</summary><pre>{html.escape(body)}</pre></details>")
+        parts.append(
+            f"<details><summary>{html.escape(str(case.get('case_id', 'case')))}</summary><pre>{html.escape(body)}</pre></details>"
+        )
     return "\n".join([*parts, "</html>\n"])
 
 

@@ -55,7 +55,9 @@ def _timed(x: tuple) -> bool:
     if len(x) != 2:
         return False
     t = plain(x[1])
-    return t is None or isinstance(t, (int, float, dict)) or (isinstance(t, list) and len(t) <= MAX_TIMINGS and all(v is None or number(v) is not None for v in t))
+    return t is None or isinstance(t, (int, float, dict)) or (
+        isinstance(t, list) and len(t) <= MAX_TIMINGS and all(v is None or number(v) is not None for v in t)
+    )
 
 
 def confidence(x) -> float:
@@ -137,4 +139,6 @@ def normalize(raw: DataFrame) -> DataFrame:
                     rows.append((d, p, i, t, dict(zip(("x0", "y0", "x1", "y1"), b)), c))
             yield pd.DataFrame(rows, columns=["doc", "page", "pos", "text", "bbox", "confidence"])
 
-    return raw.select("doc", "page", "payload").mapInPandas(run, "doc string, page int, pos int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, confidence double")
+    return raw.select("doc", "page", "payload").mapInPandas(
+        run, "doc string, page int, pos int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, confidence double"
+    )

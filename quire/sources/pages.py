@@ -41,7 +41,10 @@ def documents_of(spark: SparkSession, source: str | bytes | BinaryIO, file_name:
     if not content:
         raise DocumentParseError("the source is empty")
     sha = hashlib.sha256(content).hexdigest()
-    return spark.createDataFrame([(f"doc_{sha[:16]}", file_name or "document.pdf", sha, bytearray(content))], "document_id string, file_name string, sha256 string, content binary")
+    return spark.createDataFrame(
+        [(f"doc_{sha[:16]}", file_name or "document.pdf", sha, bytearray(content))],
+        "document_id string, file_name string, sha256 string, content binary"
+    )
 
 
 def clipped(raw, width: float, height: float) -> dict[str, float] | None:
@@ -62,7 +65,12 @@ def native_blocks(page: Any) -> list[dict]:
         bbox = clipped(raw["bbox"], page.width, page.height)
         if lines and bbox:
             sizes = [float(s.get("size", 0.0)) for line in spans for s in line if str(s.get("text", "")).strip()]
-            out.append({"text": "\n".join(lines), "bbox": bbox, "font_size": max(sizes, default=0.0), "source": "native", "confidence": 1.0, "line_count": len(lines), "ocr_dpi": None})
+            out.append(
+                {
+                    "text": "\n".join(lines), "bbox": bbox, "font_size": max(sizes, default=0.0), "source": "native",
+                    "confidence": 1.0, "line_count": len(lines), "ocr_dpi": None
+                }
+            )
     return out
 
 
@@ -74,7 +82,12 @@ def ocr_blocks(page: Any, image: np.ndarray, engine: Callable, dpi: int, number:
         raise DocumentParseError(f"OCR failed on page {number}: {error}") from error
     scale = np.array([page.width / image.shape[1], page.height / image.shape[0]] * 2)
     placed = [(text, clipped(np.array(b) * scale, page.width, page.height), c) for text, b, c in found]
-    return [{"text": text, "bbox": b, "font_size": 0.0, "source": "rapidocr", "confidence": c, "line_count": None, "ocr_dpi": dpi} for text, b, c in placed if b]
+    return [
+        {
+            "text": text, "bbox": b, "font_size": 0.0, "source": "rapidocr", "confidence": c, "line_count": None, "ocr_dpi": dpi
+        } for text,
+        b, c in placed if b
+    ]
 
 
 def table_boxes(page: Any) -> list[dict]:
@@ -86,7 +99,10 @@ def table_boxes(page: Any) -> list[dict]:
         return []
 
 
-def read_pages(documents: DataFrame, make_decoder: Callable[[], Callable[[bytes], list]], make_engine: Callable[[], Callable] | None = None, native_text_threshold: int = 40, ocr_dpi: int = 200, detect_stamps: bool = True, stamp_dpi: int = 96) -> DataFrame:
+def read_pages(
+    documents: DataFrame, make_decoder: Callable[[], Callable[[bytes], list]], make_engine: Callable[[], Callable] | None = None,
+    native_text_threshold: int = 40, ocr_dpi: int = 200, detect_stamps: bool = True, stamp_dpi: int = 96
+) -> DataFrame:
     """A row for each page, with block candidates, table regions and the stamp. Pages with too little
     native text are recognised; the engine is made at the first of them (S6)."""
 
@@ -130,7 +146,9 @@ def read_pages(documents: DataFrame, make_decoder: Callable[[], Callable[[bytes]
                 except Exception as error:
                     raise DocumentParseError(f"{name} can't be opened: {error}") from error
                 rows += [(key, name, sha, *page_row(page, i)) for i, page in enumerate(pages, 1)]
-            yield pd.DataFrame(rows, columns=["document_id", "file_name", "sha256", "page", "width", "height", "blocks", "tables", "stamp"])
+            yield pd.DataFrame(
+                rows, columns=["document_id", "file_name", "sha256", "page", "width", "height", "blocks", "tables", "stamp"]
+            )
 
     return documents.select("document_id", "file_name", "sha256", "content").mapInPandas(run, PAGES)
 
@@ -139,23 +157,39 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     """S3: stamps, tables, kinds, order and ids of the pages' candidates: the canonical blocks."""
     pages = pages.repartition(*layout.PAGE)  # every operator from here on is keyed by page
     blocks = pages.select(*layout.PAGE, "width", "height", F.inline("blocks"))
-    regions = pages.select(*layout.PAGE, F.posexplode("tables").alias("n", "bbox")).select(*layout.PAGE, (F.col("n") + 1).alias("region_no"), "bbox")
+    regions = pages.select(*layout.PAGE, F.posexplode("tables").alias("n", "bbox")).select(
+        *layout.PAGE, (F.col("n") + 1).alias("region_no"), "bbox"
+    )
     stamps = pages.where("stamp is not null").select(*layout.PAGE, "stamp.*")
     sizes = pages.select(*layout.PAGE, F.col("width").alias("_w"), F.col("height").alias("_h"), "file_name", "sha256")
-    rows = layout.mark_stamps(blocks, stamps).join(sizes, layout.PAGE).withColumns({"width": F.coalesce("width", "_w"), "height": F.coalesce("height", "_h")}).drop("_w", "_h")
+    rows = layout.mark_stamps(blocks, stamps).join(sizes, layout.PAGE).withColumns(
+        {"width": F.coalesce("width", "_w"), "height": F.coalesce("height", "_h")}
+    ).drop("_w", "_h")
     rows = layout.reading_order(layout.classify(layout.merge_tables(rows, regions), regions))
     rows = layout.block_ids(rows, F.col("sha256"))
     text = lambda c: F.col(c).cast("string")
     several = F.col("cell_count").isNotNull()
     known = {
         "line_count": F.when(~several, text("line_count")), "ocr_dpi": F.when(~several, text("ocr_dpi")),
-        "stamp_detector": F.when(F.col("stamp_density").isNotNull(), "rgb-red-region"), "red_pixel_density": F.round("stamp_density", 4).cast("string"), "visual_only": text("visual_only"),
-        "table_id": text("table_id"), "row_count": text("row_count"), "column_count": text("column_count"), "cell_count": text("cell_count"), "format": F.when(several, "pipe-delimited"),
+        "stamp_detector": F.when(
+            F.col("stamp_density").isNotNull(), "rgb-red-region"
+        ), "red_pixel_density": F.round("stamp_density", 4).cast("string"), "visual_only": text("visual_only"),
+        "table_id": text("table_id"), "row_count": text("row_count"), "column_count": text("column_count"), "cell_count": text("cell_count"), "format": F.when(
+            several, "pipe-delimited"
+        ),
     }
-    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in known.items()]), lambda e: e["v"].isNotNull())
-    return rows.select("document_id", "file_name", "sha256", "page", "width", "height", "block_id", "kind", "text", "bbox", "confidence", "source", "reading_order", F.map_from_entries(pairs).alias("metadata"))
-
-
-def parse(spark: SparkSession, source, make_decoder: Callable, make_engine: Callable | None = None, file_name: str | None = None, **options) -> DataFrame:
+    pairs = F.filter(
+        F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in known.items()]), lambda e: e["v"].isNotNull()
+    )
+    return rows.select(
+        "document_id", "file_name", "sha256", "page", "width", "height", "block_id", "kind", "text", "bbox", "confidence",
+        "source", "reading_order", F.map_from_entries(pairs).alias("metadata")
+    )
+
+
+def parse(
+    spark: SparkSession, source, make_decoder: Callable, make_engine: Callable | None = None, file_name: str | None = None,
+    **options
+) -> DataFrame:
     """Canonical blocks of a path, bytes or stream. Options as in ``read_pages``."""
     return page_blocks(read_pages(documents_of(spark, source, file_name), make_decoder, make_engine, **options))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 # fixed values: what counts as a stamp or a table, as shares of the page
-STAMP = {"red": 145, "over_green": 45, "over_blue": 40, "least": 35, "least_share": 0.00004, "side": 7, "max_side": 0.48, "max_area": 0.18, "density": 0.035}
+STAMP = {
+    "red": 145, "over_green": 45, "over_blue": 40, "least": 35, "least_share": 0.00004, "side": 7, "max_side": 0.48,
+    "max_area": 0.18, "density": 0.035
+}
 TABLE = {"dark": 205, "across": 24, "down": 36, "line": 20, "width": (0.35, 0.96), "height": (0.06, 0.75), "density": 0.015}
 
 
@@ -29,7 +32,9 @@ def red_stamp(image: np.ndarray, width: float, height: float) -> dict | None:
     large = x1 - x0 > w * STAMP["max_side"] or y1 - y0 > h * STAMP["max_side"] or area > w * h * STAMP["max_area"]
     if small or large or density < STAMP["density"]:
         return None
-    return {"bbox": _points(x0, y0, x1, y1, image, width, height), "confidence": min(0.98, 0.65 + density * 0.5), "density": density}
+    return {
+        "bbox": _points(x0, y0, x1, y1, image, width, height), "confidence": min(0.98, 0.65 + density * 0.5), "density": density
+    }
 
 
 def _window(mask: np.ndarray, n: int, before: int, every: bool) -> np.ndarray:

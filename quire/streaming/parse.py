@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
-def watch(spark: SparkSession, path: str, checkpoint: str, handle: Callable[[DataFrame, int], None], glob: str = "*.pdf") -> StreamingQuery:
+def watch(
+    spark: SparkSession, path: str, checkpoint: str, handle: Callable[[DataFrame, int], None], glob: str = "*.pdf"
+) -> StreamingQuery:
     """Runs ``handle`` over each batch of new files until there are none."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)

@@ -20,7 +20,9 @@ def one(spark, column, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize("text, expected", [("a B, c!", "a b c"), ("...", ""), (None, ""), ("£5 | x", "£5 | x"), ("Straße ﬁ", "strasse fi")])
+@pytest.mark.parametrize(
+    "text, expected", [("a B, c!", "a b c"), ("...", ""), (None, ""), ("£5 | x", "£5 | x"), ("Straße ﬁ", "strasse fi")]
+)
 def test_normalize_text(spark, text, expected):
     df = spark.createDataFrame([(text,)], "t string").select(T.normalize_text(F.col("t")).alias("x"))
     assert df.first()["x"] == expected
@@ -42,8 +44,13 @@ def test_token_f1_counts_repeats(spark):
 
 
 def test_ocr_errors(spark):
-    df = spark.createDataFrame([("1", "the cat sat", "the hat sat on"), ("2", "", ""), ("3", "", "x"), ("4", unicodedata.normalize("NFD", "é"), "é")], "case_id string, reference_text string, predicted_text string")
-    got = {r["case_id"]: (r["character_errors"], r["word_errors"], r["cer"], r["wer"]) for r in evaluation.ocr_by_case(df).collect()}
+    df = spark.createDataFrame(
+        [("1", "the cat sat", "the hat sat on"), ("2", "", ""), ("3", "", "x"), ("4", unicodedata.normalize("NFD", "é"), "é")],
+        "case_id string, reference_text string, predicted_text string"
+    )
+    got = {
+        r["case_id"]: (r["character_errors"], r["word_errors"], r["cer"], r["wer"]) for r in evaluation.ocr_by_case(df).collect()
+    }
     assert got == {"1": (4, 2, 4 / 11, 2 / 3), "2": (0, 0, 0.0, 0.0), "3": (1, 1, 1.0, 1.0), "4": (0, 0, 0.0, 0.0)}
 
 
@@ -68,14 +75,26 @@ def test_latency_empty_and_bad(spark):
 
 def test_answers_match_bare_and_full(spark):
     c = "array<struct<source_id:string,document_id:string,page:int,block_ids:array<string>,is_bare:boolean>>"
-    rows = [("a", [("s1", None, None, [], True)], [("s1", "d", 1, ["b"], False), ("s2", "e", 1, ["c"], False)], False, False), ("b", [], [], True, False), ("c", [("", "d", 1, ["b", "c"], False)], [("q", "d", 1, ["c"], False)], False, False)]
-    df = spark.createDataFrame(rows, f"case_id string, gold {c}, predicted {c}, expected_abstention boolean, predicted_abstention boolean")
-    got = {r["case_id"]: (r["citation_precision"], r["citation_completeness"], r["abstention_accuracy"]) for r in evaluation.answers_by_case(df).collect()}
+    rows = [
+        ("a", [("s1", None, None, [], True)], [("s1", "d", 1, ["b"], False), ("s2", "e", 1, ["c"], False)], False, False),
+        ("b", [], [], True, False), ("c", [("", "d", 1, ["b", "c"], False)], [("q", "d", 1, ["c"], False)], False, False)
+    ]
+    df = spark.createDataFrame(
+        rows, f"case_id string, gold {c}, predicted {c}, expected_abstention boolean, predicted_abstention boolean"
+    )
+    got = {
+        r["case_id"]: (
+            r["citation_precision"], r["citation_completeness"], r["abstention_accuracy"]
+        ) for r in evaluation.answers_by_case(df).collect()
+    }
     assert got == {"a": (0.5, 1.0, 1.0), "b": (1.0, 1.0, 0.0), "c": (1.0, 1.0, 1.0)}
 
 
 def test_chunks_keep_tables_and_headings(spark):
-    rows = blocks(spark, (1, "heading", "FEES"), (1, "paragraph", "x " * 30), (1, "paragraph", "y " * 30), (1, "table", "a | b"), (2, "paragraph", "z"))
+    rows = blocks(
+        spark, (1, "heading", "FEES"), (1, "paragraph", "x " * 30), (1, "paragraph", "y " * 30), (1, "table", "a | b"),
+        (2, "paragraph", "z")
+    )
     got = [(r["chunk_id"], r["block_ids"]) for r in chunking.chunk(rows, 80).orderBy("ord").collect()]
     assert got == [("d:p1:c001", ["b0", "b1"]), ("d:p1:c002", ["b0", "b2", "b3"]), ("d:p2:c003", ["b4"])]
     with pytest.raises(ValueError):
@@ -89,7 +108,10 @@ def test_split_text():
 
 def test_search_ties_and_stop_words(spark):
     rows = [(f"c{i}", "d", "d.pdf", [1], ["b"], t, i) for i, t in enumerate(["renewal notice", "renewal notice", "other words"])]
-    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, file_name string, pages array<int>, block_ids array<string>, text string, ord int")
+    chunks = spark.createDataFrame(
+        rows,
+        "chunk_id string, document_id string, file_name string, pages array<int>, block_ids array<string>, text string, ord int"
+    )
     index = retrieval.BM25Index(chunks)
     q = spark.createDataFrame([("q", "renewal"), ("s", "the of")], "query_id string, question string")
     assert [(r["chunk_id"], r["rank"]) for r in index.search(q).orderBy("rank").collect()] == [("c0", 1), ("c1", 2)]
@@ -97,9 +119,21 @@ def test_search_ties_and_stop_words(spark):
 
 
 def test_answers_cite_or_abstain(spark):
-    rows = [("c0", "d1", "acme.pdf", [2], ["b"], "The fee is USD 10 per month. It rains.", 0), ("c1", "d2", "bolt.pdf", [1], ["b"], "The fee is USD 20 per month.", 1)]
-    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, file_name string, pages array<int>, block_ids array<string>, text string, ord int")
-    q = spark.createDataFrame([("1", "What is the monthly fee?"), ("2", "Compare the fee of acme and bolt"), ("3", "Who invented penicillin?"), ("4", " ")], "query_id string, question string")
+    rows = [
+        ("c0", "d1", "acme.pdf", [2], ["b"], "The fee is USD 10 per month. It rains.", 0),
+        ("c1", "d2", "bolt.pdf", [1], ["b"], "The fee is USD 20 per month.", 1)
+    ]
+    chunks = spark.createDataFrame(
+        rows,
+        "chunk_id string, document_id string, file_name string, pages array<int>, block_ids array<string>, text string, ord int"
+    )
+    q = spark.createDataFrame(
+        [
+            ("1", "What is the monthly fee?"), ("2", "Compare the fee of acme and bolt"), ("3", "Who invented penicillin?"),
+            ("4", " ")
+        ],
+        "query_id string, question string"
+    )
     got = {r["query_id"]: r for r in retrieval.answer(q, retrieval.BM25Index(chunks)).collect()}
     assert got["1"]["citations"][0]["quote"].startswith("The fee is USD")
     assert {c["document_id"] for c in got["2"]["citations"]} == {"d1", "d2"}
@@ -108,9 +142,16 @@ def test_answers_cite_or_abstain(spark):
 
 def contract(spark):
     return blocks(
-        spark, (1, "title", "SERVICES AGREEMENT"), (1, "paragraph", "This Agreement is made as of 3 March 2024 between Acme Works Ltd and Bolt Labs Inc., a Delaware corporation."),
-        (1, "paragraph", "The initial term is for a period of"), (1, "paragraph", "twelve months. It renews for successive terms of one year."), (1, "paragraph", "Termination requires 30 days written notice."),
-        (1, "heading", "FEES"), (1, "paragraph", "Monthly: $100.00 and 5%. Invoices are due within 30 days."), (1, "paragraph", "Governed by the laws of England, with courts there."), (1, "signature", "For Acme: A. Smith"), (1, "stamp", ""),
+        spark, (1, "title", "SERVICES AGREEMENT"), (
+            1, "paragraph",
+            "This Agreement is made as of 3 March 2024 between Acme Works Ltd and Bolt Labs Inc., a Delaware corporation."
+        ),
+        (1, "paragraph", "The initial term is for a period of"), (
+            1, "paragraph", "twelve months. It renews for successive terms of one year."
+        ), (1, "paragraph", "Termination requires 30 days written notice."),
+        (1, "heading", "FEES"), (
+            1, "paragraph", "Monthly: $100.00 and 5%. Invoices are due within 30 days."
+        ), (1, "paragraph", "Governed by the laws of England, with courts there."), (1, "signature", "For Acme: A. Smith"), (1, "stamp", ""),
     )
 
 
@@ -123,29 +164,49 @@ def test_extraction(spark):
     assert got["effective_date"]["text_value"] == "3 March 2024" and got["initial_term"]["text_value"] == "twelve months"
     assert [e["block_id"] for e in got["initial_term"]["evidence"]] == ["b3"]
     assert got["fees"]["list_value"] == ["$100.00", "5%"] and got["governing_law"]["text_value"] == "England"
-    assert got["signatures_present"]["flag_value"] and got["stamps_present"]["status"] == "needs_review" and got["stamps_present"]["confidence"] == 0.45
+    assert got[
+        "signatures_present"
+    ]["flag_value"] and got["stamps_present"]["status"] == "needs_review" and got["stamps_present"]["confidence"] == 0.45
     assert got["termination_notice"]["text_value"] == "30 days written notice"
 
 
 def test_validation_rejects(spark):
     b = contract(spark)
-    fields = extraction.extract(b).where("field = 'governing_law'").withColumn("evidence", F.transform("evidence", lambda e: e.withField("quote", F.lit("not there"))))
+    fields = extraction.extract(b).where("field = 'governing_law'").withColumn(
+        "evidence", F.transform("evidence", lambda e: e.withField("quote", F.lit("not there")))
+    )
     r = extraction.validate(fields, b).first()
     assert r["text_value"] is None and r["status"] == "needs_review" and r["confidence"] == 0.2 and "exact substring" in r["reason"]
 
 
 def test_reading_order_two_columns(spark):
     s = "document_id string, page int, width double, height double, pos int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, font_size double, kind string, source string, confidence double"
-    at = [(0, 40, 20, 560, 50, "title"), (1, 320, 100, 560, 140, "paragraph"), (2, 40, 100, 280, 140, "paragraph"), (3, 40, 200, 280, 240, "paragraph"), (4, 40, 780, 560, 795, "footer")]
-    df = spark.createDataFrame([("d", 1, 600.0, 800.0, p, "t", tuple(map(float, b)), 10.0, k, "native", 1.0) for p, *b, k in at], s)
+    at = [
+        (0, 40, 20, 560, 50, "title"), (1, 320, 100, 560, 140, "paragraph"), (2, 40, 100, 280, 140, "paragraph"),
+        (3, 40, 200, 280, 240, "paragraph"), (4, 40, 780, 560, 795, "footer")
+    ]
+    df = spark.createDataFrame(
+        [("d", 1, 600.0, 800.0, p, "t", tuple(map(float, b)), 10.0, k, "native", 1.0) for p, *b, k in at], s
+    )
     assert [r["pos"] for r in layout.reading_order(df).orderBy("reading_order").collect()] == [0, 2, 3, 1, 4]
 
 
 def test_kinds(spark):
     s = "document_id string, page int, width double, height double, pos int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, font_size double, kind string, source string, confidence double"
-    rows = [("Sales agreement", 20, 20), ("Plain words go here, at length", 100, 10), ("a | b | c", 200, 10), ("Page 3 of 4", 790, 10), ("Authorised signatory", 300, 10), ("OFFICIAL SEAL", 400, 10), ("1. Scope", 500, 10)]
-    df = spark.createDataFrame([("d", 1, 600.0, 800.0, i, t, (50.0, float(y), 300.0, float(y) + 10), float(f), "unknown", "native", 1.0) for i, (t, y, f) in enumerate(rows)], s)
-    assert [r["kind"] for r in layout.classify(df).orderBy("pos").collect()] == ["title", "paragraph", "table", "footer", "signature", "stamp", "heading"]
+    rows = [
+        ("Sales agreement", 20, 20), ("Plain words go here, at length", 100, 10), ("a | b | c", 200, 10),
+        ("Page 3 of 4", 790, 10), ("Authorised signatory", 300, 10), ("OFFICIAL SEAL", 400, 10), ("1. Scope", 500, 10)
+    ]
+    df = spark.createDataFrame(
+        [
+            ("d", 1, 600.0, 800.0, i, t, (50.0, float(y), 300.0, float(y) + 10), float(f), "unknown", "native", 1.0) for i,
+            (t, y, f) in enumerate(rows)
+        ],
+        s
+    )
+    assert [r["kind"] for r in layout.classify(df).orderBy("pos").collect()] == [
+        "title", "paragraph", "table", "footer", "signature", "stamp", "heading"
+    ]
 
 
 def test_pairing_falls_back_to_position(spark):

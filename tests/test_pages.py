@@ -32,15 +32,23 @@ def test_item_names(box, text, score):
 
 def test_rows_and_timings():
     row = [QUAD, "hi", 90]
-    assert [ocr.lines(x) for x in (row, [row], [[row]], ([row], 0.3), ([row], [0.1, None]), ([row], {"t": 1}), [[row], [0.1, 0.2]])] == [WANT] * 7
+    assert [
+        ocr.lines(x) for x in (row, [row], [[row]], ([row], 0.3), ([row], [0.1, None]), ([row], {"t": 1}), [[row], [0.1, 0.2]])
+    ] == [WANT] * 7
     assert ocr.lines((row, row)) == WANT * 2 and ocr.lines([QUAD, "hi"])[0][2] == 0.0
     assert [ocr.lines(x) for x in (None, [], {}, "x", 3, [1, 2], {"boxes": None, "txts": None})] == [[]] * 7
 
 
 def test_boxes_and_scores():
-    assert ocr.box([0, 0, 4, 2]) == ocr.box([4, 2, 0, 0]) == ocr.box([0, 0, 4, 0, 4, 2, 0, 2]) == ocr.box(QUAD) == ocr.box({"x0": 0, "y0": 0, "x1": 4, "y1": 2}) == (0.0, 0.0, 4.0, 2.0)
-    assert [ocr.box(x) for x in (None, [1, 2, 3], [0] * 5, [0] * 6, [[0, 0]] * 3, [0, 0, float("inf"), 1], {"x0": 1}, "abcd")] == [None] * 8
-    assert [ocr.confidence(x) for x in (0.5, 50, "0.5", 101, -1, None, "x", float("nan"), float("inf"))] == [0.5, 0.5, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    assert ocr.box([0, 0, 4, 2]) == ocr.box([4, 2, 0, 0]) == ocr.box([0, 0, 4, 0, 4, 2, 0, 2]) == ocr.box(QUAD) == ocr.box(
+        {"x0": 0, "y0": 0, "x1": 4, "y1": 2}
+    ) == (0.0, 0.0, 4.0, 2.0)
+    assert [
+        ocr.box(x) for x in (None, [1, 2, 3], [0] * 5, [0] * 6, [[0, 0]] * 3, [0, 0, float("inf"), 1], {"x0": 1}, "abcd")
+    ] == [None] * 8
+    assert [
+        ocr.confidence(x) for x in (0.5, 50, "0.5", 101, -1, None, "x", float("nan"), float("inf"))
+    ] == [0.5, 0.5, 0.5, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
 
 
 def test_red_stamp():
@@ -48,7 +56,9 @@ def test_red_stamp():
     assert raster.red_stamp(image, 50.0, 100.0) is None
     image[20:40, 10:30] = (200, 10, 10)
     found = raster.red_stamp(image, 50.0, 100.0)
-    assert found["bbox"] == {"x0": 5.0, "y0": 10.0, "x1": 15.0, "y1": 20.0} and found["density"] == 1.0 and found["confidence"] == 0.98
+    assert found["bbox"] == {
+        "x0": 5.0, "y0": 10.0, "x1": 15.0, "y1": 20.0
+    } and found["density"] == 1.0 and found["confidence"] == 0.98
     image[20:40, 10:80] = (200, 10, 10)
     assert raster.red_stamp(image, 50.0, 100.0) is None  # too wide
 
@@ -109,14 +119,19 @@ def test_ruled_table():
         image[200:323, x : x + 3] = 0
     image[600:603, 100:140] = 0  # a short rule
     (found,) = raster.table_regions(image, 300.0, 450.0)
-    assert abs(found["x0"] - 50) <= 1 and abs(found["y0"] - 100) <= 1 and abs(found["x1"] - 250) <= 1 and abs(found["y1"] - 161.5) <= 1
+    assert abs(found["x0"] - 50) <= 1 and abs(found["y0"] - 100) <= 1 and abs(found["x1"] - 250) <= 1 and abs(
+        found["y1"] - 161.5
+    ) <= 1
 
 
 CELL = "document_id string, page int, width double, height double, pos int, text string, bbox struct<x0:double,y0:double,x1:double,y1:double>, font_size double, kind string, source string, confidence double"
 
 
 def cells(spark, *rows):
-    return spark.createDataFrame([("d", 1, 600.0, 800.0, i, t, tuple(map(float, b)), 10.0, "unknown", "native", c) for i, (t, b, c) in enumerate(rows)], CELL)
+    return spark.createDataFrame(
+        [("d", 1, 600.0, 800.0, i, t, tuple(map(float, b)), 10.0, "unknown", "native", c) for i, (t, b, c) in enumerate(rows)],
+        CELL
+    )
 
 
 def brute_rows(boxes):
@@ -138,25 +153,49 @@ def brute_rows(boxes):
 
 def test_table_rows_match_brute_force(spark):
     rng = np.random.default_rng(6)
-    at = [(float(x), float(y), float(x) + 20, float(y) + h, f"t{i}") for i, (x, y, h) in enumerate(zip(rng.integers(0, 500, 40), rng.integers(0, 700, 40), rng.integers(8, 30, 40)))]
-    regions = spark.createDataFrame([("d", 1, 1, (0.0, 0.0, 600.0, 800.0)), ("d", 1, 2, (0.0, 0.0, 600.0, 800.0)), ("d", 2, 1, (0.0, 0.0, 9.0, 9.0))], f"document_id string, page int, region_no int, bbox {files.BOX}")
+    at = [
+        (float(x), float(y), float(x) + 20, float(y) + h, f"t{i}") for i,
+        (x, y, h) in enumerate(zip(rng.integers(0, 500, 40), rng.integers(0, 700, 40), rng.integers(8, 30, 40)))
+    ]
+    regions = spark.createDataFrame(
+        [("d", 1, 1, (0.0, 0.0, 600.0, 800.0)), ("d", 1, 2, (0.0, 0.0, 600.0, 800.0)), ("d", 2, 1, (0.0, 0.0, 9.0, 9.0))],
+        f"document_id string, page int, region_no int, bbox {files.BOX}"
+    )
     (got,) = layout.merge_tables(cells(spark, *[(t, (a, b, c, e), 0.5) for a, b, c, e, t in at]), regions).collect()
-    assert got["text"] == brute_rows(at) and (got["kind"], got["cell_count"], got["confidence"], got["table_id"]) == ("table", 40, 0.5, 1)
+    assert got["text"] == brute_rows(at) and (
+        got["kind"], got["cell_count"], got["confidence"], got["table_id"]
+    ) == ("table", 40, 0.5, 1)
 
 
 def test_tables_merge_or_relabel(spark):
-    rows = cells(spark, ("a", (10, 10, 50, 20), 1.0), ("b", (60, 11, 90, 21), 0.5), ("c", (10, 40, 50, 50), 0.6), ("alone", (10, 300, 50, 310), 0.7), ("text", (10, 500, 50, 510), 0.8))
-    regions = spark.createDataFrame([("d", 1, 1, (0.0, 0.0, 100.0, 60.0)), ("d", 1, 2, (0.0, 290.0, 100.0, 320.0)), ("d", 1, 3, (0.0, 700.0, 100.0, 720.0))], f"document_id string, page int, region_no int, bbox {files.BOX}")
-    got = [(r["text"], r["kind"], r["table_id"], r["row_count"], r["column_count"], r["cell_count"]) for r in layout.merge_tables(rows, regions).orderBy("pos").collect()]
-    assert got == [("text", "unknown", None, None, None, None), ("a | b\nc", "table", 1, 2, 2, 3), ("alone", "table", 2, None, None, None)]
+    rows = cells(
+        spark, ("a", (10, 10, 50, 20), 1.0), ("b", (60, 11, 90, 21), 0.5), ("c", (10, 40, 50, 50), 0.6),
+        ("alone", (10, 300, 50, 310), 0.7), ("text", (10, 500, 50, 510), 0.8)
+    )
+    regions = spark.createDataFrame(
+        [("d", 1, 1, (0.0, 0.0, 100.0, 60.0)), ("d", 1, 2, (0.0, 290.0, 100.0, 320.0)), ("d", 1, 3, (0.0, 700.0, 100.0, 720.0))],
+        f"document_id string, page int, region_no int, bbox {files.BOX}"
+    )
+    got = [
+        (
+            r["text"], r["kind"], r["table_id"], r["row_count"], r["column_count"], r["cell_count"]
+        ) for r in layout.merge_tables(rows, regions).orderBy("pos").collect()
+    ]
+    assert got == [
+        ("text", "unknown", None, None, None, None), ("a | b\nc", "table", 1, 2, 2, 3), ("alone", "table", 2, None, None, None)
+    ]
     none = layout.merge_tables(rows.limit(0), regions)
     assert none.count() == 0
 
 
 def test_parse_end_to_end(spark):
-    found = pages.page_blocks(pages.read_pages(fixtures.documents(spark), fixtures.decoder, fixtures.engine)).orderBy("document_id", "page", "reading_order").collect()
+    found = pages.page_blocks(
+        pages.read_pages(fixtures.documents(spark), fixtures.decoder, fixtures.engine)
+    ).orderBy("document_id", "page", "reading_order").collect()
     larch = [r for r in found if r["document_id"] == "doc_larch"]
-    assert [r["text"] for r in larch if r["kind"] == "heading" and r["page"] == 1] == ["1. PARTIES", "2. TERM", "3. TERMINATION", "4. GOVERNING LAW"]
+    assert [
+        r["text"] for r in larch if r["kind"] == "heading" and r["page"] == 1
+    ] == ["1. PARTIES", "2. TERM", "3. TERMINATION", "4. GOVERNING LAW"]
     table = next(r for r in larch if r["kind"] == "table")
     assert table["text"] == "Item | Amount\nSetup | USD 900.00\nMonthly | USD 75.50" and table["metadata"]["format"] == "pipe-delimited" and table["metadata"]["row_count"] == "3"
     scan = [r for r in found if r["document_id"] == "doc_cedar"]
@@ -193,14 +232,19 @@ def test_failing_tables_are_none():
         raise RuntimeError("no tables today")
 
     assert pages.table_boxes(SimpleNamespace(width=10.0, height=10.0, tables=broken)) == []
-    assert pages.table_boxes(SimpleNamespace(width=10.0, height=10.0, tables=[[-5, 0, 50, 5]])) == [{"x0": 0.0, "y0": 0.0, "x1": 10.0, "y1": 5.0}]
+    assert pages.table_boxes(
+        SimpleNamespace(width=10.0, height=10.0, tables=[[-5, 0, 50, 5]])
+    ) == [{"x0": 0.0, "y0": 0.0, "x1": 10.0, "y1": 5.0}]
 
 
 def test_benchmark_over_fixtures(spark):
     r = fixtures.demo(spark)
     s = r["summary"]
     assert s["case_count"] == 6 and s["missing_prediction_count"] == 0
-    assert s["layout"] == {"table_cell_count": 6, "table_cell_accuracy": 1.0, "stamp_text_precision": 1.0, "stamp_text_recall": 1.0, "stamp_text_f1": 1.0, "two_column_order_accuracy": 1.0}
+    assert s["layout"] == {
+        "table_cell_count": 6, "table_cell_accuracy": 1.0, "stamp_text_precision": 1.0, "stamp_text_recall": 1.0,
+        "stamp_text_f1": 1.0, "two_column_order_accuracy": 1.0
+    }
     assert s["extraction"]["exact_match"] > 0.7 and s["answer"]["abstention_accuracy"] == 1.0 and s["retrieval"]["mrr"] > 0.5
     assert set(s["latency"]["by_stage"]) == {"parse", "extract", "chunk", "retrieve_and_answer"}
 
@@ -213,8 +257,19 @@ def test_model_answers_are_validated(spark):
 
         def ask(payload):
             first = json.loads(payload)[0]
-            good = {"document_id": "doc_rowan", "page": 1, "block_id": first["block_id"], "quote": first["text"], "bbox": first["bbox"]}
-            return json.dumps({"document_id": "other", "fields": [{"field": "parties", "text_value": "LEASE", "status": "extracted", "confidence": 0.9, "evidence": [good]}, {"field": "fees", "text_value": "5", "status": "extracted", "confidence": 0.9, "evidence": []}]})
+            good = {
+                "document_id": "doc_rowan", "page": 1, "block_id": first["block_id"], "quote": first["text"],
+                "bbox": first["bbox"]
+            }
+            return json.dumps(
+                {
+                    "document_id": "other",
+                    "fields": [
+                        {"field": "parties", "text_value": "LEASE", "status": "extracted", "confidence": 0.9, "evidence": [good]},
+                        {"field": "fees", "text_value": "5", "status": "extracted", "confidence": 0.9, "evidence": []}
+                    ]
+                }
+            )
 
         return ask
 
