@@ -315,12 +315,12 @@ def pairs_by_id(spark, d):
 
 @query(
     "J3_positions",
-    "SELECT 'pair' AS way, g.l_linenumber AS id, p.l_linenumber AS got FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_returnflag = 'R') g LEFT JOIN (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_linestatus = 'F') p USING (pos) UNION ALL SELECT 'surplus', 0, l_linenumber FROM (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS pos, * FROM lineitem WHERE l_linestatus = 'F') WHERE pos >= (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R')"
+    """SELECT 'pair' AS way, c_nationkey AS id, p_size AS got FROM customer LEFT JOIN part ON p_partkey = c_custkey
+UNION ALL SELECT 'surplus', 0, p_size FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)""",
 )
 def pairs_by_position(spark, d):
-    place = F.row_number().over(evaluation.Window.orderBy("l_orderkey", "l_linenumber")) - 1  # the fixture's positions
-    side = lambda where: read(spark, d, "lineitem").where(where).select(F.col("l_linenumber").alias("id"), place.alias("pos"))
-    gold, got = side("l_returnflag = 'R'"), side("l_linestatus = 'F'")
+    gold = read(spark, d, "customer").select(F.col("c_nationkey").alias("id"), F.col("c_custkey").alias("pos"))
+    got = read(spark, d, "part").select(F.col("p_size").alias("id"), F.col("p_partkey").alias("pos"))
     paired = evaluation.pair_records(gold, got).select(F.lit("pair").alias("way"), "id", F.col("predicted.id").alias("got"))
     return paired.unionAll(evaluation.surplus(gold, got).select(F.lit("surplus"), F.lit(0), "id"))
 

@@ -30,9 +30,8 @@ class AdapterError(Exception):
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
 
-def read_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
-    """document_id, file_name, sha256, content."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
+def documents_in(files: DataFrame) -> DataFrame:
+    """document_id, file_name, sha256, content of binary files (path, content)."""
     sha = F.sha2("content", 256)
     return files.select(
         F.concat(F.lit("doc_"), F.left(sha, F.lit(16))).alias("document_id"),
@@ -40,6 +39,11 @@ def read_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataF
     )
 
 
+def read_documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
+    """The documents of a folder."""
+    return documents_in(spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path))
+
+
 def stem(name):
     return F.regexp_replace(name, "\\.[^.]*$", "")
 

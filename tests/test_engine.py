@@ -214,3 +214,24 @@ def test_pairing_falls_back_to_position(spark):
     pred = spark.createDataFrame([("x", 0)], "id string, pos int")
     rows = evaluation.pair_records(gold, pred).collect()
     assert sorted(r["predicted"] is None for r in rows) == [False, True]
+
+
+def test_a_saved_index_answers_like_a_new_one(spark, tmp_path):
+    rows = [(f"c{i}", "d", "d.pdf", [1], ["b"], t, i) for i, t in enumerate(["renewal notice", "notice of fees and fees", "", "other words", "the of"])]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, file_name string, pages array<int>, block_ids array<string>, text string, ord int")
+    q = spark.createDataFrame([("q", "renewal fees"), ("r", "notice"), ("s", "the of")], "query_id string, question string")
+    new = retrieval.BM25Index(chunks)
+    want = sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in new.search(q).collect())
+    new.save(str(tmp_path / "index"), buckets=4)
+    new.release()
+    for given in ({}, {"max_terms": 0}):
+        again = retrieval.BM25Index.load(spark, str(tmp_path / "index"), **given)
+        assert sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in again.search(q).collect()) == want
+    many = retrieval.BM25Index(chunks, max_terms=1)  # more terms than are broadcast
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in many.search(q).collect()) == want
+
+
+def test_passages_lose_all_heading_lines(spark):
+    text = "1. FEES\n\nPayment Terms\nA\nB C\nD E\nF\nThe fee is due.  It is 5.\nTOTAL"
+    got = spark.createDataFrame([(text,)], "t string").select(T.passages(F.col("t")).alias("p")).first()["p"]
+    assert got == ["1.", "The fee is due.", "It is 5.", "TOTAL"]

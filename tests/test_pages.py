@@ -276,3 +276,66 @@ def test_model_answers_are_validated(spark):
     got = {r["field"]: r for r in files.extract_validated(blocks, client).collect()}
     assert got["parties"]["text_value"] == "LEASE" and "the caller's id was kept" in got["parties"]["warning"]
     assert got["fees"]["text_value"] is None and got["fees"]["status"] == "needs_review"
+
+
+def written(tmp_path, names):
+    import json
+
+    for name in names:
+        (tmp_path / f"{name}.pdf").write_text(json.dumps(fixtures.CONTRACTS[name]))
+
+
+def test_files_as_they_arrive(spark, tmp_path):
+    from quire.streaming.parse import watch_blocks
+
+    (tmp_path / "in").mkdir()
+    run = lambda: watch_blocks(spark, str(tmp_path / "in"), str(tmp_path / "mark"), str(tmp_path / "out"), fixtures.decoder, fixtures.engine).awaitTermination(120)
+    written(tmp_path / "in", ["larch", "rowan"])
+    assert run()
+    assert {r["file_name"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"larch.pdf", "rowan.pdf"}
+    written(tmp_path / "in", ["cedar"])
+    assert run()
+    rows = spark.read.parquet(str(tmp_path / "out")).groupBy("file_name", "batch").count().collect()
+    assert sorted((r["file_name"], r["batch"]) for r in rows) == [("cedar.pdf", 1), ("larch.pdf", 0), ("rowan.pdf", 0)]
+
+
+def test_folders_texts_and_manifests(spark, tmp_path):
+    import hashlib
+
+    written(tmp_path, ["larch", "rowan"])
+    (tmp_path / "notes.txt").write_text("a  b\n c")
+    docs = files.read_documents(spark, str(tmp_path)).orderBy("file_name").collect()
+    sha = hashlib.sha256((tmp_path / "larch.pdf").read_bytes()).hexdigest()
+    assert [d["file_name"] for d in docs] == ["larch.pdf", "rowan.pdf"] and docs[0]["sha256"] == sha and docs[0]["document_id"] == f"doc_{sha[:16]}"
+    assert [tuple(r) for r in files.read_gold_text(spark, str(tmp_path / "*.txt")).collect()] == [("notes", "a b c")]
+    m = files.manifest(spark, str(tmp_path))
+    assert m["files"][0] == {"file_name": "larch.pdf", "sha256": sha} and m["versions"]["pyspark"] and files.installed("no such package") is None
+    value = files.read_json(spark, str(tmp_path / "rowan.pdf"), "array<struct<text:array<struct<type:int>>>>").first()["value"]
+    assert len(value) == 1
+    found = pages.parse(spark, str(tmp_path / "*.pdf"), fixtures.decoder, fixtures.engine)
+    assert {r["file_name"] for r in found.collect()} == {"larch.pdf", "rowan.pdf"}
+    payload = files.source_payload(found.where("file_name = 'rowan.pdf'")).first()["payload"]
+    import json
+
+    assert [b["reading_order"] for b in json.loads(payload)] == list(range(7))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quire import cli
+
+    written(tmp_path, ["rowan"])
+    at = ["--decoder", "quire.sources.fixtures:decoder"]
+    cli.main(["parse", str(tmp_path / "*.pdf"), *at, "-o", str(tmp_path / "blocks")])
+    assert spark.read.json(str(tmp_path / "blocks")).count() == 7
+    cli.main(["extract", str(tmp_path / "*.pdf"), *at])
+    assert "effective_date" in capsys.readouterr().out
+    (tmp_path / "m.json").write_text('{"summary": {"case_count": 3}}')
+    cli.main(["show-metrics", str(tmp_path / "m.json")])
+    assert '"case_count": 3' in capsys.readouterr().out
+
+
+def test_public_names():
+    from quire import api
+
+    names = "parse_pdf normalize_ocr_output DocumentParseError OCRUnavailableError OCRLine CONTRACT_FIELDS extract_contract validate_extraction AdapterError ABSTENTION_MESSAGE BM25Index answer_question chunk_document tokenize evaluate_records evaluate_json_files evaluate_case load_json_records render_html_report write_html_report write_json_report normalize_text normalized_exact_match token_f1 evaluate_extraction evaluate_evidence evaluate_ocr evaluate_retrieval evaluate_answer aggregate_latencies"
+    assert all(hasattr(api, n) for n in names.split())
