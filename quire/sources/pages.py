@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from os import PathLike
+from pathlib import Path
 from typing import Any, BinaryIO
 
 import numpy as np
@@ -33,18 +35,23 @@ PAGES = f"document_id string, file_name string, sha256 string, page int, width d
 CORNERS = ("x0", "y0", "x1", "y1")
 
 
-def documents_of(spark: SparkSession, source: str | bytes | BinaryIO, file_name: str | None = None) -> DataFrame:
+def documents_of(spark: SparkSession, source: str | PathLike | bytes | BinaryIO, file_name: str | None = None) -> DataFrame:
     """A path or pattern, bytes, or a binary stream as (document_id, file_name, sha256, content)."""
-    if isinstance(source, str):
-        return read_documents(spark, source, "*")
-    content = bytes(source) if isinstance(source, (bytes, bytearray)) else source.read()
-    if not content:
+    if isinstance(source, (str, PathLike)):
+        return read_documents(spark, str(source), "*")
+    if hasattr(source, "read"):
+        file_name = file_name or Path(str(getattr(source, "name", "") or "document.pdf")).name
+        try:
+            source = source.read()
+        except OSError as error:
+            raise DocumentParseError(f"the stream can't be read: {error}") from error
+    if not isinstance(source, (bytes, bytearray)):
+        raise TypeError("a source is a path, bytes, or a stream opened in binary mode")
+    if not source:
         raise DocumentParseError("the source is empty")
-    sha = hashlib.sha256(content).hexdigest()
-    return spark.createDataFrame(
-        [(f"doc_{sha[:16]}", file_name or "document.pdf", sha, bytearray(content))],
-        "document_id string, file_name string, sha256 string, content binary"
-    )
+    sha = hashlib.sha256(source).hexdigest()
+    row = (f"doc_{sha[:16]}", file_name or "document.pdf", sha, bytearray(source))
+    return spark.createDataFrame([row], "document_id string, file_name string, sha256 string, content binary")
 
 
 def clipped(raw, width: float, height: float) -> dict[str, float] | None:
@@ -105,6 +112,8 @@ def read_pages(
 ) -> DataFrame:
     """A row for each page, with block candidates, table regions and the stamp. Pages with too little
     native text are recognised; the engine is made at the first of them (S6)."""
+    if native_text_threshold < 0 or ocr_dpi < 72:
+        raise ValueError("native_text_threshold can't be negative, ocr_dpi must be at least 72")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decode, engines = make_decoder(), []

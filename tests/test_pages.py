@@ -225,6 +225,17 @@ def test_unread_documents_tell_why(spark):
     with pytest.raises(files.DocumentParseError):
         pages.documents_of(spark, b"")
     assert pages.documents_of(spark, b"x").first()["file_name"] == "document.pdf"
+    import io
+
+    stream = io.BytesIO(b"x")
+    stream.name = "/a/b.pdf"
+    assert pages.documents_of(spark, stream).first()["file_name"] == "b.pdf"
+    for bad in (io.StringIO("x"), 3):
+        with pytest.raises(TypeError):
+            pages.documents_of(spark, bad)
+    for bad in ({"native_text_threshold": -1}, {"ocr_dpi": 71}):
+        with pytest.raises(ValueError):
+            pages.read_pages(docs, fixtures.decoder, **bad)
 
 
 def test_failing_tables_are_none():
