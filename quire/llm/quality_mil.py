@@ -207,8 +207,7 @@ def fit(
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [
-                (key, y, np.concatenate([x for _, x in encoded([text])]).tobytes()) for key, text,
-                y in zip(pdf["id"], pdf["t"], pdf["_y"])
+                (key, y, np.concatenate([x for _, x in encoded([text])]).tobytes()) for key, text, y in zip(pdf["id"], pdf["t"], pdf["_y"])
             ]
             yield pd.DataFrame(rows, columns=["id", "y", "x"])
 

@@ -351,8 +351,7 @@ def repeated_ranges(docs: DataFrame, id_col: str, text_col: str, length: int, ba
                 return pd.DataFrame({"id": [], "row": [], "first": [], "last": []})
             flags = shared_windows([bytes(h[4]) for h in held], np.array([h[3] > 1 for h in held]), length)
             rows = [
-                (h[0], h[1], h[2] + a, h[2] + b) for h, f in zip(held, flags) if h[3] == 1 for a,
-                b in zip(*(x.tolist() for x in _ranges(f)))
+                (h[0], h[1], h[2] + a, h[2] + b) for h, f in zip(held, flags) if h[3] == 1 for a, b in zip(*(x.tolist() for x in _ranges(f)))
             ]
             return pd.DataFrame(rows, columns=["id", "row", "first", "last"])
 

@@ -143,8 +143,7 @@ def distinct(rows: DataFrame, ids: int | None, most: int) -> DataFrame:
                 times = found.setdefault(packed(np.asarray(v, np.float64)), {})
                 times[own] = times.get(own, 0) + 1
             out = [
-                (own, xxhash.xxh3_64_intdigest(raw) - (1 << 63), min(times[own], most), raw) for raw,
-                times in found.items() for own in sorted(times)[:ids]
+                (own, xxhash.xxh3_64_intdigest(raw) - (1 << 63), min(times[own], most), raw) for raw, times in found.items() for own in sorted(times)[:ids]
             ]
             yield pd.DataFrame(out, columns=["vec_id", "h", "m", "v"])
 

@@ -109,8 +109,7 @@ def test_url_rules(spark):
 def brute_topk(rows, every=100, k=10):
     """Of (id, vector) rows, repeats included: {query id: [(rank, id, score)]}."""
     whole = [
-        (i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]) for i,
-        v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+        (i, [int(np.floor(1024 * np.float64(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
     ]
     out = {}
     for q, a in whole:
@@ -264,8 +263,7 @@ def test_only_spans_without_shared_windows_are_left_out():
     texts = [
         r.integers(
             97, 123, int(r.integers(0, 90))
-        ).astype(np.uint8).tobytes() + base[a : a + n] + b"-" * int(r.integers(0, 60)) for a,
-        n in zip(r.integers(0, 500, 60), r.integers(120, 400, 60))
+        ).astype(np.uint8).tobytes() + base[a : a + n] + b"-" * int(r.integers(0, 60)) for a, n in zip(r.integers(0, 500, 60), r.integers(120, 400, 60))
     ]
     spans, names = [], []
     for t in texts:
@@ -691,8 +689,7 @@ def test_distance_matches_brute_force():
     for text in [*texts.values(), "stone und pierre", "licht", "x"]:
         own = language.profile(text).tolist()
         distance = {
-            n: sum(min(abs(r.index(c) - i), language.SIZE) if c in r else language.SIZE for i, c in enumerate(own)) for n,
-            r in ranked.items()
+            n: sum(min(abs(r.index(c) - i), language.SIZE) if c in r else language.SIZE for i, c in enumerate(own)) for n, r in ranked.items()
         }
         best = min(sorted(distance), key=distance.get)
         name, score = profiles.predict(text)
@@ -837,3 +834,51 @@ def test_pipeline_deletes_what_it_stored(spark, docs, tmp_path):
     before = set(common._written)
     corpus_pipeline.run(spark, str(tmp_path))
     assert len(set(common._written) - before) == 1
+
+
+def test_near_duplicates_of_the_corpus_table(spark):
+    """All pairs of the smallest table by brute force: no link between different texts is lost, none invented."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(table).collect()}
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    bags = {i: np.unique(near_dup.shingles(t), return_counts=True) for i, t in texts.items()}
+    group = {i: i for i in texts}
+    ids = sorted(texts)
+    links = 0
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if texts[a] == texts[b] or near_dup.similarity(bags[a], bags[b]) >= 0.8:
+                links += 1
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    assert links > 0 and got == group
+
+
+def test_base_counts_match_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    got = sorted(tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) for r in quality_rules.quality_rules(spark.read.parquet(path)).collect())
+    want = duckdb.sql(rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM read_parquet('{path}')),
+g AS (SELECT doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+again AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+r AS (SELECT doc_id, count(DISTINCT i) AS n FROM again GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)
+SELECT doc_id, len(w), length(array_to_string(w, '')), length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')), len(l) - len(list_distinct(l)), coalesce(r.n, 0), len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w)
+FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)""").fetchall()
+    assert got == sorted(want)
+
+
+def test_hot_keys_meet_a_broadcast(spark):
+    """A vector, a class and a folder that hold a third of all rows are in no single task's join."""
+    from quire.llm.common import hot_keys, join_counted
+
+    left = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert hot_keys(right, "n") == [0]
+    joined = join_counted(left, right, ["k"], "n")
+    assert joined.count() == 9000 and joined.where("k = 0 and n <> 3000").count() == 0
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan
+    assert join_counted(left.limit(0), right.limit(0), ["k"], "n").count() == 0
