@@ -161,39 +161,39 @@ def _whole(rule: tuple[str, str, str]) -> str:
 def clause_fields(blocks: DataFrame, n: int = 5) -> DataFrame:
     """The first match by window start, then window size, then rule.
 
-    Each start is one row. A field's cue, which every match holds, is looked for in the largest window; only
-    where it is there are sizes and rules tried, in order, up to the first match. Offsets are
-    taken from one window a document and field."""
+    A document's starts are gone through in order, for each field up to its first match. A field's cue, which
+    every match holds, is looked for in the largest window first; only where it is there are
+    sizes and rules tried. Offsets are taken from one window a document and field."""
     rows = _starts(blocks, n).withColumn(
         "texts", F.transform(F.sequence(F.lit(1), F.size("b")), lambda i: _joined(F.slice("b", F.lit(1), i)))
     )
-    found = []
-    for field, (_, _, rules) in RULES.items():
-        tries = [
-            F.when(
-                F.get("texts", F.lit(size - 1)).rlike("(?is)" + "".join(rule)), size * 10 + i
-            ) for size in range(1, n + 1) for i,
-            rule in enumerate(rules)
-        ]
-        found.append(
-            F.struct(
-                F.lit(field).alias("field"),
-                F.when(F.element_at("texts", -1).rlike("(?i)" + CUES[field]), F.coalesce(*tries)).alias("code")
-            )
-        )
-    rows = rows.select("document_id", "start", "b", F.array(*found).alias("_found"))
-    rows = rows.select("document_id", "start", "b", F.inline(F.filter("_found", lambda x: x["code"].isNotNull())))
-    rows = rows.groupBy("document_id", "field").agg(F.min(F.struct("start", "code", "b")).alias("x"))
-    rows = rows.select(
-        "document_id", "field", (F.col("x.code") % 10).alias("rule"),
-        F.slice("x.b", F.lit(1), F.floor(F.col("x.code") / 10).cast("int")).alias("b")
-    )
+    starts = F.array_sort(F.collect_list(F.struct("start", "b", "texts")))  # of one document, which is in one partition
+    rows = rows.groupBy("document_id").agg(starts.alias("s"))
+    rows = rows.withColumn("t", F.transform("s", lambda x, i: F.struct(i.alias("i"), x["texts"].alias("texts"))))
+
+    def first(field: str) -> Column:
+        """The start's number, size and rule of the first match, in one number."""
+        rules = ["(?is)" + "".join(rule) for rule in RULES[field][2]]
+
+        def tried(x: Column) -> Column:
+            sizes = range(1, n + 1)
+            tries = [F.when(F.get(x["texts"], F.lit(k - 1)).rlike(r), k * 10 + i) for k in sizes for i, r in enumerate(rules)]
+            return F.when(F.element_at(x["texts"], -1).rlike("(?i)" + CUES[field]), x["i"] * 100 + F.coalesce(*tries))
+
+        none = F.lit(None).cast("int")
+        return F.aggregate("t", none, lambda got, x: F.when(got.isNotNull(), got).otherwise(tried(x)))
+
+    found = F.array(*[F.struct(F.lit(field).alias("field"), first(field).alias("code")) for field in RULES])
+    rows = rows.select("document_id", "s", found.alias("_found"))
+    rows = rows.select("document_id", "s", F.inline(F.filter("_found", lambda x: x["code"].isNotNull())))
+    size = F.floor(F.col("code") / 10).cast("int") % 10
+    own = F.get("s", F.floor(F.col("code") / 100).cast("int"))["b"]
+    rows = rows.select("document_id", "field", (F.col("code") % 10).alias("rule"), F.slice(own, F.lit(1), size).alias("b"))
     rows = rows.withColumn("text", _joined(F.col("b"))).withColumn("segments", _segments(F.col("b")))
     every = [(field, i, rule) for field, (_, _, rules) in RULES.items() for i, rule in enumerate(rules)]
     group = lambda g: F.coalesce(
         *[
-            F.when((F.col("field") == field) & (F.col("rule") == i), F.regexp_extract("text", _whole(rule), g)) for field, i,
-            rule in every
+            F.when((F.col("field") == field) & (F.col("rule") == i), F.regexp_extract("text", _whole(rule), g)) for field, i, rule in every
         ]
     )
     given = lambda at: F.coalesce(*[F.when(F.col("field") == field, F.lit(RULES[field][at])) for field in RULES])

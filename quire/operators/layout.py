@@ -161,8 +161,7 @@ def stamp_gate(pixels: DataFrame) -> DataFrame:
     box = red.groupBy(*PAGE).agg(
         F.count(F.lit(1)).alias("n"),
         *[
-            f(c).alias(a) for f, c,
-            a in (
+            f(c).alias(a) for f, c, a in (
                 (F.min, "x", "x0"), (F.max, "x", "x1"), (F.min, "y", "y0"), (F.max, "y", "y1"), (F.first, "width", "width"),
                 (F.first, "height", "height")
             )

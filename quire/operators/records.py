@@ -247,8 +247,7 @@ def _typed_row(pos: int, own: str | None, record: Any, reference: bool) -> tuple
             {
                 "name": k, "normal": normal_value(field_value(v)), "substantive": substantive(field_value(v)),
                 "evidence": field_evidence(v)
-            } for k,
-            v in field_map(s["extraction"]).items()
+            } for k, v in field_map(s["extraction"]).items()
         ]
     if "relevant_ids" in s:
         relevant = sorted({str(x) for x in s["relevant_ids"]})
@@ -273,8 +272,7 @@ def typed(records: DataFrame, reference: bool) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame(
                 [
-                    _typed_row(p, i, json.loads(r) if r is not None else {}, reference) for p, i,
-                    r in zip(pdf["pos"], pdf["id"], pdf["record"])
+                    _typed_row(p, i, json.loads(r) if r is not None else {}, reference) for p, i, r in zip(pdf["pos"], pdf["id"], pdf["record"])
                 ],
                 columns=columns
             )
@@ -504,8 +502,7 @@ def _summary(rows: dict[str, list], cases: list[dict]) -> dict:
         if not r["predicted"]:
             r["page_correctness"] = r["block_correctness"] = 0.0 if r["expected"] else 1.0
         out["evidence"] = {
-            k: v for k,
-            v in _renamed(r, _EVIDENCE).items() if k not in (
+            k: v for k, v in _renamed(r, _EVIDENCE).items() if k not in (
                 "page_correct_count", "block_correct_count", "unsupported_value_count"
             )
         }

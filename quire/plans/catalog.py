@@ -556,8 +556,7 @@ def _contracts(spark, d):
     wording = lambda texts: F.coalesce(*[F.when(F.col("v") == v, filled(t)) for v, t in enumerate(texts)])
     blocks = F.array(
         *[
-            F.struct(F.lit(i).alias("reading_order"), F.lit(kind).alias("kind"), wording(texts).alias("text")) for i,
-            (kind, texts) in enumerate(S.WORDINGS)
+            F.struct(F.lit(i).alias("reading_order"), F.lit(kind).alias("kind"), wording(texts).alias("text")) for i, (kind, texts) in enumerate(S.WORDINGS)
         ]
     )
     rows = _orders(spark, d).select("document_id", F.inline(blocks))

@@ -81,8 +81,7 @@ PASSAGES = f"WITH {passages('doc_id', 'documents')} SELECT id AS doc_id, pos, pa
 
 def expansion(question: str) -> str:
     cases = ", ".join(
-        "CASE WHEN regexp_matches({q}, '(?i){rule}') THEN '{words}' END".format(q=question, rule=rule, words=words) for rule,
-        words in R.EXPANSIONS
+        "CASE WHEN regexp_matches({q}, '(?i){rule}') THEN '{words}' END".format(q=question, rule=rule, words=words) for rule, words in R.EXPANSIONS
     )
     return f"concat_ws(' ', {cases})"
 
@@ -225,8 +224,7 @@ def _blocks() -> str:
     rows = [
         f"SELECT doc, {i} AS i, '{kind}' AS kind, CASE v " + " ".join(
             f"WHEN {v} THEN {filled(t)}" for v, t in enumerate(texts)
-        ) + " END AS text FROM o" for i,
-        (kind, texts) in enumerate(WORDINGS)
+        ) + " END AS text FROM o" for i, (kind, texts) in enumerate(WORDINGS)
     ]
     return f"{ORDERS},\nb AS ({' UNION ALL '.join(rows)})"
 

@@ -196,8 +196,7 @@ def demo(spark: SparkSession) -> dict:
         {
             "case_id": c,
             "extraction": {"fields": {f: {"value": v, "evidence": located.get((f"doc_{c}", f), [])} for f, v in values.items()}}
-        } for c,
-        values in GOLD.items()
+        } for c, values in GOLD.items()
     ]
     predicted: dict[str, dict] = {}
     for r in fields.withColumn("case", case).collect():
@@ -218,16 +217,14 @@ def demo(spark: SparkSession) -> dict:
         {
             "case_id": q, "relevant_ids": relevant.get(q, []),
             "answer": {"citations": sorted(relevant.get(q, []))[:1], "abstained": not d}
-        } for q,
-        _, d, _ in QUESTIONS
+        } for q, _, d, _ in QUESTIONS
     ]
     guesses = [{"case_id": c, "extraction": {"fields": f}} for c, f in predicted.items()]
     guesses += [
         {
             "case_id": q, "retrieved_ids": got.get(q, []),
             "answer": {"citations": a["citations"] or [], "abstained": a["abstained"]}
-        } for q,
-        a in said.items()
+        } for q, a in said.items()
     ]
     guesses[0]["latency_ms"] = took
     report = records.evaluate_records(spark, gold, guesses)

@@ -92,8 +92,7 @@ def ocr_blocks(page: Any, image: np.ndarray, engine: Callable, dpi: int, number:
     return [
         {
             "text": text, "bbox": b, "font_size": 0.0, "source": "rapidocr", "confidence": c, "line_count": None, "ocr_dpi": dpi
-        } for text,
-        b, c in placed if b
+        } for text, b, c in placed if b
     ]
 
 

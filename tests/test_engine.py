@@ -199,8 +199,7 @@ def test_kinds(spark):
     ]
     df = spark.createDataFrame(
         [
-            ("d", 1, 600.0, 800.0, i, t, (50.0, float(y), 300.0, float(y) + 10), float(f), "unknown", "native", 1.0) for i,
-            (t, y, f) in enumerate(rows)
+            ("d", 1, 600.0, 800.0, i, t, (50.0, float(y), 300.0, float(y) + 10), float(f), "unknown", "native", 1.0) for i, (t, y, f) in enumerate(rows)
         ],
         s
     )

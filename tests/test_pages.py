@@ -154,8 +154,7 @@ def brute_rows(boxes):
 def test_table_rows_match_brute_force(spark):
     rng = np.random.default_rng(6)
     at = [
-        (float(x), float(y), float(x) + 20, float(y) + h, f"t{i}") for i,
-        (x, y, h) in enumerate(zip(rng.integers(0, 500, 40), rng.integers(0, 700, 40), rng.integers(8, 30, 40)))
+        (float(x), float(y), float(x) + 20, float(y) + h, f"t{i}") for i, (x, y, h) in enumerate(zip(rng.integers(0, 500, 40), rng.integers(0, 700, 40), rng.integers(8, 30, 40)))
     ]
     regions = spark.createDataFrame(
         [("d", 1, 1, (0.0, 0.0, 600.0, 800.0)), ("d", 1, 2, (0.0, 0.0, 600.0, 800.0)), ("d", 2, 1, (0.0, 0.0, 9.0, 9.0))],
