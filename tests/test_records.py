@@ -52,7 +52,7 @@ def test_sections_by_alias():
 
 def test_latency_shapes():
     assert records.latency_samples(3) == {"end_to_end": [3.0]} and records.latency_samples([1, 2]) == {"end_to_end": [1.0, 2.0]}
-    assert records.latency_samples({"ocr": 1, "llm": [2, 3]}) == {"ocr": [1.0], "llm": [2.0, 3.0]}
+    assert records.latency_samples({"scan": 1, "model": [2, 3]}) == {"scan": [1.0], "model": [2.0, 3.0]}
     for bad in (True, [True], {"a": "x"}, "x", {"a": {"b": 1}}):
         with pytest.raises(TypeError):
             records.latency_samples(bad)
@@ -99,7 +99,7 @@ def test_typed_columns(spark):
 
 GOLD = {
     "a": {
-        "extraction": {"fields": {"party": {"value": "Acme, Inc.", "evidence": [AT]}, "fee": 1200}}, "ocr_text": "hello world",
+        "extraction": {"fields": {"party": {"value": "Fern & Co., Ltd.", "evidence": [AT]}, "fee": 1200}}, "ocr_text": "green river",
         "relevant_ids": ["c2"], "answer": {"citations": [{"source_id": "s1", **AT, "block_ids": ["b"]}], "abstained": False}
     },
     "b": {"extraction": {"fields": {"fee": {"value": "100"}, "none": {"value": None}}}},
@@ -108,10 +108,10 @@ PREDICTED = {
     "x": {"ocr_text": "unused"},
     "a": {
         "extraction": {
-            "fields": {"party": {"value": "acme inc", "evidence": [AT, {**AT, "block_id": "z"}]}, "fee": 1200.0, "extra": ["v"]}
+            "fields": {"party": {"value": "fern & co ltd", "evidence": [AT, {**AT, "block_id": "z"}]}, "fee": 1200.0, "extra": ["v"]}
         },
-        "ocr_text": "hallo world", "retrieved_ids": ["c1", {"rank": 2, "chunk": {"chunk_id": "c2"}}],
-        "answer": {"citations": ["s1"], "abstained": False}, "latency_ms": {"ocr": 20, "llm": [80, 100], "none": []}
+        "ocr_text": "groen river", "retrieved_ids": ["c1", {"rank": 2, "chunk": {"chunk_id": "c2"}}],
+        "answer": {"citations": ["s1"], "abstained": False}, "latency_ms": {"scan": 7, "model": [31, 43], "none": []}
     },
 }
 
@@ -122,7 +122,7 @@ def test_report_by_id(spark):
     s = r["summary"]
     assert (s["case_count"], s["missing_prediction_count"]) == (2, 1)
     assert s["retrieval"] == {"query_count": 1, "evaluable_query_count": 1, "recall_at_k": {"1": 0.0, "2": 1.0}, "mrr": 0.5}
-    assert s["latency"]["by_stage"]["llm"]["p95_ms"] == 100.0 and s["latency"]["overall"]["median_ms"] == 80.0 and s["latency"]["by_stage"]["none"]["count"] == 0
+    assert s["latency"]["by_stage"]["model"]["p95_ms"] == 43.0 and s["latency"]["overall"]["median_ms"] == 31.0 and s["latency"]["by_stage"]["none"]["count"] == 0
     assert s["extraction"]["field_instance_count"] == 5 and s["extraction"]["per_field"]["fee"] == {
         "count": 2, "exact_match": 0.5, "token_f1": 0.5
     }
@@ -157,15 +157,15 @@ def test_one_case_and_empty_run(spark):
 
 
 def test_files_and_reports(spark, tmp_path):
-    for name, value in (("g", [{"id": "one", "ocr_text": "same"}]), ("p", [{"id": "one", "ocr_text": "same", "latency_ms": 12}])):
+    for name, value in (("g", [{"id": "k9", "ocr_text": "alike"}]), ("p", [{"id": "k9", "ocr_text": "alike", "latency_ms": 31}])):
         (tmp_path / f"{name}.json").write_text(json.dumps(value))
     r = records.evaluate_json_files(spark, str(tmp_path / "g.json"), str(tmp_path / "p.json"))
     files.write_json_report(r, str(tmp_path / "out/r.json"))
-    files.write_html_report(r, str(tmp_path / "out/r.html"), "Quality <script>alert(1)</script>")
+    files.write_html_report(r, str(tmp_path / "out/r.html"), "Scores <i onload=x>")
     shown = (tmp_path / "out/r.html").read_text()
     assert json.loads(
         (tmp_path / "out/r.json").read_text()
-    ) == r and "&lt;script&gt;" in shown and "<script>" not in shown and "p95" in shown
+    ) == r and "&lt;i onload=x&gt;" in shown and "<i onload" not in shown and "p95" in shown
     assert "ocr cer" in files.console_summary(r) and "0.0%" in files.console_summary(r)
     with pytest.raises(ValueError):
         files.write_json_report({"x": math.nan}, str(tmp_path / "bad.json"))
