@@ -181,7 +181,7 @@ def ocr_summary(spark, d):
 
 @query(
     "S11_ocr_lines",
-    """SELECT CAST(l_orderkey AS VARCHAR) AS doc, l_linenumber AS page, 0 AS pos, CASE WHEN l_partkey % 6 = 5 THEN 'x' ELSE 'part ' || l_partkey END AS text, 10.0 * l_linenumber AS x0, 5.0 AS y0, 10.0 * l_linenumber + 8 AS x1, 25.0 AS y1,
+    """SELECT CAST(l_orderkey AS VARCHAR) AS doc, l_linenumber AS page, 0 AS pos, CASE WHEN l_partkey % 6 = 5 THEN 'x' ELSE 'part ' || l_partkey END AS text, CAST(10 * l_linenumber AS DOUBLE) AS x0, CAST(5 AS DOUBLE) AS y0, CAST(10 * l_linenumber + 8 AS DOUBLE) AS x1, CAST(25 AS DOUBLE) AS y1,
   CASE WHEN l_partkey % 6 = 5 THEN 0.0 WHEN l_partkey % 6 = 1 AND l_quantity <= 1 THEN l_quantity ELSE l_quantity / 100 END AS confidence FROM lineitem""",
 )
 def ocr_lines(spark, d):
@@ -498,14 +498,14 @@ def run_fields(spark, d):
 
 
 @query("V14_run_evidence", RECORDS_SQL + """SELECT count(*) FILTER (NOT missing) AS predicted, count(*) AS expected, count(*) FILTER (NOT missing) AS page_correct, count(*) FILTER (NOT missing AND doc_id % 2 = 0) AS block_correct, 2 * count(*) FILTER (NOT missing) AS "values",
-  count(*) FILTER (NOT missing) + count(*) FILTER (NOT missing AND doc_id % 2 = 1) AS unsupported, 1.0 AS page_correctness, count(*) FILTER (NOT missing AND doc_id % 2 = 0) / count(*) FILTER (NOT missing) AS block_correctness, (count(*) FILTER (NOT missing) + count(*) FILTER (NOT missing AND doc_id % 2 = 1)) / (2 * count(*) FILTER (NOT missing)) AS unsupported_value_rate FROM j""")
+  count(*) FILTER (NOT missing) + count(*) FILTER (NOT missing AND doc_id % 2 = 1) AS unsupported, CAST(1 AS DOUBLE) AS page_correctness, count(*) FILTER (NOT missing AND doc_id % 2 = 0) / count(*) FILTER (NOT missing) AS block_correctness, (count(*) FILTER (NOT missing) + count(*) FILTER (NOT missing AND doc_id % 2 = 1)) / (2 * count(*) FILTER (NOT missing)) AS unsupported_value_rate FROM j""")
 def run_evidence(spark, d):
     return records.scores(*_records(spark, d))["all_evidence"]
 
 
 @query(
     "V13_case_retrieval",
-    RECORDS_SQL + """SELECT doc_id AS pos, CASE WHEN missing THEN 0 ELSE 2 END AS retrieved_count, 1 AS n_relevant, CAST(NOT missing AND doc_id % 7 = 2 AS DOUBLE) AS recall_at_1, CAST(NOT missing AND doc_id % 7 IN (1, 2) AS DOUBLE) AS recall_at_3, CASE WHEN missing THEN 0.0 WHEN doc_id % 7 = 2 THEN 1.0 WHEN doc_id % 7 = 1 THEN 0.5 ELSE 0.0 END AS mrr, true AS evaluable FROM j"""
+    RECORDS_SQL + """SELECT doc_id AS pos, CASE WHEN missing THEN 0 ELSE 2 END AS retrieved_count, CAST(1 AS BIGINT) AS n_relevant, CAST(NOT missing AND doc_id % 7 = 2 AS DOUBLE) AS recall_at_1, CAST(NOT missing AND doc_id % 7 IN (1, 2) AS DOUBLE) AS recall_at_3, CAST(CASE WHEN missing THEN 0.0 WHEN doc_id % 7 = 2 THEN 1.0 WHEN doc_id % 7 = 1 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS mrr, true AS evaluable FROM j"""
 )
 def case_retrieval(spark, d):
     return records.scores(*_records(spark, d), (1, 3))["retrieval"]
@@ -662,7 +662,7 @@ def document_text(spark, d):
     "J7_gold_evidence",
     f"""WITH {S.BLOCKS} SELECT doc AS document_id, p.field, p.pos, 'b' || min(b.i) AS block_id FROM b JOIN (SELECT * FROM (VALUES ('first', 0, 'this  agreement'), ('fees', 0, 'fees'), ('both', 0, 'paper'), ('law', 0, 'LAND')) t(field, pos, phrase)) p
   ON contains(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(p.phrase), '\\s+', ' ', 'g'))) GROUP BY doc, p.field, p.pos
-UNION ALL SELECT doc, 'again', k, 'b' || i FROM (SELECT doc, i, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS k FROM b WHERE contains(lower(text), 'agreement')) WHERE k < 2""",
+UNION ALL SELECT doc, 'again', CAST(k AS INTEGER), 'b' || i FROM (SELECT doc, i, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS k FROM b WHERE contains(lower(text), 'agreement')) WHERE k < 2""",
 )
 def gold_evidence(spark, d):
     asked = [
