@@ -170,7 +170,7 @@ def stamp_gate(pixels: DataFrame) -> DataFrame:
     w, h, page = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1, F.col("width") * F.col("height")
     density = F.col("n") / (w * h)
     fine = (
-        F.col("n") >= F.greatest(F.lit(35.0), page * 0.00004)
+        F.col("n") >= F.greatest(F.lit(35), F.floor(page * 0.00004))
     ) & (w >= 7) & (h >= 7) & (w <= F.col("width") * 0.48) & (h <= F.col("height") * 0.48) & (w * h <= page * 0.18) & (density >= 0.035)
     return box.where(fine).select(
         *PAGE,

@@ -63,6 +63,22 @@ def test_red_stamp():
     assert raster.red_stamp(image, 50.0, 100.0) is None  # too wide
 
 
+def test_stamps_by_rows_of_pixels(spark):
+    """The gate over pixel rows finds what the one over arrays finds."""
+    rng = np.random.default_rng(9)
+    images = []
+    for side, share in ((3, 1.0), (8, 1.0), (12, 0.5), (30, 1.0), (9, 0.02), (20, 0.1)):
+        image = np.full((50, 60, 3), 255, np.uint8)
+        image[5 : 5 + side, 7 : 7 + side][rng.random((side, side)) < share] = (180, 40, 60)
+        images.append(image)
+    rows = [("d", n, x, y, *map(int, image[y, x]), 60, 50) for n, image in enumerate(images) for y in range(50) for x in range(60)]
+    names = ("x", "y", "r", "g", "b", "width", "height")
+    pixels = spark.createDataFrame(rows, "document_id string, page int, " + ", ".join(f"{c} int" for c in names))
+    got = {r["page"]: (tuple(r["bbox"]), round(r["confidence"], 9)) for r in layout.stamp_gate(pixels).collect()}
+    want = {n: raster.red_stamp(image, 60.0, 50.0) for n, image in enumerate(images)}
+    assert got == {n: (tuple(w["bbox"].values()), round(w["confidence"], 9)) for n, w in want.items() if w} and 0 < len(got) < 6
+
+
 def brute_boxes(mask):
     """8-connected components that a path outside all of them, in 4 directions, reaches."""
     h, w = mask.shape
