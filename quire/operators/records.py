@@ -521,21 +521,27 @@ def _summary(rows: dict[str, list], cases: list[dict]) -> dict:
     return out
 
 
+def _reported(gold: DataFrame, predicted: DataFrame, k_values: Sequence[int]) -> dict:
+    """The report of rows as ``frame`` gives them, which are read once."""
+    held = typed(gold, True).persist(), typed(predicted, False).persist()
+    try:
+        return report(scores(*held, k_values))
+    finally:
+        for df in held:
+            df.unpersist()
+
+
 def evaluate_records(spark: SparkSession, references: Any, predictions: Any, k_values: Sequence[int] = (1, 3, 5)) -> dict:
     """The report of two sets of records in any of the shapes that ``coerce`` reads."""
-    return report(scores(typed(frame(spark, references), True), typed(frame(spark, predictions), False), k_values))
+    return _reported(frame(spark, references), frame(spark, predictions), k_values)
 
 
 def evaluate_case(
     spark: SparkSession, reference: Any, prediction: Any | None, case_id: str | None = None, k_values: Sequence[int] = (1, 3, 5)
 ) -> dict:
     """One gold record against one prediction."""
-    found = report(
-        scores(
-            typed(frame(spark, [reference]).withColumn("id", F.lit(None)), True),
-            typed(frame(spark, [] if prediction is None else [prediction]), False), k_values
-        )
-    )["cases"][0]
+    gold = frame(spark, [reference]).withColumn("id", F.lit(None))
+    found = _reported(gold, frame(spark, [] if prediction is None else [prediction]), k_values)["cases"][0]
     return found | {"case_id": str(case_id or record_id(reference) or record_id(prediction) or "case")}
 
 
