@@ -25,17 +25,15 @@ from pyspark.sql import functions as F
 from quire.llm.common import doubles, materialise, with_clear_names
 
 SYMBOLS = "[#*$%&|<>]"
-# every pattern reads a text once: a word is tried at its first character alone
 _SPACE = " \\t-\\r"
-_BEGIN = f"(?<![^{_SPACE}])"
-SHORT_WORD = f"{_BEGIN}[^{_SPACE}]{{1,3}}(?![^{_SPACE}])"
-REAL_WORD = f"{_BEGIN}[^{_SPACE}\\p{{L}}\\p{{N}}]*+[\\p{{L}}\\p{{N}}]"
 
 
 def add_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_end_lines, n_upper, n_letters,
     n_short_words, n_real_words (with a letter or digit) and n_repeat_words. Equal windows are found by sorting 64-bit hashes within the row."""
     df = df.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    # without signs: words of nothing else vanish, the others stay apart
+    df = df.withColumn("_s", F.regexp_replace("_t", f"[^\\p{{L}}\\p{{M}}\\p{{N}}{_SPACE}]+", ""))
     df = df.withColumn("_w", F.array_remove(F.split("_t", "[ \\t-\\r]+"), ""))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
     df = df.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^ \\t-\\r]")))
@@ -76,10 +74,10 @@ def add_counts(df: DataFrame, text: str = "text") -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_l", lambda x: x.rlike("[.!?:;\"»”][ \\t-\\r]*$"))).cast("long").alias("n_end_lines"),
-        (F.length("_t") - F.length(F.regexp_replace("_t", "\\p{Lu}+", ""))).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("_t", "[^\\p{L}\\p{M}]+", "")).cast("long").alias("n_letters"),
-        F.regexp_count("_t", F.lit(SHORT_WORD)).cast("long").alias("n_short_words"),
-        F.regexp_count("_t", F.lit(REAL_WORD)).cast("long").alias("n_real_words"),
+        (F.length("_s") - F.length(F.regexp_replace("_s", "\\p{Lu}+", ""))).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("_s", "[^\\p{L}\\p{M}]+", "")).cast("long").alias("n_letters"),
+        (F.col("n_words") - F.regexp_count("_t", F.lit(f"[^{_SPACE}]{{4,}}+"))).cast("long").alias("n_short_words"),
+        F.regexp_count("_s", F.lit(f"[^{_SPACE}]++")).cast("long").alias("n_real_words"),
         repeat.alias("n_repeat_words"),
     )
 
