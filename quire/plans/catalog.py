@@ -675,12 +675,13 @@ def gold_evidence(spark, d):
     return records.gold_evidence(every, blocks).select("document_id", "field", F.col("pos").cast("int").alias("pos"), "block_id")
 
 
-CHUNK = ["chunk_id", "document_id", _joined("block_ids").alias("block_ids"), "text", "ord"]
+def _flat_chunks(found: DataFrame) -> DataFrame:
+    return found.select("chunk_id", "document_id", _joined("block_ids").alias("block_ids"), "text", "ord")
 
 
 @query("R2_chunks", S.CONTRACT_CHUNKS)
 def chunks(spark, d):
-    return chunking.chunk(_contracts(spark, d), S.MAX_CHARS).select(*CHUNK)
+    return _flat_chunks(chunking.chunk(_contracts(spark, d), S.MAX_CHARS))
 
 
 @query("R2_document_chunks", S.DOCUMENT_CHUNKS)
@@ -690,7 +691,7 @@ def document_chunks(spark, d):
         F.lit(1).alias("page"), F.lit("b0").alias("block_id"), F.lit("paragraph").alias("kind"), "text",
         F.lit(0).alias("reading_order")
     )
-    return chunking.chunk(docs).select(*CHUNK)
+    return _flat_chunks(chunking.chunk(docs))
 
 
 # pages

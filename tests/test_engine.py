@@ -234,3 +234,12 @@ def test_passages_lose_all_heading_lines(spark):
     text = "1. FEES\n\nPayment Terms\nA\nB C\nD E\nF\nThe fee is due.  It is 5.\nTOTAL"
     got = spark.createDataFrame([(text,)], "t string").select(T.passages(F.col("t")).alias("p")).first()["p"]
     assert got == ["1.", "The fee is due.", "It is 5.", "TOTAL"]
+
+
+def test_the_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 40; import quire.api, quire.cli"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=120)
