@@ -139,19 +139,30 @@ class BM25Index:
         )
 
 
-def expansion(question):
+def bounded(rule: str, ascii_words: bool) -> str:
+    """The rule with the ends of words written out: Java's differ by version. With ascii_words a letter beyond
+    ASCII ends a word, as in RE2 and for tokens; else it is part of it."""
+    word = "[0-9A-Za-z_]" if ascii_words else "[\\p{L}\\p{M}\\p{N}_]"
+    return rule.replace("\\b", f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))")
+
+
+def expansion(question, ascii_words: bool = False):
     """SC17, J16: the concepts' words of a question; empty if it has none."""
-    return F.concat_ws(" ", *[F.when(question.rlike("(?i)" + rule), F.lit(words)) for rule, words in EXPANSIONS])
+    fits = lambda rule: question.rlike("(?i)" + bounded(rule, ascii_words))
+    return F.concat_ws(" ", *[F.when(fits(rule), F.lit(words)) for rule, words in EXPANSIONS])
 
 
-def ranked_passages(questions: DataFrame, hits: DataFrame, chunks: DataFrame, exact: bool = True) -> DataFrame:
+def ranked_passages(
+    questions: DataFrame, hits: DataFrame, chunks: DataFrame, exact: bool = True, ascii_words: bool = False
+) -> DataFrame:
     """Every supported passage of the hits with its score and place (W11: the best of equal ones)."""
-    names = F.regexp_extract_all("question", F.lit("\\b[A-Z][A-Za-z0-9'-]*\\b"), F.lit(0))
+    names = F.regexp_extract_all("question", F.lit(bounded("\\b[A-Z][A-Za-z0-9'-]*\\b", ascii_words)), F.lit(0))
+    concepts = expansion(F.col("question"), ascii_words)
     terms = questions.select(
         "query_id", "question", tokenize(F.col("question"), exact).alias("original"), tokenize(
-            F.concat_ws(" ", "question", expansion(F.col("question"))), exact
+            F.concat_ws(" ", "question", concepts), exact
         ).alias("expanded"),
-        tokenize(expansion(F.col("question")), exact).alias("concepts"), tokenize(
+        tokenize(concepts, exact).alias("concepts"), tokenize(
             F.array_join(F.slice(names, F.lit(2), F.size(names)), " "), exact
         ).alias("names"),
     )
@@ -174,15 +185,20 @@ def ranked_passages(questions: DataFrame, hits: DataFrame, chunks: DataFrame, ex
     return rows.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
 
 
-def answer(questions: DataFrame, index: BM25Index, top_k: int = 5, min_score: float = 0.05) -> DataFrame:
-    """query_id, question, answer, citations, abstained. A comparison needs two documents."""
+def answer(
+    questions: DataFrame, index: BM25Index, top_k: int = 5, min_score: float = 0.05, ascii_words: bool = False
+) -> DataFrame:
+    """query_id, question, answer, citations, abstained. A comparison needs two documents. With
+    ascii_words, words of a question end where a letter beyond ASCII begins."""
     if min_score < 0:
         raise ValueError("min_score cannot be negative")
     asked = questions.where(F.trim("question") != "").withColumn(
-        "wide", F.concat_ws(" ", "question", expansion(F.col("question")))
+        "wide", F.concat_ws(" ", "question", expansion(F.col("question"), ascii_words))
     )
     hits = index.search(asked, top_k, min_score, "wide")
-    rows = ranked_passages(asked, hits, index.chunks, index.exact).withColumn("compares", F.col("question").rlike(COMPARISON))
+    rows = ranked_passages(asked, hits, index.chunks, index.exact, ascii_words).withColumn(
+        "compares", F.col("question").rlike(bounded(COMPARISON, ascii_words))
+    )
     place = ["value", "rank", "pos", "passage"]
     order = [F.desc("value"), *place[1:]]
     named = F.size(F.array_intersect("original", tokenize(F.concat_ws(" ", "document_id", "file_name"), index.exact))) > 0
