@@ -170,6 +170,13 @@ def test_extraction(spark):
     assert got["termination_notice"]["text_value"] == "30 days written notice"
 
 
+def test_held_documents_are_not_dealt_out_again(spark):
+    held = extraction.hold(contract(spark)).withColumn("file_name", F.lit("d.pdf")).localCheckpoint()
+    for made in (extraction.clause_fields, extraction.text_windows):
+        plan = made(held)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort" not in plan, made
+
+
 def test_validation_rejects(spark):
     b = contract(spark)
     fields = extraction.extract(b).where("field = 'governing_law'").withColumn(
